@@ -1,0 +1,20 @@
+"""Joins with a small side, behind a check of its size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """Counts at most ``max_rows + 1`` rows, so the check itself is bounded."""
+    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
+                 max_rows: int = 200_000) -> DataFrame:
+    """Broadcast ``small`` only if it is proven to be; else an ordinary shuffled join.
+
+    The shuffled join is as exact, and adaptive execution splits its hot keys. ``small``
+    should be a stored table, since the check reads it.
+    """
+    return big.join(F.broadcast(small) if fits(small, max_rows) else small, on, how)
