@@ -64,7 +64,7 @@ def article_text_clean(c: Column | str) -> Column:
 def escape_markup(c: Column | str) -> Column:
     """Plain text to the markup a serializer gives for it."""
     out = _col(c)
-    for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), (" ", "&nbsp;")):
+    for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\u00a0", "&nbsp;")):
         out = F.replace(out, F.lit(plain), F.lit(coded))
     return out
 

@@ -34,7 +34,7 @@ def date_candidates(pages: DataFrame, as_of: Column, keys: tuple[str, ...] = ("p
     parsed = with_nodes(spread(pages.select(*keys, html)), html, extra=("raw", "path"))
     found = (parsed.select(*keys, F.explode_outer(pieces).alias("p"))
              .filter(F.size("p.holders") > 0)
-             .withColumn("raw", F.regexp_replace("p.raw", "&#160;|&#xA0;| ", "&nbsp;"))
+             .withColumn("raw", F.regexp_replace("p.raw", "&#160;|&#xA0;|\u00a0", "&nbsp;"))
              .select(*keys, "p.piece_id", "p.holders",
                      F.explode_outer(dates.date_matches("raw", patterns)).alias("m"))
              .filter("m is not null"))
