@@ -102,18 +102,28 @@ def full_year(year: Column) -> Column:
     return (F.when(year < 69, year + 2000).when(year < 139, year + 1900).otherwise(year))
 
 
-def _layout(text: Column, pattern: str, y: int, m: int, d: int) -> Column:
-    def group(i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
-    return F.try_make_timestamp_ntz(
-        full_year(group(y).try_cast("int")), month_to_int(group(m)), group(d).try_cast("int"),
-        F.lit(0), F.lit(0), F.lit(0))
+def _parts(text: Column, pattern: str, y: int, m: int, d: int) -> Column:
+    """[year, month, day] texts of the first match; null without one."""
+    match = F.regexp_substr(text, F.lit(pattern))
+    return F.split(F.regexp_replace(match, pattern, f"${y}\u0001${m}\u0001${d}"), "\u0001")
+
+
+def _date(parts: Column) -> Column:
+    year, month, day = (F.get(parts, F.lit(i)) for i in range(3))
+    return F.try_make_timestamp_ntz(full_year(year.try_cast("int")), month_to_int(month),
+                                    day.try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
+
+
+def _first_real(readings: list[Column]) -> Column:
+    """The first reading that is a real date."""
+    made = F.transform(F.array(*readings), _date)
+    return F.get(F.filter(made, lambda d: d.isNotNull()), F.lit(0))
 
 
 def parse_date_text(text: Column | str) -> Column:
     """First of the six layouts that gives a real date; null if none does."""
     low = F.lower(_col(text))
-    return F.coalesce(*[_layout(low, *layout) for layout in TEXT_LAYOUTS])
+    return _first_real([_parts(low, *layout) for layout in TEXT_LAYOUTS])
 
 
 # For strict reading, which part comes first in each markup pattern.
@@ -124,16 +134,16 @@ _YEAR_FIRST = {"content7", "content7a", "content7b"}
 def parse_matched(name: Column | str, text: Column | str) -> Column:
     """Strict reading: the layout is the one of the pattern that matched."""
     low, which = F.lower(_col(text)), _col(name)
-    month_first = _layout(low, r"([a-z]+)[.,]*\s+(\d{1,2})\D+(\d{4})", 3, 1, 2)
-    stamp = _layout(low, r"([a-z]+)\s(\d{1,2})\s[\d:]+\s\+\d{4}\s(\d{4})", 3, 1, 2)
-    year_first = _layout(low, r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", 1, 2, 3)
-    day_word = _layout(low, r"(\d{1,2})(?:st|th|nd|rd)?[\s-]*([a-z]+)(?:&nbsp;)?[,\s-]*(\d{2,4})", 3, 2, 1)
-    day_first = _layout(low, r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})", 3, 2, 1)
-    return (F.when(which.isin(*_MONTH_FIRST), month_first)
-            .when(which == "content1", stamp)
-            .when(which.isin(*_YEAR_FIRST), year_first)
-            .when(which.isin("eng", "eng2", "content3", "content6"), day_word)
-            .otherwise(day_first))
+    month_first = _parts(low, r"([a-z]+)[.,]*\s+(\d{1,2})\D+(\d{4})", 3, 1, 2)
+    stamp = _parts(low, r"([a-z]+)\s(\d{1,2})\s[\d:]+\s\+\d{4}\s(\d{4})", 3, 1, 2)
+    year_first = _parts(low, r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", 1, 2, 3)
+    day_word = _parts(low, r"(\d{1,2})(?:st|th|nd|rd)?[\s-]*([a-z]+)(?:&nbsp;)?[,\s-]*(\d{2,4})", 3, 2, 1)
+    day_first = _parts(low, r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})", 3, 2, 1)
+    return _first_real([F.when(which.isin(*_MONTH_FIRST), month_first)
+                        .when(which == "content1", stamp)
+                        .when(which.isin(*_YEAR_FIRST), year_first)
+                        .when(which.isin("eng", "eng2", "content3", "content6"), day_word)
+                        .otherwise(day_first)])
 
 
 def clamp_date(date: Column | str, as_of: Column) -> Column:
@@ -205,9 +215,9 @@ def valid_calendar_text(text: Column | str, layout: str) -> Column:
 def pub_date_format(text: Column | str) -> Column:
     """A feed date (day, month name, year somewhere in the text) as ``dd-MM-yyyy``."""
     t = F.lower(_col(text))
-    day_first = _layout(t, r"(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{4})", 3, 2, 1)
-    year_first = _layout(t, r"(\d{4})-(\d{1,2})-(\d{1,2})", 1, 2, 3)
-    return F.date_format(F.coalesce(day_first, year_first), "dd-MM-yyyy")
+    day_first = _parts(t, r"(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{4})", 3, 2, 1)
+    year_first = _parts(t, r"(\d{4})-(\d{1,2})-(\d{1,2})", 1, 2, 3)
+    return F.date_format(_first_real([day_first, year_first]), "dd-MM-yyyy")
 
 
 def updated_or_published(updated: Column | str, published: Column | str) -> Column:

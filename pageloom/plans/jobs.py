@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import lang, text, urls
 from ..operators import bloom, crawl, index, language, page_dates, scoring, selectors, url_filters
 from ..operators.merge import Registry, can_do, is_fetched
+from ..session import stored as write_once
 from ..sources.sinks import report_rows
 
 EXTRACTORS = Registry()
@@ -69,7 +70,8 @@ def finish(value: Column | str) -> Column:
 def fetch_and_extract(pages: DataFrame, site_rules: DataFrame, as_of: Column) -> DataFrame:
     """Complete pages pass; others go through rules, then scoring, then the default.
 
-    Each later extractor runs only on the pages that are still open.
+    Each later extractor runs only on the pages that are still open. What the rules found is
+    written once, since it is both a result and the test of what is still open.
     """
     seed = pages.columns
     known = [c if c in seed else F.lit(None).cast("string").alias(c) for c in ("title", "content")]
@@ -77,8 +79,8 @@ def fetch_and_extract(pages: DataFrame, site_rules: DataFrame, as_of: Column) ->
     done = rows.filter(is_fetched()).select("page_id", "title", "content", F.lit("given").alias("extractor"))
     todo = rows.filter(~is_fetched()).select("page_id", "url", "html")
 
-    ruled = extract_by_rules(todo, site_rules).select(
-        "page_id", finish("title").alias("title"), finish("content").alias("content")).filter(is_fetched())
+    ruled = write_once(extract_by_rules(todo, site_rules).select(
+        "page_id", finish("title").alias("title"), finish("content").alias("content")).filter(is_fetched()), "ruled")
     rest = todo.join(ruled.select("page_id"), "page_id", "left_anti")
     by_score = extract_main_text(rest).select(
         "page_id", finish("title").alias("_title"), finish("content").alias("_content"))
@@ -127,14 +129,19 @@ def review_extract(pages: DataFrame, site_rules: DataFrame, drop_date_dots: bool
 
 def full_run(scrapes: DataFrame, profiles: DataFrame, stored: dict[str, DataFrame], results: DataFrame,
              landed: DataFrame, site_rules: DataFrame, as_of: Column, days: int = 60) -> DataFrame:
-    """Plan, filter, extract, index and retain for all profiles in one plan."""
+    """Plan, filter, extract, index and retain for all profiles at once.
+
+    Tables that several later steps read are written once to the shared folder: the pages to
+    work on and their texts.
+    """
     tasks = crawl.plan_crawl(scrapes, profiles, stored["sources"], as_of)
     queue = crawl.result_queue(tasks, results)
     wanted = filter_urls(queue.withColumn("_ord", F.col("scrape_id")), "_ord",
                          history=stored["pages"].select("url"))
-    bodies = landed.withColumn("url", urls.normalize("url")).join(
-        wanted.select("url", "profile_id", "referring_source_id"), "url")
-    texts = fetch_and_extract(bodies.select("page_id", "url", "html"), site_rules, as_of).filter("outcome = 'success'")
+    bodies = write_once(landed.withColumn("url", urls.normalize("url")).join(
+        wanted.select("url", "profile_id", "referring_source_id"), "url"), "bodies")
+    texts = write_once(fetch_and_extract(bodies.select("page_id", "url", "html"), site_rules, as_of)
+                   .filter("outcome = 'success'"), "texts")
     none = F.lit(None).cast("string")
     docs = (texts.join(bodies.select("page_id", "profile_id", "referring_source_id"), "page_id")
             .select("url", "title", "content", none.alias("author"), F.array().cast("array<string>").alias("links"),
