@@ -116,22 +116,18 @@ def subtree_measures(nodes: DataFrame, keys: tuple[str, ...], sums: dict[str, Co
     reported as they stand on leaving. Cost is linear in the nodes, however deep the page.
     """
     peaks = peaks or {}
-    is_element = F.col("kind") == "e"
+    visits = F.expr("""if(kind = 'e',
+        array(struct(node_id AS at, 0 AS leave), struct(end_id AS at, 1 AS leave)),
+        array(struct(node_id AS at, 0 AS leave)))""")
     tour = (nodes
             .withColumns({f"_v_{k}": v for k, v in sums.items()})
             .withColumns({f"_p_{k}": v for k, v in peaks.items()})
-            .withColumn("_visit", F.explode(
-                F.when(is_element, F.array(
-                    F.struct(F.col("node_id").alias("at"), F.lit(0).alias("leave")),
-                    F.struct(F.col("end_id").alias("at"), F.lit(1).alias("leave"))))
-                .otherwise(F.array(F.struct(F.col("node_id").alias("at"), F.lit(0).alias("leave")))))))
+            .withColumn("_visit", F.explode(visits)))
     run = (Window.partitionBy(*keys).orderBy("_visit.at", "_visit.leave", F.desc("node_id"))
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    entering = F.col("_visit.leave") == 0
     tour = tour.withColumns(
-        {f"_v_{k}": F.sum(F.when(entering, F.coalesce(F.col(f"_v_{k}"), F.lit(0))).otherwise(0)).over(run)
-         for k in sums}
-        | {f"_p_{k}": F.max(F.when(entering, F.col(f"_p_{k}"))).over(run) for k in peaks})
+        {f"_v_{k}": F.sum(F.expr(f"if(_visit.leave = 0, coalesce(_v_{k}, 0), 0)")).over(run) for k in sums}
+        | {f"_p_{k}": F.max(F.expr(f"if(_visit.leave = 0, _p_{k}, NULL)")).over(run) for k in peaks})
     visit = Window.partitionBy(*keys, "node_id")
     out = tour.withColumns(
         {k: (F.max(f"_v_{k}").over(visit) - F.min(f"_v_{k}").over(visit)) for k in sums}
@@ -141,11 +137,11 @@ def subtree_measures(nodes: DataFrame, keys: tuple[str, ...], sums: dict[str, Co
 
 
 def text_length() -> Column:
-    return F.when(F.col("kind") == "t", F.length("text")).otherwise(0)
+    return F.expr("if(kind = 't', length(text), 0)")
 
 
 def link_text_length() -> Column:
-    return F.when((F.col("kind") == "t") & F.col("in_link"), F.length("text")).otherwise(0)
+    return F.expr("if(kind = 't' AND in_link, length(text), 0)")
 
 
 def link_density(text_len: Column, link_len: Column, in_link: Column) -> Column:

@@ -20,6 +20,8 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 EMBEDDED = ("form", "object", "iframe", "embed")
 COUNTED = ("p", "img", "li", "a", "embed", "input")
 
+COMMAS = "if(kind = 't', length(text) - length(replace(text, ',', '')), 0)"
+
 # Limits of the sibling and clean-up rules.
 LEAST_SIBLING_SCORE = 10
 SIBLING_SHARE = 0.2
@@ -29,7 +31,7 @@ HEADING_DENSITY = 0.33
 
 
 def _is(*tags: str) -> Column:
-    return (F.col("kind") == "e") & F.col("tag").isin(*tags)
+    return F.expr("kind = 'e' AND tag IN ({})".format(", ".join(f"'{t}'" for t in tags)))
 
 
 def _before(keys: tuple[str, ...]) -> Window:
@@ -63,53 +65,45 @@ def measured(nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     Offsets count characters of the page text. They tell where in the page the last character
     that is not a comma stands, which gives the trailing commas of any subtree.
     """
-    is_text = F.col("kind") == "t"
+    block = f"kind = 'e' AND tag RLIKE '{BLOCK_PREFIX}'"
     nodes = (nodes
              .withColumns({
                  "begin": F.coalesce(F.sum(text_length()).over(_before(keys)), F.lit(0)),
-                 "_prev": F.last(F.when(is_text, F.right("text", F.lit(1))), ignorenulls=True)
-                 .over(_before(keys))})
-             .withColumn("_bare", F.length(F.rtrim("text", F.lit(",")))))
-    end = F.col("begin") + F.length("text")
+                 "_prev": F.last(F.expr("if(kind = 't', right(text, 1), NULL)"), ignorenulls=True)
+                 .over(_before(keys)),
+                 "_bare": F.expr("length(rtrim(',', text))")}))
     out = subtree_measures(
         nodes, keys,
         sums={
             "text_len": text_length(),
             "link_len": link_text_length(),
-            "commas": F.when(is_text, F.length("text") - F.length(F.replace("text", F.lit(","), F.lit("")))),
-            "blocks": F.when((F.col("kind") == "e") & F.col("tag").rlike(BLOCK_PREFIX), 1),
-            "dots": F.when(is_text & F.col("text").rlike(r"\.[ \n]"), 1),
+            "commas": F.expr(COMMAS),
+            "blocks": F.expr(f"if({block}, 1, 0)"),
+            "dots": F.expr(r"if(kind = 't' AND text RLIKE '[.][ \n]', 1, 0)"),
         },
         peaks={
-            "last_plain": F.when(is_text & (F.col("_bare") > 0), F.col("begin") + F.col("_bare")),
-            "dot_join": F.when(is_text & F.col("text").rlike(r"^[ \n]") & (F.col("_prev") == "."), F.col("begin")),
-            "dot_end": F.when(is_text & F.col("text").endswith("."), end),
+            "last_plain": F.expr("if(kind = 't' AND _bare > 0, begin + _bare, NULL)"),
+            "dot_join": F.expr(r"if(kind = 't' AND text RLIKE '^[ \n]' AND _prev = '.', begin, NULL)"),
+            "dot_end": F.expr("if(kind = 't' AND text LIKE '%.', begin + length(text), NULL)"),
         })
-    stop = F.col("begin") + F.col("text_len")
-    last = F.coalesce(F.col("last_plain"), F.lit(0))
     return out.select(
         *[c for c in nodes.columns if c not in ("_prev", "_bare", "tag")],
-        F.when((F.col("tag") == "div") & (F.col("blocks") == 0), "p").otherwise(F.col("tag")).alias("tag"),
-        "text_len", "link_len", "commas",
-        F.when(last <= F.col("begin"), 0)
-        .otherwise(F.col("commas") - (stop - last) + 1).alias("fields"),
+        F.expr("if(tag = 'div' AND blocks = 0, 'p', tag) AS tag"), "text_len", "link_len", "commas",
+        F.expr("""if(coalesce(last_plain, 0) <= begin, 0,
+                     commas - (begin + text_len - last_plain) + 1) AS fields"""),
         link_density(F.col("text_len"), F.col("link_len"), F.col("in_link")).alias("density"),
-        ((F.col("dots") > 0) | F.coalesce(F.col("dot_join") > F.col("begin"), F.lit(False))
-         | (F.coalesce(F.col("dot_end") == stop, F.lit(False)) & (F.col("text_len") > 0))).alias("sentence"))
+        F.expr("""dots > 0 OR coalesce(dot_join > begin, false)
+                  OR (coalesce(dot_end = begin + text_len, false) AND text_len > 0) AS sentence"""))
 
 
 def scored(nodes: DataFrame, keys: tuple[str, ...], min_text: int = 25) -> DataFrame:
     """Add ``score`` to candidates: parents and grandparents of long enough paragraphs."""
-    counts = _is("p", "td") & (F.col("text_len") >= min_text)
-    points = (1 + F.col("fields") + F.least(F.floor(F.col("text_len") / 100), F.lit(3))).cast("double")
-
-    def gift(target: Column, amount: Column) -> Column:
-        return F.struct(target.alias("target"), amount.cast("double").alias("amount"))
-
-    none = F.lit(None).cast("double")
-    gifts = F.when(counts, F.array(gift(F.col("node_id"), none), gift(F.col("parent_id"), points),
-                                   gift(F.col("grand_id"), points / 2))) \
-        .otherwise(F.array(gift(F.col("node_id"), none)))
+    counts = f"kind = 'e' AND tag IN ('p', 'td') AND text_len >= {int(min_text)}"
+    points = "CAST(1 + fields + least(floor(text_len / 100), 3) AS DOUBLE)"
+    gifts = F.expr(f"""if({counts},
+        array(struct(node_id AS target, CAST(NULL AS DOUBLE) AS amount), struct(parent_id AS target, {points} AS amount),
+              struct(grand_id AS target, {points} / 2 AS amount)),
+        array(struct(node_id AS target, CAST(NULL AS DOUBLE) AS amount)))""")
     receiver = Window.partitionBy(*keys, "_gift.target")
     base = F.col("weight") + tag_points("tag")
     return (nodes.withColumn("_gift", F.explode(gifts))
@@ -139,55 +133,50 @@ def top_candidates(nodes: DataFrame, keys: tuple[str, ...], n: int = 5) -> DataF
 
 def article_rows(nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """The best candidate and those of its siblings that belong to the article."""
-    best = F.col("best")
-    threshold = F.greatest(F.lit(float(LEAST_SIBLING_SCORE)), best["score"] * SIBLING_SHARE)
-    long_enough = (F.col("text_len") > SIBLING_LENGTH) & (F.col("density") < SIBLING_DENSITY)
-    short_but_whole = (F.col("text_len") < SIBLING_LENGTH) & (F.col("density") == 0) & F.col("sentence")
-    taken = ((F.col("kind") == "e") & (F.col("parent_id") == best["parent_id"])
-             & ((F.col("node_id") == best["node_id"]) | (F.col("score") >= threshold)
-                | ((F.col("tag") == "p") & (long_enough | short_but_whole))))
+    taken = F.expr(f"""kind = 'e' AND parent_id = best.parent_id AND (
+        node_id = best.node_id
+        OR score >= greatest(CAST({LEAST_SIBLING_SCORE} AS DOUBLE), best.score * {SIBLING_SHARE}D)
+        OR (tag = 'p' AND ((text_len > {SIBLING_LENGTH} AND density < {SIBLING_DENSITY}D)
+                           OR (text_len < {SIBLING_LENGTH} AND density = 0 AND sentence))))""")
     return (keep_subtrees(nodes.withColumn("_taken", F.coalesce(taken, F.lit(False))), keys, F.col("_taken"))
-            .withColumn("tag", F.when(F.col("_taken") & ~F.col("tag").isin("div", "p"), "div")
-                        .otherwise(F.col("tag")))
+            .withColumn("tag", F.expr("if(_taken AND tag NOT IN ('div', 'p'), 'div', tag)"))
             .drop("_taken", "best"))
 
 
 def sanitized(article: DataFrame, keys: tuple[str, ...], min_text: int = 25) -> DataFrame:
     """Mark what stays after clean-up in ``kept``; each phase is one pass over the rows."""
-    weight = F.col("weight")
-    bad_heading = _is(*HEADINGS) & ((weight < 0) | F.coalesce(F.col("density") > HEADING_DENSITY, F.lit(False)))
+    bad_heading = _is(*HEADINGS) & F.expr(f"weight < 0 OR coalesce(density > {HEADING_DENSITY}D, false)")
     rows = drop_subtrees(article, keys, bad_heading | _is(*EMBEDDED))
 
-    has_text = (F.col("kind") == "t") & F.col("text").rlike(r"\S")
+    has_text = r"kind = 't' AND text RLIKE '\\S'"
     backwards = (Window.partitionBy(*keys).orderBy(F.desc("node_id"))
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("_next", F.min(F.when(has_text, F.col("node_id"))).over(backwards))
-    empty = _is("p") & (F.col("_next").isNull() | (F.col("_next") > F.col("end_id")))
+    rows = rows.withColumn("_next", F.min(F.expr(f"if({has_text}, node_id, NULL)")).over(backwards))
+    empty = F.expr("kind = 'e' AND tag = 'p' AND coalesce(_next > end_id, true)")
     rows = drop_subtrees(rows, keys, empty).drop("_next", "begin", "text_len", "link_len", "commas",
                                                  "fields", "density", "sentence")
 
-    lead = F.length("text") - F.length(F.regexp_replace("text", r"^\s+", ""))
+    lead = r"length(text) - length(regexp_replace(text, '^\\s+', ''))"
     rows = (rows.withColumn("begin", F.coalesce(F.sum(text_length()).over(_before(keys)), F.lit(0)))
-            .withColumn("_first", F.min(F.when(has_text, F.col("begin") + lead)).over(backwards)))
-    is_text = F.col("kind") == "t"
+            .withColumn("_first", F.min(F.expr(f"if({has_text}, begin + {lead}, NULL)")).over(backwards)))
     rows = subtree_measures(
         rows, keys,
-        sums={"text_len": text_length(), "link_len": link_text_length(),
-              "commas": F.when(is_text, F.length("text") - F.length(F.replace("text", F.lit(","), F.lit(""))))}
-        | {f"n_{t}": F.when(_is(t), 1) for t in COUNTED},
-        peaks={"_last": F.when(has_text, F.col("begin") + F.length(F.regexp_replace("text", r"\s+$", "")))})
-    length = F.greatest(F.coalesce(F.col("_last") - F.col("_first"), F.lit(0)), F.lit(0))
-    density = F.coalesce(link_density(F.col("text_len"), F.col("link_len"), F.col("in_link")), F.lit(0.0))
-    img, p = F.col("n_img"), F.col("n_p")
-    thin = ((img > p)
-            | ((F.col("n_li") - 100 > p) & ~F.col("tag").isin("ul", "ol"))
-            | (F.col("n_input") > F.floor(p / 3))
-            | ((length < min_text) & ((img == 0) | (img > 2)))
-            | ((weight < 25) & (density > 0.2))
-            | ((weight >= 25) & (density > 0.5))
-            | ((F.col("n_embed") == 1) & (length < 75)) | (F.col("n_embed") > 1))
-    drop = _is("table", "ul", "div") & (
-        (weight + F.coalesce(F.col("score"), F.lit(0.0)) < 0) | ((F.col("commas") < 10) & thin))
+        sums={"text_len": text_length(), "link_len": link_text_length(), "commas": F.expr(COMMAS)}
+        | {f"n_{t}": F.expr(f"if(kind = 'e' AND tag = '{t}', 1, 0)") for t in COUNTED},
+        peaks={"_last": F.expr(rf"if({has_text}, begin + length(regexp_replace(text, '\\s+$', '')), NULL)")})
+    rows = rows.withColumns({
+        "length": F.expr("greatest(coalesce(_last - _first, 0), 0)"),
+        "density": F.coalesce(link_density(F.col("text_len"), F.col("link_len"), F.col("in_link")), F.lit(0.0))})
+    drop = F.expr(f"""kind = 'e' AND tag IN ('table', 'ul', 'div') AND (
+        weight + coalesce(score, 0D) < 0
+        OR (commas < 10 AND (
+            n_img > n_p
+            OR (n_li - 100 > n_p AND tag NOT IN ('ul', 'ol'))
+            OR n_input > floor(n_p / 3)
+            OR (length < {int(min_text)} AND (n_img = 0 OR n_img > 2))
+            OR (weight < 25 AND density > 0.2D)
+            OR (weight >= 25 AND density > 0.5D)
+            OR (n_embed = 1 AND length < 75) OR n_embed > 1)))""")
     w = _page_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.max(F.when(F.col("_drop"), F.col("end_id"))).over(w)
     return (rows.withColumn("_drop", drop)

@@ -131,10 +131,10 @@ def full_run(scrapes: DataFrame, profiles: DataFrame, stored: dict[str, DataFram
              landed: DataFrame, site_rules: DataFrame, as_of: Column, days: int = 60) -> DataFrame:
     """Plan, filter, extract, index and retain for all profiles at once.
 
-    Tables that several later steps read are written once to the shared folder: the pages to
-    work on and their texts.
+    Tables that several later steps read are written once to the shared folder: the search
+    tasks, the pages to work on and their texts.
     """
-    tasks = crawl.plan_crawl(scrapes, profiles, stored["sources"], as_of)
+    tasks = write_once(crawl.plan_crawl(scrapes, profiles, stored["sources"], as_of), "tasks")
     queue = crawl.result_queue(tasks, results)
     wanted = filter_urls(queue.withColumn("_ord", F.col("scrape_id")), "_ord",
                          history=stored["pages"].select("url"))

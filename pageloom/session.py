@@ -20,6 +20,7 @@ def local_session(name: str = "pageloom", cpus: int | str = "*", partitions: int
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # fewer calls per expression
         .getOrCreate()
     )
 
