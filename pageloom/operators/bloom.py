@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stored
+from .joins import join_checked
+
 # Fixed value: bits per filter.
 WIDTH = 2_000_000
 
@@ -54,29 +57,55 @@ def overlap(filters: DataFrame) -> DataFrame:
             .select("lang1", "lang2", "bits1", "bits2", "common_bits"))
 
 
-def _is_set(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substr(bitmap, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (position % 8).cast("int")) == 1
+# Fixed value: bits per probe row. A row of 32 bits is cheap to carry along with a token.
+PROBE_BITS = 32
+
+
+def probe_rows(filters: DataFrame) -> DataFrame:
+    """(slot, words): for every 32 bits of width, the bits of each language as a number.
+
+    At most width / 32 rows (62,500), whatever was put into the filters.
+    """
+    per_bucket = 32768 // PROBE_BITS
+    pieces = filters.select("lang", "bucket", "bitmap", F.explode(F.sequence(F.lit(0), F.lit(per_bucket - 1))).alias("i"))
+    bits = F.expr("CAST(conv(hex(substring(bitmap, i * 4 + 1, 4)), 16, 10) AS BIGINT)")
+    return (pieces.select("lang", ((F.col("bucket") - 1) * per_bucket + F.col("i")).alias("slot"), bits.alias("bits"))
+            .filter("bits <> 0")
+            .groupBy("slot").agg(F.collect_list(F.struct("lang", "bits")).alias("words")))
+
+
+def known_words(words: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair,
+                width: int = WIDTH) -> DataFrame:
+    """Words with the ``langs`` whose filter has both their bits; false positives possible.
+
+    The probe rows are bounded by the width of a filter, so a word is tested where it is.
+    """
+    probes = probe_rows(filters)
+    out = words.withColumn("_bits", bit_positions("word", hasher, width))
+    found = []
+    for i in range(2):
+        # bytes of a bitmap lie in order, the bits inside a byte from the low end
+        shift = F.expr(f"CAST((3 - ((_bits[{i}] - 1) % 32) DIV 8) * 8 + (_bits[{i}] - 1) % 8 AS INT)")
+        side = probes.select(F.col("slot").alias("_slot"), F.col("words").alias("_words"))
+        out = (out.withColumn("_slot", F.expr(f"(_bits[{i}] - 1) DIV {PROBE_BITS}"))
+               .join(F.broadcast(side), "_slot").withColumn("_shift", shift)
+               .withColumn(f"_found{i}", F.transform(
+                   F.filter("_words", lambda w: F.getbit(w["bits"], F.col("_shift")) == 1), lambda w: w["lang"]))
+               .drop("_slot", "_words", "_shift"))
+        found.append(f"_found{i}")
+    return (out.withColumn("langs", F.sort_array(F.array_intersect(*found))).drop("_bits", *found)
+            .filter(F.size("langs") > 0))
 
 
 def word_hits(toks: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair,
               width: int = WIDTH) -> DataFrame:
-    """Tokens with the ``langs`` whose filter has all their bits; false positives possible.
+    """Tokens with the languages whose filter holds them.
 
-    The filters are bounded by their width (62 buckets of 4 KB per language), so a token is
-    tested without moving it.
+    Hashing is the dear part, so each distinct word is hashed once, not each token. What the
+    filters know is written once and joined back; it is broadcast only if it is small.
     """
-    by_bucket = filters.groupBy("bucket").agg(F.collect_list(F.struct("lang", "bitmap")).alias("_maps"))
-    out = toks.withColumn("_bits", bit_positions("word", hasher, width)).withColumn("langs", F.lit(None).cast("array<string>"))
-    for i in range(2):
-        bit = F.col("_bits")[i]
-        out = (out.withColumn("_at", F.bitmap_bit_position(bit)).withColumn("bucket", F.bitmap_bucket_number(bit))
-               .join(F.broadcast(by_bucket), "bucket"))
-        found = F.transform(F.filter("_maps", lambda m: _is_set(m["bitmap"], F.col("_at"))), lambda m: m["lang"])
-        out = (out.withColumn("langs", F.when(F.col("langs").isNull(), found)
-                              .otherwise(F.array_intersect("langs", found)))
-               .drop("_maps", "bucket", "_at"))
-    return out.drop("_bits").filter(F.size("langs") > 0).withColumn("langs", F.sort_array("langs"))
+    known = stored(known_words(toks.select("word").distinct(), filters, hasher, width), "known-words")
+    return join_checked(toks, known, "word")
 
 
 def save(filters: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.lang import margin_percent
 from ..functions.text import words
+from ..session import spread
 from .joins import join_checked
 
 # The winner must lead by more than this percentage; limits of the early exit.
@@ -17,7 +18,7 @@ EXIT_GAP = 25
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per word: (key, pos from 1, word)."""
-    return (docs.select(key, F.posexplode(words(text)).alias("pos", "word"))
+    return (spread(docs.select(key, text)).select(key, F.posexplode(words(text)).alias("pos", "word"))
             .withColumn("pos", F.col("pos") + 1))
 
 
@@ -28,7 +29,7 @@ def build_lexicon(docs: DataFrame, lang: str = "lang", text: str = "text",
     A language may hold a third of all words, so ranking is done twice: within slices of a
     language, then among the slices' survivors. The result is the same as one ranking.
     """
-    counts = (docs.select(F.col(lang).alias("lang"), F.explode(words(text)).alias("word"))
+    counts = (spread(docs.select(lang, text)).select(F.col(lang).alias("lang"), F.explode(words(text)).alias("word"))
               .groupBy("lang", "word").agg(F.count("*").alias("n")))
     if top_k is None:
         return counts

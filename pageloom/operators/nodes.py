@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schemas import NODE
+from ..session import spread
 from . import html_tree
 
 # Ship the parser inside the function, so executors need no copy of this package.
@@ -56,16 +57,6 @@ def with_nodes(pages: DataFrame, html: str = "html", extra: tuple[str, ...] = ()
     return pages.withColumn("nodes", _nodes_function(frozenset(CORE + tuple(extra)))(F.col(html)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a frame that lies in a few files to all tasks; leave a large one alone.
-
-    Parsing is the costly step, and one small file is one task. A table of many files is
-    already spread, and shuffling its raw pages would only cost.
-    """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if 0 < len(df.inputFiles()) < tasks else df
-
-
 def node_rows(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html",
               extra: tuple[str, ...] = (), per_page: dict[str, Column] | None = None) -> DataFrame:
     """One row per node, hash-partitioned by the page key.

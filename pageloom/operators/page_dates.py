@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dates
-from .nodes import spread, with_nodes
+from ..session import spread
+from .nodes import with_nodes
 
 # Fixed value: the text reported for a page without any date.
 NO_DATE = "Day, Month, Hour"

@@ -19,6 +19,7 @@ NO_TEXT_TAGS = ("script", "style", "like")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 EMBEDDED = ("form", "object", "iframe", "embed")
 COUNTED = ("p", "img", "li", "a", "embed", "input")
+TESTED = ("p", "img", "li", "input")    # links count by their text, embeds are gone by then
 
 COMMAS = "if(kind = 't', length(text) - length(replace(text, ',', '')), 0)"
 
@@ -140,7 +141,7 @@ def article_rows(nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
                            OR (text_len < {SIBLING_LENGTH} AND density = 0 AND sentence))))""")
     return (keep_subtrees(nodes.withColumn("_taken", F.coalesce(taken, F.lit(False))), keys, F.col("_taken"))
             .withColumn("tag", F.expr("if(_taken AND tag NOT IN ('div', 'p'), 'div', tag)"))
-            .drop("_taken", "best"))
+            .select(*keys, "node_id", "end_id", "kind", "tag", "in_link", "text", "weight", "density", "score"))
 
 
 def sanitized(article: DataFrame, keys: tuple[str, ...], min_text: int = 25) -> DataFrame:
@@ -153,8 +154,7 @@ def sanitized(article: DataFrame, keys: tuple[str, ...], min_text: int = 25) ->
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("_next", F.min(F.expr(f"if({has_text}, node_id, NULL)")).over(backwards))
     empty = F.expr("kind = 'e' AND tag = 'p' AND coalesce(_next > end_id, true)")
-    rows = drop_subtrees(rows, keys, empty).drop("_next", "begin", "text_len", "link_len", "commas",
-                                                 "fields", "density", "sentence")
+    rows = drop_subtrees(rows, keys, empty).drop("_next", "density")
 
     lead = r"length(text) - length(regexp_replace(text, '^\\s+', ''))"
     rows = (rows.withColumn("begin", F.coalesce(F.sum(text_length()).over(_before(keys)), F.lit(0)))
@@ -162,7 +162,7 @@ def sanitized(article: DataFrame, keys: tuple[str, ...], min_text: int = 25) ->
     rows = subtree_measures(
         rows, keys,
         sums={"text_len": text_length(), "link_len": link_text_length(), "commas": F.expr(COMMAS)}
-        | {f"n_{t}": F.expr(f"if(kind = 'e' AND tag = '{t}', 1, 0)") for t in COUNTED},
+        | {f"n_{t}": F.expr(f"if(kind = 'e' AND tag = '{t}', 1, 0)") for t in TESTED},
         peaks={"_last": F.expr(rf"if({has_text}, begin + length(regexp_replace(text, '\\s+$', '')), NULL)")})
     rows = rows.withColumns({
         "length": F.expr("greatest(coalesce(_last - _first, 0), 0)"),
@@ -175,8 +175,7 @@ def sanitized(article: DataFrame, keys: tuple[str, ...], min_text: int = 25) ->
             OR n_input > floor(n_p / 3)
             OR (length < {int(min_text)} AND (n_img = 0 OR n_img > 2))
             OR (weight < 25 AND density > 0.2D)
-            OR (weight >= 25 AND density > 0.5D)
-            OR (n_embed = 1 AND length < 75) OR n_embed > 1)))""")
+            OR (weight >= 25 AND density > 0.5D))))""")
     w = _page_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.max(F.when(F.col("_drop"), F.col("end_id"))).over(w)
     return (rows.withColumn("_drop", drop)

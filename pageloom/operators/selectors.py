@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
 from ..functions.text import escape_markup, strip_all, strip_ws, unescape_href
-from .nodes import spread, with_nodes
+from ..session import spread
+from .nodes import with_nodes
 
 CallableRule = Callable[[DataFrame], DataFrame]
 

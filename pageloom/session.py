@@ -59,5 +59,15 @@ def stored(df: DataFrame, label: str, *cluster_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a frame that lies in a few files to all tasks; leave a large one alone.
+
+    For steps that cost much per row, where one small file would be one task. A table of many
+    files is already spread, and shuffling it would only cost.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if 0 < len(df.inputFiles()) < tasks else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
