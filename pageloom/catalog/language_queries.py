@@ -95,9 +95,8 @@ _EXIT = (", run AS (SELECT t.doc_id, t.pos, " + ", ".join(
 
 @query("w6_early_exit", f"WITH {_HITS} {_EXIT} SELECT doc_id, lang, hits, stop_at::BIGINT AS words_read FROM counts")
 def _(t: Tables):
-    toks = stored(language.tokens(t.documents), "tokens")
-    hits = language.lexicon_hits(toks, lexicon(t))
-    out = language.early_exit_counts(toks, hits, LANGUAGES)
+    seen = language.lexicon_hits(language.tokens(t.documents), lexicon(t), "left")
+    out = language.early_exit_counts(seen, LANGUAGES)
     return out.withColumn("words_read", F.col("words_read").cast("bigint"))
 
 

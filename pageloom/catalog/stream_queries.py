@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators.index import upsert_pages
 from ..plans import jobs
 from ..schemas import PAGE_INDEX
 from ..session import fresh_path
@@ -47,9 +46,9 @@ def _(t: Tables):
         none.alias("evaluation"), none.alias("tags"), F.col("page_id").alias("ord"),
         F.when(F.expr("page_id % 4 = 0"), "success").otherwise("fail").alias("outcome"))
     spark = t.spark
-    sources = streams.TableVersions(spark, "sources", spark.createDataFrame([], "source_id bigint, url string, lang string, category_id bigint"))
-    index = streams.TableVersions(spark, "index", spark.createDataFrame([], PAGE_INDEX))
-    blacklist = streams.TableVersions(spark, "blacklist", spark.createDataFrame([], "hashed_name string, profile_id bigint"))
+    sources = streams.TableVersions(spark, fresh_path(spark, "sources"), spark.createDataFrame([], "source_id bigint, url string, lang string, category_id bigint"))
+    index = streams.TableVersions(spark, fresh_path(spark, "index"), spark.createDataFrame([], PAGE_INDEX))
+    blacklist = streams.TableVersions(spark, fresh_path(spark, "blacklist"), spark.createDataFrame([], "hashed_name string, profile_id bigint"))
     step = streams.page_upserts(sources, index, blacklist, t.profiles(), as_of())
     streams.run_batches(docs, "upsert", step).awaitTermination()
     return (index.latest().select(F.lit("page").alias("kind"), F.col("url").alias("key"))
@@ -69,7 +68,7 @@ def _(t: Tables):
 
 @query("t5_running_page_date", "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events GROUP BY user_id")
 def _(t: Tables):
-    versions = streams.TableVersions(t.spark, "newest", t.spark.createDataFrame([], "user_id bigint, newest timestamp"))
+    versions = streams.TableVersions(t.spark, fresh_path(t.spark, "newest"), t.spark.createDataFrame([], "user_id bigint, newest timestamp"))
 
     def each(batch, batch_id):
         merged = versions.before(batch_id).unionByName(batch).groupBy("user_id").agg(F.max("newest").alias("newest"))

@@ -98,14 +98,14 @@ def known_words(words: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair
 
 
 def word_hits(toks: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair,
-              width: int = WIDTH) -> DataFrame:
-    """Tokens with the languages whose filter holds them.
+              width: int = WIDTH, how: str = "inner") -> DataFrame:
+    """Tokens with the languages whose filter holds them; ``left`` keeps all tokens.
 
     Hashing is the dear part, so each distinct word is hashed once, not each token. What the
     filters know is written once and joined back; it is broadcast only if it is small.
     """
     known = stored(known_words(toks.select("word").distinct(), filters, hasher, width), "known-words")
-    return join_checked(toks, known, "word")
+    return join_checked(toks, known, "word", how)
 
 
 def save(filters: DataFrame, path: str) -> None:

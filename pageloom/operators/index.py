@@ -66,7 +66,7 @@ def upsert_pages(index: DataFrame, docs: DataFrame, sources: DataFrame, profiles
                 .agg(F.min_by(F.struct(*attributes), order).alias("_new"),
                      F.max_by("evaluation", F.when(F.col("evaluation").isNotNull(), F.col(order))).alias("_rating"),
                      F.array_join(F.sort_array(F.collect_set("tags")), ",").alias("_tags")))
-    fresh = (incoming.select("url", "_new.*")
+    fresh = (incoming.select("url", "_new.*", "_rating", "_tags")
              .withColumns(page_dates(as_of))
              .withColumn("_host", urls.host_url("url"))
              .join(sources.select(F.col("url").alias("_host"), "source_id", F.col("lang").alias("_source_lang")), "_host")
@@ -76,18 +76,24 @@ def upsert_pages(index: DataFrame, docs: DataFrame, sources: DataFrame, profiles
                  text.strip_all("title").alias("title"), text.strip_all("content").alias("content"), "author",
                  ratings.external_links("links", "_host").alias("links"), "source_id", "profile_id",
                  "referring_source_id", "etag", "raw", "published", "updated", "lang",
-                 language_gate(F.col("lang"), F.col("languages")).alias("status")).alias("_fresh")))
-    changes = incoming.select("url", "_rating", "_tags").join(fresh, "url")
-    old = index.select("url", F.struct(*[c for c in index.columns if c != "url"]).alias("_old"))
-    both = old.join(changes, "url", "full_outer")
-    once = [c for c in index.columns if c not in ("url", "evaluation", "cached_tag_list")]
-    known = F.col("_old").isNotNull()
-    rating = F.coalesce(ratings.parse_evaluation("_rating"), F.col("_old.evaluation"))
-    tags = F.when(F.coalesce(F.col("_tags"), F.lit("")) == "", F.col("_old.cached_tag_list")) \
-        .otherwise(ratings.tag_union("_old.cached_tag_list", "_tags"))
-    return both.select(
-        "url", *[F.when(known, F.col(f"_old.{c}")).otherwise(F.col(f"_fresh.{c}")).alias(c) for c in once],
-        rating.alias("evaluation"), tags.alias("cached_tag_list")).select(*index.columns)
+                 language_gate(F.col("lang"), F.col("languages")).alias("status")).alias("_fresh"),
+                 "_rating", "_tags"))
+
+    def rating(old: Column) -> Column:
+        return F.coalesce(ratings.parse_evaluation("_rating"), old)
+
+    def tags(old: Column) -> Column:
+        given = F.coalesce(F.col("_tags"), F.lit("")) != ""
+        return F.when(given, ratings.tag_union(old, "_tags")).otherwise(old)
+
+    # known pages take two narrow columns, so a small batch can be broadcast to a large index;
+    # new pages are told by the url column of the index alone
+    known = index.join(fresh.select("url", "_rating", "_tags"), "url", "left").withColumns(
+        {"evaluation": rating(F.col("evaluation")), "cached_tag_list": tags(F.col("cached_tag_list"))})
+    new = fresh.join(index.select("url"), "url", "left_anti").select(
+        "url", "_fresh.*", rating(F.lit(None).cast("bigint")).alias("evaluation"),
+        tags(F.lit(None).cast("string")).alias("cached_tag_list"))
+    return known.select(*index.columns).unionByName(new.select(*index.columns))
 
 
 def real_comments(comments: DataFrame) -> DataFrame:

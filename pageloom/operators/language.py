@@ -42,10 +42,10 @@ def build_lexicon(docs: DataFrame, lang: str = "lang", text: str = "text",
             .drop("_r", "_slice"))
 
 
-def lexicon_hits(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Words found in a lexicon, with the ``langs`` that know them."""
+def lexicon_hits(toks: DataFrame, lexicon: DataFrame, how: str = "inner") -> DataFrame:
+    """Words found in a lexicon, with the ``langs`` that know them; ``left`` keeps all words."""
     by_word = lexicon.groupBy("word").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
-    return join_checked(toks, by_word, "word")
+    return join_checked(toks, by_word, "word", how)
 
 
 def hit_counts(hits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -65,17 +65,16 @@ def top_by_margin(counts: DataFrame, key: str = "doc_id", margin: float = MARGIN
                     "hits", second.alias("second_hits"), "margin"))
 
 
-def early_exit_counts(toks: DataFrame, hits: DataFrame, languages: list[str],
-                      key: str = "doc_id") -> DataFrame:
+def early_exit_counts(seen: DataFrame, languages: list[str], key: str = "doc_id") -> DataFrame:
     """Counts as they stand when reading stops early, or at the end of the text.
 
-    At every fourth word reading stops if at least two languages were seen and the first
-    leads clearly. The window is one text wide.
+    ``seen`` holds all words of a text, with the ``langs`` that know them or null. At every
+    fourth word reading stops if at least two languages were seen and the first leads clearly.
+    The window is one text wide.
     """
-    known = hits.select(key, "pos", "langs")
     w = (Window.partitionBy(key).orderBy("pos")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = (toks.select(key, "pos").join(known, [key, "pos"], "left")
+    seen = (seen.select(key, "pos", "langs")
             .withColumns({f"_n{i}": F.sum(F.when(F.array_contains("langs", lang), 1).otherwise(0)).over(w)
                           for i, lang in enumerate(languages)}))
     counts = F.array(*[F.struct(F.col(f"_n{i}").alias("hits"), F.lit(lang).alias("lang"))

@@ -24,9 +24,11 @@ def detect_language(docs: DataFrame, lexicon: DataFrame | None = None, filters:
     With ``languages`` reading stops early once one of them leads clearly.
     """
     toks = language.tokens(docs, key, body)
-    hits = language.lexicon_hits(toks, lexicon) if filters is None else bloom.word_hits(toks, filters)
+    how = "inner" if languages is None else "left"
+    hits = (language.lexicon_hits(toks, lexicon, how) if filters is None
+            else bloom.word_hits(toks, filters, how=how))
     counts = (language.hit_counts(hits, key) if languages is None
-              else language.early_exit_counts(toks, hits, languages, key))
+              else language.early_exit_counts(hits, languages, key))
     best = language.top_by_margin(counts, key)
     return (docs.select(key).join(best, key, "left")
             .select(key, F.coalesce("detected", F.lit("")).alias("detected"),

@@ -65,28 +65,29 @@ def stage_windows(log: DataFrame, stage: str, ts: str, width: str = "1 hour", de
 
 
 class TableVersions:
-    """Versions of one table under a folder, named by the batch that made them.
+    """Versions of one table under a folder, each named by the batch that made it.
 
-    A replayed batch starts again from the version before it and writes to a new path, so it
-    cannot count twice. Each batch writes the table once.
+    Batch ids are consecutive, so the version before a batch is known from its id alone. A
+    replayed batch starts from that version again and replaces only its own, so nothing is
+    counted twice, and a restarted driver needs no memory of earlier batches.
     """
 
-    def __init__(self, spark: SparkSession, label: str, empty: DataFrame):
-        self.spark, self.label, self.empty = spark, label, empty
-        self.paths: dict[int, str] = {}
+    def __init__(self, spark: SparkSession, root: str, empty: DataFrame):
+        self.spark, self.root, self.empty, self.last = spark, root, empty, -1
+
+    def version(self, batch_id: int) -> DataFrame:
+        return self.spark.read.schema(self.empty.schema).parquet(f"{self.root}/v{batch_id}")
 
     def before(self, batch_id: int) -> DataFrame:
-        done = [b for b in self.paths if b < batch_id]
-        return self.spark.read.schema(self.empty.schema).parquet(self.paths[max(done)]) if done else self.empty
+        return self.version(batch_id - 1) if batch_id > 0 else self.empty
 
     def put(self, batch_id: int, df: DataFrame) -> DataFrame:
-        path = fresh_path(self.spark, f"{self.label}-v{batch_id}")
-        df.write.parquet(path)
-        self.paths[batch_id] = path
-        return self.spark.read.schema(self.empty.schema).parquet(path)
+        df.write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
+        self.last = batch_id
+        return self.version(batch_id)
 
     def latest(self) -> DataFrame:
-        return self.before(max(self.paths, default=-1) + 1)
+        return self.before(self.last + 1)
 
 
 def page_upserts(sources: TableVersions, index: TableVersions, blacklist: TableVersions,
