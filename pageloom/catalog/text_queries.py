@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, lang, ratings, text, urls, weights
 from ..operators import url_filters
 from ..plans import jobs
+from ..session import fresh_path, spread
 from ..sources import lists
 from .registry import query
 from .views import Tables, as_of
@@ -33,7 +34,6 @@ def _(t: Tables):
 
 @query("s2_url_csv", "SELECT url FROM pages")
 def _(t: Tables):
-    from ..session import fresh_path
     path = fresh_path(t.spark, "urls")
     t.pages.select("url", "page_id").write.csv(path)
     return lists.url_csv(t.spark, path)
@@ -42,7 +42,6 @@ def _(t: Tables):
 @query("s3_plain_url_list", "SELECT DISTINCT trim(u) AS url FROM (SELECT regexp_extract(url, '^([^?#]*)', 1) AS u FROM pages "
                             "UNION ALL SELECT ' ' || url || ' ' FROM pages)")
 def _(t: Tables):
-    from ..session import fresh_path
     path = fresh_path(t.spark, "lines")
     lines = t.pages.select(F.regexp_extract("url", "^([^?#]*)", 1).alias("value"))
     padded = t.pages.select(F.concat(F.lit(" "), "url", F.lit(" ")).alias("value"))
@@ -127,7 +126,7 @@ _RENDER = ("CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN date_format(o_orderdate
 
 @query("d1_parse_date_text", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders")
 def _(t: Tables):
-    return t.orders.select("o_orderkey", F.date_format(dates.parse_date_text(F.expr(_RENDER)), "yyyy-MM-dd").alias("v"))
+    return spread(t.orders).select("o_orderkey", F.date_format(dates.parse_date_text(F.expr(_RENDER)), "yyyy-MM-dd").alias("v"))
 
 
 _scalar("d2_month_to_int", lambda: dates.month_to_int(F.date_format("o_orderdate", "MMMM")).cast("bigint"),
@@ -153,7 +152,7 @@ UNION ALL SELECT o_orderkey, 'content5a', regexp_extract(strftime(o_orderdate, '
 def _(t: Tables):
     markup = F.concat(F.lit("<p>"), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("; "), F.date_format("o_orderdate", "dd/MM/yyyy"),
                       F.lit("; "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</p>"))
-    return (t.orders.select("o_orderkey", F.explode(dates.date_matches(markup)).alias("m"))
+    return (spread(t.orders).select("o_orderkey", F.explode(dates.date_matches(markup)).alias("m"))
             .select("o_orderkey", "m.name", F.col("m.text").alias("txt")))
 
 
@@ -166,7 +165,7 @@ UNION ALL SELECT o_orderkey, 'content6', regexp_extract(strftime(o_orderdate, '%
 """)
 def _(t: Tables):
     markup = F.concat(F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("; "), F.date_format("o_orderdate", "yyyy.MM.dd"))
-    return (t.orders.select("o_orderkey", F.explode(dates.date_matches(markup, dates.MARKUP_PATTERNS_10)).alias("m"))
+    return (spread(t.orders).select("o_orderkey", F.explode(dates.date_matches(markup, dates.MARKUP_PATTERNS_10)).alias("m"))
             .select("o_orderkey", "m.name", F.col("m.text").alias("txt")))
 
 

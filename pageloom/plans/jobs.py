@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import lang, text, urls
 from ..operators import bloom, crawl, index, language, page_dates, scoring, selectors, url_filters
 from ..operators.merge import Registry, can_do, is_fetched
-from ..session import stored as write_once
+from ..session import spread, stored as write_once
 from ..sources.sinks import report_rows
 
 EXTRACTORS = Registry()
@@ -53,7 +53,7 @@ def extract_main_text(pages: DataFrame, min_length: int = 25, **limits) -> DataF
 @EXTRACTORS.register("default")
 def default_extract(pages: DataFrame) -> DataFrame:
     """Title and whole body text, by expressions alone."""
-    return pages.withColumns({"title": page_title("html"), "content": body_text("html")})
+    return spread(pages).withColumns({"title": page_title("html"), "content": body_text("html")})
 
 
 def page_title(html: Column | str) -> Column:
