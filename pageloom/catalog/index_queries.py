@@ -28,14 +28,14 @@ def _(t: Tables):
     return t.scrapes().join(p, "profile_id").join(s, "source_id").select("scrape_id", "profile_title", "source_url")
 
 
-@query("j5_profile_scrapes", w(*TASKS) + "SELECT scrape_id FROM scrapes WHERE profile_id IN (SELECT profile_id FROM profiles WHERE title < 'K')")
+@query("j5_profile_scrapes", w(*TASKS) + "SELECT scrape_id FROM scrapes WHERE profile_id IN (SELECT profile_id FROM profiles WHERE list_contains(languages, 'fr'))")
 def _(t: Tables):
-    return crawl.select_scrapes(t.scrapes(), crawl_as_of(), profiles=t.profiles().filter("title < 'K'")).select("scrape_id")
+    return crawl.select_scrapes(t.scrapes(), crawl_as_of(), profiles=t.profiles().filter("array_contains(languages, 'fr')")).select("scrape_id")
 
 
-@query("j6_ignored_profiles", w(*TASKS) + "SELECT scrape_id FROM due WHERE profile_id NOT IN (SELECT profile_id FROM profiles WHERE title < 'K')")
+@query("j6_ignored_profiles", w(*TASKS) + "SELECT scrape_id FROM due WHERE profile_id NOT IN (SELECT profile_id FROM profiles WHERE list_contains(languages, 'fr'))")
 def _(t: Tables):
-    return crawl.select_scrapes(t.scrapes(), crawl_as_of(), ignore_profiles=t.profiles().filter("title < 'K'")).select("scrape_id")
+    return crawl.select_scrapes(t.scrapes(), crawl_as_of(), ignore_profiles=t.profiles().filter("array_contains(languages, 'fr')")).select("scrape_id")
 
 
 @query("j7_listed_scrapes", w(*TASKS) + "SELECT scrape_id FROM due WHERE scrape_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
