@@ -251,13 +251,19 @@ def _(t: Tables):
 _DAY = "date_add(DATE '2001-01-01', CAST(page_id % 7000 AS INT))"
 
 
-def _dated_pages(t: Tables):
+def _dated_html():
+    """The page with a known date, in one of three layouts, added at its end."""
     day = F.expr(_DAY)
     text = F.when(F.expr("page_id % 3 = 0"), F.date_format(day, "dd/MM/yyyy")).when(
         F.expr("page_id % 3 = 1"), F.date_format(day, "d MMMM yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
-    html = F.concat("html", F.lit("<div><p>posted <small>on "), text, F.lit("</small></p></div>"))
-    return t.pages.select("page_id", F.when(F.expr("page_id % 5 = 4"), F.concat(F.regexp_extract("url", "^([a-z]+://[^/]+)", 1), F.lit("/1999/12/"), F.expr("page_id % 28 + 1"), F.lit("/x")))
-                          .otherwise(F.regexp_extract("url", "^([^?#]*)", 1)).alias("url"), html.alias("html"))
+    return F.concat("html", F.lit("<div><p>posted <small>on "), text, F.lit("</small></p></div>"))
+
+
+def _dated_pages(t: Tables):
+    root = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
+    url = F.when(F.expr("page_id % 5 = 4"), F.concat(root, F.lit("/1999/12/"), F.expr("page_id % 28 + 1"), F.lit("/x"))) \
+        .otherwise(F.regexp_extract("url", "^([^?#]*)", 1))
+    return t.pages.select("page_id", url.alias("url"), _dated_html().alias("html"))
 
 
 _SQL_DAY = ("strftime(CASE WHEN page_id % 5 = 4 THEN make_timestamp(1999, 12, page_id % 28 + 1, 0, 0, 0) "
@@ -353,19 +359,20 @@ def _(t: Tables):
     return out.select("page_id", "outcome", "lang", "title")
 
 
-@query("p13_extract_report", "SELECT url, CASE WHEN page_id % 3 = 0 THEN 'Error. Page not exist or page redirect' ELSE 'Day, Month, Hour' END AS found, "
-       "CASE WHEN page_id % 3 > 0 THEN regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) END AS lang FROM pages WHERE NOT regexp_matches(html, '[0-9][/.-][0-9]')")
+@query("p13_extract_report", f"SELECT url, CASE WHEN page_id % 3 = 0 THEN 'Error. Page not exist or page redirect' ELSE {_SQL_KNOWN} END AS found, "
+       "CASE WHEN page_id % 3 > 0 THEN regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) END AS lang FROM pages")
 def _(t: Tables):
-    undated = t.pages.filter("NOT html RLIKE '[0-9][/.-][0-9]'")
-    return jobs.extract_report(undated.select("url"), undated.filter("page_id % 3 > 0"), as_of())
+    """All URLs are listed; for a third of them no page has landed."""
+    landed = t.pages.filter("page_id % 3 > 0").select("page_id", "url", _dated_html().alias("html"))
+    return jobs.extract_report(t.pages.select("url"), landed, as_of())
 
 
 @query("p15_review_extract", "SELECT url, 'user' || page_id AS author, strftime((DATE '2001-01-01' + (page_id % 7000)::INT)::TIMESTAMP, '%d%m%Y') AS published, (page_id % 6)::VARCHAR AS evaluation FROM pages")
 def _(t: Tables):
-    html = F.concat(F.lit("<div><a id='MemberProfileLink'> user"), "page_id", F.lit("\n</a><div class='opinionReviewDate x'>"), F.date_format(F.expr(_DAY), "dd.MM.yyyy"),
+    html = F.concat(F.lit("<div><a id='member'> user"), "page_id", F.lit("\n</a><div class='reviewDate x'>"), F.date_format(F.expr(_DAY), "dd.MM.yyyy"),
                     F.lit("</div><span class='stars'>"), F.expr("page_id % 6"), F.lit("</span></div>"))
     pairs = F.array(*[F.struct(F.lit(a).alias("tag"), F.lit(b).alias("selector")) for a, b in (
-        ("author", "#MemberProfileLink"), ("published", ".opinionReviewDate"), ("evaluation", "span.stars"))])
+        ("author", "#member"), ("published", ".reviewDate"), ("evaluation", "span.stars"))])
     rules = t.pages.select(urls.host_slug("url").alias("host_slug")).distinct().select("host_slug", F.explode(pairs).alias("r")).select("host_slug", "r.*")
     return jobs.review_extract(t.pages.select("page_id", "url", html.alias("html")), rules, drop_date_dots=True)
 
