@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, multiset_hash, sharding
+from . import decontaminate, language_id, multiset_hash, sharding, simhash
 from .batches import crc_of_id, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "row.doc_id", "found.n_words", "n_hit", F.size("found.items").cast("long").alias("n_items"),
         sha256_hex(F.concat_ws(",", "found.items")).alias("items_sha256"), "contaminated")
+
+
+@query("op3_simhash_groups")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
