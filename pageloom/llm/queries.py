@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, multiset_hash, sharding, simhash, toxicity
+from . import decontaminate, language_id, multiset_hash, secrets_scan, sharding, simhash, toxicity
 from .batches import crc_of_id, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,14 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.learn(docs.where(~held_out), labels.where(~held_out))
     return toxicity.scored(docs, model, ["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "score").select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op4_secrets")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets_scan.find_secrets(table(spark, folder, "documents"), ["doc_id"])
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("row.doc_id", count("assign"), count("access"), count("hex"), sha256_hex(secrets_scan.joined("base")).alias("base_sha256"),
+                        secrets_scan.joined("spans").alias("spans"))
