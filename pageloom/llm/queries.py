@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, multiset_hash, secrets_scan, sharding, simhash, toxicity
+from . import decontaminate, language_id, line_dedup, multiset_hash, secrets_scan, sharding, simhash, toxicity
 from .batches import crc_of_id, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
     return found.select("row.doc_id", count("assign"), count("access"), count("hex"), sha256_hex(secrets_scan.joined("base")).alias("base_sha256"),
                         secrets_scan.joined("spans").alias("spans"))
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, folder, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "text", F.size("removed").alias("n_removed"),
+                        F.aggregate("removed", F.lit(0), lambda n, r: n + r["length"]).alias("chars_removed"))
