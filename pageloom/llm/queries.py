@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, line_dedup, multiset_hash, secrets_scan, sharding, simhash, toxicity
+from . import decontaminate, language_id, line_dedup, multiset_hash, piece_codec, pieces, secrets_scan, sharding, simhash, toxicity
 from .batches import crc_of_id, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, folder, "documents"), ["doc_id"])
     return found.select("row.doc_id", "text", F.size("removed").alias("n_removed"),
                         F.aggregate("removed", F.lit(0), lambda n, r: n + r["length"]).alias("chars_removed"))
+
+
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs, vocabulary = table(spark, folder, "documents"), pieces.load()
+    found = piece_codec.decoded(piece_codec.encoded(docs, vocabulary, ["doc_id"]), vocabulary)
+    return found.select("row.doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
