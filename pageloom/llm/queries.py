@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, line_dedup, multiset_hash, piece_codec, pieces, secrets_scan, sharding, simhash, toxicity
+from . import decontaminate, language_id, line_dedup, multiset_hash, piece_codec, pieces, secrets_scan, sharding, simhash, token_counts, toxicity
 from .batches import crc_of_id, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs, vocabulary = table(spark, folder, "documents"), pieces.load()
     found = piece_codec.decoded(piece_codec.encoded(docs, vocabulary, ["doc_id"]), vocabulary)
     return found.select("row.doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counted(table(spark, folder, "documents"), pieces.load(), ["doc_id"]).select(
+        "row.doc_id", "n_pretokens", "n_tokens", "n_unigram")
