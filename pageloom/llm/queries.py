@@ -44,7 +44,22 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op10_decontaminate")
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op10_decontaminate", rf"""
+  WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+  b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS ws FROM benchmark),
+  w AS (SELECT item, ws, least(13, len(ws)) AS m, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS s FROM b WHERE len(ws) > 0),
+  wins AS (SELECT DISTINCT item, m, array_to_string(ws[s:s + m - 1], ' ') AS win FROM w),
+  at AS (SELECT r, ws, m, unnest(range(1, len(ws) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM wins) WHERE len(ws) >= m),
+  found AS (SELECT a.r, a.p, a.m, wins.item FROM (SELECT r, p, m, array_to_string(ws[p:p + m - 1], ' ') AS win FROM at) a JOIN wins USING (m, win)),
+  hit AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(p, p + m)) AS pos FROM found) GROUP BY r),
+  items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+         sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated
+  FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
     return found.select(

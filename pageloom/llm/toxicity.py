@@ -129,8 +129,8 @@ def machine(docs: np.ndarray, term: np.ndarray, n: int, model: dict) -> tuple[np
     return model["w0"] + linear + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
 
 
-def fit(docs: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, rank: int = RANK, steps: int = 200,
-        rate: float = 0.05, decay: float = 2e-4) -> dict:
+def fit(docs: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, rank: int = RANK, steps: int = 300,
+        rate: float = 0.05, decay: float = 2e-5, pair_decay: float = 1e-4) -> dict:
     """Logistic loss by Adam over the whole sample; equal in every run."""
     n = len(label)
     model = {"w0": np.zeros(1), "w": np.zeros(terms), "v": np.random.default_rng(7).normal(0, 0.05, (terms, rank))}
@@ -143,7 +143,7 @@ def fit(docs: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, rank:
         own = np.bincount(term, weights=per_pair, minlength=terms)
         pull = np.stack([np.bincount(term, weights=per_pair * sums[docs, k], minlength=terms) for k in range(rank)], axis=1)
         slope = {"w0": np.array([error.sum()]), "w": own + decay * model["w"],
-                 "v": pull - own[:, None] * model["v"] + decay * model["v"]}
+                 "v": pull - own[:, None] * model["v"] + pair_decay * model["v"]}
         for k in model:
             first[k] = 0.9 * first[k] + 0.1 * slope[k]
             second[k] = 0.999 * second[k] + 0.001 * slope[k] ** 2
