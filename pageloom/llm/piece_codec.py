@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .batches import batch_of, mapped, packed, slices
-from .pieces import SPACE, Store, Vocabulary
+from .pieces import SPACE, Store, Vocabulary, units_of
 
-BLOCK, DEPTH, BATCH_CODES = 4, 16, 1_500_000
+BLOCK, DEPTH, BATCH_CODES = 4, 16, 400_000
 UNKNOWN = -2
 
 
@@ -142,9 +143,10 @@ class Encoder:
         self.low = self._pack(codes.reshape(shape))
         self.high = self._pack(np.where(filled, codes, np.uint64(0xFFFF)).reshape(shape))
         self.blocks = -(-filled.sum(axis=1) // BLOCK)
-        self.byte_text = [t.replace(SPACE, " ").encode() for t in vocabulary.texts]
+        spelled = [t.replace(SPACE, " ").encode() for t in vocabulary.texts]
         for value, i in enumerate(vocabulary.byte_ids.tolist()):
-            self.byte_text[i] = bytes([value])
+            spelled[i] = bytes([value])
+        self.byte_text = pa.array(spelled, pa.large_binary())
 
     @staticmethod
     def _pack(codes: np.ndarray) -> np.ndarray:
@@ -255,10 +257,17 @@ class Encoder:
             token = wide
         return token.astype(np.int32), counts
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids; what can't be read as UTF-8 becomes U+FFFD."""
-        text = b"".join([self.byte_text[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.vocabulary.prefix and text.startswith(" ") else text
+    def decode(self, ids: pa.ListArray) -> list[str | None]:
+        """The texts of the ids; what can't be read as UTF-8 becomes U+FFFD."""
+        spelled = self.byte_text.take(ids.flatten())
+        places = spelled.buffers()[1]
+        at = np.frombuffer(places, dtype=np.int64)[spelled.offset:spelled.offset + len(spelled) + 1] if len(spelled) else np.zeros(1, np.int64)
+        data = memoryview(spelled.buffers()[2] or b"")
+        ends = at[np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_pylist()])].tolist()
+        texts = [str(data[s:e], "utf-8", "replace") for s, e in zip(ends, ends[1:])]
+        if self.vocabulary.prefix:
+            texts = [t[1:] if t.startswith(" ") else t for t in texts]
+        return [t if ok else None for t, ok in zip(texts, ids.is_valid().to_pylist())]
 
 
 def _encoder(vocabulary: Vocabulary, merges: Merges):
@@ -266,10 +275,9 @@ def _encoder(vocabulary: Vocabulary, merges: Merges):
         encoder, store = Encoder(vocabulary, merges), Store()
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            units = [vocabulary.units(t, encoder.words) if t else [] for t in texts]
-            rows = store.look_up([u for own in units for u in own], encoder.encode)
-            ids, sizes = store.gather(rows)
-            ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, units)])]
+            index, distinct, ends = units_of(vocabulary, texts, encoder.words)
+            ids, sizes = store.gather(store.look_up(distinct, encoder.encode)[index])
+            ends = np.concatenate(([0], np.cumsum(sizes)))[ends]
             missing = pa.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=missing)
             yield batch_of(batch.column("row"), ids=lists)
@@ -282,8 +290,7 @@ def _decoder(vocabulary: Vocabulary, merges: Merges):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [None if ids is None else encoder.decode(ids) for ids in part.column("ids").to_pylist()]
-                yield batch_of(part.column("row"), ids=part.column("ids"), decoded=pa.array(texts, pa.string()))
+                yield batch_of(part.column("row"), ids=part.column("ids"), decoded=pa.array(encoder.decode(part.column("ids")), pa.string()))
     return decode
 
 

@@ -6,6 +6,8 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -53,6 +55,27 @@ def load(path: str = MODEL) -> Vocabulary:
                       "" if "\n" in chars else "\\n", model.encode("a", out_type=str)[0].startswith(SPACE))
 
 
+def units_of(vocabulary: Vocabulary, texts: list[str | None], words: re.Pattern) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Units of all texts as indexes into the distinct ones, those, and where each text's units end (from 0).
+
+    The empty unit may stand among them; it has no piece.
+    """
+    # a mark that no text holds, put between units
+    mark = next(c for c in map(chr, (*range(9), *range(0xE000, 0xF900))) if not any(t and c in t for t in texts))
+    lines = []
+    for text in texts:
+        if not text:
+            lines.append("")
+        elif "  " in text or SPACE in text or text[0] == " " or not vocabulary.prefix:
+            lines.append(mark.join(vocabulary.units(text, words)))
+        else:       # no run of blanks: each blank begins a unit
+            line = SPACE + text
+            lines.append((line.replace("\n", f"{mark}\n{mark}") if vocabulary.barrier else line).replace(" ", mark + SPACE))
+    lists = pc.split_pattern(pa.array(lines, pa.large_string()), mark)
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), lists.offsets.to_numpy()
+
+
 class Store:
     """Results of units that were met before, ragged rows of numbers; forgets all when it holds too many."""
 
@@ -65,20 +88,17 @@ class Store:
         self.starts = np.zeros(1, dtype=np.int64)
         self.values = np.zeros(0, dtype=np.int32)
 
-    def look_up(self, units: list[str], compute) -> np.ndarray:
-        """The row of each unit; ``compute`` makes (values, sizes) of a list of new ones."""
+    def look_up(self, distinct: list[str], compute) -> np.ndarray:
+        """The row of each of the distinct units; ``compute`` makes (values, sizes) of a list of new ones."""
         if len(self.place) > self.most:
             self.forget()
-        rows = list(map(self.place.get, units))
-        missing = [k for k, r in enumerate(rows) if r is None]
-        if new := list(dict.fromkeys([units[k] for k in missing])):
+        place = self.place
+        if new := [u for u in distinct if u not in place]:
             values, sizes = compute(new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            place.update(zip(new, range(len(place), len(place) + len(new))))
             self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
             self.values = np.concatenate((self.values, values))
-            for k in missing:
-                rows[k] = self.place[units[k]]
-        return np.array(rows, dtype=np.int64)
+        return np.array([place[u] for u in distinct], dtype=np.int64)
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All values of the rows, one after the other, and how many each has."""

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 
 from .batches import batch_of, mapped, packed, slices
 from .piece_codec import Merges
-from .pieces import Store, Vocabulary
+from .pieces import Store, Vocabulary, units_of
 
-UNKNOWN_LESS = 10.0
+UNKNOWN_LESS, AT_ONCE = 10.0, 50_000
 
 
 class VocabularyTrie:
@@ -72,8 +72,9 @@ class VocabularyTrie:
         return np.where(self.keys[k] == key, self.next[k], -1)
 
     def counts(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """((own count, unigram count, ...), 2 of them for each unit)."""
-        own, unigram, _ = self.forward(units)
+        """((own count, unigram count, ...), 2 of them for each unit); a trie for so many units at a time."""
+        found = [self.forward(units[k:k + AT_ONCE])[:2] for k in range(0, len(units), AT_ONCE)]
+        own, unigram = (np.concatenate(x) for x in zip(*found))
         return np.stack((own, unigram), axis=1).ravel().astype(np.int32), np.full(len(units), 2)
 
     def forward(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,16 +139,16 @@ def _counter(vocabulary: Vocabulary, merges: Merges):
         trie, store, words = VocabularyTrie(vocabulary, merges), Store(), vocabulary.words
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            units = [vocabulary.units(t, words) if t else [] for t in texts]
-            rows = store.look_up([u for own in units for u in own], trie.counts)
-            each = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(store.values.reshape(-1, 2)[rows], axis=0, dtype=np.int64)))
-            ends = np.cumsum([0, *map(len, units)])
-            sums = each[ends[1:]] - each[ends[:-1]]
+            index, distinct, ends = units_of(vocabulary, texts, words)
+            rows = store.look_up(distinct, trie.counts)
+            filled = np.array([u != "" for u in distinct], dtype=np.int64)
+            each = np.column_stack((store.values.reshape(-1, 2)[rows], filled))
+            sums = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(each[index], axis=0, dtype=np.int64)))[ends]
+            sums = sums[1:] - sums[:-1]
             missing = np.array([t is None for t in texts], dtype=bool)
-            n_units = np.array([len(u) for u in units], dtype=np.int64)
             yield batch_of(batch.column("row"), **{
                 name: pa.array(values, pa.int64(), mask=missing)
-                for name, values in (("n_pretokens", n_units), ("n_tokens", sums[:, 0]), ("n_unigram", sums[:, 1]))})
+                for name, values in (("n_pretokens", sums[:, 2]), ("n_tokens", sums[:, 0]), ("n_unigram", sums[:, 1]))})
     return count
 
 
