@@ -13,6 +13,7 @@ from ..operators import merge, page_dates, scoring, selectors
 from ..operators.nodes import below, keep_subtrees, node_rows, subtree_measures, link_density, link_text_length, text_length, with_nodes
 from ..operators.selectors import generator_of, links_of
 from ..plans import jobs
+from ..session import dealt
 from ..sources import feeds
 from .registry import query
 from .views import Tables, as_of, SRC, w
@@ -99,7 +100,7 @@ def _(t: Tables):
 def _article_pages(t: Tables):
     clean = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     paragraphs = F.array_join(F.transform(F.split(clean, "\n", -1), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
-    return t.documents.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://articles.example.com/"), "doc_id").alias("url"), F.concat(
+    return dealt(t.documents, "doc_id").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://articles.example.com/"), "doc_id").alias("url"), F.concat(
         F.lit("<html><head><title>Doc "), "doc_id", F.lit("</title><script>var x = '<p>no, no, no</p>';</script></head><body><ul class='menu'><li><a href='/'>home, sweet home</a></li></ul>"
                                                        "<div class='article'><h2 class='promo'>skip me</h2>"), paragraphs,
         F.lit("<form>name <input></form></div><div class='footer'>legal notes, terms, imprint, contact</div></body></html>")).alias("html"))
@@ -202,7 +203,7 @@ def _(t: Tables):
 
 @query("p5_main_text_pages")
 def _(t: Tables):
-    return scoring.main_text(t.pages)
+    return scoring.main_text(dealt(t.pages, "page_id"))
 
 
 # selectors
@@ -229,7 +230,7 @@ for _name in ("p4_extract_by_rules", "j16_rule_nodes", "x3_field_by_name"):
     @query(_name, f"SELECT page_id, {_norm(_H1)} AS title, CASE WHEN regexp_matches(html, '<div class=\"ad\">') THEN trim({_norm(_AD)}) ELSE NULL END AS content, trim({_norm(_MENU)}) AS menu, trim({_norm(_FOOT)}) AS foot FROM pages")
     def _(t: Tables):
         from ..functions.text import decode_entities
-        out = jobs.extract_by_rules(t.pages, _rules(t))
+        out = jobs.extract_by_rules(dealt(t.pages, "page_id"), _rules(t))
         has_ad = F.col("html").contains('<div class="ad">')
         return out.select("page_id", decode_entities("title").alias("title"), F.when(has_ad, decode_entities("content")).alias("content"),
                           *[decode_entities(F.try_element_at("fields", F.lit(n))).alias(n) for n in ("menu", "foot")])
@@ -263,7 +264,7 @@ def _dated_pages(t: Tables):
     root = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
     url = F.when(F.expr("page_id % 5 = 4"), F.concat(root, F.lit("/1999/12/"), F.expr("page_id % 28 + 1"), F.lit("/x"))) \
         .otherwise(F.regexp_extract("url", "^([^?#]*)", 1))
-    return t.pages.select("page_id", url.alias("url"), _dated_html().alias("html"))
+    return dealt(t.pages, "page_id").select("page_id", url.alias("url"), _dated_html().alias("html"))
 
 
 _SQL_DAY = ("strftime(CASE WHEN page_id % 5 = 4 THEN make_timestamp(1999, 12, page_id % 28 + 1, 0, 0, 0) "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, lang, ratings, text, urls, weights
 from ..operators import url_filters
 from ..plans import jobs
-from ..session import fresh_path, spread
+from ..session import dealt, fresh_path
 from ..sources import lists
 from .registry import query
 from .views import Tables, as_of
@@ -95,9 +95,9 @@ _scalar("c15_host_slug", lambda: urls.host_slug("url"), rf"regexp_replace({_HOST
 _scalar("c16_host_slug_www", lambda: urls.host_slug_www("url"),
         rf"regexp_replace(regexp_replace({_HOST}, '\W+', '-', 'g'), '^[^-]*', 'www')")
 _scalar("c17_url_tld", lambda: urls.tld("url"), f"string_split({_HOST}, '.')[-1]")
-_scalar("c18_keyword_query", lambda: urls.keyword_query(F.substring("text", 1, 80), "http://video.example.com/q=", "&output=rss"),
+_scalar("c18_keyword_query", lambda: urls.keyword_query("text", "http://video.example.com/q=", "&output=rss"),
         "'http://video.example.com/q=' || " + "replace(" * (len(urls.UNESCAPED) + 1)
-        + "url_encode(replace(substr(text, 1, 80), ' ', '+'))"
+        + "url_encode(replace(text, ' ', '+'))"
         + "".join(f", '%{ord(c):02X}', '{c if c != chr(39) else chr(39) * 2}')" for c in urls.UNESCAPED)
         + ", '%2A', '*') || '&output=rss'", "documents", "doc_id")
 _scalar("c19_unwrap_js_link", lambda: text.unwrap_js_link(
@@ -126,7 +126,7 @@ _RENDER = ("CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN date_format(o_orderdate
 
 @query("d1_parse_date_text", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders")
 def _(t: Tables):
-    return spread(t.orders).select("o_orderkey", F.date_format(dates.parse_date_text(F.expr(_RENDER)), "yyyy-MM-dd").alias("v"))
+    return dealt(t.orders, "o_orderkey").select("o_orderkey", F.date_format(dates.parse_date_text(F.expr(_RENDER)), "yyyy-MM-dd").alias("v"))
 
 
 _scalar("d2_month_to_int", lambda: dates.month_to_int(F.date_format("o_orderdate", "MMMM")).cast("bigint"),
@@ -152,7 +152,7 @@ UNION ALL SELECT o_orderkey, 'content5a', regexp_extract(strftime(o_orderdate, '
 def _(t: Tables):
     markup = F.concat(F.lit("<p>"), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("; "), F.date_format("o_orderdate", "dd/MM/yyyy"),
                       F.lit("; "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</p>"))
-    return (spread(t.orders).select("o_orderkey", F.explode(dates.date_matches(markup)).alias("m"))
+    return (dealt(t.orders, "o_orderkey").select("o_orderkey", F.explode(dates.date_matches(markup)).alias("m"))
             .select("o_orderkey", "m.name", F.col("m.text").alias("txt")))
 
 
@@ -165,7 +165,7 @@ UNION ALL SELECT o_orderkey, 'content6', regexp_extract(strftime(o_orderdate, '%
 """)
 def _(t: Tables):
     markup = F.concat(F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("; "), F.date_format("o_orderdate", "yyyy.MM.dd"))
-    return (spread(t.orders).select("o_orderkey", F.explode(dates.date_matches(markup, dates.MARKUP_PATTERNS_10)).alias("m"))
+    return (dealt(t.orders, "o_orderkey").select("o_orderkey", F.explode(dates.date_matches(markup, dates.MARKUP_PATTERNS_10)).alias("m"))
             .select("o_orderkey", "m.name", F.col("m.text").alias("txt")))
 
 

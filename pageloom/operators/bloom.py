@@ -3,32 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stored
-from .joins import join_checked
 
 # Fixed value: bits per filter.
 WIDTH = 2_000_000
 
-Hasher = Callable[[Column], Column]
+# One column for each position that a word sets.
+Hasher = Callable[[Column], list[Column]]
 
 
-def sha1_pair(word: Column) -> Column:
+def sha1_pair(word: Column) -> list[Column]:
     """The first two 32-bit little-endian words of SHA-1 of the trimmed, lower-case word."""
     digest = F.sha1(F.lower(F.trim(word)))
 
     def little_endian(start: int) -> Column:
         pairs = [F.substring(digest, start + 2 * i, 2) for i in (3, 2, 1, 0)]
         return F.conv(F.concat(*pairs), 16, 10).cast("bigint")
-    return F.array(little_endian(1), little_endian(9))
+    return [little_endian(1), little_endian(9)]
 
 
 def bit_positions(word: Column | str, hasher: Hasher = sha1_pair, width: int = WIDTH) -> Column:
     """Bit numbers, counted from 1, that a word sets."""
     column = F.col(word) if isinstance(word, str) else word
-    return F.transform(hasher(column), lambda h: F.pmod(h, F.lit(width)) + 1)
+    return F.array(*[F.pmod(h, F.lit(width)) + 1 for h in hasher(column)])
 
 
 def build(lexicon: DataFrame, hasher: Hasher = sha1_pair, width: int = WIDTH) -> DataFrame:
@@ -59,6 +60,7 @@ def overlap(filters: DataFrame) -> DataFrame:
 
 # Fixed value: bits per probe row. A row of 32 bits is cheap to carry along with a token.
 PROBE_BITS = 32
+WIDEST = 16_000_000     # half a million probe rows at most
 
 
 def probe_rows(filters: DataFrame) -> DataFrame:
@@ -76,24 +78,25 @@ def probe_rows(filters: DataFrame) -> DataFrame:
 
 def known_words(words: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair,
                 width: int = WIDTH) -> DataFrame:
-    """Words with the ``langs`` whose filter has both their bits; false positives possible.
+    """Words with the ``langs`` whose filter has all their bits; false positives possible.
 
-    The probe rows are bounded by the width of a filter, so a word is tested where it is.
+    The probe rows are bounded by the width of a filter. Up to ``WIDEST`` bits they go to the
+    words; for wider filters the join is left to Spark.
     """
     probes = probe_rows(filters)
     out = words.withColumn("_bits", bit_positions("word", hasher, width))
     found = []
-    for i in range(2):
+    for i in range(len(hasher(F.col("word")))):
         # bytes of a bitmap lie in order, the bits inside a byte from the low end
         shift = F.expr(f"CAST((3 - ((_bits[{i}] - 1) % 32) DIV 8) * 8 + (_bits[{i}] - 1) % 8 AS INT)")
         side = probes.select(F.col("slot").alias("_slot"), F.col("words").alias("_words"))
         out = (out.withColumn("_slot", F.expr(f"(_bits[{i}] - 1) DIV {PROBE_BITS}"))
-               .join(F.broadcast(side), "_slot").withColumn("_shift", shift)
+               .join(F.broadcast(side) if width <= WIDEST else side, "_slot").withColumn("_shift", shift)
                .withColumn(f"_found{i}", F.transform(
                    F.filter("_words", lambda w: F.getbit(w["bits"], F.col("_shift")) == 1), lambda w: w["lang"]))
                .drop("_slot", "_words", "_shift"))
         found.append(f"_found{i}")
-    return (out.withColumn("langs", F.sort_array(F.array_intersect(*found))).drop("_bits", *found)
+    return (out.withColumn("langs", F.sort_array(reduce(F.array_intersect, map(F.col, found)))).drop("_bits", *found)
             .filter(F.size("langs") > 0))
 
 
@@ -101,11 +104,12 @@ def word_hits(toks: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair,
               width: int = WIDTH, how: str = "inner") -> DataFrame:
     """Tokens with the languages whose filter holds them; ``left`` keeps all tokens.
 
-    Hashing is the dear part, so each distinct word is hashed once, not each token. What the
-    filters know is written once and joined back; it is broadcast only if it is small.
+    Hashing is the dear part, so each distinct word is hashed once, not each token. The tokens
+    are written once, as they are read for their words and for the join.
     """
-    known = stored(known_words(toks.select("word").distinct(), filters, hasher, width), "known-words")
-    return join_checked(toks, known, "word", how)
+    toks = stored(toks, "tokens")
+    known = known_words(toks.select("word").distinct(), filters, hasher, width)
+    return toks.join(known, "word", how)
 
 
 def save(filters: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ rules and knows nothing about scoring, dates or selectors; those are Spark's wor
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 # Tag classes of the repair rules.
@@ -28,9 +29,6 @@ CLOSES_LIKE = {
     "tr": (("tr",), ("table", "body")),
     "a": (("a",), ("table", "td", "th", "body", "object")),
 }
-# As in browsers, deeper elements become children of the last open one; nothing is lost.
-MAX_DEPTH = 256
-
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
     r"|<[!?](?P<decl>[^>]*+)>"
@@ -52,13 +50,14 @@ def attributes(source: str) -> dict[str, str]:
 class Tree:
     """Open elements and the rows made so far for one page."""
 
-    def __init__(self, want_path: bool = True, want_raw: bool = True):
+    def __init__(self, path_tags: frozenset[str] = frozenset(), want_raw: bool = True):
         self.rows: list[list] = []
         self.tags: list[str] = []     # open elements, outermost first
         self.ids: list[int] = []
         self.links = 0                # how many of them are links
         self.has_body = False
-        self.want_path, self.want_raw = want_path, want_raw
+        self.path_tags, self.want_raw = path_tags, want_raw
+        self.path: list[int] = []     # open elements of the path tags
 
     def add(self, kind, tag=None, attrs=None, text=None, raw=None) -> int:
         ids, node_id = self.ids, len(self.rows) + 1
@@ -69,7 +68,7 @@ class Tree:
             cls, id_attr, pairs = attrs.get("class"), attrs.get("id"), list(attrs.items())
         self.rows.append([
             node_id, ids[-1] if ids else 0, ids[-2] if len(ids) > 1 else 0, node_id, kind, tag, cls,
-            id_attr, self.links > 0 or tag == "a", text, raw, ids.copy() if self.want_path else None,
+            id_attr, self.links > 0 or tag == "a", text, raw, self.path.copy(),
             pairs])
         return node_id
 
@@ -77,6 +76,8 @@ class Tree:
         self.tags.append(tag)
         self.ids.append(node_id)
         self.links += tag == "a"
+        if tag in self.path_tags:
+            self.path.append(node_id)
 
     def pop_to(self, depth: int) -> None:
         """Close open elements until ``depth`` are left."""
@@ -84,6 +85,8 @@ class Tree:
         for node_id in self.ids[depth:]:
             self.rows[node_id - 1][3] = last
         self.links -= self.tags[depth:].count("a")
+        if self.path:
+            del self.path[bisect_left(self.path, self.ids[depth]) if depth < len(self.ids) else len(self.path):]
         del self.ids[depth:], self.tags[depth:]
 
     def close_open(self, tags, stops) -> None:
@@ -132,7 +135,7 @@ class Tree:
         if tag in CLOSES_LIKE:
             self.close_open(*CLOSES_LIKE[tag])
         node_id = self.add("e", tag, attrs, raw=raw)
-        if tag in VOID or len(self.tags) >= MAX_DEPTH:
+        if tag in VOID:
             return False
         self.push(tag, node_id)
         return True
@@ -151,9 +154,9 @@ class Tree:
         self.add("t", text=unescape(source) if "&" in source else source, raw=source)
 
 
-def parse(html: str, want_path: bool = True, want_raw: bool = True) -> list[list]:
-    """Rows of one page in the column order of the node schema."""
-    tree, at, lower = Tree(want_path, want_raw), 0, None
+def parse(html: str, path_tags: frozenset[str] = frozenset(), want_raw: bool = True) -> list[list]:
+    """Rows of one page in the column order of the node schema; ``path`` lists open elements of ``path_tags``."""
+    tree, at, lower = Tree(path_tags, want_raw), 0, None
     scan = _TOKEN.search
     while True:
         token = scan(html, at)

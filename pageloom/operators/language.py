@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lang import margin_percent
 from ..functions.text import words
-from ..session import spread
-from .joins import join_checked
 
 # The winner must lead by more than this percentage; limits of the early exit.
 MARGIN = 6
@@ -18,7 +16,7 @@ EXIT_GAP = 25
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per word: (key, pos from 1, word)."""
-    return (spread(docs.select(key, text)).select(key, F.posexplode(words(text)).alias("pos", "word"))
+    return (docs.select(key, F.posexplode(words(text)).alias("pos", "word"))
             .withColumn("pos", F.col("pos") + 1))
 
 
@@ -29,7 +27,7 @@ def build_lexicon(docs: DataFrame, lang: str = "lang", text: str = "text",
     A language may hold a third of all words, so ranking is done twice: within slices of a
     language, then among the slices' survivors. The result is the same as one ranking.
     """
-    counts = (spread(docs.select(lang, text)).select(F.col(lang).alias("lang"), F.explode(words(text)).alias("word"))
+    counts = (docs.select(F.col(lang).alias("lang"), F.explode(words(text)).alias("word"))
               .groupBy("lang", "word").agg(F.count("*").alias("n")))
     if top_k is None:
         return counts
@@ -45,13 +43,18 @@ def build_lexicon(docs: DataFrame, lang: str = "lang", text: str = "text",
 def lexicon_hits(toks: DataFrame, lexicon: DataFrame, how: str = "inner") -> DataFrame:
     """Words found in a lexicon, with the ``langs`` that know them; ``left`` keeps all words."""
     by_word = lexicon.groupBy("word").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
-    return join_checked(toks, by_word, "word", how)
+    return toks.join(by_word, "word", how)
 
 
-def hit_counts(hits: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Number of words found per (text, language); repeats count."""
-    return (hits.select(key, F.explode("langs").alias("lang"))
-            .groupBy(key, "lang").agg(F.count("*").alias("hits")))
+def folded(toks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, word, n): repeats of a word in a text as one row, so that joins don't carry each."""
+    return toks.groupBy(key, "word").agg(F.count("*").alias("n"))
+
+
+def hit_counts(hits: DataFrame, key: str = "doc_id", n: Column | None = None) -> DataFrame:
+    """Number of words found per (text, language); repeats count, as rows or by the number ``n``."""
+    return (hits.select(key, F.explode("langs").alias("lang"), (F.lit(1) if n is None else n).alias("n"))
+            .groupBy(key, "lang").agg(F.sum("n").cast("bigint").alias("hits")))
 
 
 def top_by_margin(counts: DataFrame, key: str = "doc_id", margin: float = MARGIN) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schemas import NODE
-from ..session import spread
 from . import html_tree
 
 # Ship the parser inside the function, so executors need no copy of this package.
@@ -26,7 +25,7 @@ _ARROW = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string
           pa.map_(pa.string(), pa.string())]
 
 
-def _nodes_function(wanted: frozenset[str]):
+def _nodes_function(wanted: frozenset[str], path_tags: frozenset[str]):
     """An Arrow function from html to the node array; fields not wanted stay null."""
     names, types, parse = NODE.fieldNames(), _ARROW, html_tree.parse
 
@@ -35,7 +34,7 @@ def _nodes_function(wanted: frozenset[str]):
         for batch in batches:
             offsets, columns = [0], [[] for _ in names]
             for html in batch.to_pylist():
-                rows = parse(html or "", "path" in wanted, "raw" in wanted)
+                rows = parse(html or "", path_tags, "raw" in wanted)
                 for column, values in zip(columns, zip(*rows)):
                     column.extend(values)
                 offsets.append(offsets[-1] + len(rows))
@@ -52,9 +51,13 @@ def _nodes_function(wanted: frozenset[str]):
 CORE = ("node_id", "parent_id", "grand_id", "end_id", "kind", "tag", "cls", "id_attr", "in_link", "text")
 
 
-def with_nodes(pages: DataFrame, html: str = "html", extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per page with a ``nodes`` array; the page stays where it is, no shuffle."""
-    return pages.withColumn("nodes", _nodes_function(frozenset(CORE + tuple(extra)))(F.col(html)))
+def with_nodes(pages: DataFrame, html: str = "html", extra: tuple[str, ...] = (),
+               path_tags: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page with a ``nodes`` array; the page stays where it is, no shuffle.
+
+    With ``path`` among the extra fields, it lists the enclosing elements of these tags only.
+    """
+    return pages.withColumn("nodes", _nodes_function(frozenset(CORE + tuple(extra)), frozenset(path_tags))(F.col(html)))
 
 
 def node_rows(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html",
@@ -69,7 +72,7 @@ def node_rows(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str
     per_page = per_page or {}
     fields = [n for n in NODE.fieldNames() if n in CORE + tuple(extra)]
     # explode_outer: with explode, Catalyst adds a filter that parses every page once more
-    return (with_nodes(spread(pages.select(*keys, html)), html, extra)
+    return (with_nodes(pages.select(*keys, html), html, extra)
             .select(*keys, "nodes")
             .repartition(*keys)
             .withColumns(per_page)

@@ -51,7 +51,8 @@ def node_passes(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: st
     return (rows.withColumns({"weight": class_weight("cls", "id_attr"),
                               "unlikely": is_unlikely("tag", "cls", "id_attr")})
             .drop("cls", "id_attr")
-            .withColumn("pass_no", F.explode("passes")).drop("passes"))
+            # explode_outer: see node_rows
+            .withColumn("pass_no", F.explode_outer("passes")).drop("passes"))
 
 
 def drop_unlikely(nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
 from ..functions.text import escape_markup, strip_all, strip_ws, unescape_href
-from ..session import spread
 from .nodes import with_nodes
 
 CallableRule = Callable[[DataFrame], DataFrame]
@@ -33,11 +32,16 @@ def _step(text: Column) -> Column:
 
 
 def compile_rules(site_rules: DataFrame) -> DataFrame:
-    """One row per host: its rules, each a list of alternatives, each a list of steps."""
+    """One row per host: its rules, each a list of alternatives, each a list of steps.
+
+    Rules of one host and field are one rule: the alternatives of their selectors, sorted as text.
+    """
+    merged = site_rules.groupBy("host_slug", "tag").agg(
+        F.array_join(F.sort_array(F.collect_set("selector")), ",").alias("selector"))
     alternatives = F.transform(
         F.split("selector", ","),
         lambda alt: F.transform(F.split(F.trim(alt), r"\s+"), _step))
-    return (site_rules.select("host_slug", F.struct(F.col("tag").alias("field"), alternatives.alias("alts")).alias("rule"))
+    return (merged.select("host_slug", F.struct(F.col("tag").alias("field"), alternatives.alias("alts")).alias("rule"))
             .groupBy("host_slug").agg(F.sort_array(F.collect_list("rule")).alias("rules")))
 
 
@@ -63,14 +67,23 @@ def _meets(n: Column, step: Column) -> Column:
 
 
 def select_nodes(nodes: Column, steps: Column) -> Column:
-    """(node_id, end_id) of the nodes a list of steps selects, in document order."""
-    nothing = F.lit(None).cast("array<struct<node_id:int,end_id:int>>")
+    """(node_id, end_id) of the nodes a list of steps selects, in document order.
+
+    Ids are positions. What lies below the nodes found so far is their id ranges, and the nodes
+    that meet the next step are looked up among those ids by hash, so a step is linear in them.
+    """
+    nothing = F.lit(None).cast("array<int>")
+    none = F.array().cast("array<int>")
+
+    def below(found: Column) -> Column:
+        inner = F.filter(found, lambda i: F.element_at(nodes, i)["end_id"] > i)
+        return F.flatten(F.transform(inner, lambda i: F.sequence(i + 1, F.element_at(nodes, i)["end_id"])))
 
     def narrow(found: Column, step: Column) -> Column:
-        hits = F.filter(nodes, lambda n: _meets(n, step) & (
-            found.isNull() | F.exists(found, lambda a: (a["node_id"] < n["node_id"]) & (n["node_id"] <= a["end_id"]))))
-        return F.transform(hits, lambda n: F.struct(n["node_id"].alias("node_id"), n["end_id"].alias("end_id")))
-    return F.aggregate(steps, nothing, narrow)
+        met = F.transform(F.filter(nodes, lambda n: _meets(n, step)), lambda n: n["node_id"])
+        return F.when(found.isNull(), met).otherwise(F.array_intersect(met, F.coalesce(below(found), none)))
+    return F.transform(F.aggregate(steps, nothing, narrow), lambda i: F.struct(
+        i.alias("node_id"), F.element_at(nodes, i)["end_id"].alias("end_id")))
 
 
 def subtree_text(nodes: Column, node: Column, with_scripts: bool = True) -> Column:
@@ -113,7 +126,8 @@ def rule_fields(pages: DataFrame, site_rules: DataFrame, url: str = "url", html:
     A selector without a match falls back to the title for ``title``, else to the body.
     Pages without rules are dropped before anything is parsed.
     """
-    parsed = with_nodes(spread(with_rules(pages, site_rules, url).filter("rules is not null")), html, extra=("attrs",))
+    ruled = with_rules(pages.select("page_id", url), site_rules, url).filter("rules is not null").select("page_id", "rules")
+    parsed = with_nodes(pages.join(ruled, "page_id"), html, extra=("attrs",))
     nodes = F.col("nodes")
 
     def entry(rule: Column) -> Column:

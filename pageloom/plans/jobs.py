@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import lang, text, urls
 from ..operators import bloom, crawl, index, language, page_dates, scoring, selectors, url_filters
 from ..operators.merge import Registry, can_do, is_fetched
-from ..session import spread, stored as write_once
+from ..session import stored as write_once
 from ..sources.sinks import report_rows
 
 EXTRACTORS = Registry()
@@ -25,9 +25,10 @@ def detect_language(docs: DataFrame, lexicon: DataFrame | None = None, filters:
     """
     toks = language.tokens(docs, key, body)
     how = "inner" if languages is None else "left"
+    toks = language.folded(toks, key) if languages is None else toks
     hits = (language.lexicon_hits(toks, lexicon, how) if filters is None
             else bloom.word_hits(toks, filters, how=how))
-    counts = (language.hit_counts(hits, key) if languages is None
+    counts = (language.hit_counts(hits, key, F.col("n")) if languages is None
               else language.early_exit_counts(hits, languages, key))
     best = language.top_by_margin(counts, key)
     return (docs.select(key).join(best, key, "left")
@@ -53,7 +54,7 @@ def extract_main_text(pages: DataFrame, min_length: int = 25, **limits) -> DataF
 @EXTRACTORS.register("default")
 def default_extract(pages: DataFrame) -> DataFrame:
     """Title and whole body text, by expressions alone."""
-    return spread(pages).withColumns({"title": page_title("html"), "content": body_text("html")})
+    return pages.withColumns({"title": page_title("html"), "content": body_text("html")})
 
 
 def page_title(html: Column | str) -> Column:

@@ -59,14 +59,13 @@ def stored(df: DataFrame, label: str, *cluster_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a frame that lies in a few files to all tasks; leave a large one alone.
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """One exchange by key ahead of a step that costs far more per row than moving the row.
 
-    For steps that cost much per row, where one small file would be one task. A table of many
-    files is already spread, and shuffling it would only cost.
+    For inputs that lie in few files: a file of one row group is one task otherwise. The caller knows; no
+    operator does this by itself.
     """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if 0 < len(df.inputFiles()) < tasks else df
+    return df.repartition(*keys)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from article_by_hand import article
 from pageloom.functions import dates
 from pageloom.operators import page_dates, selectors
-from pageloom.operators.html_tree import MAX_DEPTH, parse
+from pageloom.operators.html_tree import parse
 from pageloom.operators.nodes import node_rows, with_nodes
 from pageloom.operators.scoring import main_text
 from pageloom.session import table
@@ -42,11 +43,18 @@ def test_implied_elements_and_raw_text():
     assert texts_of("a &amp; b &eacute;</nothing><br/>c") == ["a & b é", "c"]
 
 
-def test_depth_is_bounded_and_text_kept():
-    html = "<div>" * 3000 + "deep" + "</div>" * 3000
-    rows = parse(html)
-    assert max(len(r[11]) for r in rows) <= MAX_DEPTH
-    assert "deep" in [r[9] for r in rows]
+def test_deep_pages_keep_their_places():
+    rows = parse("<div id=outer>" + "<div>" * 300 + "</div>" * 300 + "<p>x")
+    p = next(r for r in rows if r[5] == "p")
+    outer = next(r for r in rows if r[7] == "outer")
+    assert p[1] == outer[0] and outer[3] == len(rows)
+    rows = parse("<div>" * 5000 + "deep" + "</div>" * 100 + "<p>y", frozenset(("p", "td")))
+    by_id = {r[0]: r for r in rows}
+    at, depth = next(r for r in rows if r[5] == "p"), 0
+    while at[1]:
+        at, depth = by_id[at[1]], depth + 1
+    assert depth == 4902    # html, body and the open divs
+    assert [r[11] for r in rows if r[9] == "y"] == [[next(r[0] for r in rows if r[5] == "p")]]
 
 
 def test_tree_properties():
@@ -54,7 +62,7 @@ def test_tree_properties():
     pieces = ["<p>", "</p>", "<div class='a'>", "</div>", "<b>", "</b>", "<a href=x>", "</a>", "<li>", "<ul>", "</ul>", "text, ",
               "<td>", "<table>", "</table>", "<br>", "<!-- c -->", "<script>1<2</script>", "&amp;", "<h1>", "</h1>", "<"]
     for _ in range(300):
-        rows = parse("".join(rng.choice(pieces) for _ in range(rng.randint(1, 60))))
+        rows = parse("".join(rng.choice(pieces) for _ in range(rng.randint(1, 60))), frozenset("html head body p div b a li ul td table br script h1".split()))
         for i, r in enumerate(rows, start=1):
             assert r[0] == i and r[3] >= i
             if r[1]:
@@ -174,3 +182,23 @@ def test_node_array_is_indexed_by_id(spark, folder):
     bad = with_nodes(pages).filter(~F.forall(F.transform("nodes", lambda n, i: n["node_id"] == i + 1), lambda x: x))
     assert bad.count() == 0
     assert node_rows(pages).groupBy("page_id", "node_id").count().filter("count > 1").count() == 0
+
+
+def test_pages_are_parsed_once(spark, folder):
+    """Twice the parser in a plan is twice its work."""
+    from pageloom.catalog.views import Tables
+    plan = main_text(Tables(spark, folder).pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_selectors_are_linear_and_rules_merge(spark):
+    """20,000 links in 200 nested-free divs; two rules of one field on one host are one rule."""
+    from pageloom.operators import selectors
+    page = "<body>" + "".join(f"<div><a href='{i}'>{i}</a></div>" for i in range(20_000)) + "<em>end</em></body>"
+    pages = spark.createDataFrame([(1, "http://one.example.com/x", page)], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("one-example-com", "all", "div a"), ("one-example-com", "all", "em"), ("one-example-com", "all", "div a")],
+                                  "host_slug string, tag string, selector string")
+    start = time.time()
+    fields = selectors.rule_fields(pages, rules).first()["fields"]
+    assert fields["all"] == "".join(map(str, range(20_000))) + "end"
+    assert time.time() - start < 30

@@ -55,15 +55,6 @@ def test_bloom_has_no_false_negatives(spark, folder):
     assert missed.filter("NOT coalesce(ok, false)").count() == 0
 
 
-def test_broadcast_and_shuffled_join_agree(spark, folder):
-    docs = Tables(spark, folder).documents
-    lexicon = stored(language.build_lexicon(docs, top_k=20), "lex20")
-    from pageloom.operators.joins import join_checked
-    toks = language.tokens(docs)
-    words = lexicon.select("word").distinct()
-    assert join_checked(toks, words, "word", max_rows=1).count() == join_checked(toks, words, "word").count()
-
-
 def test_seen_urls_expire(spark, tmp_path):
     schema = "key string, ts timestamp"
     for i, (minute, key) in enumerate([(0, "a"), (1, "a"), (200, "b"), (400, "a"), (401, "a")]):
