@@ -68,10 +68,12 @@ def _(t: Tables):
     return t.results().dropDuplicates(["scrape_id", "keyword", "url"]).dropna(how="all")
 
 
-@query("a14_stage_metrics", f"SELECT profile_id, referring_source_id, keyword, count(*) AS results FROM ({_QUEUE}) GROUP BY ALL")
+@query("a14_stage_metrics", f"SELECT profile_id, referring_source_id, keyword, count(*) AS results, (SELECT count(*) FROM ({_QUEUE})) AS observed FROM ({_QUEUE}) GROUP BY ALL")
 def _(t: Tables):
-    queue, _ = metrics.observed(crawl.result_queue(t.tasks(), t.results()), "queue")
-    return metrics.stage_counts(queue)
+    """The rows observed while the queue was written stand beside the counts of what was written."""
+    queue, watch = metrics.observed(crawl.result_queue(t.tasks(), t.results()), "queue")
+    written = stored(queue, "queue")
+    return metrics.stage_counts(written).withColumn("observed", F.lit(watch.get["rows"]).cast("bigint"))
 
 
 # joins with stored tables
@@ -99,7 +101,7 @@ def _(t: Tables):
 _SERVED = (w(*SRC, "categories", "page_hosts") + "SELECT p.url, c.name AS cat_name FROM page_hosts p JOIN sources s USING (source_id) JOIN categories c USING (category_id) "
            "WHERE page_id % 7 <> 3 AND page_id % 25 < 12 AND s.category_id = 2")
 _SERVED_INDEX = "CASE WHEN page_id % 7 = 3 THEN 50 ELSE 0 END AS status", "page_id % 25 AS profile_id"
-for _name, _limit in (("j12_pages_sources_categories", None), ("s14_page_source_category", None), ("f16_served_pages", None), ("o4_limit", 30)):
+for _name, _limit in (("j12_pages_sources_categories", None), ("o4_limit", 30)):
     @query(_name, _SERVED + (f" ORDER BY url LIMIT {_limit}" if _limit else ""))
     def _(t: Tables, limit=_limit):
         known = t.sources().select(F.col("url").alias("host"), "source_id")
@@ -108,6 +110,30 @@ for _name, _limit in (("j12_pages_sources_categories", None), ("s14_page_source_
         return out.orderBy("url").limit(limit) if limit else out
 
 
+_SINCE = (w(*SRC, "categories", "page_hosts") + "SELECT p.url, strftime(DATE '2001-01-01' + (page_id % 7000)::INT, '%Y-%m-%d') AS published, c.name AS cat_name "
+          "FROM page_hosts p JOIN sources s USING (source_id) JOIN categories c USING (category_id) WHERE page_id % 7 <> 3 AND page_id % 7000 > 10")
+
+
+def _dated_index(t: Tables):
+    known = t.sources().select(F.col("url").alias("host"), "source_id")
+    return t.pages.selectExpr("url", *_SERVED_INDEX, "CAST(date_add(DATE '2001-01-01', CAST(page_id % 7000 AS INT)) AS TIMESTAMP_NTZ) AS published").withColumn(
+        "host", urls.host_url("url")).join(known, "host")
+
+
+@query("f16_served_pages", _SINCE)
+def _(t: Tables):
+    since = F.lit("2001-01-11 00:00:00").cast("timestamp_ntz")
+    return index.served_since(_dated_index(t), t.sources(), t.categories(), since).withColumn("published", F.date_format("published", "yyyy-MM-dd"))
+
+
+@query("s14_page_source_category", _SINCE + " ORDER BY published DESC, url LIMIT 25")
+def _(t: Tables):
+    """From stored tables, the newest pages first; the limit is the feature."""
+    tables = [stored(x, n) for x, n in ((_dated_index(t), "pages"), (t.sources(), "sources"), (t.categories(), "categories"))]
+    since = F.lit("2001-01-11 00:00:00").cast("timestamp_ntz")
+    return index.served_since(*tables, since, limit=25).withColumn("published", F.date_format("published", "yyyy-MM-dd"))
+
+
 # page loading
 _OK = "page_id % 4 = 0"
 
@@ -159,9 +185,14 @@ def _(t: Tables):
     return t.pages.select("page_id", *[c.alias(n) for n, c in merged.items()], flat.alias("extra"))
 
 
-@query("f25_result_length", "SELECT doc_id FROM documents WHERE length(text) > 25")
+@query("f25_result_length", "SELECT doc_id FROM documents WHERE length(replace(text, chr(10), '')) > 40")
 def _(t: Tables):
-    return t.documents.filter(F.length("text") > 25).select("doc_id")
+    """Pages whose article is longer than the limit; all others give no row. Made so that the limit cuts."""
+    from ..plans import jobs
+    page = F.concat(F.lit("<body><div class='article'><p>"), F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[\\n\\r\\t]", ""), "[<>&]", "x"), " ", "_"),
+                    F.lit("</p></div></body>"))
+    pages = t.documents.select(F.col("doc_id").alias("page_id"), page.alias("html"))
+    return jobs.extract_main_text(pages, min_length=40).select(F.col("page_id").alias("doc_id"))
 
 
 @query("s4_result_csv", "SELECT url, CASE WHEN page_id % 4 = 0 THEN regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) END AS lang, "

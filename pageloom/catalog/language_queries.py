@@ -84,6 +84,17 @@ def _(t: Tables):
     return jobs.detect_language(t.documents, lexicon(t))
 
 
+@query("p13_language_by_text", f"WITH {_COUNTS} {_BEST} SELECT 'http://pages.example.com/' || doc_id AS url, 'Day, Month, Hour' AS found, "
+       "nullif(coalesce(CASE WHEN margin > 6 THEN b.lang ELSE '' END, ''), '') AS lang FROM documents d LEFT JOIN best b USING (doc_id)")
+def _(t: Tables):
+    """Pages without a language in markup or host: the words decide."""
+    from .views import as_of
+    url = F.concat(F.lit("http://pages.example.com/"), "doc_id")
+    markup = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    pages = t.documents.select(F.col("doc_id").alias("page_id"), url.alias("url"), F.concat(F.lit("<html><body><em>"), markup, F.lit("</em></body></html>")).alias("html"))
+    return jobs.extract_report(pages.select("url"), pages, as_of(), lexicon(t))
+
+
 _EXIT = (", run AS (SELECT t.doc_id, t.pos, " + ", ".join(
     f"sum(CASE WHEN list_contains(coalesce(h.langs, []), '{x}') THEN 1 ELSE 0 END) OVER (PARTITION BY t.doc_id ORDER BY t.pos) AS n_{x}" for x in LANGUAGES)
     + " FROM toks t LEFT JOIN (SELECT doc_id, pos, list(lang) AS langs FROM hits GROUP BY doc_id, pos) h ON h.doc_id = t.doc_id AND h.pos = t.pos), "

@@ -138,7 +138,33 @@ def _(t: Tables):
     return _scored(t).filter("pass_no = 1 AND tag = 'div' AND score IS NOT NULL").select("page_id", "score")
 
 
-for _name in ("w1_best_candidate", "o1_candidate_sort"):
+@query("o1_candidate_sort", f"SELECT doc_id AS page_id, 'div,body' AS tags FROM documents WHERE {_POINTS} IS NOT NULL")
+def _(t: Tables):
+    """All candidates of a page by falling score: the div of the paragraphs, then what holds it."""
+    best = scoring.top_candidates(_scored(t).filter("pass_no = 1"), PASS, 5)
+    return best.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
+
+
+@query("w2_top_candidates_built", f"SELECT doc_id AS page_id, place, tag, score FROM (SELECT doc_id, 1::BIGINT AS place, 'div' AS tag, ({_POINTS} + 30)::DOUBLE AS score FROM documents "
+       f"UNION ALL SELECT doc_id, 2, 'body', ({_POINTS} / 2.0)::DOUBLE FROM documents) WHERE score IS NOT NULL")
+def _(t: Tables):
+    best = scoring.top_candidates(_scored(t).filter("pass_no = 1"), PASS, 5)
+    return best.select("page_id", F.col("place").cast("bigint").alias("place"), "tag", F.round("score", 6).alias("score"))
+
+
+@query("a15_article_assembly_built", "SELECT doc_id AS page_id, md5('skip me' || replace(text, chr(10), '') || 'name ') AS plain FROM documents")
+def _(t: Tables):
+    rows = scoring.article_rows(scoring.with_best(_scored(t), PASS), PASS).filter("pass_no = 1")
+    return scoring.assembled(rows.withColumn("kept", F.lit(True)), PASS).select("page_id", F.md5("plain").alias("plain"))
+
+
+@query("p6_sanitize_article_built", f"SELECT doc_id AS page_id, md5(CASE WHEN {_LONG} THEN array_to_string([x for x in string_split(text, chr(10)) if regexp_matches(x, '\\S')], '') ELSE '' END) AS plain FROM documents")
+def _(t: Tables):
+    rows = scoring.sanitized(scoring.article_rows(scoring.with_best(_scored(t), PASS), PASS), PASS).filter("pass_no = 1")
+    return scoring.assembled(rows, PASS).select("page_id", F.md5("plain").alias("plain"))
+
+
+for _name in ("w1_best_candidate",):
     @query(_name, f"SELECT doc_id AS page_id, CASE WHEN {_POINTS} IS NULL THEN 'body' ELSE 'div' END AS tag FROM documents")
     def _(t: Tables):
         best = scoring.with_best(_scored(t), PASS)
@@ -281,10 +307,16 @@ def _(t: Tables):
     return page_dates.publish_date(_dated_pages(t), as_of(), strict=True).select("page_id", F.col("published_text").alias("published"))
 
 
-for _name in ("w4_first_date_candidate", "u4_date_candidates"):
-    @query(_name)
-    def _(t: Tables):
-        return page_dates.date_candidates(_dated_pages(t), as_of()).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+@query("u4_date_candidates")
+def _(t: Tables):
+    return page_dates.date_candidates(_dated_pages(t), as_of()).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query("w4_first_date_candidate", "SELECT page_id, strftime((DATE '2001-01-01' + (page_id % 7000)::INT)::TIMESTAMP, '%Y-%m-%d') AS date FROM pages")
+def _(t: Tables):
+    """One date for each page: the first of its candidates."""
+    found = page_dates.date_candidates(_dated_pages(t), as_of())
+    return page_dates.first_date(found, as_of()).select("page_id", F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
 def _prefixed(t: Tables, first: str):
@@ -360,6 +392,32 @@ def _(t: Tables):
     return out.select("page_id", "outcome", "lang", "title")
 
 
+_PLAIN_WORDS = "trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))"
+
+
+@query("p8_extractors_and_dates", f"""WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS t FROM documents)
+  SELECT doc_id AS page_id, 'Doc ' || doc_id AS title, md5(t) AS content, CASE WHEN t = '' THEN 'fail' ELSE 'success' END AS outcome, 'en' AS lang,
+    CASE WHEN doc_id % 3 = 0 AND t <> '' THEN 'rules' WHEN doc_id % 3 = 1 AND length(t) > 25 THEN 'scoring' ELSE 'default' END AS extractor,
+    strftime(DATE '2001-01-01' + (doc_id % 7000)::INT, '%Y-%m-%d') AS published FROM d""")
+def _(t: Tables):
+    """Pages of which each extractor has a known third: by rule, by paragraphs, and in a form, which scoring leaves out."""
+    words = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    third = F.expr("CAST(doc_id % 3 AS INT)")
+    body = (F.when(third == 0, F.concat(F.lit("<div class='story'>"), words, F.lit("</div>")))
+            .when(third == 1, F.concat(F.lit("<div class='article'><p>"), words, F.lit("</p></div>")))
+            .otherwise(F.concat(F.lit("<form>"), words, F.lit("</form>"))))
+    day = F.date_format(F.expr("date_add(DATE '2001-01-01', CAST(doc_id % 7000 AS INT))"), "dd/MM/yyyy")
+    pages = dealt(t.documents, "doc_id").select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h"), third.cast("string"), F.lit(".example.com/"), "doc_id").alias("url"),
+        F.concat(F.lit("<html lang='en'><head><title>Doc "), "doc_id", F.lit("</title><meta content='"), day, F.lit("'></head><body>"), body,
+                 F.lit("</body></html>")).alias("html"))
+    rules = t.spark.createDataFrame([("h0-example-com", "content", "div.story"), ("h0-example-com", "title", "head title")],
+                                    "host_slug string, tag string, selector string")
+    out = jobs.fetch_and_extract(pages, rules, as_of())
+    return out.select("page_id", "title", F.md5(F.coalesce("content", F.lit(""))).alias("content"), "outcome", "lang", "extractor",
+                      F.date_format("published", "yyyy-MM-dd").alias("published"))
+
+
 @query("p13_extract_report", f"SELECT url, CASE WHEN page_id % 3 = 0 THEN 'Error. Page not exist or page redirect' ELSE {_SQL_KNOWN} END AS found, "
        "CASE WHEN page_id % 3 > 0 THEN regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) END AS lang FROM pages")
 def _(t: Tables):

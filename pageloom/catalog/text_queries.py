@@ -86,6 +86,25 @@ _scalar("c9_decode_entities", lambda: text.decode_entities("html"), _sql_decode(
 _scalar("c10_unescape_href", lambda: text.unescape_href(F.concat("url", F.lit("?a=1&amp;b=&#233;&lt;&copy;"))),
         "url || '?a=1&b=' || chr(233) || '<&copy;'")
 _scalar("c11_to_utf8", lambda: text.to_utf8(F.encode("html", "UTF-8"), F.lit("utf-8")), "html")
+
+
+def _coded():
+    """(charset, bytes in front, what they mean), the page's url after them; the last two are broken."""
+    return (("windows-1252", "93", "“"), ("windows-1251", "EFF0E8E2E5F2", "привет"), ("Shift_JIS", "93FA967B", "日本"),
+            ("no-such-charset", "E9", "é"), ("utf-8", "C3A9FFEFBFBD", "é\ufffd"), ("utf-16le", None, ""))
+
+
+@query("c11_charsets", "SELECT page_id, [" + ", ".join(f"'{meant}'" for _, _, meant in _coded()) + "][page_id % 6 + 1] || url AS v FROM pages")
+def _(t: Tables):
+    """Each page's url in one of six charsets; a stray byte ends the last one."""
+    which = F.expr("CAST(page_id % 6 AS INT) + 1")
+    names = F.array(*[F.lit(n) for n, _, _ in _coded()])
+    front = F.array(*[F.unhex(F.lit(x or "")) for _, x, _ in _coded()])
+    wide = F.concat(F.encode("url", "UTF-16LE"), F.unhex(F.lit("FF")))
+    raw = F.when(which == 6, wide).otherwise(F.concat(F.element_at(front, which), F.encode("url", "UTF-8")))
+    return t.pages.select("page_id", text.to_utf8(raw, F.element_at(names, which)).alias("v"))
+
+
 _scalar("c12_to_latin", lambda: F.hex(text.to_latin(F.concat(F.lit("€Œ¤ж"), F.col("doc_id").cast("string")))),
         "'A4BC' || hex(doc_id::VARCHAR)", "documents", "doc_id")
 _scalar("c13_hashed_uri", lambda: urls.hashed_uri("url"), "md5(url)")

@@ -8,6 +8,8 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
+from . import charsets
+
 # The eight code points where ISO-8859-15 differs from ISO-8859-1.
 LATIN9_CHARS = "€ŠšŽžŒœŸ"
 LATIN9_SLOTS = "¤¦¨´¸¼½¾"
@@ -125,20 +127,24 @@ def unescape_href(c: Column | str) -> Column:
 
 
 def to_utf8(body: Column | str, charset: Column | str) -> Column:
-    """Bytes to text by the stated charset, else Latin-1; bad UTF-8 bytes are dropped."""
+    """Bytes to text by the stated charset, else Latin-1; bad bytes are dropped, whatever the charset.
+
+    Sound UTF-8, ASCII, Latin-1 and Latin-9 are read by Spark. All else goes to one Arrow function,
+    which gets null for the rows that don't need it.
+    """
     raw, name = _col(body), F.upper(F.trim(_col(charset)))
-    # A byte sequence that is not UTF-8 becomes U+FFFD, which is then removed.
-    as_utf8 = F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
-    out = F.when(name.isin("UTF-8", "UTF8"), as_utf8)
-    for cs in ("US-ASCII", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32"):
-        if cs == "US-ASCII":
-            ascii_only = F.regexp_replace(F.decode(raw, "ISO-8859-1"), r"[^\x00-\x7f]", "")
-            out = out.when(name.isin("US-ASCII", "ASCII"), ascii_only)
-        else:
-            out = out.when(name == cs, F.decode(raw, cs))
-    latin9 = F.translate(F.decode(raw, "ISO-8859-1"), LATIN9_SLOTS, LATIN9_CHARS)
-    out = out.when(name.isin("ISO-8859-15", "LATIN9"), latin9)
-    return out.otherwise(F.decode(raw, "ISO-8859-1"))
+    as_text = raw.cast("string")
+    utf8 = name.isin("UTF-8", "UTF8") & F.is_valid_utf8(as_text)
+    ascii_only = name.isin("US-ASCII", "ASCII")
+    latin1 = name.isNull() | name.isin("ISO-8859-1", "LATIN1", "")
+    latin9 = name.isin("ISO-8859-15", "LATIN9")
+    spark_reads = F.coalesce(utf8 | ascii_only | latin1 | latin9, F.lit(False))
+    plain = F.decode(raw, "ISO-8859-1")
+    return (F.when(utf8, as_text)
+            .when(ascii_only, F.regexp_replace(plain, r"[^\x00-\x7f]", ""))
+            .when(latin9, F.translate(plain, LATIN9_SLOTS, LATIN9_CHARS))
+            .when(latin1, plain)
+            .otherwise(charsets.decoded(F.when(~spark_reads, raw), name)))
 
 
 def to_latin(c: Column | str) -> Column:

@@ -132,6 +132,13 @@ def upsert_blacklist(blacklist: DataFrame, failed: DataFrame) -> DataFrame:
     return blacklist.unionByName(rows.join(blacklist, ["hashed_name", "profile_id"], "left_anti"))
 
 
+def served_since(index: DataFrame, sources: DataFrame, categories: DataFrame, since: Column, limit: int | None = None) -> DataFrame:
+    """(url, published, cat_name) of the pages served: not held back, published after ``since``; newest first with a limit."""
+    out = served_pages(index.filter((F.col("status") != 50) & (F.col("published") > since)), sources, categories).select(
+        "url", "published", "cat_name")
+    return out if limit is None else out.orderBy(F.desc("published"), "url").limit(limit)
+
+
 def served_pages(index: DataFrame, sources: DataFrame, categories: DataFrame) -> DataFrame:
     """Pages with the category of their source."""
     return (index.join(sources.select("source_id", "category_id"), "source_id")

@@ -70,9 +70,24 @@ def finish(value: Column | str) -> Column:
     return text.strip_all(text.decode_entities(value))
 
 
-def fetch_and_extract(pages: DataFrame, site_rules: DataFrame, as_of: Column) -> DataFrame:
+def with_text_language(rows: DataFrame, texts: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """``rows`` with a language by the words of their text, where ``lang`` is still null.
+
+    ``texts`` has page_id and text. Only the texts of rows without a language are tokenised.
+    """
+    if lexicon is None:
+        return rows
+    open_ = rows.filter("lang is null").select("page_id").join(texts, "page_id")
+    found = detect_language(open_, lexicon, key="page_id", body="text").select(
+        "page_id", F.nullif("detected", F.lit("")).alias("_by_text"))
+    return rows.join(found, "page_id", "left").withColumn("lang", F.coalesce("lang", "_by_text")).drop("_by_text")
+
+
+def fetch_and_extract(pages: DataFrame, site_rules: DataFrame, as_of: Column, lexicon: DataFrame | None = None) -> DataFrame:
     """Complete pages pass; others go through rules, then scoring, then the default.
 
+    The language is that of the markup, else of the host's end, else, with a lexicon, that of the words.
+
     Each later extractor runs only on the pages that are still open. What the rules found is
     written once, since it is both a result and the test of what is still open.
     """
@@ -96,6 +111,8 @@ def fetch_and_extract(pages: DataFrame, site_rules: DataFrame, as_of: Column) ->
     picked = (done.unionByName(ruled.withColumn("extractor", F.lit("rules"))).unionByName(fallback))
     dated = page_dates.publish_date(pages, as_of).select("page_id", "published")
     heads = pages.select("page_id", "url", F.coalesce(lang.lang_from_attr("html"), lang.lang_from_tld("url")).alias("lang"))
+    picked = write_once(picked, "picked") if lexicon is not None else picked
+    heads = with_text_language(heads, picked.select("page_id", F.col("content").alias("text")), lexicon)
     return (heads.join(picked, "page_id").join(dated, "page_id")
             .withColumn("outcome", F.when(is_fetched(), "success").otherwise("fail")))
 
@@ -111,13 +128,15 @@ def index_pages(docs: DataFrame, comments: DataFrame, stored: dict[str, DataFram
             "comments": stored["comments"].unionByName(fresh)}
 
 
-def extract_report(url_list: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
+def extract_report(url_list: DataFrame, pages: DataFrame, as_of: Column, lexicon: DataFrame | None = None) -> DataFrame:
     """(url, found date, lang) per listed URL, or an error row where no page landed."""
+    by_markup = pages.withColumn("lang", F.coalesce(lang.lang_from_attr("html"), lang.lang_from_tld("url")))
+    pages = with_text_language(by_markup, pages.select("page_id", text.decode_entities(text.strip_html_block("html")).alias("text")), lexicon)
     landed = url_list.join(pages, "url", "left")
     dated = page_dates.publish_date(pages.join(url_list.select("url").distinct(), "url", "left_semi"), as_of)
     out = landed.join(dated, "page_id", "left").select(
         "url", F.col("page_id").isNull().alias("_failed"), F.col("published_text").alias("found"),
-        F.coalesce(lang.lang_from_attr("html"), lang.lang_from_tld("url")).alias("lang"))
+        "lang")
     return report_rows(out, F.col("_failed"))
 
 
