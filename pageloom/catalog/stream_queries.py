@@ -46,9 +46,9 @@ def _(t: Tables):
         none.alias("evaluation"), none.alias("tags"), F.col("page_id").alias("ord"),
         F.when(F.expr("page_id % 4 = 0"), "success").otherwise("fail").alias("outcome"))
     spark = t.spark
-    sources = streams.TableVersions(spark, fresh_path(spark, "sources"), spark.createDataFrame([], "source_id bigint, url string, lang string, category_id bigint"))
-    index = streams.TableVersions(spark, fresh_path(spark, "index"), spark.createDataFrame([], PAGE_INDEX))
-    blacklist = streams.TableVersions(spark, fresh_path(spark, "blacklist"), spark.createDataFrame([], "hashed_name string, profile_id bigint"))
+    sources = streams.TableVersions(spark, fresh_path(spark, "sources"), spark.createDataFrame([], "source_id bigint, url string, lang string, category_id bigint"), ("url",))
+    index = streams.TableVersions(spark, fresh_path(spark, "index"), spark.createDataFrame([], PAGE_INDEX), ("url",))
+    blacklist = streams.TableVersions(spark, fresh_path(spark, "blacklist"), spark.createDataFrame([], "hashed_name string, profile_id bigint"), ("hashed_name", "profile_id"))
     step = streams.page_upserts(sources, index, blacklist, t.profiles(), as_of())
     streams.run_batches(docs, "upsert", step).awaitTermination()
     return (index.latest().select(F.lit("page").alias("kind"), F.col("url").alias("key"))
@@ -58,17 +58,17 @@ def _(t: Tables):
 
 @query("t4_repeat_loop", "SELECT page_id FROM pages")
 def _(t: Tables):
-    """The same stream run twice with one state: the second run finds nothing to add."""
+    """The loop run twice with one state, by new objects: the second run finds nothing to add."""
     out, state = fresh_path(t.spark, "loop"), fresh_path(t.spark, "loop-state")
     for _ in range(2):
-        (_pages(t).select("page_id").writeStream.format("parquet").option("checkpointLocation", state)
-         .trigger(availableNow=True).start(out).awaitTermination())
-    return t.spark.read.schema("page_id bigint").parquet(out)
+        step = streams.extraction_step(lambda b: b.select("page_id"), out)
+        streams.run_batches(_pages(t), "loop", step, state=state).awaitTermination()
+    return t.spark.read.schema("page_id bigint, batch_id int").parquet(out).select("page_id")
 
 
 @query("t5_running_page_date", "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events GROUP BY user_id")
 def _(t: Tables):
-    versions = streams.TableVersions(t.spark, fresh_path(t.spark, "newest"), t.spark.createDataFrame([], "user_id bigint, newest timestamp"))
+    versions = streams.TableVersions(t.spark, fresh_path(t.spark, "newest"), t.spark.createDataFrame([], "user_id bigint, newest timestamp"), ("user_id",))
 
     def each(batch, batch_id):
         merged = versions.before(batch_id).unionByName(batch).groupBy("user_id").agg(F.max("newest").alias("newest"))

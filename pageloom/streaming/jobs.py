@@ -7,6 +7,7 @@ trigger and checkpoint are the caller's choice. ``run_available`` drains what is
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,10 +36,13 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
 
 
 def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int], None],
-                mode: str = "append", interval: str | None = None) -> StreamingQuery:
-    """``foreachBatch`` with its own state folder; with ``interval`` it repeats for ever."""
+                mode: str = "append", interval: str | None = None, state: str | None = None) -> StreamingQuery:
+    """``foreachBatch``; with ``interval`` it repeats for ever.
+
+    ``state`` is the folder that a later run with the same one goes on from; by default a new one.
+    """
     writer = (stream.writeStream.foreachBatch(each).outputMode(mode)
-              .option("checkpointLocation", fresh_path(stream.sparkSession, f"{label}-state")))
+              .option("checkpointLocation", state or fresh_path(stream.sparkSession, f"{label}-state")))
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
@@ -65,29 +69,55 @@ def stage_windows(log: DataFrame, stage: str, ts: str, width: str = "1 hour", de
 
 
 class TableVersions:
-    """Versions of one table under a folder, each named by the batch that made it.
+    """A keyed table that micro-batches change, as the rows that each batch added or changed.
 
-    Batch ids are consecutive, so the version before a batch is known from its id alone. A
-    replayed batch starts from that version again and replaces only its own, so nothing is
-    counted twice, and a restarted driver needs no memory of earlier batches.
+    Batch ids are consecutive. A replayed batch starts from what the batches before it left and
+    replaces only its own rows, so nothing is counted twice. All there is to know lies in the
+    folder: new objects over the same folder, after a restart, go on where the old ones ended.
+    What a batch writes grows with the batch and not with the table; ``compact`` writes the whole
+    table once, so that later reads needn't fold all batches.
     """
 
-    def __init__(self, spark: SparkSession, root: str, empty: DataFrame):
-        self.spark, self.root, self.empty, self.last = spark, root, empty, -1
+    def __init__(self, spark: SparkSession, root: str, empty: DataFrame, key: tuple[str, ...]):
+        self.spark, self.root, self.empty, self.key = spark, root, empty, list(key)
+
+    def _numbers(self, kind: str) -> list[int]:
+        """Numbers N of the complete folders ``kind=N``."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}=*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or ())
 
     def version(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(self.empty.schema).parquet(f"{self.root}/v{batch_id}")
+        """The table as batch ``batch_id`` left it."""
+        whole = max([n for n in self._numbers("whole") if n <= batch_id], default=-1)
+        parts = [n for n in self._numbers("changes") if whole < n <= batch_id]
+        columns, read = self.empty.columns, self.spark.read.schema(self.empty.schema)
+        base = read.parquet(f"{self.root}/whole={whole}") if whole >= 0 else self.empty
+        if not parts:
+            return base
+        changes = [read.parquet(f"{self.root}/changes={n}").withColumn("_batch", F.lit(n)) for n in parts]
+        rows = reduce(DataFrame.unionByName, changes)
+        last = rows.groupBy(*self.key).agg(F.max_by(F.struct(*columns), "_batch").alias("_row")).select("_row.*")
+        return base.join(last.select(*self.key), self.key, "left_anti").unionByName(last) if whole >= 0 else last
 
     def before(self, batch_id: int) -> DataFrame:
-        return self.version(batch_id - 1) if batch_id > 0 else self.empty
+        return self.version(batch_id - 1)
 
     def put(self, batch_id: int, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
-        self.last = batch_id
+        """Keep the rows of ``df`` that the batches before don't have; returns the table with them."""
+        content = F.xxhash64(*[F.col(c) for c in self.empty.columns])
+        old = self.before(batch_id).select(*self.key, content.alias("_old"))
+        new = df.withColumn("_new", content).join(old, self.key, "left").filter("_old IS NULL OR _old <> _new")
+        new.select(*self.empty.columns).write.mode("overwrite").parquet(f"{self.root}/changes={batch_id}")
         return self.version(batch_id)
 
+    def compact(self) -> None:
+        """Write the whole table as the last batch left it."""
+        if (last := max(self._numbers("changes"), default=-1)) >= 0:
+            self.version(last).write.mode("overwrite").parquet(f"{self.root}/whole={last}")
+
     def latest(self) -> DataFrame:
-        return self.before(self.last + 1)
+        return self.version(max(self._numbers("changes"), default=-1))
 
 
 def page_upserts(sources: TableVersions, index: TableVersions, blacklist: TableVersions,
