@@ -436,14 +436,52 @@ def _(t: Tables):
     return jobs.review_extract(t.pages.select("page_id", "url", html.alias("html")), rules, drop_date_dots=True)
 
 
-@query("p12_full_run")
-def _(t: Tables):
-    from .views import crawl_as_of
-    stored = {"sources": t.sources(), "pages": t.stored_index()}
+@query("p15_review_site", """SELECT 'http://reviews.example.com/Opinioni/' || page_id || '/SortOrder/2' AS url, NULL AS author, NULL AS published, NULL AS evaluation FROM pages
+  UNION ALL SELECT 'http://reviews.example.com/op/' || page_id, 'user' || page_id, strftime((DATE '2001-01-01' + (page_id % 7000)::INT)::TIMESTAMP, '%d.%m.%Y'), (page_id % 6)::VARCHAR FROM pages""")
+def _(t: Tables):
+    """From result pages to review lists, from those to opinions, and rows of both."""
+    number = F.col("page_id").cast("string")
+    found = t.pages.select(F.concat(
+        F.lit("<div class='grid'><span class='rating'><a href='https://other.example.com/Opinioni/"), number, F.lit("'>x</a><a href='/Prezzi/"),
+        number, F.lit("'>y</a><a href='https://other.example.com/Opinioni/"), number, F.lit("'>again</a></span></div>")).alias("html"))
+    lists = jobs.review_listings(found, ".grid .rating a", "/Opinioni", "reviews.example.com")
+    landed = lists.select("url", F.concat(
+        F.lit("<p class='teaser'><small><a onmousedown=\"this.href=jlinkBuild('http://reviews.example.com/op', '/"),
+        F.regexp_extract("url", "/Opinioni/([0-9]+)/", 1), F.lit("/SortOrder/2');   return false;\">read</a></small></p>")).alias("html"))
+    opinions = jobs.opinion_links(landed, ".teaser small a").select("url", F.regexp_extract("url", "/op/([0-9]+)$", 1).cast("bigint").alias("page_id"))
+    pages = opinions.select("page_id", "url", F.concat(
+        F.lit("<div><a id='member'> user"), "page_id", F.lit("\n</a><div class='reviewDate x'>"), F.date_format(F.expr(_DAY), "dd.MM.yyyy"),
+        F.lit("</div><span class='stars'>"), F.expr("page_id % 6"), F.lit("</span></div>")).alias("html"))
+    pairs = [("reviews-example-com", a, b) for a, b in (("author", "#member"), ("published", ".reviewDate"), ("evaluation", "span.stars"))]
+    rules = t.spark.createDataFrame(pairs, "host_slug string, tag string, selector string")
+    return jobs.review_extract(pages, rules, listings=lists)
+
+
+def _full_run(t: Tables, **more):
     scrapes = t.pages.selectExpr("page_id AS scrape_id", "page_id % 25 AS profile_id", "CAST(array('k') AS ARRAY<STRING>) AS keywords",
-                                 "CAST(NULL AS TIMESTAMP_NTZ) AS expires_at").withColumn(
-        "source_id", F.lit(None).cast("bigint")).drop("source_id").join(
+                                 "CAST(NULL AS TIMESTAMP_NTZ) AS expires_at").join(
         t.pages.select(F.col("page_id").alias("scrape_id"), urls.key_id(urls.host_url("url")).alias("source_id")), "scrape_id")
     results = t.pages.select(F.col("page_id").alias("scrape_id"), F.lit("k").alias("keyword"), "url")
-    out = jobs.full_run(scrapes, t.profiles(), stored, results, t.pages, _rules(t).filter("host_slug LIKE 'blog-%'"), as_of(), days=100000)
-    return out.select("url", "title", "content", "lang", F.col("status").cast("bigint").alias("status"))
+    stored = {"sources": t.sources(), "pages": t.stored_index(), "comments": t.stored_comments()} | more.pop("stored", {})
+    return jobs.full_run(scrapes, t.profiles(), stored, results, more.pop("landed", t.pages), _rules(t).filter("host_slug LIKE 'blog-%'"),
+                         as_of(), days=100000, **more)
+
+
+@query("p12_full_run")
+def _(t: Tables):
+    return _full_run(t)["pages"].select("url", "title", "content", "lang", F.col("status").cast("bigint").alias("status"))
+
+
+@query("p12_blacklist", "SELECT DISTINCT md5(regexp_replace(url, '#.*$', '')) AS hashed_name, page_id % 25 AS profile_id FROM pages WHERE page_id % 3 = 0")
+def _(t: Tables):
+    """A sixth of the pages is on the blacklist; of the others a third lands without any text. All those are on it after the run."""
+    pages = t.pages.select("page_id", "url", F.when(F.expr("page_id % 3 = 0"), "<html></html>").otherwise(F.col("html")).alias("html"))
+    banned = t.pages.filter("page_id % 6 = 0").select(F.md5(urls.normalize("url")).alias("hashed_name"), F.expr("page_id % 25").alias("profile_id"))
+    none = t.stored_index().filter("false")
+    return _full_run(t, landed=pages, stored={"blacklist": banned, "pages": none})["blacklist"]
+
+
+@query("p12_comments", "SELECT count(*) AS comments FROM (SELECT DISTINCT conv_id, CASE WHEN turn % 5 = 4 THEN role ELSE text END AS content FROM conversations WHERE turn % 5 <> 3)")
+def _(t: Tables):
+    """Comments of before and those of the run, each page and content once."""
+    return _full_run(t, comments=t.comments())["comments"].agg(F.count("*").alias("comments"))

@@ -86,6 +86,12 @@ def select_nodes(nodes: Column, steps: Column) -> Column:
         i.alias("node_id"), F.element_at(nodes, i)["end_id"].alias("end_id")))
 
 
+def attributes_of(nodes: Column, selector: str, name: str) -> Column:
+    """One attribute of every node that a selector (without commas) selects, in document order."""
+    steps = F.transform(F.split(F.lit(selector), r"\s+"), _step)
+    return F.transform(select_nodes(nodes, steps), lambda n: F.try_element_at(F.element_at(nodes, n["node_id"])["attrs"], F.lit(name)))
+
+
 def subtree_text(nodes: Column, node: Column, with_scripts: bool = True) -> Column:
     """Text below a node; ids are positions, so this is a slice of the array."""
     part = F.slice(nodes, node["node_id"], node["end_id"] - node["node_id"] + 1)

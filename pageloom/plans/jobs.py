@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import lang, text, urls
 from ..operators import bloom, crawl, index, language, page_dates, scoring, selectors, url_filters
 from ..operators.merge import Registry, can_do, is_fetched
+from ..operators.nodes import with_nodes
 from ..session import stored as write_once
 from ..sources.sinks import report_rows
 
@@ -140,35 +141,67 @@ def extract_report(url_list: DataFrame, pages: DataFrame, as_of: Column, lexicon
     return report_rows(out, F.col("_failed"))
 
 
-def review_extract(pages: DataFrame, site_rules: DataFrame, drop_date_dots: bool = False) -> DataFrame:
-    """(author, published, url, evaluation) of review pages, by a rule set."""
+def review_listings(found: DataFrame, selector: str, marker: str, site_host: str) -> DataFrame:
+    """(url) of the review lists that search result pages link to, each once."""
+    links = with_nodes(found, extra=("attrs",)).select(F.explode(selectors.attributes_of(F.col("nodes"), selector, "href")).alias("href"))
+    return links.select(urls.search_result_link("href", marker, site_host).alias("url")).filter("url is not null").distinct()
+
+
+def opinion_links(listings: DataFrame, selector: str) -> DataFrame:
+    """(listing, url): the real links of the opinions on landed review lists, taken from their click handlers."""
+    calls = with_nodes(listings, extra=("attrs",)).select(
+        F.col("url").alias("listing"), F.explode(selectors.attributes_of(F.col("nodes"), selector, "onmousedown")).alias("call"))
+    return calls.filter("call is not null").select("listing", text.unwrap_js_link("call").alias("url"))
+
+
+def review_extract(pages: DataFrame, site_rules: DataFrame, drop_date_dots: bool = False,
+                   listings: DataFrame | None = None) -> DataFrame:
+    """(author, published, url, evaluation) of review pages, by a rule set; review lists give a row of their URL alone."""
     found = selectors.rule_fields(pages, site_rules)
     field = lambda name: F.try_element_at("fields", F.lit(name))
-    return found.select("url", text.clean_field(field("author")).alias("author"),
-                        text.clean_field(field("published"), drop_date_dots).alias("published"),
-                        field("evaluation").alias("evaluation"))
+    out = found.select("url", text.clean_field(field("author")).alias("author"),
+                       text.clean_field(field("published"), drop_date_dots).alias("published"),
+                       field("evaluation").alias("evaluation"))
+    if listings is None:
+        return out
+    none = F.lit(None).cast("string")
+    return out.unionByName(listings.select("url", none.alias("author"), none.alias("published"), none.alias("evaluation")))
 
 
 def full_run(scrapes: DataFrame, profiles: DataFrame, stored: dict[str, DataFrame], results: DataFrame,
-             landed: DataFrame, site_rules: DataFrame, as_of: Column, days: int = 60) -> DataFrame:
-    """Plan, filter, extract, index and retain for all profiles at once.
+             landed: DataFrame, site_rules: DataFrame, as_of: Column, days: int = 60,
+             comments: DataFrame | None = None, lexicon: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Plan, filter, extract, index and retain for all profiles at once: next versions of all tables.
 
-    Tables that several later steps read are written once to the shared folder: the search
-    tasks, the pages to work on and their texts.
+    ``stored`` holds sources and pages, and may hold comments and a blacklist: blacklisted pages are
+    not worked on, and pages without text come on it. Tables that several later steps read are
+    written once to the shared folder: the search tasks, the pages to work on and their texts.
     """
     tasks = write_once(crawl.plan_crawl(scrapes, profiles, stored["sources"], as_of), "tasks")
     queue = crawl.result_queue(tasks, results)
     wanted = filter_urls(queue.withColumn("_ord", F.col("scrape_id")), "_ord",
                          history=stored["pages"].select("url"))
+    banned = stored.get("blacklist")
+    if banned is None:
+        banned = scrapes.sparkSession.createDataFrame([], "hashed_name string, profile_id bigint")
+    wanted = url_filters.blacklist_filter(wanted, banned)
     bodies = write_once(landed.withColumn("url", urls.normalize("url")).join(
         wanted.select("url", "profile_id", "referring_source_id"), "url"), "bodies")
-    texts = write_once(fetch_and_extract(bodies.select("page_id", "url", "html"), site_rules, as_of)
-                   .filter("outcome = 'success'"), "texts")
+    found = write_once(fetch_and_extract(bodies.select("page_id", "url", "html"), site_rules, as_of, lexicon), "texts")
+    blacklist = index.upsert_blacklist(banned, found.filter("outcome <> 'success'").join(
+        bodies.select("page_id", "profile_id"), "page_id").select("url", "profile_id"))
+    links = with_nodes(bodies.select("page_id", "profile_id", "referring_source_id", "html"), extra=("attrs",)).select(
+        "page_id", "profile_id", "referring_source_id", selectors.links_of(F.col("nodes")).alias("links"), F.col("html").alias("raw"))
     none = F.lit(None).cast("string")
-    docs = (texts.join(bodies.select("page_id", "profile_id", "referring_source_id"), "page_id")
-            .select("url", "title", "content", none.alias("author"), F.array().cast("array<string>").alias("links"),
-                    "profile_id", "referring_source_id", none.alias("etag"), none.alias("raw"), "published",
+    docs = (found.filter("outcome = 'success'").join(links, "page_id")
+            .select("url", "title", "content", none.alias("author"), "links",
+                    "profile_id", "referring_source_id", none.alias("etag"), "raw", "published",
                     F.lit(None).cast("timestamp_ntz").alias("updated"), "lang", none.alias("evaluation"),
                     none.alias("tags"), F.col("page_id").alias("ord")))
-    sources = index.upsert_sources(stored["sources"], docs)
-    return index.retained(index.upsert_pages(stored["pages"], docs, sources, profiles, as_of), as_of, days)
+    docs = write_once(docs, "docs")
+    if comments is None:
+        sources = index.upsert_sources(stored["sources"], docs)
+        tables = {"sources": sources, "pages": index.upsert_pages(stored["pages"], docs, sources, profiles, as_of)}
+    else:
+        tables = index_pages(docs, comments, stored, profiles, as_of)
+    return tables | {"pages": index.retained(tables["pages"], as_of, days), "blacklist": blacklist}
