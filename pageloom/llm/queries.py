@@ -53,8 +53,8 @@ _WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
   b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS ws FROM benchmark),
   w AS (SELECT item, ws, least(13, len(ws)) AS m, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS s FROM b WHERE len(ws) > 0),
   wins AS (SELECT DISTINCT item, m, array_to_string(ws[s:s + m - 1], ' ') AS win FROM w),
-  at AS (SELECT r, ws, m, unnest(range(1, len(ws) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM wins) WHERE len(ws) >= m),
-  found AS (SELECT a.r, a.p, a.m, wins.item FROM (SELECT r, p, m, array_to_string(ws[p:p + m - 1], ' ') AS win FROM at) a JOIN wins USING (m, win)),
+  places AS (SELECT r, ws, m, unnest(range(1, len(ws) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM wins) WHERE len(ws) >= m),
+  found AS (SELECT a.r, a.p, a.m, wins.item FROM (SELECT r, p, m, array_to_string(ws[p:p + m - 1], ' ') AS win FROM places) a JOIN wins USING (m, win)),
   hit AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(p, p + m)) AS pos FROM found) GROUP BY r),
   items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
   SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
@@ -103,7 +103,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_sentencepiece")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs, vocabulary = table(spark, folder, "documents"), pieces.load()
-    found = piece_codec.decoded(piece_codec.encoded(docs, vocabulary, ["doc_id"]), vocabulary)
+    found = piece_codec.there_and_back(docs, vocabulary, ["doc_id"])
     return found.select("row.doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
