@@ -57,8 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the text, their number, and the SHA-256 of the text decoded from them."""
-    vocabulary = pieces.load()
-    found = piece_codec.decoded(piece_codec.encoded(docs, vocabulary, ["doc_id"]), vocabulary)
+    found = piece_codec.there_and_back(docs, pieces.load(), ["doc_id"])
     return found.select("row.doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

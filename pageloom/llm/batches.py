@@ -24,6 +24,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()   # the worker lives on, between tasks and for other functions
 
 
 def packed(docs: DataFrame, keep: list[str]) -> DataFrame:

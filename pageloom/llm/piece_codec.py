@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .batches import batch_of, mapped, packed, slices
 from .pieces import SPACE, Store, Vocabulary, units_of
 
-BLOCK, DEPTH, BATCH_CODES = 4, 16, 400_000
+BLOCK, DEPTH, BATCH_CODES = 4, 16, 200_000
 UNKNOWN = -2
 
 
@@ -131,8 +131,8 @@ class Encoder:
         self.table = np.full(0x110000, len(chars) + 1, dtype=np.uint16)        # characters without a piece
         self.table[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.unknown = len(chars) + 1
-        self.sizes = np.array([len(t) for t in vocabulary.texts], dtype=np.int64)
-        self.pieces = np.array(pieces)
+        self.sizes = np.array([len(t) for t in vocabulary.texts], dtype=np.int32)
+        self.pieces = np.array(pieces, dtype=np.int32)
         codes = np.zeros((len(pieces), DEPTH), dtype=np.uint64)
         filled = np.zeros((len(pieces), DEPTH), dtype=bool)
         for row, i in enumerate(pieces):
@@ -190,7 +190,7 @@ class Encoder:
                 begin, end = np.searchsorted(pair, first[:, 0]), np.searchsorted(pair, last[:, 0])
                 n_each = np.maximum(end - begin, 0)
                 at = np.repeat(begin - (np.cumsum(n_each) - n_each), n_each) + np.arange(n_each.sum())
-                return order[at], np.repeat(self.pieces, n_each)
+                return order[at].astype(np.int32), np.repeat(self.pieces, n_each)
             known, rank = np.unique(pair, return_inverse=True)
             low, high = np.searchsorted(known, first), np.searchsorted(known, last)
             low, high = np.where(used, low, 0), np.where(used, high, len(known))
@@ -212,15 +212,14 @@ class Encoder:
         codes[ends] = 0
         begin = ends - sizes
         start, piece = self.edges(codes)
-        odd = np.flatnonzero(codes == self.unknown)
-        start, piece = np.concatenate((start, odd)), np.concatenate((piece, np.full(len(odd), UNKNOWN)))
-        size = np.where(piece >= 0, self.sizes[piece], 1)
-        end = start + size
-        place = end - np.repeat(begin, sizes + 1)[start]        # how far the end is in its unit
+        odd = np.flatnonzero(codes == self.unknown).astype(np.int32)
+        start, piece = np.concatenate((start, odd)), np.concatenate((piece, np.full(len(odd), UNKNOWN, dtype=np.int32)))
+        end = start + np.where(piece >= 0, self.sizes[piece], np.int32(1))
+        place = end - np.repeat(begin.astype(np.int32), sizes + 1)[start]        # how far the end is in its unit
         # places are small numbers in all but giant units, and those are sorted without comparing
         order = np.argsort(place.astype(np.uint16) if sizes.max(initial=0) < 1 << 16 else place, kind="stable")
         start, end, piece, place = start[order], end[order], piece[order], place[order]
-        last = np.full(len(codes) + 1, -1, dtype=np.int64)      # the last piece of the encoding of what is before
+        last = np.full(len(codes) + 1, -1, dtype=np.int32)      # the last piece of the encoding of what is before
         bounds = np.searchsorted(place, np.arange(1, (place[-1] if len(place) else 0) + 2))
         for p in range(len(bounds) - 1):
             s = slice(bounds[p], bounds[p + 1])
@@ -270,8 +269,9 @@ class Encoder:
         return [t if ok else None for t, ok in zip(texts, ids.is_valid().to_pylist())]
 
 
-def _encoder(vocabulary: Vocabulary, merges: Merges):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coder(vocabulary: Vocabulary, merges: Merges, back: bool):
+    """Encodes; with ``back`` it decodes the ids, too, in the same worker."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, store = Encoder(vocabulary, merges), Store()
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
@@ -280,8 +280,9 @@ def _encoder(vocabulary: Vocabulary, merges: Merges):
             ends = np.concatenate(([0], np.cumsum(sizes)))[ends]
             missing = pa.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=missing)
-            yield batch_of(batch.column("row"), ids=lists)
-    return encode
+            more = {"decoded": pa.array(encoder.decode(lists), pa.string())} if back else {}
+            yield batch_of(batch.column("row"), ids=lists, **more)
+    return code
 
 
 def _decoder(vocabulary: Vocabulary, merges: Merges):
@@ -296,9 +297,14 @@ def _decoder(vocabulary: Vocabulary, merges: Merges):
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
     """row (the columns ``keep``) and ids."""
-    return mapped(packed(docs, keep), _encoder(vocabulary, Merges(vocabulary)), "ids array<int>")
+    return mapped(packed(docs, keep), _coder(vocabulary, Merges(vocabulary), False), "ids array<int>")
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``rows`` (row, ids) with the text of the ids as ``decoded``."""
     return mapped(rows.select("row", "ids"), _decoder(vocabulary, Merges(vocabulary)), "ids array<int>, decoded string")
+
+
+def there_and_back(docs: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
+    """row (the columns ``keep``), ids, and the text decoded from them; in one pass, as ids needn't leave the worker."""
+    return mapped(packed(docs, keep), _coder(vocabulary, Merges(vocabulary), True), "ids array<int>, decoded string")

@@ -39,7 +39,7 @@ from .batches import batch_of, mapped, packed, slices
 SHINGLE, NEAR, BLOCKS, FAN_OUT = 4, 4, 6, 8
 LIMIT = 200_000
 CHUNK, VISITS = 32_768, 1_000_000
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 300_000
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:

@@ -34,7 +34,7 @@ from .batches import batch_of, mapped, packed, slices
 PER_CLASS, TERMS, RANK = 5_000, 4_096, 8
 LEAST, CLEAR, PREFIXES = 3, 5.0, (4, 5, 6)
 TRAIN_TASKS = 8
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,7 +59,7 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each term the rows with either label, for one task's share of the sample."""
-    for batch in slices(batches, limit=8_000_000):
+    for batch in slices(batches, limit=1_000_000):
         docs, index, tokens = tokens_of(batch.column("text"))
         toxic = np.array(batch.column("toxic").to_pylist(), dtype=np.int64)
         own = [terms_of(t) for t in tokens]

@@ -48,6 +48,12 @@ def test_pieces_equal_the_library(vocabulary, most):
         assert back == [*model.decode(ids), None] == [*[t.replace("▁", " ") for t in part], None]
 
 
+def test_two_passes_give_the_same(spark, folder, vocabulary):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20)
+    two = piece_codec.decoded(piece_codec.encoded(docs, vocabulary, ["doc_id"]), vocabulary)
+    assert sorted(two.collect()) == sorted(piece_codec.there_and_back(docs, vocabulary, ["doc_id"]).collect())
+
+
 def test_unigram_counts_equal_the_library(vocabulary):
     """The same pieces and scores as a model of type unigram; unit by unit, as the library adds in single precision."""
     proto = sentencepiece_model_pb2.ModelProto()
