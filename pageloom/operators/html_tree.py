@@ -184,3 +184,11 @@ def parse(html: str, path_tags: frozenset[str] = frozenset(), want_raw: bool = T
             tree.add("c", text=None, raw=token["comment"])
     tree.pop_to(0)
     return tree.rows
+
+
+def parse_or_nothing(html: str, path_tags: frozenset[str] = frozenset(), want_raw: bool = True) -> list[list]:
+    """No rows for a page that can't be parsed: it has no nodes and so no text, and the others of its batch go on."""
+    try:
+        return parse(html, path_tags, want_raw)
+    except Exception:   # whatever is odd about one page
+        return []

@@ -27,7 +27,7 @@ _ARROW = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string
 
 def _nodes_function(wanted: frozenset[str], path_tags: frozenset[str]):
     """An Arrow function from html to the node array; fields not wanted stay null."""
-    names, types, parse = NODE.fieldNames(), _ARROW, html_tree.parse
+    names, types, parse = NODE.fieldNames(), _ARROW, html_tree.parse_or_nothing
 
     @F.arrow_udf(T.ArrayType(NODE))
     def to_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -202,3 +202,29 @@ def test_selectors_are_linear_and_rules_merge(spark):
     fields = selectors.rule_fields(pages, rules).first()["fields"]
     assert fields["all"] == "".join(map(str, range(20_000))) + "end"
     assert time.time() - start < 30
+
+
+def test_a_page_that_cannot_be_parsed_has_no_nodes(monkeypatch):
+    from pageloom.operators import html_tree
+    assert html_tree.parse_or_nothing("<p>x") == html_tree.parse("<p>x")
+    monkeypatch.setattr(html_tree, "_TOKEN", None)
+    assert html_tree.parse_or_nothing("<p>x") == []
+
+
+def test_bad_bytes_and_doubled_rules_stop_nothing(spark):
+    """One batch: broken UTF-8, broken UTF-16, a charset without a name, two rules of one field."""
+    from pageloom.plans import jobs
+    from pageloom.sources.pages import load_pages
+    good = "<body><div class='x'>" + "a text, of words. " * 5 + "</div></body>"
+    fetched = spark.createDataFrame([
+        (1, "http://one.example.com/1", 200, "text/html", "utf-8", good.encode() + b"\xff\xfe"),
+        (2, "http://one.example.com/2", 200, "text/html", "utf-16", good.encode("utf-16") + b"\x00"),
+        (3, "http://two.example.com/3", 200, "text/html", "none-such", good.encode()),
+        (4, "http://two.example.com/4", 200, "text/html", None, None)],
+        "page_id long, url string, status int, content_type string, charset string, raw binary")
+    rules = spark.createDataFrame([("one-example-com", "content", "div.x"), ("one-example-com", "content", "div"),
+                                   ("one-example-com", "title", "div")], "host_slug string, tag string, selector string")
+    out = jobs.fetch_and_extract(load_pages(fetched).select("page_id", "url", "html"), rules, F.lit("2025-01-01").cast("timestamp_ntz"))
+    found = {r["page_id"]: (r["outcome"], r["extractor"]) for r in out.collect()}
+    assert found[1] == found[2] == ("success", "rules") and found[4][0] == "fail"
+    assert found[3][0] == "fail"      # it has no title
