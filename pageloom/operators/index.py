@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates, lang, ratings, text, urls
+from ..session import stored as write_once
 from .url_filters import first_by
 
 # Fixed value: status of a page in a language its profile does not want.
@@ -86,6 +87,8 @@ def upsert_pages(index: DataFrame, docs: DataFrame, sources: DataFrame, profiles
         given = F.coalesce(F.col("_tags"), F.lit("")) != ""
         return F.when(given, ratings.tag_union(old, "_tags")).otherwise(old)
 
+    # folded and joined once, though it is read for known and for new pages
+    fresh = write_once(fresh, "fresh")
     # known pages take two narrow columns, so a small batch can be broadcast to a large index;
     # new pages are told by the url column of the index alone
     known = index.join(fresh.select("url", "_rating", "_tags"), "url", "left").withColumns(
