@@ -360,13 +360,15 @@ for _name in ("s6_feed_comments", "k4_feed_field_map"):
             "conv_id", "generator", "title", "author", F.length(F.regexp_replace("content", r"^\s+|\s+$", "")).cast("bigint").alias("n"), "published")
 
 
+def _rss_xml():
+    return F.concat(F.lit('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel><item><link>'), F.regexp_replace("url", "&", "&amp;"), F.lit("</link><pubDate>"),
+                    F.date_format(F.expr(_DAY), "EEE, dd MMM yyyy"), F.lit(" 10:00:00 GMT</pubDate><media:group><media:title>T"), "page_id",
+                    F.lit("</media:title><media:description>D "), "page_id", F.lit("</media:description></media:group></item></channel></rss>"))
+
+
 @query("s5_rss_items", "SELECT page_id, url, 'T' || page_id AS title, 'D ' || page_id AS content, strftime((DATE '2001-01-01' + (page_id % 7000)::INT)::TIMESTAMP, '%d-%m-%Y') AS published FROM pages")
 def _(t: Tables):
-    esc = F.regexp_replace("url", "&", "&amp;")
-    xml = F.concat(F.lit('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel><item><link>'), esc, F.lit("</link><pubDate>"),
-                   F.date_format(F.expr(_DAY), "EEE, dd MMM yyyy"), F.lit(" 10:00:00 GMT</pubDate><media:group><media:title>T"), "page_id",
-                   F.lit("</media:title><media:description>D "), "page_id", F.lit("</media:description></media:group></item></channel></rss>"))
-    return feeds.rss_items_of(t.pages.select("page_id", xml.alias("xml")))
+    return feeds.rss_items_of(t.pages.select("page_id", _rss_xml().alias("xml")))
 
 
 # whole jobs

@@ -10,7 +10,7 @@ from ..functions import dates, lang, ratings, text, urls, weights
 from ..operators import url_filters
 from ..plans import jobs
 from ..session import dealt, fresh_path
-from ..sources import lists
+from ..sources import lists, pages as page_source
 from .registry import query
 from .views import Tables, as_of
 
@@ -29,7 +29,9 @@ def _sql_decode(expr: str) -> str:
 
 @query("s1_page_scan", "SELECT page_id, url, length(html)::BIGINT AS n FROM pages")
 def _(t: Tables):
-    return t.pages.select("page_id", "url", F.length("html").cast("bigint").alias("n"))
+    path = fresh_path(t.spark, "pages")
+    t.pages.write.parquet(path)
+    return page_source.scan(t.spark, path).select("page_id", "url", F.length("html").cast("bigint").alias("n"))
 
 
 @query("s2_url_csv", "SELECT url FROM pages")
@@ -49,16 +51,24 @@ def _(t: Tables):
     return lists.plain_url_list(t.spark, path)
 
 
-@query("s7_affix_word_list", "SELECT p_name AS word FROM part")
+def _latin_file(t: Tables, lines) -> str:
+    """The lines as a file in Latin-1."""
+    path = fresh_path(t.spark, "words")
+    lines.write.csv(path, encoding="ISO-8859-1", sep="\u0001", quote="")    # the text writer knows UTF-8 only
+    return path
+
+
+@query("s7_affix_word_list", "SELECT p_name || 'é' AS word FROM part")
 def _(t: Tables):
-    return lists.affix_words(t.part.select(F.concat("p_name", F.lit("/AB"), "p_size").alias("value")))
+    lines = t.part.select(F.concat("p_name", F.lit("é/AB"), "p_size").alias("value"))
+    return lists.affix_word_list(t.spark, _latin_file(t, lines))
 
 
-@query("s8_coded_word_list", "SELECT unnest([p_name, lower(p_brand)]) AS word FROM part WHERE p_size > 5")
+@query("s8_coded_word_list", "SELECT unnest([p_name || 'ü', lower(p_brand)]) AS word FROM part WHERE p_size > 5")
 def _(t: Tables):
     line = F.concat(F.when(F.col("p_size") > 5, F.concat("p_size", F.lit("r"), "p_size")).otherwise("x"),
-                    F.lit("<n>"), "p_name", F.lit(" , "), F.lower("p_brand"), F.lit(":rest"))
-    return lists.coded_words(t.part.select(line.alias("value")))
+                    F.lit("<n>"), "p_name", F.lit("ü , "), F.lower("p_brand"), F.lit(":rest"))
+    return lists.coded_word_list(t.spark, _latin_file(t, t.part.select(line.alias("value"))))
 
 
 def _scalar(name: str, column, sql: str, table: str = "pages", key: str = "page_id"):
