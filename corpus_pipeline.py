@@ -42,11 +42,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
-    rows = simhash.with_fingerprint(docs, docs.columns)
-    prints = stored(simhash.with_fingerprint(docs, ["doc_id"]).select("row.doc_id", "fp"), "prints")
-    keepers = simhash.grouped(prints).where("keeper").select(F.col("fp").alias("keeper_fp"), F.col("component_id").alias("keeper_id"))
-    kept = rows.join(keepers, (F.col("fp") == F.col("keeper_fp")) & F.col("row.doc_id").eqNullSafe(F.col("keeper_id")))
-    return whole(docs, kept.dropDuplicates(["keeper_fp", "keeper_id"]))
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

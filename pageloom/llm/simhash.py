@@ -275,6 +275,24 @@ def grouped(prints: DataFrame) -> DataFrame:
         "fp", F.col("first.least").alias("component_id"), (F.col("first.fp") == F.col("fp")).alias("keeper"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay: of each component one with the smallest doc_id.
+
+    Texts are read for their fingerprints once and shuffled once: a row is told by its doc_id and a
+    hash of its text. Of rows that are equal in both, one stays.
+    """
+    mark = F.xxhash64("text")
+    marked = docs.select("doc_id", "text", mark.alias("mark"))
+    prints = stored(with_fingerprint(marked, ["doc_id", "mark"]).select("row.doc_id", "row.mark", "fp"), "prints")
+    keepers = grouped(prints).where("keeper").select("fp", F.col("component_id").alias("keeper_id"))
+    chosen = prints.join(keepers, "fp").where(F.col("doc_id").eqNullSafe(F.col("keeper_id"))).groupBy("fp").agg(
+        F.min("keeper_id").alias("keeper_id"), F.min("mark").alias("keeper_mark"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), mark.alias("mark"))
+    kept = rows.join(chosen.select("keeper_id", "keeper_mark"),
+                     (F.col("mark") == F.col("keeper_mark")) & F.col("doc_id").eqNullSafe(F.col("keeper_id")))
+    return kept.dropDuplicates(["keeper_mark", "keeper_id"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row."""
     prints = stored(with_fingerprint(docs, ["doc_id"]).select("row.doc_id", "fp"), "prints")
