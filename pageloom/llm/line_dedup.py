@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .batches import batch_of, mapped, slices
 
-PERIOD, SHORTEST, LEAST, LONG = 4, 60, 32, 300
+PERIOD, SHORTEST, LEAST, LONG = 2, 40, 32, 300
 _BREAK = re.compile(r"\n+|[.!?]+ +")
 PART = "array<struct<text: string, place: int, hash: long, state: int>>"
 PLAIN, FIRST, AGAIN = 0, 1, 2
