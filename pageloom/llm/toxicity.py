@@ -160,17 +160,17 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
     chosen = marks.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity sample")), F.lit(1 << 20)) < share * (1 << 20))
     # about 2 * per_class rows of an id and a label, whatever the input
-    sample = stored(docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "sample")
+    sample = stored(docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text").repartition(TRAIN_TASKS), "sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return {"constant": float(sizes[1] >= sizes[0])}
-    counted = sample.repartition(TRAIN_TASKS).mapInArrow(_count, "term long, toxic long, clean long").groupBy("term").agg(
+    counted = sample.mapInArrow(_count, "term long, toxic long, clean long").groupBy("term").agg(
         F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     rate = (F.col("t") + F.col("c")) / (n[0] + n[1])
     clear = F.abs(F.col("t") / n[1] - F.col("c") / n[0]) / F.sqrt(rate * (1 - rate + 1e-6) * (1 / n[0] + 1 / n[1]))
     best = counted.where(F.col("t") + F.col("c") >= LEAST).withColumn("clear", clear).where(F.col("clear") >= CLEAR).orderBy(
         F.desc("clear"), "term").limit(TERMS).select("term").toArrow()["term"].to_numpy()
-    rows = sample.repartition(TRAIN_TASKS).mapInArrow(_index(best), "toxic int, terms array<int>").toArrow()
+    rows = sample.mapInArrow(_index(best), "toxic int, terms array<int>").toArrow()
     lists = rows["terms"].combine_chunks()
     label = rows["toxic"].to_numpy().astype(np.float64)
     docs_of = np.repeat(np.arange(len(label)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
