@@ -312,6 +312,13 @@ def _(t: Tables):
     return page_dates.date_candidates(_dated_pages(t), as_of()).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
+@query("u4_dates_and_weights", "SELECT page_id, strftime((DATE '2001-01-01' + (page_id % 7000)::INT)::TIMESTAMP, '%Y-%m-%d') AS date, unnest([4, 2, 3])::BIGINT AS weight FROM pages")
+def _(t: Tables):
+    """The date stands in small, p and div; each date and weight once."""
+    found = page_dates.date_candidates(_dated_pages(t), as_of())
+    return found.select("page_id", F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("weight").cast("bigint").alias("weight"))
+
+
 @query("w4_first_date_candidate", "SELECT page_id, strftime((DATE '2001-01-01' + (page_id % 7000)::INT)::TIMESTAMP, '%Y-%m-%d') AS date FROM pages")
 def _(t: Tables):
     """One date for each page: the first of its candidates."""
