@@ -65,7 +65,8 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     For inputs that lie in few files: a file of one row group is one task otherwise. The caller knows; no
     operator does this by itself.
     """
-    return df.repartition(*keys)
+    # a stated number, as adaptive execution would join small parts into one task again
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
