@@ -4,8 +4,11 @@ A line ends with a line feed or with the end of a sentence within it, so that a
 paragraph has lines too. A rolling hash over the hashes of two lines decides where chunks end (one
 place in ``PERIOD``), so boundaries move with the text and not with its place in the document; a
 paragraph of several lines always begins and ends a chunk, and its last line never stands alone.
-Only chunks of two or more lines (or of ``LONG`` characters), with ``LEAST`` characters at least,
-are removed; single short lines are left alone.
+A long line (``LONG`` characters, ``WORDS`` words, or ``UNSPACED`` characters of a script without
+blanks) begins and ends a chunk too, and is cut within into content-defined runs of words, each a
+chunk, so that a passage within text without sentence ends is found as well. Only chunks of two or
+more lines, long lines and their runs, with ``LEAST`` characters at least, are removed; single short
+lines are left alone.
 
 1. One pass gives every chunk's place and 64-bit hash; no text is shuffled for it.
 2. Hashes that occur twice are found by aggregation; the first occurrence is that of the smallest
@@ -34,7 +37,11 @@ from ..session import stored
 from .batches import batch_of, mapped, slices
 
 PERIOD, SHORTEST, LEAST, LONG = 2, 40, 32, 300
-_BREAK = re.compile(r"\n+|[.!?]+ +")
+WORDS, UNSPACED = 50, 100       # a long line: so many words, or so many characters of a script without blanks
+WORD_WINDOW, LETTER_WINDOW = 6, 16
+_BREAK = re.compile(r"\n+|[.!?]+ +|[\u3002\uff01\uff1f\u0964]+ *")
+_WORD = re.compile(r"\S+\s*", re.A)        # blanks as bytes.split() has them
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 PART = "array<struct<text: string, place: int, hash: long, state: int>>"
 PLAIN, FIRST, AGAIN = 0, 1, 2
 
@@ -53,6 +60,51 @@ def line_ends(text: str) -> tuple[list[int], list[bool]]:
     return ends, feeds
 
 
+def unspaced(text: str, start: int, end: int) -> bool:
+    """Whether it is a script without blanks."""
+    return text.count(" ", start, end) * 20 < end - start and not text[start:end].isascii()
+
+
+def is_long(text: str, start: int, end: int) -> bool:
+    return (end - start >= LONG or end - start >= 2 * WORDS and text.count(" ", start, end) >= WORDS - 1
+            or end - start >= UNSPACED and unspaced(text, start, end))
+
+
+def run_ends(text: str, start: int, end: int) -> list[int]:
+    """Where the runs of a long line end: at words (or letters) whose hash is the least of all in a window around them.
+
+    That depends on the words in the window only, so shared words have the same runs wherever they stand. No run has
+    under ``LEAST`` characters (without blanks, ``LETTER_WINDOW``).
+    """
+    shortest = LEAST
+    if unspaced(text, start, end):
+        shortest = width = LETTER_WINDOW
+        stops = np.arange(start + 1, end + 1)
+        h = np.frombuffer(text[start:end].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    else:
+        width, stops = WORD_WINDOW, np.array([m.end() for m in _WORD.finditer(text, start, end)], dtype=np.int64)
+        words = text[start:end].encode("utf-8", "replace").split()
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(h)
+    if n < 2 * width:
+        return [end]
+    rolled = h * _MIX
+    for back in (1, 2):
+        rolled[back:] = rolled[back:] * _MIX + h[:-back]
+    rolled = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    least = np.ones(n, dtype=bool)
+    for d in range(1, width + 1):
+        least[d:] &= rolled[d:] < rolled[:-d]
+        least[:-d] &= rolled[:-d] <= rolled[d:]
+    least[:width - 1] = least[n - width:] = False
+    out, at = [], start
+    for stop in stops[least].tolist():
+        if stop - at >= shortest and end - stop >= shortest:
+            out.append(stop)
+            at = stop
+    return [*out, end]
+
+
 def chunks_of(text: str) -> list[tuple[int, int, int]]:
     """(start, end, hash) of every chunk that may be removed."""
     ends, feeds = line_ends(text)
@@ -63,21 +115,40 @@ def chunks_of(text: str) -> list[tuple[int, int, int]]:
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(text[s:e].encode("utf-8", "replace")) for s, e in zip(starts, ends)], dtype=np.uint64)
     rolled = h.copy()
-    rolled[1:] += h[:-1] * np.uint64(0x9E3779B97F4A7C15)
-    soft = ((rolled ^ (rolled >> np.uint64(32))) % np.uint64(PERIOD) == 0).tolist()
+    rolled[1:] += h[:-1] * _MIX
+    soft = (rolled ^ (rolled >> np.uint64(32))) % np.uint64(PERIOD) == 0
+    long = np.array([e - s >= UNSPACED and is_long(text, s, e) for s, e in zip(starts, ends)])
     closes = np.flatnonzero(feeds)                              # the last line of each paragraph
     paragraph = np.diff(np.concatenate(([-1], closes)))         # its number of lines
     hard = np.zeros(n, dtype=bool)
     many = paragraph > 1
     hard[closes[many]] = True
     hard[closes[:-1][many[1:]]] = True                          # the next paragraph has several
+    hard[long] = True
+    hard[:-1] |= long[1:]
+    hard[-1] = True
     lone = np.zeros(n, dtype=bool)
     lone[closes[many] - 1] = True                               # one line of the paragraph would be left
-    hard, lone = hard.tolist(), lone.tolist()
+    lone[:-2] |= long[2:]                                       # or one before a long line
+    # one short line of a paragraph between borders goes with the long line after it, or else before it
+    opens = np.concatenate(([True], np.array(feeds[:-1], dtype=bool)))
+    for j in np.flatnonzero(~long & hard & np.concatenate(([True], hard[:-1]))).tolist() if long.any() else ():
+        if not feeds[j] and long[j + 1]:
+            hard[j], lone[j] = False, True
+        elif not opens[j] and long[j - 1]:
+            hard[j - 1], lone[j - 1] = False, True
+    hard, lone, soft, long = hard.tolist(), lone.tolist(), soft.tolist(), long.tolist()
     out, begin, first = [], 0, 0
     for i, end in enumerate(ends):
-        if hard[i] or i == n - 1 or soft[i] and i > first and end - begin >= SHORTEST and not lone[i]:
-            if end - begin >= LEAST and (i > first or end - begin >= LONG):
+        alone = i > first
+        if long[i]:
+            *inner, _ = run_ends(text, starts[i], end)
+            for stop in inner:
+                out.append((begin, stop, digest(text[begin:stop].encode("utf-8", "replace"))))
+                begin = stop
+            alone = True
+        if hard[i] or soft[i] and i > first and end - begin >= SHORTEST and not lone[i]:
+            if alone and (end - begin >= LEAST or long[i]):
                 out.append((begin, end, digest(text[begin:end].encode("utf-8", "replace"))))
             begin, first = end, i + 1
     return out

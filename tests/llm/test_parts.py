@@ -198,6 +198,41 @@ def test_long_shared_passages_go(shape):
     assert gone > {"a paragraph": 0.95, "several lines": 0.9, "within a paragraph": 0.4}[shape] * whole
 
 
+ROW = {"one sentence": 40, "no sentence ends": 40, "list row": 40, "no blanks": 40}
+
+
+@pytest.mark.parametrize("place", ["a line", "between blank lines", "a sentence of a paragraph", "within a long line"])
+@pytest.mark.parametrize("shape", list(ROW))
+def test_long_lines_go(shape, place):
+    """Passages of 51 to 60 words (or 110 letters without blanks) without a sentence end in them."""
+    pick = random.Random(4)
+
+    def words(n):
+        if shape == "no blanks":
+            return "".join(chr(pick.randint(0x4E00, 0x9FFF)) for _ in range(2 * n))
+        own = ["".join(pick.choice(string.ascii_lowercase) for _ in range(pick.randint(2, 8))) for _ in range(n)]
+        return (" | " if shape == "list row" else " ").join(own)
+
+    stop = "。" if shape == "no blanks" else ". "
+    gone = whole = untouched = 0
+    for _ in range(ROW[shape]):
+        passage, seen = words(pick.randint(51, 60)), set()
+        for k in range(4):
+            near = [words(pick.randint(4, 12)) for _ in range(6)]
+            text = {"a line": "\n".join([*near[:3], passage, *near[3:]]),
+                    "between blank lines": "\n\n".join([*near[:3], passage, *near[3:]]),
+                    "a sentence of a paragraph": stop.join([*near[:3], passage, *near[3:]]) + stop,
+                    "within a long line": (" " * (shape != "no blanks")).join([words(90), passage, words(90)])}[place]
+            chunks = [text[s:e] for s, e, _ in line_dedup.chunks_of(text)]
+            cut = sum(len(c) for c in chunks if c in seen)
+            assert all(c.strip(" |\n。.") in passage for c in chunks if c in seen)
+            seen |= set(chunks)
+            if k:
+                gone, whole, untouched = gone + cut, whole + len(passage), untouched + (not cut)
+    assert gone > (0.35 if place == "within a long line" else 0.99) * whole
+    assert untouched <= (0.1 if place == "within a long line" else 0) * 3 * ROW[shape]
+
+
 def test_chunks_cover_in_order():
     for text in made_texts(200, most=400):
         at = 0
