@@ -1,8 +1,10 @@
 """Secret scan: patterns, and a battery of randomness tests for what no pattern names.
 
 Patterns give the base spans (kinds ``assign``, ``access``, ``hex``). The battery looks at every
-run of 20 and more characters of the base-64 alphabets (plain or for URLs, padding aside) that
-holds a digit and a letter and isn't within a base span. The smallest fitting encoding is inferred
+run of 20 and more characters of one base-64 alphabet (plain or for URLs, padding aside) that
+holds a digit and a letter and isn't within a base span, and at every piece of so many characters
+between two of ``/``, ``-``, ``_`` and ``+``, so that a token is tested apart from a path or prefix
+that it is joined to. Of overlapping ones that could be random the longest is kept. The smallest fitting encoding is inferred
 (hex, base 32, 36 in one case, 62, 64), its characters are numbered, and three tests ask whether
 the run could be random: chi-squared uniformity over the alphabet, Wald-Wolfowitz runs above and
 below its middle, and serial correlation at lag 1. Fisher's method makes one p-value of them.
@@ -22,6 +24,7 @@ exclusive; repeated rows get equal spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,11 +50,15 @@ ENCODINGS = (("hex", DIGIT + "abcdef"), ("hex", DIGIT + "ABCDEF"), ("base32", UP
              ("base36", DIGIT + LOWER), ("base36", DIGIT + UPPER), ("base62", UPPER + LOWER + DIGIT),
              ("base64", UPPER + LOWER + DIGIT + "+/"), ("base64", UPPER + LOWER + DIGIT + "-_"))
 _NUMBERED = [(name, frozenset(chars), {c: i for i, c in enumerate(chars)}) for name, chars in ENCODINGS]
-_RUN_CLASS = np.zeros(129, dtype=np.uint8)      # 1: of the alphabets, 2: and in lower-case hex
+# bits: 0 plain base 64, 1 lower-case hex, 2 base 64 for URLs, and letters and digits with each set of marks besides
+MARKS = ("", "+", "/", "-", "_")
+_RUN_CLASS = np.zeros(129, dtype=np.uint8)
 for _c in LOWER + UPPER + DIGIT + "+/-_":
-    _RUN_CLASS[ord(_c)] = 1
+    for _bit, _marks in ((0, "+/"), (2, "-_"), *enumerate(MARKS, 3)):
+        if _c.isalnum() or _c in _marks:
+            _RUN_CLASS[ord(_c)] |= 1 << _bit
 for _c in DIGIT + "abcdef":
-    _RUN_CLASS[ord(_c)] = 3
+    _RUN_CLASS[ord(_c)] |= 2
 CANDIDATE = "struct<start: int, end: int, encoding: string, size: int, bin: int>"
 SPAN = "struct<kind: string, start: int, end: int>"
 
@@ -128,8 +135,9 @@ def scan(texts: list[str]) -> tuple[list[list[tuple]], list[list[tuple]]]:
         spans[i].append((s - int(begins[i]), 2, e - int(begins[i])))
     for own in spans:
         own.sort()
-    starts, ends = runs_of(classes, 0, LEAST_RUN)
-    for i, s, e in zip((np.searchsorted(begins, starts, side="right") - 1).tolist(), starts.tolist(), ends.tolist()):
+    found = {x for bit in (0, *range(2, 3 + len(MARKS))) for x in zip(*(a.tolist() for a in runs_of(classes, bit, LEAST_RUN)))}
+    places = sorted(found)
+    for i, (s, e) in zip((np.searchsorted(begins, [s for s, _ in places], side="right") - 1).tolist(), places):
         if (judged := battery(joined[s:e])) is None:
             continue
         s, e = s - int(begins[i]), e - int(begins[i])
@@ -164,6 +172,16 @@ def rejection_bins(counts: dict[int, int], rate: float = RATE) -> int:
     return least
 
 
+def longest(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of overlapping (start, end) the longest (then the first), by falling length."""
+    out: list[tuple[int, int]] = []     # sorted; none overlap
+    for place in sorted(places, key=lambda x: (x[0] - x[1], x[0])):
+        k = bisect(out, place)
+        if (not k or out[k - 1][1] <= place[0]) and (k == len(out) or place[1] <= out[k][0]):
+            out.insert(k, place)
+    return out
+
+
 def find_secrets(docs: DataFrame, keep: list[str], rate: float = RATE) -> DataFrame:
     """row (the columns ``keep``), base (array of kind, start, end) and spans (base and random ones, sorted)."""
     found = stored(mapped(packed(docs, keep), _scanner, f"spans array<{SPAN}>, candidates array<{CANDIDATE}>"), "secrets")
@@ -172,21 +190,18 @@ def find_secrets(docs: DataFrame, keep: list[str], rate: float = RATE) -> DataFr
     strata: dict[str, dict[int, int]] = {}
     for r in counted.toLocalIterator():
         strata.setdefault(f"{r['encoding']} {r['size']}", {})[r["bin"]] = r["n"]
-    least = [x for k in sorted(strata) for x in (F.lit(k), F.lit(rejection_bins(strata[k], rate)))]
-
-    def random_enough(c: Column) -> Column:
-        if not least:
-            return F.lit(False)
-        return c["bin"] < F.create_map(*least)[F.concat_ws(" ", c["encoding"], c["size"].cast("string"))]
-
-    random = F.transform(F.filter("candidates", random_enough), lambda c: F.struct(
-        F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    order = F.array(*[F.lit(k) for k in KINDS])
-    keyed = F.transform(F.concat("spans", random), lambda s: F.struct(
-        s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
-    every = F.transform(F.array_sort(keyed), lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.select("row", F.col("spans").alias("base"), every.alias("spans"))
+    least = {k: rejection_bins(counts, rate) for k, counts in strata.items()}
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("spans").to_pylist(), batch.column("candidates").to_pylist())
+            every = [own + [{"kind": "random", "start": s, "end": e} for s, e in longest(
+                [(c["start"], c["end"]) for c in candidates if c["bin"] < least[f"{c['encoding']} {c['size']}"]])] for own, candidates in rows]
+            for own in every:
+                own.sort(key=lambda x: (x["start"], KINDS.index(x["kind"]), x["end"]))
+            yield batch_of(batch.column("row"), base=batch.column("spans"), spans=pa.array(every, batch.column("spans").type))
+
+    return mapped(found, choose, f"base array<{SPAN}>, spans array<{SPAN}>")
 
 
 def joined(spans: str) -> Column:

@@ -157,6 +157,35 @@ def test_battery_tells_random_from_written():
     assert secrets_scan.battery("onlylettersinthisverylongword") is None
 
 
+def test_a_token_joined_to_a_path_is_a_candidate():
+    pick = random.Random(6)
+    for around in ("/v1/web-hook/{}", "/etc/my_app/{}", "sk-live/{}", "a+b_c/{}-d", "{}"):
+        for alphabet in ("", "+", "-_"):
+            token = "a1" + "".join(pick.choice(string.ascii_letters + string.digits + alphabet) for _ in range(38))
+            text = "x " + around.format(token) + " y"
+            (_,), (candidates,) = secrets_scan.scan([text])
+            at = text.index(token)
+            assert any(s <= at and e >= at + 40 for s, e, *_ in candidates)
+
+
+def test_tokens_in_paths_are_found(spark):
+    pick = random.Random(7)
+    tokens = ["".join(pick.choice(string.ascii_letters + string.digits) for _ in range(40)) for _ in range(60)]
+    texts = [(k, f"see {('/v1/web-hook/', '/etc/my_app/', 'sk-live/')[k % 3]}{t} there") for k, t in enumerate(tokens)]
+    found = secrets_scan.find_secrets(spark.createDataFrame(texts, "doc_id long, text string"), ["doc_id"]).collect()
+    hits = 0
+    for r in found:
+        text, token = texts[r["row"]["doc_id"]][1], tokens[r["row"]["doc_id"]]
+        spans = [(s["start"], s["end"]) for s in r["spans"]]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        hits += any(s <= text.index(token) and e >= text.index(token) + 40 for s, e in spans)
+    assert hits >= 57
+
+
+def test_longest_of_overlapping_runs():
+    assert secrets_scan.longest([(0, 20), (0, 41), (21, 41), (30, 60), (60, 80), (100, 120)]) == [(0, 41), (60, 80), (100, 120)]
+
+
 def test_rejections_follow_the_share():
     assert secrets_scan.rejection_bins({0: 100}) > 100
     least = secrets_scan.rejection_bins({0: 50, 5: 50, 200: 100})
