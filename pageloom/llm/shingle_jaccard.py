@@ -1,0 +1,116 @@
+"""Near-duplicates by words: documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+1. Every text gets ``BANDS`` * ``ROWS`` min-hashes of its distinct shingles; each band of them is a
+   bucket key. Two texts with a similarity of 0.8 share a bucket with probability 0.99997.
+2. All pairs of a bucket are candidates; a bucket of more than ``LIMIT`` texts is cut into parts at
+   first, as most of such a group goes in one round. Every candidate's sets are compared whole.
+3. Of each component of linked texts the one with the smallest doc_id stays. Rounds go on, over what
+   stays, until none goes; the last round cuts no bucket, so no candidate pair is left uncompared.
+
+Only the keys of all texts are shuffled, and the sets of texts that are candidates.
+
+Defined results: texts of one to four words have one shingle; texts without words have none and are
+linked with nothing; of linked texts with one doc_id the one with the smaller hash stays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import stored
+from .batches import batch_of, mapped, slices
+from .simhash import components, shingle_hashes
+
+SHINGLE, BANDS, ROWS = 5, 20, 4
+LIMIT, PART = 64, 32
+SLICE_BYTES, STEP = 300_000, 20_000
+_LANES = np.random.default_rng(8).integers(0, 2 ** 63, (2, BANDS * ROWS), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def distinct_shingles(text: str | None) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, SHINGLE), dtype=np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band; an empty array if there is no shingle."""
+    if not len(shingles):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(BANDS * ROWS, np.uint64(2 ** 64 - 1))
+    for at in range(0, len(shingles), STEP):
+        mixed = shingles[at:at + STEP, None] * _LANES[0] + _LANES[1]
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, limit=SLICE_BYTES):
+        found = [band_keys(distinct_shingles(t)).tolist() for t in batch.column("text").to_pylist()]
+        yield batch_of(batch.column("row"), keys=pa.array(found, pa.list_(pa.int64())))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, limit=SLICE_BYTES):
+        found = [distinct_shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
+        yield batch_of(batch.column("row"), shingles=pa.array(found, pa.list_(pa.int64())))
+
+
+def candidates(nodes: DataFrame, seed: int, whole: bool) -> DataFrame:
+    """Distinct pairs a < b of nodes that share a bucket, or a part of a large one."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = keyed.join(sizes, "key")
+    if whole:
+        keyed = keyed.select("key", "node", F.lit(0).cast("long").alias("part"))
+    else:
+        parts = F.when(F.col("n") > LIMIT, F.ceil(F.col("n") / PART)).otherwise(1)
+        keyed = keyed.select("key", "node", F.pmod(F.xxhash64("node", "key", F.lit(seed)), parts).alias("part"))
+    keyed = stored(keyed, "buckets")
+    other = keyed.select("key", "part", F.col("node").alias("b"))
+    return keyed.withColumnRenamed("node", "a").join(other, ["key", "part"]).where("a < b").select("a", "b").distinct()
+
+
+def near_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are near. ``texts`` has row.node and text."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    own = texts.select("row", "text", F.col("row.node").alias("node")).join(wanted, "node", "left_semi").select("row", "text")
+    sets = stored(mapped(own, _sets, "shingles array<long>").select("row.node", "shingles"), "shingles")
+    sets = sets.dropDuplicates(["node"])
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    # shared / (all - shared) >= 0.8
+    return pairs.join(one, "a").join(two, "b").where(9 * shared >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay. Rows equal in doc_id and text go or stay together."""
+    node = F.xxhash64("doc_id", "text")
+    texts = docs.select(F.struct("doc_id", node.alias("node")).alias("row"), F.col("text"))
+    nodes = stored(mapped(texts, _keys, "keys array<long>").select("row.doc_id", "row.node", "keys").dropDuplicates(["node"]), "bands")
+    gone, seed, whole = None, 0, False
+    while True:
+        pairs = stored(candidates(nodes, seed, whole), "candidates")
+        roots = components(near_pairs(texts, pairs)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if roots.isEmpty():
+            if whole:
+                break
+            whole = True
+            continue
+        linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "doc_id"), "node")
+        first = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first"))
+        losers = stored(linked.join(first, "root").where(F.col("node") != F.col("first.node")).select("node"), "losers")
+        gone = losers if gone is None else stored(gone.unionByName(losers), "losers")
+        nodes, seed = stored(nodes.join(losers, "node", "left_anti"), "bands"), seed + 1
+    if gone is None:
+        return docs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node.alias("node"))
+    return rows.join(gone, "node", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
