@@ -25,20 +25,24 @@ def local_session(name: str = "pageloom", cpus: int | str = "*", partitions: int
     )
 
 
+_OWN: dict[str, str] = {}       # by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster a folder
-    on one machine would be lost with that machine.
+    Only a local session, which has one machine, may do without: it gets a temporary folder. On a
+    cluster a folder on one machine would be lost with that machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="pageloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="pageloom-")
+    return _OWN[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
