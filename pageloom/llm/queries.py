@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_id, line_dedup, multiset_hash, piece_codec, pieces, secrets_scan, sharding, simhash, token_counts, toxicity
+from . import (decontaminate, hard_negatives, language_id, line_dedup, merge_codec, multiset_hash, phrases, piece_codec, pieces, secrets_scan, sharding,
+               simhash, token_counts, toxicity)
 from .batches import crc_of_id, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +112,53 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.counted(table(spark, folder, "documents"), pieces.load(), ["doc_id"]).select(
         "row.doc_id", "n_pretokens", "n_tokens", "n_unigram")
+
+
+@query("op11_hard_negatives", """
+  WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  pairs AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+  pos AS (SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id NULLS LAST, b) <= 5),
+  neg AS (SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+      row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.other_id NULLS LAST, n.b) AS rank
+    FROM pos p JOIN pairs n ON n.a = p.a AND NOT n.same WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+  SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_merge_codec")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = merge_codec.there_and_back(table(spark, folder, "documents"), merge_codec.load(), ["doc_id"])
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_hex(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
+                        sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
+_PIECES = r"""SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents"""
+
+
+@query("op13_phrases", rf"""
+  WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM ({_PIECES})),
+  s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p WHERE len(ws) > 0),
+  g AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, m AS size FROM s, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(ws)),
+  c AS (SELECT lang, phrase, size, count(*) AS f FROM g GROUP BY ALL),
+  n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE size = 1 GROUP BY lang),
+  f AS (SELECT *, string_split(phrase, ' ') AS ws FROM c WHERE f >= 30),
+  cuts AS (SELECT lang, phrase, f AS a, size, ws, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+  cut AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score FROM cuts c
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:], ' ')),
+  best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  subs AS (SELECT lang, f, ws, size, unnest(range(2, size)) AS m FROM f WHERE size > 2),
+  places AS (SELECT lang, f, ws, m, unnest(range(1, size - m + 2)) AS s FROM subs),
+  longer AS (SELECT lang, array_to_string(ws[s:s + m - 1], ' ') AS phrase, max(f) AS f FROM places GROUP BY ALL),
+  kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.f IS NULL OR 100::HUGEINT * o.f < 80::HUGEINT * b.a)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
