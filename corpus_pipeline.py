@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontaminate, line_dedup, piece_codec, pieces, shingle_jaccard, simhash, toxicity
+from pageloom.llm import decontaminate, line_dedup, piece_codec, pieces, simhash, toxicity
 from pageloom.session import stored, table
 
 REJECTED_FROM = 0.5
@@ -41,11 +41,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays.
-
-    First by SimHash, which takes what is all but equal; then, of what stays, by a similarity of 0.8 of five-word shingles.
-    """
-    return shingle_jaccard.keep_one(stored(simhash.keep_one(docs), "not near by SimHash"))
+    """Of each group of documents linked by SimHash (four-word shingles, four bits) the one with the smallest doc_id stays."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
