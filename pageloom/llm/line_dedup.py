@@ -39,23 +39,25 @@ from .batches import batch_of, mapped, slices
 PERIOD, SHORTEST, LEAST, LONG = 2, 40, 32, 300
 WORDS, UNSPACED = 50, 100       # a long line: so many words, or so many characters of a script without blanks
 WORD_WINDOW, LETTER_WINDOW = 6, 16
-_BREAK = re.compile(r"\n+|[.!?]+ +|[\u3002\uff01\uff1f\u0964]+ *")
+# as \n+ or [.!?]+ and blanks or full stops of other scripts; a set of characters comes first, which the engine looks for fast
+_STOPS = "\u3002\uff01\uff1f\u0964"
+_BREAK = re.compile(rf"([\n.!?{_STOPS}](?:(?<=\n)\n*|(?<=[.!?])[.!?]* +|(?<=[{_STOPS}])[{_STOPS}]* *))")
 _WORD = re.compile(r"\S+\s*", re.A)        # blanks as bytes.split() has them
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 PART = "array<struct<text: string, place: int, hash: long, state: int>>"
 PLAIN, FIRST, AGAIN = 0, 1, 2
 
 
-def line_ends(text: str) -> tuple[list[int], list[bool]]:
+def line_ends(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Where each line ends, and whether a line feed ends it (or the text)."""
-    ends, feeds = [], []
-    for m in _BREAK.finditer(text):
-        ends.append(m.end())
-        feeds.append(text[m.start()] == "\n")
-    if text and (not ends or ends[-1] < len(text)):
-        ends.append(len(text))
-        feeds.append(True)
-    if feeds:
+    parts = _BREAK.split(text)      # lines and what ends them, in turn
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    feeds = np.array([p[0] == "\n" for p in parts[1::2]] + [True], dtype=bool)
+    ends = np.cumsum(sizes)[1::2]
+    if sizes[-1]:
+        ends = np.append(ends, len(text))
+    feeds = feeds[:len(ends)]
+    if len(feeds):
         feeds[-1] = True
     return ends, feeds
 
@@ -82,7 +84,8 @@ def run_ends(text: str, start: int, end: int) -> list[int]:
         stops = np.arange(start + 1, end + 1)
         h = np.frombuffer(text[start:end].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     else:
-        width, stops = WORD_WINDOW, np.array([m.end() for m in _WORD.finditer(text, start, end)], dtype=np.int64)
+        words = _WORD.findall(text, start, end)         # a word and the blanks after it
+        width, stops = WORD_WINDOW, np.cumsum([len(text[start:end]) - sum(map(len, words)), *map(len, words)])[1:] + start
         words = text[start:end].encode("utf-8", "replace").split()
         h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = len(h)
@@ -111,13 +114,26 @@ def chunks_of(text: str) -> list[tuple[int, int, int]]:
     n = len(ends)
     if not n:
         return []
-    starts = [0, *ends[:-1]]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(text[s:e].encode("utf-8", "replace")) for s, e in zip(starts, ends)], dtype=np.uint64)
+    at_start = np.concatenate(([0], ends[:-1]))
+    starts, stops = at_start.tolist(), ends.tolist()
+    digest, data = xxhash.xxh64_intdigest, text.encode("utf-8", "replace")
+    if len(data) == len(text):      # one byte a character: slices of the bytes will do
+
+        def hash_of(start: int, end: int) -> int:
+            return digest(data[start:end])
+        h = [digest(data[s:e]) for s, e in zip(starts, stops)]
+    else:
+
+        def hash_of(start: int, end: int) -> int:
+            return digest(text[start:end].encode("utf-8", "replace"))
+        h = [hash_of(s, e) for s, e in zip(starts, stops)]
+    h = np.array(h, dtype=np.uint64)
     rolled = h.copy()
     rolled[1:] += h[:-1] * _MIX
     soft = (rolled ^ (rolled >> np.uint64(32))) % np.uint64(PERIOD) == 0
-    long = np.array([e - s >= UNSPACED and is_long(text, s, e) for s, e in zip(starts, ends)])
+    long = ends - at_start >= UNSPACED
+    for i in np.flatnonzero(long).tolist():
+        long[i] = is_long(text, starts[i], stops[i])
     closes = np.flatnonzero(feeds)                              # the last line of each paragraph
     paragraph = np.diff(np.concatenate(([-1], closes)))         # its number of lines
     hard = np.zeros(n, dtype=bool)
@@ -131,25 +147,26 @@ def chunks_of(text: str) -> list[tuple[int, int, int]]:
     lone[closes[many] - 1] = True                               # one line of the paragraph would be left
     lone[:-2] |= long[2:]                                       # or one before a long line
     # one short line of a paragraph between borders goes with the long line after it, or else before it
-    opens = np.concatenate(([True], np.array(feeds[:-1], dtype=bool)))
+    opens = np.concatenate(([True], feeds[:-1]))
     for j in np.flatnonzero(~long & hard & np.concatenate(([True], hard[:-1]))).tolist() if long.any() else ():
         if not feeds[j] and long[j + 1]:
             hard[j], lone[j] = False, True
         elif not opens[j] and long[j - 1]:
             hard[j - 1], lone[j - 1] = False, True
-    hard, lone, soft, long = hard.tolist(), lone.tolist(), soft.tolist(), long.tolist()
     out, begin, first = [], 0, 0
-    for i, end in enumerate(ends):
-        alone = i > first
-        if long[i]:
+    ask = np.flatnonzero(long | hard | soft & ~lone)            # nothing happens at other lines
+    for i, is_hard, is_long_ in zip(ask.tolist(), hard[ask].tolist(), long[ask].tolist()):
+        end, alone = stops[i], i > first
+        if is_long_:
             *inner, _ = run_ends(text, starts[i], end)
             for stop in inner:
-                out.append((begin, stop, digest(text[begin:stop].encode("utf-8", "replace"))))
+                out.append((begin, stop, hash_of(begin, stop)))
                 begin = stop
             alone = True
-        if hard[i] or soft[i] and i > first and end - begin >= SHORTEST and not lone[i]:
-            if alone and (end - begin >= LEAST or long[i]):
-                out.append((begin, end, digest(text[begin:end].encode("utf-8", "replace"))))
+        # a line that is neither hard nor long is soft and may close
+        if is_hard or i > first and end - begin >= SHORTEST and not lone[i] and soft[i]:
+            if alone and (end - begin >= LEAST or is_long_):
+                out.append((begin, end, hash_of(begin, end)))
             begin, first = end, i + 1
     return out
 

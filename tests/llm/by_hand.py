@@ -1,9 +1,10 @@
 """What the operators must return, said the plain way; for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -82,3 +83,45 @@ def edited(text, following):
     text, following = text or "", following or ""
     k = len(text) // 2
     return text[:len(text) - k] + following[:k]
+
+
+def hard_negatives(rows):
+    """rows: (vec_id, label, vector or None) -> (anchor, positive, rank, negative, positive score, negative score)."""
+    kept = []
+    for place, (i, label, v) in enumerate(rows):
+        if label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        kept.append((place, i, (label + 1) % 10 if i is not None and i % 7 == 0 else label, [math.floor(256 * x) for x in v]))
+    out = []
+    for place, i, label, v in kept:
+        if i is None or i % 50:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), math.inf if j is None else j, at, j, other) for at, j, other, w in kept if at != place)
+        for minus, _, _, j, _ in [x for x in scored if x[4] == label][:5]:
+            near = [x for x in scored if x[4] != label and 50 * -minus <= 100 * -x[0] <= 95 * -minus][:3]
+            out += [(i, j, k + 1, x[3], -minus, -x[0]) for k, x in enumerate(near)]
+    return out
+
+
+def collocations(docs, least=30, top=2000):
+    """docs: (lang, text) -> (lang, rank, phrase, a, l, r, n, score)."""
+    f, n = Counter(), Counter()
+    for lang, text in docs:
+        lang = lang or "und"
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text)):
+            words = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for size in range(1, 5):
+                f.update((lang, *words[k:k + size]) for k in range(len(words) - size + 1))
+    candidates = {p: a for p, a in f.items() if a >= least and len(p) > 2}
+    gone = {(p[0], *p[s:s + m]) for p, a in candidates.items() for m in range(2, len(p) - 1) for s in range(1, len(p) - m + 1)
+            if 100 * a >= 80 * f[(p[0], *p[s:s + m])]}
+    found = defaultdict(list)
+    for (lang, *words), a in candidates.items():
+        if (lang, *words) in gone:
+            continue
+        cuts = [(2000000 * a // (f[(lang, *words[:k])] + f[(lang, *words[k:])]), k) for k in range(1, len(words))]
+        score, k = min(cuts)
+        found[lang].append((-score, -a, " ".join(words).encode(), f[(lang, *words[:k])], f[(lang, *words[k:])]))
+    return [(lang, rank, p.decode(), -a, le, r, n[lang], -score)
+            for lang, own in found.items() for rank, (score, a, p, le, r) in enumerate(sorted(own)[:top], 1)]

@@ -1,4 +1,5 @@
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -12,6 +13,13 @@ TEXTS = [
     (11, "q7Zk2LmP9xVb4Rt8WcY1sHd6JfNgAe3u and plain words"), (12, "0 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"),
 ]
 ITEMS = [(0, "0 1 2 3 4 5 6 7 8 9 10 11 12 13"), (1, None), (2, "..."), (3, "one two three four one two"), (3, "PLAIN WORDS"), (None, "x")]
+# nulls, parts that are null or no numbers, ties, repeated rows, shorter and empty vectors, all zeros, negative scores
+VECTORS = [
+    (0, 1, [1.0, 0.0]), (0, 1, [1.0, 0.0]), (50, 2, [1.0, 0.0]), (100, 3, [0.0, 0.0]), (None, 2, [1.0, 0.0]), (None, None, [1.0, 0.0]),
+    (1, 2, None), (2, 2, [1.0, None]), (3, 2, [1.0, float("nan")]), (4, 2, [1.0, float("inf")]), (5, 2, [1.0]), (6, 2, []), (150, 2, []),
+    *[(10 + k, 2, [0.9, 0.1 * k]) for k in range(8)], *[(30 + k, 3, [0.6 + 0.01 * (k // 2), 0.2]) for k in range(8)],
+    (40, 3, [0.7, 0.0]), (40, 3, [0.7, 0.0]), (200, 4, [-1.0, 0.5]), (201, 4, [1.0, -0.5]), (202, 4, [1.0, -0.5]), (250, None, [1.0, 1.0]), (-50, 2, [0.5, 0.5]),
+]
 
 
 @pytest.fixture(scope="session")
@@ -30,12 +38,15 @@ def edge_folder(tmp_path_factory):
         folder / "benchmark.parquet")
     pd.DataFrame({"doc_id": pd.array([1, 6, 6, 7, None], dtype="Int64"), "quality": 1,
                   "toxic": pd.array([0, 0, 1, None, 1], dtype="Int64")}).to_parquet(folder / "labels.parquet")
+    pq.write_table(pa.table({
+        "vec_id": pa.array([v[0] for v in VECTORS], pa.int64()), "label": pa.array([v[1] for v in VECTORS], pa.int32()),
+        "embedding": pa.array([v[2] for v in VECTORS], pa.list_(pa.float32())), "body": list(range(len(VECTORS))), "place": "p"}), folder / "embeddings.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="session")
 def empty_folder(tmp_path_factory, folder):
     out = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark", "labels"):
+    for name in ("documents", "benchmark", "labels", "embeddings"):
         pq.write_table(pq.read_table(f"{folder}/{name}.parquet").slice(0, 0), out / f"{name}.parquet")
     return str(out)

@@ -4,8 +4,11 @@ import re
 import zlib
 
 import pandas as pd
+import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+import tokenizers
 
 import by_hand
 import corpus_pipeline
@@ -169,6 +172,30 @@ def test_decontamination(spark, data):
     assert any(r["contaminated"] for r in found)
 
 
+def test_hard_negatives(spark, data):
+    rows = pq.read_table(f"{data[1]}/embeddings.parquet").to_pylist()
+    found = QUERIES["op11_hard_negatives"](spark, data[1]).collect()
+    wanted = by_hand.hard_negatives([(r["vec_id"], r["label"], r["embedding"]) for r in rows])
+    same([tuple(r) for r in found], wanted)
+    assert found
+
+
+def test_merge_codec(spark, data):
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+    def value(d):
+        ids = library.encode(d["text"] or "", add_special_tokens=False).ids
+        return len(ids), by_hand.sha(" ".join(map(str, ids))), by_hand.sha(library.decode(ids, skip_special_tokens=False))
+    found, wanted = together(spark, data, 12, value)
+    same([(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found], wanted)
+
+
+def test_phrases(spark, data):
+    found = QUERIES["op13_phrases"](spark, data[1]).collect()
+    same([tuple(r) for r in found], by_hand.collocations([(d["lang"], d["text"]) for d in documents(data[1])]))
+    assert found
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_no_documents(spark, empty_folder, name):
     assert QUERIES[name](spark, empty_folder).count() == 0
@@ -200,6 +227,10 @@ def test_pipeline_stages(spark, data):
             same(after, [r for r in before if not by_hand.contamination(r["text"], wins)[-1]])
 
 
+def test_pipeline_without_documents(spark, empty_folder):
+    assert corpus_pipeline.run(spark, empty_folder).count() == 0
+
+
 def test_pipeline_is_registered(spark, folder):
     import __spark_entry__
     assert "pipeline" in __spark_entry__.queries()
