@@ -1,19 +1,23 @@
-"""Phrase collocations of each language, mined by a sample, its negative border, and passes until no border fails.
+"""Phrase collocations of each language, mined by a sample, its negative border, and a pass for what fails there.
 
-1. A sample of the texts (one in ``RATE``, by a hash) proposes phrases of one to three words.
+1. A sample of the texts (one in ``RATE``, by a hash) proposes phrases of one to three words; words and
+   pairs first, then triples of proposed pairs.
 2. A pass over all texts counts every phrase whose first words and last words (all but one) are
    proposed: these are the proposed phrases and those of their negative border that occur at all. Single
    words are counted without condition.
 3. A phrase found frequent that wasn't proposed is a border failure: longer phrases around it may be
-   uncounted. Another pass counts the phrases that the enlarged set admits and no pass before has; passes
-   go on until none fails. All counts of frequent phrases are then exact.
+   uncounted. An expansion pass counts what the enlarged set admits and the first pass hasn't counted. It
+   goes on from a phrase that it counts as if that were frequent, so longer phrases around it are counted in
+   the same pass. With that the set is closed: the parts of a frequent phrase are frequent, and each of
+   them was counted by the first pass and is in the enlarged set, or is counted by this one. So no border
+   can fail again, and all counts of frequent phrases are exact.
 
 What is proposed reaches the tasks as a bit table of stated size. A phrase let in by a collision of bits
 is counted exactly as well, in all texts, so collisions cost work but change no result; and "counted by
-an earlier pass" is asked of that pass's own table. Phrases are told apart by their words, not by hashes.
+the first pass" is asked of that pass's own rule. Phrases are told apart by their words, not by hashes.
 
 Only counts are shuffled, combined before; no phrase has more rows than there are slices. A slice of
-some eight megabytes of text is held at a time.
+some four megabytes of text is held at a time.
 
 Defined results: a null text is empty, a null language ``und``; empty texts and repeated rows count as
 they stand; no document, no row.
@@ -26,7 +30,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +40,10 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: One text in RATE proposes; a phrase seen LEAST / RATE * EASE times there is proposed.
 RATE, EASE = 8, 0.8
 BITS = 1 << 26
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 UNKNOWN = "und"
-COUNTS = "lang string, size int, phrase string, f long"
+#: A phrase of a language as one string: no word holds a line feed or a blank.
+COUNTS = "key string, f long"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -58,8 +62,19 @@ def mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def hashed(texts: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 7) for t in texts], dtype=np.uint64)
+def hashed(texts: pa.Array) -> np.ndarray:
+    """A hash of each string: its bytes times powers of an odd number, summed and mixed."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]].astype(np.uint64)
+    sizes = np.diff(ends)
+    power = np.multiply.accumulate(np.full(int(sizes.max(initial=0)) + 1, _ODD[0]))
+    data = (data + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], sizes)]
+    out = np.zeros(len(texts), dtype=np.uint64)
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(data, (ends[:-1] - ends[0])[some])
+    return mixed(out, sizes.astype(np.uint64))
 
 
 def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +110,10 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndar
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, text, together
 
 
-def phrases_of(texts: pa.Array, langs: pa.Array, tables: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts within these texts of the phrases that the last table admits and none before; with no table, of all.
+def phrases_of(texts: pa.Array, langs: pa.Array, tables: list[np.ndarray], sizes: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Counts within these texts of the phrases of so many words that the last table admits and none before; with no table, of all.
 
-    ``tables``: of the passes up to this one.
+    Of two tables the second is that of the expansion pass.
     """
     words, spelled, text, together = words_of(texts)
     if not len(words):
@@ -107,17 +122,18 @@ def phrases_of(texts: pa.Array, langs: pa.Array, tables: list[np.ndarray], longe
     of_word = tongue.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
     # single words of a language
     ids, index, n = np.unique(of_word * len(spelled) + words, return_inverse=True, return_counts=True)
-    lang, phrase = tongue.dictionary.take(pa.array(ids // len(spelled))), spelled.take(pa.array(ids % len(spelled)))
-    word_hash = hashed(spelled.to_pylist())[ids % len(spelled)]
-    own = mixed(hashed(tongue.dictionary.to_pylist())[ids // len(spelled)], word_hash)
-    if len(tables) < 2:     # single words are counted by the first pass
-        yield counted(lang, 1, phrase, n)
-    singles, single_of = phrase, index          # by place: which word
+    word = spelled.take(pa.array(ids % len(spelled)))
+    phrase = pc.binary_join_element_wise(tongue.dictionary.cast(pa.large_string()).take(pa.array(ids // len(spelled))), word, pa.scalar("\n", pa.large_string()))
+    word_hash = hashed(spelled)[ids % len(spelled)]
+    own = mixed(hashed(tongue.dictionary)[ids // len(spelled)], word_hash)
+    if sizes[0] == 1:
+        yield counted(phrase, n)
+    singles, single_of = word, index          # by place: which word
     at = np.arange(len(words))                  # places where a phrase of this size begins
-    known = [holds(t, own) for t in tables]     # of the distinct phrases, by pass: admitted by it, and in its table
-    run = np.ones(len(words), dtype=bool)       # so many words follow in the piece
+    # by pass, of the distinct phrases: those that longer ones may be made of
+    known = [holds(t, own) for t in tables]
     first = index
-    for size in range(2, longest + 1):
+    for size in range(2, sizes[1] + 1):
         # a phrase is its first words, and its last word; its last words are the phrase one place on
         run = run[:-1] & together[size - 2:] if size > 2 else together
         place = np.full(len(words) + 1, -1, dtype=np.int64)
@@ -135,82 +151,81 @@ def phrases_of(texts: pa.Array, langs: pa.Array, tables: list[np.ndarray], longe
         last = single_of[begin + size - 1]
         ids, index, n = np.unique(head * len(singles) + last, return_inverse=True, return_counts=True)
         head, last = ids // len(singles), ids % len(singles)
-        lang = lang.take(pa.array(head))
         phrase = pc.binary_join_element_wise(phrase.take(pa.array(head)), singles.take(pa.array(last)), pa.scalar(" ", pa.large_string()))
         own = mixed(own[head], word_hash[last])
+        wanted = np.ones(len(ids), dtype=bool)
         if tables:
             by_pass = []
             for k in admitted:
                 by_pass.append(np.zeros(len(ids), dtype=bool))
                 by_pass[-1][index] = k      # the tables look at the phrase alone, so all its places agree
-            wanted = by_pass[-1] & ~np.logical_or.reduce([np.zeros(len(ids), bool), *by_pass[:-1]])
-            if wanted.any():
-                keep = pa.array(wanted)
-                yield counted(lang.filter(keep), size, phrase.filter(keep), n[wanted])
-            known = [k & holds(t, own) for k, t in zip(by_pass, tables)]
-        else:
-            yield counted(lang, size, phrase, n)
+            wanted = by_pass[-1] & ~by_pass[0] if len(tables) > 1 else by_pass[0]
+            # the expansion pass goes on from what it counts
+            known = [k & (holds(t, own) | (wanted if i else False)) for i, (k, t) in enumerate(zip(by_pass, tables))]
+        if size >= sizes[0] and wanted.any():
+            keep = pa.array(wanted)
+            yield counted(phrase.filter(keep), n[wanted])
         at, first = begin, index
 
 
-def counted(lang: pa.Array, size: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), phrase.cast(pa.string()), pa.array(n, pa.int64())],
-                                      ["lang", "size", "phrase", "f"])
+def counted(key: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(n, pa.int64())], ["key", "f"])
 
 
-def count(docs: DataFrame, tables: list, longest: int = LONGEST) -> DataFrame:
-    """(lang, size, phrase, f) of the phrases that the last of the tables admits; ``tables`` are broadcasts of BITS bits each."""
+def count(docs: DataFrame, tables: list, sizes: tuple[int, int], least: int, all_words: bool = False) -> DataFrame:
+    """(lang, size, phrase, f) of the phrases of so many words that the last of the tables admits and that are there ``least`` times.
+
+    ``tables`` are broadcasts of BITS bits each. With ``all_words`` single words have no least number.
+    """
     def per_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [np.frombuffer(t.value, dtype=np.uint8) for t in tables]
         for batch in slices(batches, limit=SLICE_BYTES):
-            for found in phrases_of(batch.column("text"), batch.column("lang"), own, longest):
+            for found in phrases_of(batch.column("text"), batch.column("lang"), own, sizes):
                 for start in range(0, found.num_rows, 50_000):
                     yield found.slice(start, 50_000)
     rows = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(per_slice, COUNTS)
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    sums = rows.groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", -1)
+    often = (F.col("f") >= least) | ~phrase.contains(" ") if all_words else F.col("f") >= least
+    return sums.where(often).withColumn("phrase", phrase).select(
+        F.expr("left(key, length(key) - length(phrase) - 1)").alias("lang"), F.size(F.split("phrase", " ")).alias("size"), "phrase", "f")
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = pc.split_pattern(batch.column("phrase").cast(pa.large_string()), " ")
+        starts, of_word = words.offsets.to_numpy()[:-1], hashed(words.flatten())
+        sizes, h = pc.list_value_length(words).to_numpy(), hashed(batch.column("lang"))
+        for k in range(LONGEST):
+            has = sizes > k
+            h[has] = mixed(h[has], of_word[starts[has] - words.offsets[0].as_py() + k])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places(h)))], ["bit"])
 
 
 def bit_table(phrases: DataFrame):
-    """A broadcast of BITS bits that holds the phrases of one to three words; the size is the same for any number of them."""
-    spark = phrases.sparkSession
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.zeros(batch.num_rows, dtype=np.uint64)
-            for k, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())):
-                own = hashed([lang, *phrase.split(" ")])
-                mark = own[:1]
-                for word in own[1:]:
-                    mark = mixed(mark, word)
-                h[k] = mark[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places(h)))], ["bit"])
-    found = phrases.where(F.col("size") < LONGEST).select("lang", "phrase").mapInArrow(bits, "bit long")
+    """A broadcast of BITS bits that holds the phrases; the size is the same for any number of them."""
+    found = phrases.select("lang", "phrase").mapInArrow(_bits, "bit long")
     words = found.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(BITS // 64, dtype=np.int64)
     table[words.column("at").to_numpy()] = words.column("bits").to_numpy()
-    return spark.sparkContext.broadcast(table.tobytes())
+    return phrases.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """All phrases of one to ``LONGEST`` words with f >= least, as (lang, size, phrase, f), and (lang, n): all words of a language."""
     part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(RATE)) == 0)
-    proposed = stored(count(part, [], LONGEST - 1).where(F.col("f") >= max(2, int(least / RATE * EASE))).select("lang", "size", "phrase"), "proposed")
-    tables, found, totals = [bit_table(proposed)], None, None
-    known = proposed
-    while True:
-        fresh = count(docs, tables)
-        if totals is None:      # n is the sum over single words, which the first pass counts all
-            fresh = stored(fresh.where((F.col("f") >= least) | (F.col("size") == 1)), "counted")
-            totals = fresh.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-            fresh = fresh.where(F.col("f") >= least)
-        else:
-            fresh = stored(fresh.where(F.col("f") >= least), "counted")
-        found = fresh if found is None else found.unionByName(fresh)
-        failed = stored(found.where(F.col("size") < LONGEST).select("lang", "size", "phrase").join(known, ["lang", "size", "phrase"], "left_anti"), "failed")
-        if failed.isEmpty():
-            return found, totals
-        known = known.unionByName(failed)
-        tables = [*tables, bit_table(known)]
+    often = max(2, int(least / RATE * EASE))
+    short = stored(count(part, [], (1, 2), often), "proposed")
+    proposed = short.unionByName(stored(count(part, [bit_table(short)], (3, LONGEST - 1), often), "proposed")).drop("f")
+    tables = [bit_table(proposed)]
+    fresh = stored(count(docs, tables, (1, LONGEST), least, all_words=True), "counted")
+    totals = fresh.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
+    found = fresh.where(F.col("f") >= least)
+    failed = stored(found.where(F.col("size") < LONGEST).select("lang", "size", "phrase").join(proposed, ["lang", "size", "phrase"], "left_anti"), "failed")
+    if not failed.isEmpty():
+        tables.append(bit_table(proposed.unionByName(failed)))
+        found = found.unionByName(stored(count(docs, tables, (2, LONGEST), least), "counted"))
+    return found, totals
 
 
 def exact(count: Column | str) -> Column:
