@@ -186,9 +186,9 @@ def parse(html: str, path_tags: frozenset[str] = frozenset(), want_raw: bool = T
     return tree.rows
 
 
-def parse_or_nothing(html: str, path_tags: frozenset[str] = frozenset(), want_raw: bool = True) -> list[list]:
-    """No rows for a page that can't be parsed: it has no nodes and so no text, and the others of its batch go on."""
+def parse_or_reason(html: str, path_tags: frozenset[str] = frozenset(), want_raw: bool = True) -> tuple[list[list], str | None]:
+    """The rows; for a page that can't be parsed none, and the reason. The others of its batch go on."""
     try:
-        return parse(html, path_tags, want_raw)
-    except Exception:   # whatever is odd about one page
-        return []
+        return parse(html, path_tags, want_raw), None
+    except Exception as odd:   # whatever is odd about one page
+        return [], f"{type(odd).__name__}: {odd}"

@@ -15,36 +15,57 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schemas import NODE
-from . import html_tree
+from . import html_tree, selection
 
 # Ship the parser inside the function, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(html_tree)
+cloudpickle.register_pickle_by_value(selection)
 
 _ARROW = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(),
           pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int32()),
           pa.map_(pa.string(), pa.string())]
 
 
-def _nodes_function(wanted: frozenset[str], path_tags: frozenset[str]):
-    """An Arrow function from html to the node array; fields not wanted stay null."""
-    names, types, parse = NODE.fieldNames(), _ARROW, html_tree.parse_or_nothing
-
-    @F.arrow_udf(T.ArrayType(NODE))
-    def to_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            offsets, columns = [0], [[] for _ in names]
-            for html in batch.to_pylist():
-                rows = parse(html or "", path_tags, "raw" in wanted)
-                for column, values in zip(columns, zip(*rows)):
-                    column.extend(values)
-                offsets.append(offsets[-1] + len(rows))
-            total = offsets[-1]
-            arrays = [pa.array(c, t) if n in wanted else pa.nulls(total, t)
-                      for n, t, c in zip(names, types, columns)]
-            fields = [pa.field(n, t) for n, t in zip(names, types)]
-            yield pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=fields))
+def _nodes_function(wanted: frozenset[str], path_tags: frozenset[str], selecting: bool = False):
+    """An Arrow function from html to the node array and the reason why there is none; fields not wanted stay null.
 
+    When ``selecting`` it takes, besides, a list of rules (each a list of alternatives) and gives the ids each selects.
+    """
+    names, types, parse = NODE.fieldNames(), _ARROW, html_tree.parse_or_reason
+    seen = [names.index(c) for c in ("parent_id", "tag", "cls", "id_attr", "attrs")]
+    kind, any_of = names.index("kind"), selection.select_any
+
+    def convert(pages: pa.Array, rules: pa.Array | None) -> pa.Array:
+        offsets, columns, chosen, reasons = [0], [[] for _ in names], [], []
+        for k, html in enumerate(pages.to_pylist()):
+            rows, reason = parse(html or "", path_tags, "raw" in wanted)
+            own = list(zip(*rows)) or [()] * len(names)
+            if rules is not None:
+                look = [own[c] for c in seen]
+                look[1] = [t if e == "e" else None for t, e in zip(own[seen[1]], own[kind])]
+                chosen.append([any_of(alternatives, *look) for alternatives in rules[k].as_py() or ()])
+            for column, values in zip(columns, own):
+                column.extend(values)
+            offsets.append(offsets[-1] + len(rows))
+            reasons.append(reason)
+        arrays = [pa.array(c, t) if n in wanted else pa.nulls(offsets[-1], t) for n, t, c in zip(names, types, columns)]
+        nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
+            arrays, fields=[pa.field(n, t) for n, t in zip(names, types)]))
+        found = pa.array(chosen if rules is not None else [None] * len(pages), pa.list_(pa.list_(pa.int32())))
+        return pa.StructArray.from_arrays([nodes, found, pa.array(reasons, pa.string())], ["nodes", "found", "reason"])
+
+    parsed = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("found", T.ArrayType(T.ArrayType(T.IntegerType()))),
+                           T.StructField("reason", T.StringType())])
+    if selecting:
+        @F.arrow_udf(parsed)
+        def to_nodes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for pages, rules in batches:
+                yield convert(pages, rules)
+    else:
+        @F.arrow_udf(parsed)
+        def to_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for pages in batches:
+                yield convert(pages, None)
     return to_nodes
 
 
@@ -52,12 +73,23 @@ CORE = ("node_id", "parent_id", "grand_id", "end_id", "kind", "tag", "cls", "id_
 
 
 def with_nodes(pages: DataFrame, html: str = "html", extra: tuple[str, ...] = (),
-               path_tags: tuple[str, ...] = ()) -> DataFrame:
+               path_tags: tuple[str, ...] = (), rules: Column | None = None) -> DataFrame:
     """One row per page with a ``nodes`` array; the page stays where it is, no shuffle.
 
-    With ``path`` among the extra fields, it lists the enclosing elements of these tags only.
+    With ``path`` among the extra fields, it lists the enclosing elements of these tags only. ``rules``, a list
+    of alternatives of steps for each rule, adds ``found``: the node ids that each rule selects.
     """
-    return pages.withColumn("nodes", _nodes_function(frozenset(CORE + tuple(extra)), frozenset(path_tags))(F.col(html)))
+    function = _nodes_function(frozenset(CORE + tuple(extra)), frozenset(path_tags), rules is not None)
+    out = pages.withColumn("_page", function(F.col(html)) if rules is None else function(F.col(html), rules))
+    given = {"nodes": F.col("_page.nodes")} | ({} if rules is None else {"found": F.col("_page.found")})
+    return out.withColumns(given).drop("_page")
+
+
+def with_reasons(pages: DataFrame, html: str = "html", extra: tuple[str, ...] = ()) -> DataFrame:
+    """As ``with_nodes``, with ``parse_error``: why a page has no nodes, or null."""
+    function = _nodes_function(frozenset(CORE + tuple(extra)), frozenset())
+    return pages.withColumn("_page", function(F.col(html))).withColumns(
+        {"nodes": F.col("_page.nodes"), "parse_error": F.col("_page.reason")}).drop("_page")
 
 
 def node_rows(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html",

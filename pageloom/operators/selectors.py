@@ -1,7 +1,7 @@
 """Field extraction by per-site rules.
 
-A page is one row with its ``nodes`` array and the rules of its host, so rules are evaluated
-where the page lies. Selectors may use tag, ``.class``, ``#id``, ``[attr=value]``, the
+A page is one row with its ``nodes`` array and the rules of its host, so rules are evaluated where the
+page lies, by the function that parses it: in one pass over its nodes for each alternative. Selectors may use tag, ``.class``, ``#id``, ``[attr=value]``, the
 descendant blank and the comma.
 """
 
@@ -56,40 +56,13 @@ def with_rules(pages: DataFrame, site_rules: DataFrame, url: str = "url") -> Dat
             .drop("_slug", "_www", "_own", "_main"))
 
 
-def _meets(n: Column, step: Column) -> Column:
-    classes = F.split(F.coalesce(n["cls"], F.lit("")), r"\s+")
-    attr = F.try_element_at(n["attrs"], step["attr"])
-    return ((n["kind"] == "e")
-            & ((step["tag"] == "") | (n["tag"] == step["tag"]))
-            & ((step["id"] == "") | n["id_attr"].eqNullSafe(step["id"]))
-            & (F.size(F.array_except(step["classes"], classes)) == 0)
-            & ((step["attr"] == "") | F.coalesce((attr == step["value"]) | (step["value"] == ""), F.lit(False))))
-
-
-def select_nodes(nodes: Column, steps: Column) -> Column:
-    """(node_id, end_id) of the nodes a list of steps selects, in document order.
-
-    Ids are positions. What lies below the nodes found so far is their id ranges, and the nodes
-    that meet the next step are looked up among those ids by hash, so a step is linear in them.
-    """
-    nothing = F.lit(None).cast("array<int>")
-    none = F.array().cast("array<int>")
-
-    def below(found: Column) -> Column:
-        inner = F.filter(found, lambda i: F.element_at(nodes, i)["end_id"] > i)
-        return F.flatten(F.transform(inner, lambda i: F.sequence(i + 1, F.element_at(nodes, i)["end_id"])))
-
-    def narrow(found: Column, step: Column) -> Column:
-        met = F.transform(F.filter(nodes, lambda n: _meets(n, step)), lambda n: n["node_id"])
-        return F.when(found.isNull(), met).otherwise(F.array_intersect(met, F.coalesce(below(found), none)))
-    return F.transform(F.aggregate(steps, nothing, narrow), lambda i: F.struct(
-        i.alias("node_id"), F.element_at(nodes, i)["end_id"].alias("end_id")))
-
-
-def attributes_of(nodes: Column, selector: str, name: str) -> Column:
-    """One attribute of every node that a selector (without commas) selects, in document order."""
+def attributes_of(pages: DataFrame, selector: str, name: str, html: str = "html") -> DataFrame:
+    """Add ``values``: one attribute of every node that a selector (without commas) selects, in document order."""
     steps = F.transform(F.split(F.lit(selector), r"\s+"), _step)
-    return F.transform(select_nodes(nodes, steps), lambda n: F.try_element_at(F.element_at(nodes, n["node_id"])["attrs"], F.lit(name)))
+    nodes = F.col("nodes")
+    return (with_nodes(pages, html, extra=("attrs",), rules=F.array(F.array(steps)))
+            .withColumn("values", F.transform(F.col("found")[0], lambda i: F.try_element_at(F.element_at(nodes, i)["attrs"], F.lit(name))))
+            .drop("nodes", "found"))
 
 
 def subtree_text(nodes: Column, node: Column, with_scripts: bool = True) -> Column:
@@ -109,11 +82,6 @@ def _first_tag(nodes: Column, tag: str) -> Column:
     return F.transform(F.slice(hits, 1, 1), lambda n: F.struct(n["node_id"].alias("node_id"), n["end_id"].alias("end_id")))
 
 
-def _selected(nodes: Column, alts: Column) -> Column:
-    """Nodes of any alternative, each once, in document order."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(alts, lambda steps: select_nodes(nodes, steps)))))
-
-
 def _clean_block(markup: Column) -> Column:
     return F.regexp_replace(markup, r"\s+", " ")
 
@@ -133,17 +101,19 @@ def rule_fields(pages: DataFrame, site_rules: DataFrame, url: str = "url", html:
     Pages without rules are dropped before anything is parsed.
     """
     ruled = with_rules(pages.select("page_id", url), site_rules, url).filter("rules is not null").select("page_id", "rules")
-    parsed = with_nodes(pages.join(ruled, "page_id"), html, extra=("attrs",))
+    parsed = with_nodes(pages.join(ruled, "page_id"), html, extra=("attrs",), rules=F.transform("rules", lambda r: r["alts"]))
     nodes = F.col("nodes")
 
-    def entry(rule: Column) -> Column:
-        found = _selected(nodes, rule["alts"])
+    def entry(rule: Column, i: Column) -> Column:
+        ids = F.get("found", i)
+        found = F.transform(ids, lambda n: F.struct(n.alias("node_id"), F.element_at(nodes, n)["end_id"].alias("end_id")))
         fallback = F.when(rule["field"] == "title", _first_tag(nodes, "title")).otherwise(_first_tag(nodes, "body"))
-        chosen = F.when(F.size(found) > 0, found).otherwise(fallback)
-        return F.struct(rule["field"].alias("key"), _value(nodes, rule["field"], chosen).alias("value"))
+        # bound once, as an expression that stands twice in a lambda is worked out twice
+        chosen = F.array(F.when(F.size(ids) > 0, found).otherwise(fallback))
+        return F.struct(rule["field"].alias("key"), F.transform(chosen, lambda c: _value(nodes, rule["field"], c))[0].alias("value"))
     return (parsed.withColumn("fields", F.map_from_entries(F.transform("rules", entry)))
             .withColumn("links", links_of(nodes)).withColumn("generator", generator_of(nodes))
-            .drop("rules", "nodes"))
+            .drop("rules", "nodes", "found"))
 
 
 def links_of(nodes: Column) -> Column:

@@ -26,11 +26,9 @@ def detect_language(docs: DataFrame, lexicon: DataFrame | None = None, filters:
     """
     toks = language.tokens(docs, key, body)
     how = "inner" if languages is None else "left"
-    toks = language.folded(toks, key) if languages is None else toks
     hits = (language.lexicon_hits(toks, lexicon, how) if filters is None
             else bloom.word_hits(toks, filters, how=how))
-    counts = (language.hit_counts(hits, key, F.col("n")) if languages is None
-              else language.early_exit_counts(hits, languages, key))
+    counts = language.hit_counts(hits, key) if languages is None else language.early_exit_counts(hits, languages, key)
     best = language.top_by_margin(counts, key)
     return (docs.select(key).join(best, key, "left")
             .select(key, F.coalesce("detected", F.lit("")).alias("detected"),
@@ -143,14 +141,13 @@ def extract_report(url_list: DataFrame, pages: DataFrame, as_of: Column, lexicon
 
 def review_listings(found: DataFrame, selector: str, marker: str, site_host: str) -> DataFrame:
     """(url) of the review lists that search result pages link to, each once."""
-    links = with_nodes(found, extra=("attrs",)).select(F.explode(selectors.attributes_of(F.col("nodes"), selector, "href")).alias("href"))
+    links = selectors.attributes_of(found, selector, "href").select(F.explode("values").alias("href"))
     return links.select(urls.search_result_link("href", marker, site_host).alias("url")).filter("url is not null").distinct()
 
 
 def opinion_links(listings: DataFrame, selector: str) -> DataFrame:
     """(listing, url): the real links of the opinions on landed review lists, taken from their click handlers."""
-    calls = with_nodes(listings, extra=("attrs",)).select(
-        F.col("url").alias("listing"), F.explode(selectors.attributes_of(F.col("nodes"), selector, "onmousedown")).alias("call"))
+    calls = selectors.attributes_of(listings, selector, "onmousedown").select(F.col("url").alias("listing"), F.explode("values").alias("call"))
     return calls.filter("call is not null").select("listing", text.unwrap_js_link("call").alias("url"))
 
 

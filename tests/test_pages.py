@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 import time
 
 import pytest
@@ -204,11 +205,46 @@ def test_selectors_are_linear_and_rules_merge(spark):
     assert time.time() - start < 30
 
 
+def test_selection_grows_with_the_nodes(spark):
+    """Twice the links take twice the time, with some room; deep nesting and many matches don't matter."""
+    from pageloom.operators import selectors
+    rules = spark.createDataFrame([("one-example-com", "all", "div a"), ("one-example-com", "deep", "div div div b")],
+                                  "host_slug string, tag string, selector string")
+
+    def seconds(n):
+        page = "<body>" + "".join(f"<div><a href='{i}'>{i}</a></div>" for i in range(n)) + "<div>" * 2000 + "<b>end</b>"
+        pages = spark.createDataFrame([(1, "http://one.example.com/x", page)], "page_id long, url string, html string")
+        start = time.time()
+        fields = selectors.rule_fields(pages, rules).first()["fields"]
+        assert fields == {"all": "".join(map(str, range(n))), "deep": "end"}
+        return time.time() - start
+    seconds(100)
+    once = min(seconds(20_000), seconds(20_000))
+    assert seconds(40_000) < 2.5 * max(once, 2)
+
+
+@pytest.mark.parametrize("selector, wanted", [
+    ("div p b", [5, 9]), ("p", [3, 4, 8]), (".x.y", [3]), ("#one b", [5]), ("a[href]", [10]), ("a[href='t']", [10]), ("a[href=u], #one", [2]), ("p p", [4])])
+def test_selection(selector, wanted):
+    """One pass finds what a search of all enclosing nodes finds."""
+    from pageloom.operators import selection
+    parents = [0, 1, 2, 3, 4, 1, 6, 7, 8, 1, 1]
+    tags = ["body", "div", "p", "p", "b", "p2", "div", "p", "b", "a", "a"]
+    classes = [None, None, "y  z x", "x", None, None, None, "x\ny2", None, None, None]
+    ids = [None, "one"] + [None] * 9
+    attrs = [None] * 9 + [{"href": "t"}, {"name": "u"}]
+    step = lambda t: {"tag": re.match("[a-z0-9]*", t)[0], "id": "".join(re.findall("#(\\w+)", t)), "classes": re.findall("\\.(\\w+)", t),
+                      "attr": "".join(re.findall("\\[(\\w+)", t)), "value": "".join(re.findall("='?(\\w+)", t))}
+    found = selection.select_any([[step(t) for t in alt.split()] for alt in selector.split(",")], parents, tags, classes, ids, attrs)
+    assert found == wanted
+
+
 def test_a_page_that_cannot_be_parsed_has_no_nodes(monkeypatch):
     from pageloom.operators import html_tree
-    assert html_tree.parse_or_nothing("<p>x") == html_tree.parse("<p>x")
+    assert html_tree.parse_or_reason("<p>x") == (html_tree.parse("<p>x"), None)
     monkeypatch.setattr(html_tree, "_TOKEN", None)
-    assert html_tree.parse_or_nothing("<p>x") == []
+    rows, reason = html_tree.parse_or_reason("<p>x")
+    assert rows == [] and "AttributeError" in reason
 
 
 def test_bad_bytes_and_doubled_rules_stop_nothing(spark):
