@@ -7,8 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import stored
-
 # Fixed value: bits per filter.
 WIDTH = 2_000_000
 
@@ -77,11 +75,11 @@ def probe_rows(filters: DataFrame) -> DataFrame:
 
 
 def known_words(words: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair,
-                width: int = WIDTH) -> DataFrame:
-    """Words with the ``langs`` whose filter has all their bits; false positives possible.
+                width: int = WIDTH, how: str = "inner") -> DataFrame:
+    """Rows with a ``word``, and the ``langs`` whose filter has all its bits; false positives possible.
 
-    The probe rows are bounded by the width of a filter. Up to ``WIDEST`` bits they go to the
-    words; for wider filters the join is left to Spark.
+    The probe rows are bounded by the width of a filter. Up to ``WIDEST`` bits they go to the words, which
+    stay where they are; for wider filters the join is left to Spark. ``left`` keeps all words, with null ``langs``.
     """
     probes = probe_rows(filters)
     out = words.withColumn("_bits", bit_positions("word", hasher, width))
@@ -91,25 +89,23 @@ def known_words(words: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair
         shift = F.expr(f"CAST((3 - ((_bits[{i}] - 1) % 32) DIV 8) * 8 + (_bits[{i}] - 1) % 8 AS INT)")
         side = probes.select(F.col("slot").alias("_slot"), F.col("words").alias("_words"))
         out = (out.withColumn("_slot", F.expr(f"(_bits[{i}] - 1) DIV {PROBE_BITS}"))
-               .join(F.broadcast(side) if width <= WIDEST else side, "_slot").withColumn("_shift", shift)
+               .join(F.broadcast(side) if width <= WIDEST else side, "_slot", how).withColumn("_shift", shift)
                .withColumn(f"_found{i}", F.transform(
                    F.filter("_words", lambda w: F.getbit(w["bits"], F.col("_shift")) == 1), lambda w: w["lang"]))
                .drop("_slot", "_words", "_shift"))
         found.append(f"_found{i}")
-    return (out.withColumn("langs", F.sort_array(reduce(F.array_intersect, map(F.col, found)))).drop("_bits", *found)
-            .filter(F.size("langs") > 0))
+    langs = F.sort_array(reduce(F.array_intersect, map(F.col, found)))
+    out = out.withColumn("langs", F.when(F.size(langs) > 0, langs)).drop("_bits", *found)
+    return out if how == "left" else out.filter("langs IS NOT NULL")
 
 
 def word_hits(toks: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair,
               width: int = WIDTH, how: str = "inner") -> DataFrame:
     """Tokens with the languages whose filter holds them; ``left`` keeps all tokens.
 
-    Hashing is the dear part, so each distinct word is hashed once, not each token. The tokens
-    are written once, as they are read for their words and for the join.
+    Each token is probed where it is read: what is shuffled later is what the caller counts, not words.
     """
-    toks = stored(toks, "tokens")
-    known = known_words(toks.select("word").distinct(), filters, hasher, width)
-    return toks.join(known, "word", how)
+    return known_words(toks, filters, hasher, width, how)
 
 
 def save(filters: DataFrame, path: str) -> None:

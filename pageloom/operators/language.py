@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.lang import margin_percent
 from ..functions.text import words
+from ..session import stored
 
 # The winner must lead by more than this percentage; limits of the early exit.
 MARGIN = 6
@@ -40,21 +41,34 @@ def build_lexicon(docs: DataFrame, lang: str = "lang", text: str = "text",
             .drop("_r", "_slice"))
 
 
-def lexicon_hits(toks: DataFrame, lexicon: DataFrame, how: str = "inner") -> DataFrame:
-    """Words found in a lexicon, with the ``langs`` that know them; ``left`` keeps all words."""
-    by_word = lexicon.groupBy("word").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
-    return toks.join(by_word, "word", how)
+# Words that a sample of the texts shows to be frequent travel to the texts: so many at most, none longer than this.
+HEAVY, HEAVY_LENGTH = 20_000, 64
+SAMPLE = 64     # one text in so many
+
+
+def heavy_words(toks: DataFrame) -> DataFrame:
+    """(word): the most frequent words of a sample of the texts (the first column names the text); a bounded number."""
+    some = toks.filter((F.pmod(F.xxhash64(F.col(toks.columns[0])), F.lit(SAMPLE)) == 0) & (F.length("word") <= HEAVY_LENGTH))
+    return some.groupBy("word").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "word").limit(HEAVY).select("word")
 
 
-def folded(toks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, word, n): repeats of a word in a text as one row, so that joins don't carry each."""
-    return toks.groupBy(key, "word").agg(F.count("*").alias("n"))
+def lexicon_hits(toks: DataFrame, lexicon: DataFrame, how: str = "inner") -> DataFrame:
+    """Words found in a lexicon, with the ``langs`` that know them; ``left`` keeps all words.
+
+    Frequent words are looked up where they are read, in a bounded table; a word that is in every text
+    would else be one key. Only the rare ones are shuffled by word. The sample decides which way a word
+    goes, never what is found.
+    """
+    by_word = lexicon.groupBy("word").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
+    heavy = stored(heavy_words(toks).join(by_word, "word", "left"), "heavy")
+    near = toks.join(F.broadcast(heavy), "word")
+    far = toks.join(F.broadcast(heavy.select("word")), "word", "left_anti").join(by_word, "word", how)
+    return (near.filter("langs IS NOT NULL") if how == "inner" else near).unionByName(far)
 
 
-def hit_counts(hits: DataFrame, key: str = "doc_id", n: Column | None = None) -> DataFrame:
-    """Number of words found per (text, language); repeats count, as rows or by the number ``n``."""
-    return (hits.select(key, F.explode("langs").alias("lang"), (F.lit(1) if n is None else n).alias("n"))
-            .groupBy(key, "lang").agg(F.sum("n").cast("bigint").alias("hits")))
+def hit_counts(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Number of words found per (text, language); repeats count."""
+    return hits.select(key, F.explode("langs").alias("lang")).groupBy(key, "lang").agg(F.count("*").alias("hits"))
 
 
 def top_by_margin(counts: DataFrame, key: str = "doc_id", margin: float = MARGIN) -> DataFrame:
