@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ratings, text, urls
 from ..operators import crawl, index, merge, metrics, url_filters
+from ..operators.keyed_table import TableVersions
 from ..plans import jobs
-from ..schemas import PAGE_INDEX
+from ..schemas import PAGE_INDEX, SOURCE, STORED_COMMENT
 from ..session import fresh_path, stored
 from ..sources import pages as page_source, sinks
 from .registry import query
@@ -332,6 +333,48 @@ def _(t: Tables):
     return _flat(jobs.index_pages(t.index_docs(), t.comments(), stored_tables, t.profiles(), as_of())["pages"])
 
 
+def _tables(t: Tables) -> dict[str, TableVersions]:
+    """The stored tables in buckets, as batch 0 left them; pages and comments come in several batches."""
+    spark = t.spark
+    made = {name: TableVersions(spark, fresh_path(spark, f"table-{name}"), spark.createDataFrame([], schema), key, by)
+            for name, schema, key, by in (("sources", SOURCE, ("url",), None), ("pages", PAGE_INDEX, ("url",), None),
+                                          ("comments", STORED_COMMENT, ("comment_id",), ("page_url",)))}
+    made["sources"].add(0, t.sources())
+    made["pages"].add(0, t.stored_index())
+    read = t.stored_comments().withColumn("published", F.date_format("published", "yyyy/MM/dd")).withColumn("ord", F.lit(0))
+    made["comments"].add(0, index.comment_rows(read, as_of()))
+    return made
+
+
+@query("p11_index_in_buckets", _INDEX + "SELECT * FROM ix")
+def _(t: Tables):
+    """The same upsert on tables in buckets, in three batches; each writes what it adds or changes."""
+    tables, docs = _tables(t), t.index_docs()
+    for batch in range(3):
+        index.index_batch(tables, batch + 1, docs.filter(F.pmod(F.xxhash64("url"), F.lit(3)) == batch), t.profiles(), as_of(),
+                          t.comments().filter(F.pmod(F.xxhash64("page_url"), F.lit(3)) == batch))
+    return _flat(tables["pages"].latest())
+
+
+@query("s11_comments_in_buckets", _NEWC + f"SELECT {_COMMENT_COLUMNS} FROM new_comments UNION ALL SELECT {_COMMENT_COLUMNS} FROM stored_comments")
+def _(t: Tables):
+    tables = _tables(t)
+    index.index_batch(tables, 1, t.index_docs(), t.profiles(), as_of(), t.comments())
+    return _comments(tables["comments"].latest().drop("comment_id"))
+
+
+@query("a8_page_date_in_buckets", _DATED + "SELECT url, strftime(CASE WHEN fresh THEN newest ELSE published END, '%Y-%m-%d') AS published FROM base LEFT JOIN m ON page_url = url")
+def _(t: Tables):
+    """Pages that are talked about, in a table in buckets: known pages move by their newest comment."""
+    tables = _tables(t)
+    none = {c: F.lit(None).cast(f.dataType) for c, f in zip(PAGE_INDEX.fieldNames(), PAGE_INDEX.fields)}
+    talked = t.comments().select(F.col("page_url").alias("url")).distinct().select(*[
+        {"url": F.col("url"), "published": F.lit("2019-01-01").cast("timestamp_ntz")}.get(c, v).alias(c) for c, v in none.items()])
+    tables["pages"].add(0, talked)
+    index.index_batch(tables, 1, t.index_docs(), t.profiles(), as_of(), t.comments())
+    return tables["pages"].latest().join(talked.select("url"), "url", "left_semi").select("url", F.date_format("published", "yyyy-MM-dd").alias("published"))
+
+
 @query("p14_retention", f"SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '{CRAWL_AS_OF_TEXT}' - INTERVAL 60 DAYS")
 def _(t: Tables):
     return index.retained(t.orders, crawl_as_of(), 60, "o_orderdate").select("o_orderkey")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..operators.keyed_table import TableVersions
 from ..plans import jobs
 from ..schemas import PAGE_INDEX
 from ..session import fresh_path
@@ -27,6 +28,7 @@ def _pages(t: Tables):
 
 @query("t1_seen_hosts", "SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/' AS host FROM pages")
 def _(t: Tables):
+    streams.state_on_disk(t.spark)
     return streams.run_available(streams.seen_hosts(_pages(t)), "hosts")
 
 
@@ -46,9 +48,9 @@ def _(t: Tables):
         none.alias("evaluation"), none.alias("tags"), F.col("page_id").alias("ord"),
         F.when(F.expr("page_id % 4 = 0"), "success").otherwise("fail").alias("outcome"))
     spark = t.spark
-    sources = streams.TableVersions(spark, fresh_path(spark, "sources"), spark.createDataFrame([], "source_id bigint, url string, lang string, category_id bigint"), ("url",))
-    index = streams.TableVersions(spark, fresh_path(spark, "index"), spark.createDataFrame([], PAGE_INDEX), ("url",))
-    blacklist = streams.TableVersions(spark, fresh_path(spark, "blacklist"), spark.createDataFrame([], "hashed_name string, profile_id bigint"), ("hashed_name", "profile_id"))
+    sources = TableVersions(spark, fresh_path(spark, "sources"), spark.createDataFrame([], "source_id bigint, url string, lang string, category_id bigint"), ("url",))
+    index = TableVersions(spark, fresh_path(spark, "index"), spark.createDataFrame([], PAGE_INDEX), ("url",))
+    blacklist = TableVersions(spark, fresh_path(spark, "blacklist"), spark.createDataFrame([], "hashed_name string, profile_id bigint"), ("hashed_name", "profile_id"))
     step = streams.page_upserts(sources, index, blacklist, t.profiles(), as_of())
     streams.run_batches(docs, "upsert", step).awaitTermination()
     return (index.latest().select(F.lit("page").alias("kind"), F.col("url").alias("key"))
@@ -68,10 +70,10 @@ def _(t: Tables):
 
 @query("t5_running_page_date", "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events GROUP BY user_id")
 def _(t: Tables):
-    versions = streams.TableVersions(t.spark, fresh_path(t.spark, "newest"), t.spark.createDataFrame([], "user_id bigint, newest timestamp"), ("user_id",))
+    versions = TableVersions(t.spark, fresh_path(t.spark, "newest"), t.spark.createDataFrame([], "user_id bigint, newest timestamp"), ("user_id",))
 
     def each(batch, batch_id):
-        merged = versions.before(batch_id).unionByName(batch).groupBy("user_id").agg(F.max("newest").alias("newest"))
+        merged = versions.rows_before(batch_id, batch).unionByName(batch).groupBy("user_id").agg(F.max("newest").alias("newest"))
         versions.put(batch_id, merged)
     streams.run_batches(streams.newest_comment(_events(t), "user_id", "ts"), "newest", each, mode="update").awaitTermination()
     return versions.latest().select("user_id", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"))

@@ -45,6 +45,19 @@ PAGE_INDEX = T.StructType([
     T.StructField("cached_tag_list", T.StringType()),
 ])
 
+SOURCE = T.StructType([
+    T.StructField("source_id", T.LongType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("lang", T.StringType()),
+    T.StructField("category_id", T.LongType()),
+])
+
+STORED_COMMENT = T.StructType([
+    *COMMENT.fields[:-1],
+    T.StructField("published", T.TimestampNTZType()),
+    T.StructField("comment_id", T.StringType()),     # of page and content
+])
+
 SITE_RULE = T.StructType([
     T.StructField("host_slug", T.StringType()),
     T.StructField("tag", T.StringType()),

@@ -7,13 +7,13 @@ trigger and checkpoint are the caller's choice. ``run_available`` drains what is
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import urls
-from ..operators.index import upsert_blacklist, upsert_pages, upsert_sources
+from ..operators.index import failed_keys, index_batch
+from ..operators.keyed_table import TableVersions
 from ..session import fresh_path
 
 
@@ -25,10 +25,30 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema, per_batch:
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run over all data there is, then return what was written."""
+# The state store that keeps keys on disk, and what bounds its memory.
+ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
+def state_on_disk(spark: SparkSession) -> None:
+    """Queries started from now on keep their state on disk, with bounded memory on each machine.
+
+    Without it state lies in the executors' memory, which a set of all hosts ever seen outgrows.
+    """
+    for name, value in ON_DISK.items():
+        spark.conf.set(name, value)
+
+
+def run_available(stream: DataFrame, label: str, mode: str = "append", state: str | None = None, out: str | None = None) -> DataFrame:
+    """Run over all data there is, then return what was written, by this run and by those before it with the same folders.
+
+    ``state`` and ``out`` are the folders that a later run goes on from; by default new ones.
+    """
     spark = stream.sparkSession
-    out, state = fresh_path(spark, label), fresh_path(spark, f"{label}-state")
+    out, state = out or fresh_path(spark, label), state or fresh_path(spark, f"{label}-state")
     query = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state)
              .trigger(availableNow=True).start(out))
     query.awaitTermination()
@@ -47,7 +67,7 @@ def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int],
 
 
 def seen_hosts(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Each host once, the first time it is met."""
+    """Each host once, the first time it is met. Hosts are kept for ever: see ``state_on_disk``."""
     return pages.select(urls.host_url(url).alias("host")).filter("host is not null").dropDuplicates(["host"])
 
 
@@ -68,66 +88,13 @@ def stage_windows(log: DataFrame, stage: str, ts: str, width: str = "1 hour", de
             .select(F.col("w.start").alias("window_start"), stage, "n"))
 
 
-class TableVersions:
-    """A keyed table that micro-batches change, as the rows that each batch added or changed.
-
-    Batch ids are consecutive. A replayed batch starts from what the batches before it left and
-    replaces only its own rows, so nothing is counted twice. All there is to know lies in the
-    folder: new objects over the same folder, after a restart, go on where the old ones ended.
-    What a batch writes grows with the batch and not with the table; ``compact`` writes the whole
-    table once, so that later reads needn't fold all batches.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, empty: DataFrame, key: tuple[str, ...]):
-        self.spark, self.root, self.empty, self.key = spark, root, empty, list(key)
-
-    def _numbers(self, kind: str) -> list[int]:
-        """Numbers N of the complete folders ``kind=N``."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}=*/_SUCCESS")
-        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found or ())
-
-    def version(self, batch_id: int) -> DataFrame:
-        """The table as batch ``batch_id`` left it."""
-        whole = max([n for n in self._numbers("whole") if n <= batch_id], default=-1)
-        parts = [n for n in self._numbers("changes") if whole < n <= batch_id]
-        columns, read = self.empty.columns, self.spark.read.schema(self.empty.schema)
-        base = read.parquet(f"{self.root}/whole={whole}") if whole >= 0 else self.empty
-        if not parts:
-            return base
-        changes = [read.parquet(f"{self.root}/changes={n}").withColumn("_batch", F.lit(n)) for n in parts]
-        rows = reduce(DataFrame.unionByName, changes)
-        last = rows.groupBy(*self.key).agg(F.max_by(F.struct(*columns), "_batch").alias("_row")).select("_row.*")
-        return base.join(last.select(*self.key), self.key, "left_anti").unionByName(last) if whole >= 0 else last
-
-    def before(self, batch_id: int) -> DataFrame:
-        return self.version(batch_id - 1)
-
-    def put(self, batch_id: int, df: DataFrame) -> DataFrame:
-        """Keep the rows of ``df`` that the batches before don't have; returns the table with them."""
-        content = F.xxhash64(*[F.col(c) for c in self.empty.columns])
-        old = self.before(batch_id).select(*self.key, content.alias("_old"))
-        new = df.withColumn("_new", content).join(old, self.key, "left").filter("_old IS NULL OR _old <> _new")
-        new.select(*self.empty.columns).write.mode("overwrite").parquet(f"{self.root}/changes={batch_id}")
-        return self.version(batch_id)
-
-    def compact(self) -> None:
-        """Write the whole table as the last batch left it."""
-        if (last := max(self._numbers("changes"), default=-1)) >= 0:
-            self.version(last).write.mode("overwrite").parquet(f"{self.root}/whole={last}")
-
-    def latest(self) -> DataFrame:
-        return self.version(max(self._numbers("changes"), default=-1))
-
-
 def page_upserts(sources: TableVersions, index: TableVersions, blacklist: TableVersions,
                  profiles: DataFrame, as_of) -> Callable[[DataFrame, int], None]:
-    """Batch step: sources, pages and blacklist of one micro-batch of documents."""
+    """Batch step: sources, pages and blacklist of one micro-batch of documents. The tables merge their own folders."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        good = batch.filter("outcome = 'success'")
-        known = sources.put(batch_id, upsert_sources(sources.before(batch_id), good))
-        index.put(batch_id, upsert_pages(index.before(batch_id), good, known, profiles, as_of))
-        blacklist.put(batch_id, upsert_blacklist(blacklist.before(batch_id), batch.filter("outcome <> 'success'")))
+        index_batch({"sources": sources, "pages": index}, batch_id, batch.filter("outcome = 'success'"), profiles, as_of)
+        failed = failed_keys(batch.filter("outcome <> 'success'"))
+        blacklist.add(batch_id, failed.join(blacklist.keys_before(batch_id, failed), blacklist.key, "left_anti"))
     return each
 
 

@@ -1,11 +1,16 @@
 """Upserts, filters, language and streams: replay, skew and loss-free behaviour."""
 
+import math
+import pathlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.catalog.views import Tables, as_of
 from pageloom.functions import ratings, text, urls
-from pageloom.operators import bloom, index, language, url_filters
-from pageloom.session import stored
+from pageloom.operators import bloom, index, keyed_table, language, url_filters
+from pageloom.schemas import PAGE_INDEX
+from pageloom.session import fresh_path, stored
 from pageloom.streaming import jobs as streams
 
 
@@ -94,6 +99,63 @@ def test_url_edges(spark):
         assert r.got == r.want, r
 
 
+def _wanted(batches, step=1):
+    """Rows (k, v) after so many batches; batch n changes 5 keys of 40 and adds one."""
+    out = {}
+    for n in range(batches):
+        out |= {(7 * n + i) % 40: n * 1000 + i for i in range(5)} | {1000 + n: n}
+    return out
+
+
+def _batch(spark, n):
+    return spark.createDataFrame([((7 * n + i) % 40, n * 1000 + i) for i in range(5)] + [(1000 + n, n)], "k bigint, v bigint").coalesce(1)
+
+
+@pytest.fixture
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_table_stays_in_few_folders(spark, tmp_path, monkeypatch, few_partitions):
+    """75 batches with three to a level: what a batch reads stays few, every version is what it was, old folders go."""
+    monkeypatch.setattr(keyed_table, "FANOUT", 3)
+    empty = spark.createDataFrame([], "k bigint, v bigint")
+    table = keyed_table.TableVersions(spark, str(tmp_path / "t"), empty, ("k",), buckets=2)
+    for n in range(75):
+        table.put(n, _batch(spark, n))
+        levels = 1 + int(math.log(n + 1, 3) + 1e-9)
+        assert len(table.read_at(n)) <= 2 * levels + 1, (n, table.read_at(n))
+        if n % 15 == 14:
+            assert dict(map(tuple, table.latest().collect())) == _wanted(n + 1)
+            assert dict(map(tuple, table.before(n).collect())) == _wanted(n)
+    assert len(table.folders()) < 25
+    again = keyed_table.TableVersions(spark, str(tmp_path / "t"), empty, ("k",), buckets=2)
+    assert dict(map(tuple, again.latest().collect())) == _wanted(75)
+
+
+@pytest.mark.parametrize("moment", ["merged", "written", "half written"])
+def test_a_crash_counts_nothing_twice(spark, tmp_path, monkeypatch, few_partitions, moment):
+    """Stopped after the merge, after the rows of the batch, or in the middle of a folder: the batch is run again."""
+    monkeypatch.setattr(keyed_table, "FANOUT", 3)
+    empty = spark.createDataFrame([], "k bigint, v bigint")
+    root = tmp_path / "t"
+    for n in range(20):
+        table = keyed_table.TableVersions(spark, str(root), empty, ("k",), buckets=2)
+        if n % 3 == 0:      # a first try that ends early
+            table.merge(n)
+            if moment == "written":
+                table.put(n, _batch(spark, n).withColumn("v", F.col("v") + 5))
+            if moment == "half written" and n:
+                for half in (f"rows={n}-{n}", f"rows={n - 3}-{n - 1}"):
+                    if (root / half / "_SUCCESS").exists():
+                        (root / half / "_SUCCESS").rename(root / half / "gone")
+        table.put(n, _batch(spark, n))
+    assert dict(map(tuple, table.latest().collect())) == _wanted(20)
+
+
 def test_versions_go_on_after_a_restart(spark, tmp_path):
     """Four small files; stopped after two; new objects go on. What a batch writes doesn't grow with the table."""
     source, root, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
@@ -103,14 +165,10 @@ def test_versions_go_on_after_a_restart(spark, tmp_path):
         spark.range(first, first + 50).selectExpr("id % 120 AS k", f"{n} * 1000 + id AS v").coalesce(1).write.parquet(str(source / f"f{n}"))
 
     def run():
-        table = streams.TableVersions(spark, root, empty, ("k",))
-
-        def each(batch, batch_id):
-            known = table.before(batch_id)
-            table.put(batch_id, known.join(batch.select("k"), "k", "left_anti").unionByName(batch))
+        table = keyed_table.TableVersions(spark, root, empty, ("k",))
         stream = spark.readStream.schema("k bigint, v bigint").option("maxFilesPerTrigger", 1).option(
             "recursiveFileLookup", "true").parquet(str(source))
-        streams.run_batches(stream, "restart", each, state=state).awaitTermination()
+        streams.run_batches(stream, "restart", lambda batch, n: table.put(n, batch), state=state).awaitTermination()
         return table
     land(0, 0)
     land(1, 40)
@@ -118,12 +176,64 @@ def test_versions_go_on_after_a_restart(spark, tmp_path):
     land(2, 80)
     land(3, 0)
     table = run()
-    latest = {k: v for k, v in table.latest().collect()}
     wanted = {}
     for n, first in enumerate((0, 40, 80, 0)):
         wanted |= {i % 120: n * 1000 + i for i in range(first, first + 50)}
-    assert latest == wanted
-    sizes = [spark.read.parquet(f"{root}/changes={n}").count() for n in table._numbers("changes")]
-    assert sizes == [50, 50, 50, 50]
-    table.compact()
-    assert {k: v for k, v in streams.TableVersions(spark, root, empty, ("k",)).latest().collect()} == wanted
+    assert dict(map(tuple, table.latest().collect())) == wanted
+    assert [spark.read.parquet(f"{root}/rows={n}-{n}").count() for n in range(4)] == [50, 50, 50, 50]
+
+
+def test_an_upsert_writes_what_changes(spark, folder):
+    """A known page costs nothing if nothing is said about it, a mark costs its row; bytes written don't grow with the index."""
+    t = Tables(spark, folder)
+    columns = PAGE_INDEX.fieldNames()
+    docs = t.index_docs()
+
+    def written(copies):
+        table = keyed_table.TableVersions(spark, fresh_path(spark, "grow"), spark.createDataFrame([], PAGE_INDEX), ("url",), buckets=64)
+        old = t.stored_index().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn(
+            "url", F.when(F.col("n") > 1, F.concat("url", F.lit("?copy="), F.col("n").cast("string"))).otherwise(F.col("url")))
+        table.add(0, old.select(columns))
+        one = docs.filter("ord = (SELECT min(page_id) FROM pages)")
+        table.add(1, index.index_changes(table, 1, one, t.sources(), t.profiles(), as_of()))
+        plan = table.keys_before(2, one)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(_bucket" in plan or "_bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+        files = list(pathlib.Path(table.root, "rows=1-1").rglob("*.parquet"))
+        return sum(f.stat().st_size for f in files), len(files)
+    t.pages.createOrReplaceTempView("pages")
+    small, large = written(1), written(40)
+    assert small == large and small[1] <= 1
+
+
+def test_hosts_on_disk_go_on_after_a_restart(spark, tmp_path):
+    """The set of seen hosts lies on disk and is exact over restarts."""
+    schema, kept = "url string", {k: spark.conf.get(k, None) for k in streams.ON_DISK}
+    streams.state_on_disk(spark)
+    try:
+        for n in range(3):
+            spark.range(40 * n, 40 * n + 60).selectExpr("concat('http://h', id % 90, '.example.com/', id) AS url").coalesce(1).write.parquet(str(tmp_path / f"in/f{n}"))
+            stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+            out = streams.run_available(streams.seen_hosts(stream), "hosts", state=str(tmp_path / "state"), out=str(tmp_path / "out"))
+        assert out.count() == out.distinct().count() == 90
+        assert list((tmp_path / "state").rglob("*.zip")), "state is kept by the store on disk"
+    finally:
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_frequent_words_are_not_shuffled(spark, monkeypatch):
+    """One word is in all texts. It is looked up where it is read; what is shuffled by word are rare ones, evenly."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'en' AS lang", "concat('the word', id, ' of the word', id % 5000, ' THE end') AS text")
+    lexicon = stored(language.build_lexicon(docs), "lexicon")
+    monkeypatch.setattr(language, "HEAVY", 10)
+    toks = language.tokens(docs)
+    heavy = {r["word"] for r in language.heavy_words(toks).collect()}
+    assert {"the", "of", "end"} <= heavy and len(heavy) == 10
+    far = toks.filter(~F.col("word").isin(*heavy)).select(F.expr("pmod(hash(word), 8)").alias("p")).groupBy("p").count().collect()
+    counts = sorted(r["count"] for r in far)
+    assert counts[-1] <= 2 * counts[len(counts) // 2]
+    hits = language.lexicon_hits(toks, lexicon)
+    assert hits.count() == toks.count() == 20_000 * 7
+    assert rows(language.hit_counts(hits).groupBy("hits").count()) == ["Row(count=20000, hits=7)"]
+    left = language.lexicon_hits(toks, lexicon.filter("word <> 'the'"), "left")
+    assert left.filter("langs IS NULL").count() == 60_000
