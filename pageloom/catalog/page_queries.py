@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import merge, page_dates, scoring, selectors
+from ..operators import merge, metrics, page_dates, quarantine, scoring, selectors
 from ..operators.nodes import below, keep_subtrees, node_rows, subtree_measures, link_density, link_text_length, text_length, with_nodes
 from ..operators.selectors import generator_of, links_of
 from ..plans import jobs
-from ..session import dealt
+from ..schemas import PAGE_INDEX
+from ..session import dealt, fresh_path
 from ..sources import feeds
+from ..sources.pages import load_pages
 from .registry import query
 from .views import Tables, as_of, SRC, w
 
@@ -112,6 +114,9 @@ _ARTICLE = f"regexp_replace(regexp_replace({_KEPT}, '[\\r\\n\\f]+', '', 'g'), '[
 _LONG = "length(regexp_replace(array_to_string([x for x in string_split(text, chr(10)) if regexp_matches(x, '\\S')], ''), '^\\s+|\\s+$', '', 'g')) >= 25"
 
 
+_WORDS_ONLY = "trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))"
+
+
 @query("p5_main_text", f"SELECT doc_id AS page_id, CASE WHEN {_LONG} THEN {_ARTICLE} ELSE '' END AS content FROM documents")
 def _(t: Tables):
     return scoring.main_text(_article_pages(t))
@@ -221,6 +226,24 @@ for _name in ("j11_article_siblings", "a15_article_assembly"):
         return scoring.assembled(scoring.article_rows(scoring.with_best(scored, PASS), PASS).withColumn("kept", F.lit(True)), PASS)
 
 
+_MAIN, _SIDE = "Main, text, of, the, page ", "A long paragraph beside the article with words and more words, up to well over eighty letters"
+
+
+@query("j11_siblings_built", f"""SELECT doc_id AS page_id, md5('{_MAIN}' || {_WORDS_ONLY} || '{_SIDE}' || 'Short one.' || 'Ends well.' || 'Second, part of the page here.') AS plain
+  FROM documents""")
+def _(t: Tables):
+    """The best candidate among siblings: a long paragraph, a sentence, a div that counts as one and a second candidate belong to
+    the article; a short phrase, a paragraph of links and a plain list don't."""
+    words = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    pages = dealt(t.documents, "doc_id").select(F.col("doc_id").alias("page_id"), F.concat(
+        F.lit(f"<html><body><p>No sentence</p><div class='article'><p>{_MAIN}"), words, F.lit(
+            f"</p></div><p>{_SIDE}</p><ul><li>a list</li></ul><p>Short one.</p><p>just words</p><p><a href='/'>{_SIDE}.</a></p><div>Ends well.</div><div>and more</div>"
+            "<div class='article'><p>Second, part of the page here.</p></div></body></html>")).alias("html"))
+    found = scoring.scored(scoring.measured(scoring.drop_unlikely(scoring.node_passes(pages), PASS), PASS), PASS)
+    rows = scoring.article_rows(scoring.with_best(found, PASS), PASS).filter("pass_no = 1")
+    return scoring.assembled(rows.withColumn("kept", F.lit(True)), PASS).select("page_id", F.md5("plain").alias("plain"))
+
+
 @query("p6_sanitize_article")
 def _(t: Tables):
     scored = scoring.scored(scoring.measured(scoring.drop_unlikely(scoring.node_passes(t.pages), PASS), PASS), PASS)
@@ -378,6 +401,41 @@ def _(t: Tables):
     return feeds.rss_items_of(t.pages.select("page_id", _rss_xml().alias("xml")))
 
 
+@query("s5_rss_files", "SELECT url, 'T' || page_id AS title, 'D ' || page_id AS content, strftime((DATE '2001-01-01' + (page_id % 7000)::INT)::TIMESTAMP, '%d-%m-%Y') AS published FROM pages")
+def _(t: Tables):
+    """The same items read from feed files: one for each host, with all its items."""
+    path = fresh_path(t.spark, "feeds")
+    item = F.regexp_extract(_rss_xml(), "(<item>.*</item>)", 1)
+    feed = F.concat(F.lit('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel>'), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>"))
+    t.pages.groupBy(urls.host_slug("url").alias("host")).agg(feed.alias("value")).write.partitionBy("host").text(path)
+    return feeds.rss_items(t.spark, path)
+
+
+def _full_feeds(t: Tables):
+    """Feeds with all fields: two kinds of RSS as a channel, or items at the top; blogs as Atom entries, whose links are attributes."""
+    at = F.concat(F.lit("http://talk.example.com/"), "conv_id", F.lit("/"), "turn")
+    kind = F.expr("CAST(conv_id % 4 AS INT)")
+    rss = F.concat(F.lit("<item><title>T"), "turn", F.lit("</title><dc:creator>"), "role", F.lit("</dc:creator><description>D"), "turn", F.lit("</description><guid>"), at,
+                   F.lit("#g</guid><link>"), at, F.lit("</link><feedburner:origLink>"), at, F.lit("?o</feedburner:origLink><pubDate>P"), "turn", F.lit("</pubDate></item>"))
+    atom = F.concat(F.lit("<entry><title>T"), "turn", F.lit("</title><author>"), "role", F.lit("</author><content>D"), "turn", F.lit('</content><link rel="alternate" href="'), at,
+                    F.lit('"/><published>P'), "turn", F.lit("</published></entry>"))
+    rows = t.conversations.select("conv_id", kind.alias("kind"), F.struct("turn", F.when(kind == 1, atom).otherwise(rss).alias("x")).alias("i"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("i")), lambda i: i["x"]), "")
+    name = F.expr("element_at(array('wordpress', 'blogger', 'typepad', 'wordpress'), kind + 1)")
+    xml = (F.when(F.col("kind") == 1, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "body", F.lit("</feed>")))
+           .when(F.col("kind") == 3, F.concat(F.lit('<rdf xmlns:dc="d" xmlns:feedburner="f">'), "body", F.lit("</rdf>")))
+           .otherwise(F.concat(F.lit('<rss xmlns:dc="d" xmlns:feedburner="f"><channel>'), "body", F.lit("</channel></rss>"))))
+    return rows.groupBy("conv_id", "kind").agg(body.alias("body")).select("conv_id", name.alias("generator"), xml.alias("xml"))
+
+
+@query("k4_all_feed_fields", """WITH c AS (SELECT *, conv_id % 4 AS k, 'http://talk.example.com/' || conv_id || '/' || turn AS loc FROM conversations)
+  SELECT conv_id, 'T' || turn AS title, role AS author, 'D' || turn AS content, CASE WHEN k = 1 THEN loc ELSE loc || '#g' END AS url, 'P' || turn AS published,
+    CASE WHEN k IN (0, 3) THEN loc END AS link, CASE WHEN k IN (0, 3) THEN loc || '?o' END AS origlink FROM c""")
+def _(t: Tables):
+    """All seven fields of four feed dialects, Atom and bare items among them."""
+    return feeds.feed_comments(_full_feeds(t)).drop("generator")
+
+
 # whole jobs
 @query("f30_error_isolation", "SELECT page_id, CASE WHEN page_id % 5 IN (0, 1) THEN 'good' ELSE 'bad' END AS outcome FROM pages")
 def _(t: Tables):
@@ -385,6 +443,25 @@ def _(t: Tables):
     return t.pages.select("page_id", F.when(F.coalesce(urls.is_http(odd), F.lit(False)), "good").otherwise("bad").alias("outcome"))
 
 
+@query("f30_quarantine", r"""WITH p AS (SELECT *, CAST(page_id % 5 AS INT) AS k, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '\W+', '-', 'g') AS slug FROM pages)
+  SELECT 'page' AS subject, page_id::VARCHAR AS key, CASE WHEN k IN (0, 1, 4) THEN 'good' WHEN k = 2 THEN 'bad url' ELSE 'no markup' END AS reason FROM p
+  UNION ALL SELECT 'page', page_id::VARCHAR, 'bad bytes dropped' FROM p WHERE k = 1
+  UNION ALL SELECT 'rule', slug || ' title', 'rules merged' FROM (SELECT DISTINCT slug FROM p)""")
+def _(t: Tables):
+    """One batch with broken bytes, bad URLs, pages without markup, and a doubled rule for every host: what is good goes through the job, all else has its reason."""
+    k = F.expr("CAST(page_id % 5 AS INT)")
+    body = F.encode("html", "UTF-8")
+    fetched = t.pages.select("page_id", F.when(k == 2, F.lit("::")).otherwise(F.col("url")).alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"),
+                             F.lit("utf-8").alias("charset"), F.when(k == 1, F.concat(body, F.unhex(F.lit("FFFE")))).when(k != 3, body).alias("raw"))
+    slugs = t.pages.select(urls.host_slug("url").alias("host_slug")).distinct()
+    rules = slugs.select("host_slug", F.lit("title").alias("tag"), F.explode(F.array(F.lit("article h1"), F.lit("#none"))).alias("selector"))
+    good = quarantine.good_pages(load_pages(fetched)).select("page_id", "url", "html")
+    parsed = jobs.parse_pages(good, rules)
+    done = jobs.fetch_and_extract(good, rules, as_of(), parsed=parsed).filter("outcome = 'success'")
+    faults = quarantine.page_faults(fetched).unionByName(quarantine.parse_faults(parsed)).unionByName(quarantine.rule_faults(rules))
+    return done.select(F.lit("page").alias("subject"), F.col("page_id").cast("string").alias("key"), F.lit("good").alias("reason")).unionByName(faults.drop("lost"))
+
+
 @query("w7_extractor_fallback", f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'rules' ELSE 'default' END AS extractor FROM pages")
 def _(t: Tables):
     first = t.pages.filter("page_id % 3 = 0").select("page_id", F.lit("t").alias("title"), F.lit("c").alias("content"), F.lit("rules").alias("extractor"))
@@ -466,6 +543,56 @@ def _(t: Tables):
     return jobs.review_extract(pages, rules, listings=lists)
 
 
+def _story_pages(t: Tables):
+    """Pages of which each extractor has a known third, with a date; those with a rule have an author and a rating besides."""
+    words, third = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), F.expr("CAST(doc_id % 3 AS INT)")
+    known = F.when(words != "", F.concat(F.lit("<em class='by'>ann"), "doc_id", F.lit("</em><i class='stars'>"), F.expr("doc_id % 6"), F.lit("-5</i>"))).otherwise("")
+    body = (F.when(third == 0, F.concat(known, F.lit("<div class='story'>"), words, F.lit("</div>")))
+            .when(third == 1, F.concat(F.lit("<div class='article'><p>"), words, F.lit("</p></div>")))
+            .otherwise(F.concat(F.lit("<form>"), words, F.lit("</form>"))))
+    day = F.date_format(F.expr("date_add(DATE '2001-01-01', CAST(doc_id % 7000 AS INT))"), "dd/MM/yyyy")
+    pages = dealt(t.documents, "doc_id").select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h"), third.cast("string"), F.lit(".example.com/"), "doc_id").alias("url"),
+        F.concat(F.lit("<html lang='en'><head><title>Doc "), "doc_id", F.lit("</title><meta content='"), day, F.lit("'></head><body>"), body,
+                 F.lit("</body></html>")).alias("html"))
+    rules = [("h0-example-com", a, b) for a, b in (("content", "div.story"), ("title", "head title"), ("author", "em.by"), ("evaluation", "i.stars"))]
+    return pages, t.spark.createDataFrame(rules, "host_slug string, tag string, selector string")
+
+
+def _story_run(t: Tables, log=None):
+    """The whole run over such pages, from the search tasks to the page table."""
+    pages, rules = _story_pages(t)
+    ids = t.documents.select(F.col("doc_id").alias("scrape_id"), F.concat(F.lit("http://h"), F.expr("doc_id % 3"), F.lit(".example.com/")).alias("host"))
+    scrapes = ids.select("scrape_id", F.expr("scrape_id % 25").alias("profile_id"), F.array(F.lit("k")).alias("keywords"),
+                         F.lit(None).cast("timestamp_ntz").alias("expires_at"), urls.key_id("host").alias("source_id"))
+    hosts = ids.select(F.col("host").alias("url")).distinct().select(
+        urls.key_id("url").alias("source_id"), "url", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("bigint").alias("category_id"))
+    results = ids.select("scrape_id", F.lit("k").alias("keyword"), F.concat("host", "scrape_id").alias("url"))
+    stored = {"sources": hosts, "pages": t.spark.createDataFrame([], PAGE_INDEX)}
+    return jobs.full_run(scrapes, t.profiles(), stored, results, pages, rules, as_of(), days=100000, log=log)
+
+
+@query("p12_page_table", f"""WITH d AS (SELECT doc_id, doc_id % 3 AS k, {_PLAIN_WORDS} AS t FROM documents)
+  SELECT 'http://h' || k || '.example.com/' || doc_id AS url, 'Doc ' || doc_id AS title, md5(t) AS content, CASE WHEN k = 0 THEN 'ann' || doc_id END AS author,
+    CASE WHEN k = 0 THEN doc_id % 6 END AS evaluation, strftime(DATE '2001-01-01' + (doc_id % 7000)::INT, '%Y-%m-%d') AS published, 'en' AS lang, NULL::BIGINT AS status,
+    doc_id % 25 AS profile_id FROM d WHERE t <> ''""")
+def _(t: Tables):
+    """The page table after the whole run."""
+    out = _story_run(t)["pages"]
+    return out.select("url", "title", F.md5("content").alias("content"), "author", "evaluation", F.date_format("published", "yyyy-MM-dd").alias("published"),
+                      "lang", F.col("status").cast("bigint").alias("status"), "profile_id")
+
+
+@query("a14_stage_seconds", f"""WITH d AS (SELECT doc_id % 25 AS profile_id, {_PLAIN_WORDS} AS t FROM documents)
+  SELECT s AS stage, profile_id, count(*) AS rows, true AS timed FROM d, (SELECT unnest(['tasks', 'bodies', 'texts']) AS s) GROUP BY ALL
+  UNION ALL SELECT 'docs', profile_id, count(*), true FROM d WHERE t <> '' GROUP BY ALL""")
+def _(t: Tables):
+    """Stages of the whole run: rows by profile, and whether the stage has a time."""
+    log = metrics.StageLog()
+    _story_run(t, log)
+    return log.table().select("stage", "profile_id", "rows", (F.col("seconds") > 0).alias("timed"))
+
+
 def _full_run(t: Tables, **more):
     scrapes = t.pages.selectExpr("page_id AS scrape_id", "page_id % 25 AS profile_id", "CAST(array('k') AS ARRAY<STRING>) AS keywords",
                                  "CAST(NULL AS TIMESTAMP_NTZ) AS expires_at").join(

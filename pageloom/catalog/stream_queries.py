@@ -11,6 +11,7 @@ from ..schemas import PAGE_INDEX
 from ..session import fresh_path
 from ..sources.pages import PAGE_SCHEMA
 from ..streaming import jobs as streams
+from .page_queries import _ARTICLE, _LONG, _article_pages
 from .registry import query
 from .views import SRC, Tables, as_of, w
 
@@ -91,3 +92,40 @@ def _(t: Tables):
     sink = fresh_path(t.spark, "articles")
     streams.run_batches(_pages(t), "articles", streams.extraction_step(lambda b: jobs.extract_main_text(b), sink)).awaitTermination()
     return t.spark.read.parquet(sink).select("page_id", "title", "content")
+
+
+@query("t7_stream_articles", f"SELECT doc_id AS page_id, 'Doc ' || doc_id AS title, md5(CASE WHEN {_LONG} THEN {_ARTICLE} ELSE '' END) AS content FROM documents "
+       f"WHERE {_LONG} AND length({_ARTICLE}) > 25")
+def _(t: Tables):
+    """Articles of pages that land in four files, a file a batch."""
+    landing, sink = fresh_path(t.spark, "landing"), fresh_path(t.spark, "articles")
+    pages = _article_pages(t)
+    pages.repartition(4, "page_id").write.parquet(landing)
+    stream = t.spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    streams.run_batches(stream, "articles", streams.extraction_step(lambda b: jobs.extract_main_text(b), sink)).awaitTermination()
+    return t.spark.read.schema("page_id bigint, title string, content string, batch_id int").parquet(sink).select("page_id", "title", F.md5("content").alias("content"))
+
+
+_START = "1995-01-01 00:00:00"
+
+
+@query("t4_rounds", f"""WITH RECURSIVE s AS (SELECT page_id, (page_id % 3 + 1)::INT AS every, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END AS due FROM pages),
+  r AS (SELECT 0 AS round, page_id, every, due FROM s
+    UNION ALL SELECT round + 1, page_id, every, CASE WHEN due <= round THEN round + every ELSE due END FROM r WHERE round < 3)
+  SELECT round::BIGINT AS round, page_id AS scrape_id FROM r WHERE due <= round""")
+def _(t: Tables):
+    """The loop over four days: each round plans what is due then, and moves it on by its own interval."""
+    spark, ticks, plans = t.spark, fresh_path(t.spark, "ticks"), fresh_path(t.spark, "plans")
+    start = F.lit(_START).cast("timestamp_ntz")
+    scrapes = t.pages.select(F.col("page_id").alias("scrape_id"), F.expr("CAST(page_id % 3 + 1 AS INT)").alias("every_days"),
+                             F.when(F.expr("page_id % 2 = 0"), start).otherwise(start + F.expr("interval 1 day")).alias("due_at"))
+    table = TableVersions(spark, fresh_path(spark, "scrapes"), scrapes.filter("false"), ("scrape_id",))
+    table.add(0, scrapes)
+    for day in range(4):    # one file after the other, as a stream takes them by their time
+        spark.range(1).select((start + F.expr(f"make_dt_interval({day})")).alias("tick")).coalesce(1).write.mode("append").parquet(ticks)
+    clock = spark.readStream.schema("tick timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(ticks)
+
+    def work(due, round_):
+        due.select(F.lit(round_).cast("bigint").alias("round"), "scrape_id").write.mode("overwrite").parquet(f"{plans}/round={round_}")
+    streams.run_batches(clock, "rounds", streams.crawl_rounds(table, work)).awaitTermination()
+    return spark.read.schema("round bigint, scrape_id bigint").option("recursiveFileLookup", "true").parquet(plans)

@@ -330,6 +330,22 @@ for _name in ("f9_filter_chain", "p2_filter_urls"):
         return jobs.filter_urls(docs, "page_id", include=["example[.](com|org)"], exclude=["pills"]).select("page_id", "url")
 
 
+_HOST_OF = "regexp_extract(u, '^[a-z]+://([^/?#]+)', 1)"
+
+
+@query("p2_hosts_and_history", f"""WITH v AS (SELECT page_id, CASE WHEN instr(substr(url, 9), '/') = 0 THEN regexp_extract(url, '^([^?#]*)', 1) || '/' ELSE regexp_extract(url, '^([^#]*)', 1) END AS u
+    FROM pages WHERE regexp_matches(url, '^https?://'))
+  SELECT min(page_id) AS page_id, u AS url FROM v WHERE ends_with({_HOST_OF}, '.com') AND regexp_matches(u, 'example') AND NOT regexp_matches(u, 'pills')
+    AND u NOT IN (SELECT u FROM v WHERE page_id % 3 = 0) GROUP BY u""")
+def _(t: Tables):
+    """The whole chain: hosts to include, patterns both ways, and the URLs that are in the index."""
+    docs = t.pages.select("page_id", "url").unionByName(t.pages.select(
+        F.col("page_id") + 1000000000, F.concat("url", F.lit("#again"))).toDF("page_id", "url"))
+    hosts = t.pages.select(urls.host("url").alias("host")).filter("host LIKE '%.com'")
+    seen = t.pages.filter("page_id % 3 = 0").select(urls.normalize("url").alias("url"))
+    return jobs.filter_urls(docs, "page_id", include_hosts=hosts, include=["example"], exclude=["pills"], history=seen).select("page_id", "url")
+
+
 @query("f9_dropped_by", f"""SELECT page_id, CASE WHEN NOT regexp_matches(u, '^(?i)https?://[^ ]*$') THEN 'scheme_filter_http'
   WHEN NOT regexp_matches(u, 'example') THEN 'url_inclusion_filter' WHEN regexp_matches(u, '/de/') THEN 'url_exclusion_filter' END AS dropped_by
   FROM (SELECT page_id, {_SQL_MIXED} AS u FROM pages)""")

@@ -51,3 +51,13 @@ def result_queue(tasks: DataFrame, results: DataFrame) -> DataFrame:
 
 def plan_crawl(scrapes: DataFrame, profiles: DataFrame, sources: DataFrame, as_of: Column, **chosen) -> DataFrame:
     return search_tasks(select_scrapes(scrapes, as_of, **chosen), profiles, sources)
+
+
+def due(scrapes: DataFrame, now: Column) -> DataFrame:
+    """Scrapes whose time has come; those without a time are always due."""
+    return scrapes.filter(F.col("due_at").isNull() | (F.col("due_at") <= now))
+
+
+def advanced(done: DataFrame, now: Column) -> DataFrame:
+    """Scrapes that were done, due again after their own interval."""
+    return done.withColumn("due_at", (now + F.expr("make_dt_interval(every_days)")).cast("timestamp_ntz"))

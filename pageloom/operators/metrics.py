@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Observation, functions as F
 
+from ..session import stored
+
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Count rows as they pass, with no extra job; read ``observation.get`` after an action."""
@@ -13,3 +17,26 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 def stage_counts(queue: DataFrame) -> DataFrame:
     return queue.groupBy("profile_id", "referring_source_id", "keyword").agg(F.count("*").alias("results"))
+
+
+class StageLog:
+    """How long each stage of a run took, and its rows by profile."""
+
+    def __init__(self):
+        self.stages: list[tuple[str, float, DataFrame]] = []
+
+    def written(self, df: DataFrame, stage: str) -> DataFrame:
+        """Write a stage once to the shared folder; the time is that of writing it."""
+        start = time.monotonic()
+        out = stored(df, stage)
+        self.stages.append((stage, time.monotonic() - start, out))
+        return out
+
+    def table(self) -> DataFrame:
+        """(stage, profile_id, rows, seconds): a row for each stage and profile, seconds those of the whole stage."""
+        rows = None
+        for stage, seconds, frame in self.stages:
+            one = frame.groupBy("profile_id").agg(F.count("*").alias("rows")).select(
+                F.lit(stage).alias("stage"), "profile_id", "rows", F.lit(seconds).alias("seconds"))
+            rows = one if rows is None else rows.unionByName(one)
+        return rows

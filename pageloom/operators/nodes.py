@@ -85,18 +85,22 @@ def with_nodes(pages: DataFrame, html: str = "html", extra: tuple[str, ...] = ()
     return out.withColumns(given).drop("_page")
 
 
-def with_reasons(pages: DataFrame, html: str = "html", extra: tuple[str, ...] = ()) -> DataFrame:
-    """As ``with_nodes``, with ``parse_error``: why a page has no nodes, or null."""
-    function = _nodes_function(frozenset(CORE + tuple(extra)), frozenset())
-    return pages.withColumn("_page", function(F.col(html))).withColumns(
-        {"nodes": F.col("_page.nodes"), "parse_error": F.col("_page.reason")}).drop("_page")
+def parsed_once(pages: DataFrame, html: str = "html", rules: str = "rules", path_tags: tuple[str, ...] = ()) -> DataFrame:
+    """All that later steps read of a page: the node array with all fields, ``found`` by its ``rules``, and ``parse_error``.
+
+    Steps that are given a frame with ``nodes`` don't parse; the caller stores this one.
+    """
+    function = _nodes_function(frozenset(NODE.fieldNames()), frozenset(path_tags), True)
+    alternatives = F.transform(rules, lambda r: r["alts"])
+    return pages.withColumn("_page", function(F.col(html), alternatives)).withColumns(
+        {"nodes": F.col("_page.nodes"), "found": F.col("_page.found"), "parse_error": F.col("_page.reason")}).drop("_page", html)
 
 
 def node_rows(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html",
               extra: tuple[str, ...] = (), per_page: dict[str, Column] | None = None) -> DataFrame:
     """One row per node, hash-partitioned by the page key.
 
-    ``per_page`` holds columns computed from a page's ``nodes`` array and repeated on its rows.
+    Pages with a ``nodes`` array are not parsed again. ``per_page`` holds columns computed from a page's ``nodes`` array and repeated on its rows.
 
     The single shuffle moves one row per page, its nodes as an array. Explode keeps the
     partitioning, so every later window over a page runs without another shuffle.
@@ -104,8 +108,8 @@ def node_rows(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str
     per_page = per_page or {}
     fields = [n for n in NODE.fieldNames() if n in CORE + tuple(extra)]
     # explode_outer: with explode, Catalyst adds a filter that parses every page once more
-    return (with_nodes(pages.select(*keys, html), html, extra)
-            .select(*keys, "nodes")
+    parsed = pages if "nodes" in pages.columns else with_nodes(pages.select(*keys, html), html, extra)
+    return (parsed.select(*keys, "nodes")
             .repartition(*keys)
             .withColumns(per_page)
             .select(*keys, *per_page, F.explode_outer("nodes").alias("n"))

@@ -31,7 +31,7 @@ def date_candidates(pages: DataFrame, as_of: Column, keys: tuple[str, ...] = ("p
     pieces = F.transform(
         F.filter("nodes", lambda n: n["raw"].isNotNull()),
         lambda n: F.struct(n["node_id"].alias("piece_id"), n["raw"].alias("raw"), holders(n).alias("holders")))
-    parsed = with_nodes(pages.select(*keys, html), html, extra=("raw", "path"), path_tags=tuple(tags))
+    parsed = pages if "nodes" in pages.columns else with_nodes(pages.select(*keys, html), html, extra=("raw", "path"), path_tags=tuple(tags))
     found = (parsed.select(*keys, F.explode_outer(pieces).alias("p"))
              .filter(F.size("p.holders") > 0)
              .withColumn("raw", F.regexp_replace("p.raw", "&#160;|&#xA0;|\u00a0", "&nbsp;"))

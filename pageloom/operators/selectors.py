@@ -101,7 +101,11 @@ def rule_fields(pages: DataFrame, site_rules: DataFrame, url: str = "url", html:
     Pages without rules are dropped before anything is parsed.
     """
     ruled = with_rules(pages.select("page_id", url), site_rules, url).filter("rules is not null").select("page_id", "rules")
-    parsed = with_nodes(pages.join(ruled, "page_id"), html, extra=("attrs",), rules=F.transform("rules", lambda r: r["alts"]))
+    return fields_of(with_nodes(pages.join(ruled, "page_id"), html, extra=("attrs",), rules=F.transform("rules", lambda r: r["alts"])))
+
+
+def fields_of(parsed: DataFrame) -> DataFrame:
+    """The same for pages with ``rules``, ``nodes`` and what the rules ``found``."""
     nodes = F.col("nodes")
 
     def entry(rule: Column, i: Column) -> Column:

@@ -64,7 +64,7 @@ def visited_url_filter(history: DataFrame | None, order: str, url: str = "url")
         fresh = first_by(df, [url], order)
         if history is None:
             return fresh
-        return fresh.join(history.select(url).distinct(), url, "left_anti")
+        return fresh.join(history.select(url), url, "left_anti")
     return apply
 
 

@@ -1,13 +1,20 @@
-"""The jobs users call. Every function returns a lazy DataFrame."""
+"""The jobs users call.
+
+Functions return frames. Those that read something several times write it to the shared folder first, and
+so run jobs of their own: ``parse_pages``, ``fetch_and_extract``, ``full_run``, ``index_pages``, and language
+detection, for its table of frequent words.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lang, text, urls
+from ..functions.dates import DATE_TAGS
 from ..operators import bloom, crawl, index, language, page_dates, scoring, selectors, url_filters
-from ..operators.merge import Registry, can_do, is_fetched
-from ..operators.nodes import with_nodes
+from ..operators.merge import Registry, is_fetched, merge_attributes
+from ..operators.metrics import StageLog
+from ..operators.nodes import parsed_once
 from ..session import stored as write_once
 from ..sources.sinks import report_rows
 
@@ -43,9 +50,9 @@ def extract_by_rules(pages: DataFrame, site_rules: DataFrame | None = None) -> D
 
 
 @EXTRACTORS.register("scoring")
-def extract_main_text(pages: DataFrame, min_length: int = 25, **limits) -> DataFrame:
-    """(page_id, title, content); pages with too little text give no row."""
-    body = scoring.main_text(pages, **limits).filter(F.length("content") > min_length)
+def extract_main_text(pages: DataFrame, min_length: int = 25, parsed: DataFrame | None = None, **limits) -> DataFrame:
+    """(page_id, title, content); pages with too little text give no row. ``parsed`` has the nodes of the pages, if there are any yet."""
+    body = scoring.main_text(pages if parsed is None else parsed, **limits).filter(F.length("content") > min_length)
     titles = pages.select("page_id", page_title("html").alias("title"))
     return titles.join(body, "page_id")
 
@@ -82,10 +89,28 @@ def with_text_language(rows: DataFrame, texts: DataFrame, lexicon: DataFrame | N
     return rows.join(found, "page_id", "left").withColumn("lang", F.coalesce("lang", "_by_text")).drop("_by_text")
 
 
-def fetch_and_extract(pages: DataFrame, site_rules: DataFrame, as_of: Column, lexicon: DataFrame | None = None) -> DataFrame:
-    """Complete pages pass; others go through rules, then scoring, then the default.
+def parse_pages(pages: DataFrame, site_rules: DataFrame) -> DataFrame:
+    """(page_id, url, rules, nodes, found, parse_error), written once: the one parse that rules, scoring, dates and links read."""
+    ruled = selectors.with_rules(pages.select("page_id", "url", "html"), site_rules)
+    return write_once(parsed_once(ruled, path_tags=tuple(tag for tag, _ in DATE_TAGS)), "nodes")
+
+
+def _filled(value: str) -> Column:
+    return F.when(~text.is_blank(value), F.col(value))
+
+
+# Fields beside title and content that rules may name, kept whichever extractor gives the text.
+EXTRAS = ("author", "evaluation", "tags")
 
-    The language is that of the markup, else of the host's end, else, with a lexicon, that of the words.
+
+def fetch_and_extract(pages: DataFrame, site_rules: DataFrame, as_of: Column, lexicon: DataFrame | None = None,
+                      parsed: DataFrame | None = None) -> DataFrame:
+    """Complete pages pass; others go through rules, then scoring, then the default. Each page is parsed once.
+
+    A page that comes with a title or a content only keeps it where no extractor finds one; author,
+    evaluation and tags that rules find stay, whichever extractor gives the text. The language is that of the
+    markup, else of the host's end, else, with a lexicon, that of the words. ``parse_error`` says why a page
+    could not be read.
 
     Each later extractor runs only on the pages that are still open. What the rules found is
     written once, since it is both a result and the test of what is still open.
@@ -93,26 +118,33 @@ def fetch_and_extract(pages: DataFrame, site_rules: DataFrame, as_of: Column, le
     seed = pages.columns
     known = [c if c in seed else F.lit(None).cast("string").alias(c) for c in ("title", "content")]
     rows = pages.select("page_id", "url", "html", *known)
+    parsed = parse_pages(rows, site_rules) if parsed is None else parsed
     done = rows.filter(is_fetched()).select("page_id", "title", "content", F.lit("given").alias("extractor"))
-    todo = rows.filter(~is_fetched()).select("page_id", "url", "html")
-
-    ruled = write_once(extract_by_rules(todo, site_rules).select(
-        "page_id", finish("title").alias("title"), finish("content").alias("content")).filter(is_fetched()), "ruled")
-    rest = todo.join(ruled.select("page_id"), "page_id", "left_anti")
-    by_score = extract_main_text(rest).select(
+    todo = rows.filter(~is_fetched())
+
+    ruled = parsed.filter("rules IS NOT NULL").join(todo.select("page_id"), "page_id", "left_semi")
+    fields = write_once(selectors.fields_of(ruled).select("page_id", *[
+        finish(F.try_element_at("fields", F.lit(c))).alias(c) for c in ("title", "content", *EXTRAS)]), "ruled")
+    by_rules = fields.filter(is_fetched()).select("page_id", "title", "content")
+    rest = todo.join(by_rules.select("page_id"), "page_id", "left_anti")
+    by_score = extract_main_text(rest, parsed=parsed.join(rest.select("page_id"), "page_id", "left_semi")).select(
         "page_id", finish("title").alias("_title"), finish("content").alias("_content"))
-    whole = default_extract(rest).select("page_id", finish("title").alias("title"), finish("content").alias("content"))
+    whole = default_extract(rest.withColumnsRenamed({"title": "seed_title", "content": "seed_content"})).select(
+        "page_id", "seed_title", "seed_content", finish("title").alias("title"), finish("content").alias("content"))
     scored_ok = F.coalesce(is_fetched("_title", "_content"), F.lit(False))
+    picked = {c: F.when(scored_ok, F.col(f"_{c}")).otherwise(_filled(c)) for c in ("title", "content")}
+    seeds = {c: F.col(f"seed_{c}") for c in ("title", "content")}
+    merged = merge_attributes(seeds, picked)
     fallback = whole.join(by_score, "page_id", "left").select(
-        "page_id", F.when(scored_ok, F.col("_title")).otherwise(F.col("title")).alias("title"),
-        F.when(scored_ok, F.col("_content")).otherwise(F.col("content")).alias("content"),
+        "page_id", *[F.coalesce(merged[c], F.lit("")).alias(c) for c in ("title", "content")],
         F.when(scored_ok, "scoring").otherwise("default").alias("extractor"))
-    picked = (done.unionByName(ruled.withColumn("extractor", F.lit("rules"))).unionByName(fallback))
-    dated = page_dates.publish_date(pages, as_of).select("page_id", "published")
+    picked = done.unionByName(by_rules.withColumn("extractor", F.lit("rules"))).unionByName(fallback)
+    picked = picked.join(fields.select("page_id", *EXTRAS), "page_id", "left")
+    dated = page_dates.publish_date(parsed, as_of).select("page_id", "published")
     heads = pages.select("page_id", "url", F.coalesce(lang.lang_from_attr("html"), lang.lang_from_tld("url")).alias("lang"))
     picked = write_once(picked, "picked") if lexicon is not None else picked
     heads = with_text_language(heads, picked.select("page_id", F.col("content").alias("text")), lexicon)
-    return (heads.join(picked, "page_id").join(dated, "page_id")
+    return (heads.join(picked, "page_id").join(dated, "page_id").join(parsed.select("page_id", "parse_error"), "page_id")
             .withColumn("outcome", F.when(is_fetched(), "success").otherwise("fail")))
 
 
@@ -167,14 +199,16 @@ def review_extract(pages: DataFrame, site_rules: DataFrame, drop_date_dots: bool
 
 def full_run(scrapes: DataFrame, profiles: DataFrame, stored: dict[str, DataFrame], results: DataFrame,
              landed: DataFrame, site_rules: DataFrame, as_of: Column, days: int = 60,
-             comments: DataFrame | None = None, lexicon: DataFrame | None = None) -> dict[str, DataFrame]:
+             comments: DataFrame | None = None, lexicon: DataFrame | None = None, log: StageLog | None = None) -> dict[str, DataFrame]:
     """Plan, filter, extract, index and retain for all profiles at once: next versions of all tables.
 
     ``stored`` holds sources and pages, and may hold comments and a blacklist: blacklisted pages are
     not worked on, and pages without text come on it. Tables that several later steps read are
-    written once to the shared folder: the search tasks, the pages to work on and their texts.
+    written once to the shared folder: the search tasks, the pages to work on, their nodes and their texts;
+    ``log`` notes for each of these stages how long it took and its rows by profile. ``landed`` may have an etag.
     """
-    tasks = write_once(crawl.plan_crawl(scrapes, profiles, stored["sources"], as_of), "tasks")
+    log = log or StageLog()
+    tasks = log.written(crawl.plan_crawl(scrapes, profiles, stored["sources"], as_of), "tasks")
     queue = crawl.result_queue(tasks, results)
     wanted = filter_urls(queue.withColumn("_ord", F.col("scrape_id")), "_ord",
                          history=stored["pages"].select("url"))
@@ -182,20 +216,23 @@ def full_run(scrapes: DataFrame, profiles: DataFrame, stored: dict[str, DataFram
     if banned is None:
         banned = scrapes.sparkSession.createDataFrame([], "hashed_name string, profile_id bigint")
     wanted = url_filters.blacklist_filter(wanted, banned)
-    bodies = write_once(landed.withColumn("url", urls.normalize("url")).join(
-        wanted.select("url", "profile_id", "referring_source_id"), "url"), "bodies")
-    found = write_once(fetch_and_extract(bodies.select("page_id", "url", "html"), site_rules, as_of, lexicon), "texts")
-    blacklist = index.upsert_blacklist(banned, found.filter("outcome <> 'success'").join(
-        bodies.select("page_id", "profile_id"), "page_id").select("url", "profile_id"))
-    links = with_nodes(bodies.select("page_id", "profile_id", "referring_source_id", "html"), extra=("attrs",)).select(
-        "page_id", "profile_id", "referring_source_id", selectors.links_of(F.col("nodes")).alias("links"), F.col("html").alias("raw"))
     none = F.lit(None).cast("string")
-    docs = (found.filter("outcome = 'success'").join(links, "page_id")
-            .select("url", "title", "content", none.alias("author"), "links",
-                    "profile_id", "referring_source_id", none.alias("etag"), "raw", "published",
-                    F.lit(None).cast("timestamp_ntz").alias("updated"), "lang", none.alias("evaluation"),
-                    none.alias("tags"), F.col("page_id").alias("ord")))
-    docs = write_once(docs, "docs")
+    if "etag" not in landed.columns:
+        landed = landed.withColumn("etag", none)
+    bodies = log.written(landed.withColumn("url", urls.normalize("url")).join(
+        wanted.select("url", "profile_id", "referring_source_id"), "url"), "bodies")
+    parsed = parse_pages(bodies, site_rules)
+    texts = fetch_and_extract(bodies.select("page_id", "url", "html"), site_rules, as_of, lexicon, parsed)
+    of_page = bodies.select("page_id", "profile_id", "referring_source_id", "etag", F.col("html").alias("raw"))
+    found = log.written(texts.join(of_page.select("page_id", "profile_id"), "page_id"), "texts")
+    blacklist = index.upsert_blacklist(banned, found.filter("outcome <> 'success'").select("url", "profile_id"))
+    links = parsed.select("page_id", selectors.links_of(F.col("nodes")).alias("links"))
+    docs = (found.filter("outcome = 'success'").drop("profile_id").join(of_page, "page_id").join(links, "page_id")
+            .select("url", "title", "content", "author", "links",
+                    "profile_id", "referring_source_id", "etag", "raw", "published",
+                    F.lit(None).cast("timestamp_ntz").alias("updated"), "lang", "evaluation",
+                    "tags", F.col("page_id").alias("ord")))
+    docs = log.written(docs, "docs")
     if comments is None:
         sources = index.upsert_sources(stored["sources"], docs)
         tables = {"sources": sources, "pages": index.upsert_pages(stored["pages"], docs, sources, profiles, as_of)}

@@ -18,10 +18,10 @@ FEED_FIELDS = {
 FIELDS = ("title", "author", "content", "url", "published", "link", "origlink")
 
 _ITEM_TAGS = sorted({tag for fields in FEED_FIELDS.values() for tag in fields.values()})
-_ITEM = T.StructType([T.StructField(t, T.StringType()) for t in _ITEM_TAGS])
-_CHANNEL = T.StructType([T.StructField("item", T.ArrayType(_ITEM))])
-_FEED = T.StructType([T.StructField("channel", _CHANNEL), T.StructField("item", T.ArrayType(_ITEM)),
-                      T.StructField("entry", T.ArrayType(_ITEM))])
+# The link of an Atom entry is an attribute, and there may be several; the first counts.
+_LINK = "array<struct<_VALUE:string,_href:string>>"
+_ITEM = "struct<" + ",".join(f"`{t}`:{_LINK if t == 'link' else 'string'}" for t in _ITEM_TAGS) + ">"
+_FEED = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ITEM}>"
 _MEDIA = T.StructType([T.StructField("media:title", T.StringType()), T.StructField("media:description", T.StringType())])
 RSS_ITEM = T.StructType([T.StructField("link", T.StringType()), T.StructField("pubDate", T.StringType()),
                          T.StructField("media:group", _MEDIA)])
@@ -34,7 +34,7 @@ def _rss_columns():
 
 
 def rss_items(spark: SparkSession, path: str) -> DataFrame:
-    """``item`` elements of feed files."""
+    """``item`` elements of feed files, each file one feed."""
     return spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path).select(*_rss_columns())
 
 
@@ -50,12 +50,12 @@ def rss_items_of(feeds: DataFrame, xml: str = "xml") -> DataFrame:
 def feed_comments(feeds: DataFrame, xml: str = "xml", generator: str = "generator") -> DataFrame:
     """One row per comment, fields named alike whatever program made the feed."""
     keys = [c for c in feeds.columns if c not in (xml, generator)]
-    ddl = "channel struct<item:array<{0}>>, item array<{0}>, entry array<{0}>".format(
-        "struct<" + ",".join(f"`{t}`:string" for t in _ITEM_TAGS) + ">")
     items = F.coalesce("f.channel.item", "f.item", "f.entry")
-    rows = (feeds.select(*keys, generator, F.from_xml(F.col(xml), ddl).alias("f"))
+    rows = (feeds.select(*keys, generator, F.from_xml(F.col(xml), _FEED).alias("f"))
             .select(*keys, generator, F.explode(items).alias("i")))
-    tag_value = F.create_map(*[x for t in _ITEM_TAGS for x in (F.lit(t), F.col(f"i.`{t}`"))])
+    link = F.get("i.link", F.lit(0))
+    value = {t: F.col(f"i.`{t}`") for t in _ITEM_TAGS} | {"link": F.coalesce(link["_VALUE"], link["_href"])}
+    tag_value = F.create_map(*[x for t in _ITEM_TAGS for x in (F.lit(t), value[t])])
     names = F.create_map(*[x for g, m in FEED_FIELDS.items() for x in (
         F.lit(g), F.create_map(*[y for k, v in m.items() for y in (F.lit(k), F.lit(v))]))])
     mine = F.try_element_at(names, F.col(generator))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import urls
+from ..operators import crawl
 from ..operators.index import failed_keys, index_batch
 from ..operators.keyed_table import TableVersions
 from ..session import fresh_path
@@ -103,3 +104,20 @@ def extraction_step(extract: Callable[[DataFrame], DataFrame], sink: str) -> Cal
     def each(batch: DataFrame, batch_id: int) -> None:
         extract(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
     return each
+
+
+def crawl_rounds(scrapes: TableVersions, work: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Batch step for a stream of ticks: do the scrapes that are due, then move each on by its own interval.
+
+    ``scrapes`` (scrape_id, every_days, due_at) begins as batch 0; round n is its batch n + 1. A round that is run
+    again finds the same scrapes due.
+    """
+    def each(ticks: DataFrame, round_: int) -> None:
+        tick = ticks.agg(F.max("tick")).first()[0]
+        if tick is None:
+            return
+        now = F.lit(str(tick)).cast("timestamp_ntz")
+        due = crawl.due(scrapes.before(round_ + 1), now)
+        work(due, round_)
+        scrapes.add(round_ + 1, crawl.advanced(due, now))
+    return each
