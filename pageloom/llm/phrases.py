@@ -16,7 +16,7 @@ What is proposed reaches the tasks as a bit table of stated size. A phrase let i
 is counted exactly as well, in all texts, so collisions cost work but change no result; and "counted by
 the first pass" is asked of that pass's own rule. Phrases are told apart by their words, not by hashes.
 
-Only counts are shuffled, combined before; no phrase has more rows than there are slices. A slice of
+Only counts are shuffled, added up by slice before; no phrase has more rows than there are slices. A slice of
 some four megabytes of text is held at a time.
 
 Defined results: a null text is empty, a null language ``und``; empty texts and repeated rows count as
@@ -105,7 +105,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndar
     offsets = np.concatenate(([0], np.cumsum(stop - start)))
     coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters)).dictionary_encode()
     text = np.searchsorted(ends, start, side="right") - 1
-    breaks = np.cumsum(kind == 2, dtype=np.int64)
+    breaks = np.cumsum(kind == 2, dtype=np.int32)
     together = (breaks[start[1:]] == breaks[start[:-1]]) & (text[1:] == text[:-1]) if len(start) else np.zeros(0, bool)
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, text, together
 
@@ -184,7 +184,8 @@ def count(docs: DataFrame, tables: list, sizes: tuple[int, int], least: int, all
                 for start in range(0, found.num_rows, 50_000):
                     yield found.slice(start, 50_000)
     rows = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(per_slice, COUNTS)
-    sums = rows.groupBy("key").agg(F.sum("f").alias("f"))
+    # a slice has added up its own; adding up once more before the shuffle would hold a task's phrases for little
+    sums = rows.repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
     phrase = F.substring_index("key", "\n", -1)
     often = (F.col("f") >= least) | ~phrase.contains(" ") if all_words else F.col("f") >= least
     return sums.where(often).withColumn("phrase", phrase).select(
