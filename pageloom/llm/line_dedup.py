@@ -210,16 +210,19 @@ def dedup_lines(docs: DataFrame, keep: list[str]) -> DataFrame:
     rid = F.xxhash64("doc_id", "text")
     texts = docs.select(F.struct("doc_id", rid.alias("rid")).alias("row"), F.col("text"))
     chunks = stored(mapped(texts, _chunker, "chunks array<struct<start: int, end: int, hash: long>>").select(
-        "row.doc_id", "row.rid", F.explode("chunks").alias("c")).select("doc_id", "rid", "c.*"), "chunks")
+        "row.doc_id", "row.rid", F.explode("chunks").alias("c")).select("doc_id", "rid", "c.*"), "chunks", compression="zstd")
+    # most hashes stand once: they are told by themselves, before places are looked at
+    twice = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    repeated = stored(chunks.join(twice, "hash", "left_semi"), "repeated", compression="zstd")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "start")
-    again = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select(
+    again = repeated.groupBy("hash").agg(F.min(order).alias("first")).select(
         "hash", F.col("first.rid").alias("first_rid"), F.col("first.start").alias("first_start"))
-    marks = chunks.join(again, "hash").select("rid", F.struct(
+    marks = repeated.join(again, "hash").select("rid", F.struct(
         "start", "end", "hash", ((F.col("rid") == F.col("first_rid")) & (F.col("start") == F.col("first_start"))).alias("first")).alias("m"))
     per_row = marks.groupBy("rid").agg(F.collect_set("m").alias("marks"))     # within one document
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"), rid.alias("rid"))
     cut = rows.join(per_row, "rid", "left").select("row", "rid", "text", "marks")
-    parts = stored(mapped(cut, _cutter, f"rid long, parts {PART}"), "parts")
+    parts = stored(mapped(cut, _cutter, f"rid long, parts {PART}"), "parts", compression="zstd")
 
     pieces = parts.select("rid", F.explode("parts").alias("p")).select("rid", "p.*")
     firsts = pieces.where(F.col("state") == FIRST).groupBy("hash").agg(F.min("text").alias("first_text"))
