@@ -6,9 +6,10 @@ of ``RANK`` factors; the product of two vectors is the weight of the pair, so th
 say together what neither says alone, such as an insult with the mention of a group.
 
 Fitting uses a bounded sample: about ``PER_CLASS`` labelled rows of each label, chosen by a hash of
-the id. Spark counts the terms of the sample by label; the ``TERMS`` that tell the labels apart
-best (at least ``LEAST`` rows, a score of the difference of shares over ``CLEAR``) enter the model,
-which is fitted in numpy on the rows' indexes of these terms. Its size is bounded by ``TERMS`` and
+the id. Spark counts the terms of the sample by label. The ``TERMS`` that tell the labels apart
+best by themselves (at least ``LEAST`` rows, a score of the difference of shares over ``CLEAR``) enter the
+model, and the ``COMMON`` ones that vary most from row to row, whatever they say by themselves, as they may
+say something in pairs. It is fitted in numpy on the rows' indexes of these terms. Its size is bounded by ``TERMS``, ``COMMON`` and
 ``RANK``. Scoring reads every whole text once, without a shuffle.
 
 Defined results: several labels of one document: toxic if one says so; null labels are none; null
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .batches import batch_of, mapped, packed, slices
 
-PER_CLASS, TERMS, RANK = 5_000, 4_096, 8
+PER_CLASS, TERMS, COMMON, RANK = 5_000, 4_096, 128, 8
 LEAST, CLEAR, PREFIXES = 3, 5.0, (4, 5, 6)
+HELD = 100.0
 TRAIN_TASKS = 8
 KNOWN_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -130,8 +132,8 @@ def machine(docs: np.ndarray, term: np.ndarray, n: int, model: dict) -> tuple[np
 
 
 def fit(docs: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, rank: int = RANK, steps: int = 300,
-        rate: float = 0.05, decay: float = 2e-5, pair_decay: float = 1e-4) -> dict:
-    """Logistic loss by Adam over the whole sample; equal in every run."""
+        rate: float = 0.05, decay: float = 2e-5, pair_decay: float = 1e-4, held: np.ndarray | float = 1.0) -> dict:
+    """Logistic loss by Adam over the whole sample; equal in every run. ``held`` times the decay holds for each term."""
     n = len(label)
     model = {"w0": np.zeros(1), "w": np.zeros(terms), "v": np.random.default_rng(7).normal(0, 0.05, (terms, rank))}
     first = {k: np.zeros_like(x) for k, x in model.items()}
@@ -142,8 +144,8 @@ def fit(docs: np.ndarray, term: np.ndarray, label: np.ndarray, terms: int, rank:
         per_pair = error[docs]
         own = np.bincount(term, weights=per_pair, minlength=terms)
         pull = np.stack([np.bincount(term, weights=per_pair * sums[docs, k], minlength=terms) for k in range(rank)], axis=1)
-        slope = {"w0": np.array([error.sum()]), "w": own + decay * model["w"],
-                 "v": pull - own[:, None] * model["v"] + pair_decay * model["v"]}
+        slope = {"w0": np.array([error.sum()]), "w": own + decay * held * model["w"],
+                 "v": pull - own[:, None] * model["v"] + pair_decay * np.reshape(held, (-1, 1)) * model["v"]}
         for k in model:
             first[k] = 0.9 * first[k] + 0.1 * slope[k]
             second[k] = 0.999 * second[k] + 0.001 * slope[k] ** 2
@@ -168,14 +170,19 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
         F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     rate = (F.col("t") + F.col("c")) / (n[0] + n[1])
     clear = F.abs(F.col("t") / n[1] - F.col("c") / n[0]) / F.sqrt(rate * (1 - rate + 1e-6) * (1 / n[0] + 1 / n[1]))
-    best = counted.where(F.col("t") + F.col("c") >= LEAST).withColumn("clear", clear).where(F.col("clear") >= CLEAR).orderBy(
-        F.desc("clear"), "term").limit(TERMS).select("term").toArrow()["term"].to_numpy()
+    counted = stored(counted.where(F.col("t") + F.col("c") >= LEAST), "terms")
+    telling = counted.withColumn("clear", clear).where(F.col("clear") >= CLEAR).orderBy(F.desc("clear"), "term").limit(TERMS).select("term")
+    # in most rows, but not in all: what varies most
+    common = counted.orderBy(F.desc(rate * (1 - rate)), "term").limit(COMMON).select("term")
+    telling, common = (t.toArrow()["term"].to_numpy() for t in (telling, common))
+    best = np.unique(np.concatenate((telling, common)))
     rows = sample.mapInArrow(_index(best), "toxic int, terms array<int>").toArrow()
     lists = rows["terms"].combine_chunks()
     label = rows["toxic"].to_numpy().astype(np.float64)
     docs_of = np.repeat(np.arange(len(label)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     term = lists.flatten().to_numpy()
-    model = fit(docs_of, term, label, max(len(best), 1))
+    # what tells nothing by itself must earn its weight
+    model = fit(docs_of, term, label, max(len(best), 1), held=np.where(np.isin(best, telling), 1.0, HELD) if len(best) else 1.0)
     # the sample has more toxic rows than the labels have
     model["w0"] = model["w0"] + np.log(sizes[1] / sizes[0]) - np.log(n[1] / n[0])
     return model | {"chosen": best}
