@@ -1,8 +1,8 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 Every paragraph (what stands between line feeds, the empty one too) is hashed to a wide vector
-of 16-bit lanes, and a text's fingerprint is the sum of the vectors of its paragraphs, lane by
-lane modulo 2^16. So the order of paragraphs doesn't matter, and a paragraph is put in or taken
+of lanes, and a text's fingerprint is the sum of the vectors of its paragraphs, lane by lane
+modulo 2^32. So the order of paragraphs doesn't matter, and a paragraph is put in or taken
 out by one addition or subtraction (``added``, ``removed``), without reading the rest.
 
 A vector has two parts. The first 64 lanes are the output of an extendable hash of the whole
@@ -37,16 +37,16 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dt
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
-    """A row of ``LANES`` 16-bit values for each text."""
+    """A row of ``LANES`` 32-bit values for each text."""
     n = len(texts)
-    exact = np.zeros((n, EXACT), dtype=np.uint16)
+    exact = np.zeros((n, EXACT), dtype=np.uint32)
     hashes: list[int] = []
     lengths: list[int] = []     # words and marks of each paragraph
     owners: list[int] = []      # its text
     for i, text in enumerate(texts):
         paragraphs = text.encode("utf-8", "replace").split(b"\n")
         wide = b"".join([hashlib.shake_128(p).digest(2 * EXACT) for p in paragraphs])
-        exact[i] = np.frombuffer(wide, dtype="<u2").reshape(-1, EXACT).sum(axis=0, dtype=np.uint16)
+        exact[i] = np.frombuffer(wide, dtype="<u2").reshape(-1, EXACT).sum(axis=0, dtype=np.uint32)
         for p in paragraphs:
             if words := p.split():
                 hashes += (1, 2)
@@ -66,33 +66,33 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         lane = (run >> np.uint64(57)).astype(np.int64)
         sign = ((run >> np.uint64(20)) & np.uint64(1)).astype(np.float64) * 2 - 1
         sketch = np.bincount(owner * SKETCH + lane, weights=sign, minlength=n * SKETCH).astype(np.int64).reshape(n, SKETCH)
-    return np.concatenate((exact, (sketch & 0xFFFF).astype(np.uint16)), axis=1)
+    return np.concatenate((exact, (sketch & 0xFFFFFFFF).astype(np.uint32)), axis=1)
 
 
 def added(fingerprint: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
     """With the paragraphs of another fingerprint put in."""
-    return (fingerprint + paragraph).astype(np.uint16)
+    return (fingerprint + paragraph).astype(np.uint32)
 
 
 def removed(fingerprint: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
     """With the paragraphs of another fingerprint taken out."""
-    return (fingerprint - paragraph).astype(np.uint16)
+    return (fingerprint - paragraph).astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row: twice the product of the sketches over the sum of their squares, kept within 0 and 1."""
-    x, y = (m[:, EXACT:].astype(np.int16).astype(np.float64) for m in (a, b))
+    x, y = (m[:, EXACT:].astype(np.int32).astype(np.float64) for m in (a, b))
     squares = (x * x).sum(axis=1) + (y * y).sum(axis=1)
     share = np.clip(2 * (x * y).sum(axis=1) / np.where(squares > 0, squares, 1), 0.0, 1.0)
     return np.where((a == b).all(axis=1), 1.0, share)
 
 
 def written(fingerprint: np.ndarray) -> str:
-    return base64.b64encode(fingerprint.astype("<u2").tobytes()).decode()
+    return base64.b64encode(fingerprint.astype("<u4").tobytes()).decode()
 
 
 def read(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), dtype="<u2")
+    return np.frombuffer(base64.b64decode(fingerprint), dtype="<u4")
 
 
 def edited(text: str, following: str) -> str:
