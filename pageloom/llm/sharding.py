@@ -5,8 +5,8 @@ The law kept is ``bytes``: the sizes of the shards are near equal. Placing is gr
 shard, among those whose room in bytes holds it (else those with most room), where its dot product
 with the residual capacity is highest.
 
-The driver never sees a row for each group. A group of at least 1/``LARGE`` of all bytes is placed
-by itself (there are at most ``LARGE``); all others are gathered by a hash of the text into
+The driver never sees a row for each group. A group of at least 1/``LARGE`` of all bytes or of all rows is
+placed by itself (there are at most twice ``LARGE``); all others are gathered by a hash of the text into
 ``BUNDLES`` bundles, whose sums alone are placed. A fixed sixteenth of the hash space makes half
 the bundles; these small ones come last and even out the rest. A group larger than a shard's
 capacity, which no shard could hold, is dealt in ``PIECES`` equal pieces; every other group of
@@ -67,9 +67,10 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot."""
     spark = docs.sparkSession
     rows = stored(measured(docs), "sharding")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    large = rows.groupBy("grp").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * LARGE >= total)
-    large = {r["grp"]: r["bytes"] for r in large.toLocalIterator()}    # at most LARGE groups
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    large = rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where(
+        (F.col("bytes") * LARGE >= total) | (F.col("n") * LARGE >= n_rows))
+    large = {r["grp"]: r["bytes"] for r in large.toLocalIterator()}    # at most 2 * LARGE groups
     names = spark.createDataFrame([(g, k) for k, g in enumerate(sorted(large))], "grp long, large int")
     marked = rows.join(F.broadcast(names), "grp", "left").withColumns({
         "cell": F.when(F.col("large").isNotNull(), F.lit(BUNDLES) + F.col("large")).otherwise(bundle_of(F.col("grp"))),
@@ -91,6 +92,6 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
         "cell long, piece int, shard int, base long")
     in_cell = Window.partitionBy("cell", "piece").orderBy("doc_id", "grp", "size")
     placed = marked.select("doc_id", "size", "text_crc32", "grp", "cell", "piece").withColumn("place", F.row_number().over(in_cell))
-    # at most BUNDLES + LARGE * PIECES rows of four numbers, whatever the input
+    # at most BUNDLES + 2 * LARGE * PIECES rows of four numbers, whatever the input
     return placed.join(F.broadcast(known), ["cell", "piece"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("place") - 1).alias("slot"))
