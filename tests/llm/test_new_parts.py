@@ -10,7 +10,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import by_hand
-from pageloom.llm import hard_negatives, merge_codec, phrases
+from pageloom.llm import hard_negatives, merge_codec, multiset_hash, phrases, sharding, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +108,45 @@ def test_counts_beyond_64_bits(spark):
                                    ("en", 3, "a b c", big - big // 5)], "lang string, size int, phrase string, f long")
     rows = {r["phrase"]: (r["a"], r["l"], r["r"], r["score"]) for r in phrases.scored(found).collect()}
     assert rows == {"a b c": (big - big // 5, 3 * big, big, 2000000 * (big - big // 5) // (4 * big))}
+
+
+def test_a_pair_is_learned_end_to_end(spark):
+    """Two words, each in half of the texts, toxic if just one of them is there: no term tells the labels apart by itself."""
+    pick = random.Random(4)
+    vocabulary = ["".join(pick.choice("abcdefghijklmnop") for _ in range(pick.randint(3, 9))) for _ in range(2000)]
+    rows, labels = [], []
+    for k in range(3000):
+        one, two = pick.random() < 0.5, pick.random() < 0.5
+        words = [pick.choice(vocabulary) for _ in range(40)] + ["kettle"] * one + ["violin"] * two
+        pick.shuffle(words)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(one != two)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(docs.where("doc_id % 5 > 0"), marks)
+    found = toxicity.scored(docs.where("doc_id % 5 = 0"), model, ["doc_id"]).select("row.doc_id", "score").toArrow().to_pylist()
+    assert sum((r["score"] >= 0.5) == bool(labels[r["doc_id"]][1]) for r in found) > 0.95 * len(found)
+
+
+@pytest.mark.parametrize("times", [20_000, 33_000, 70_000])
+def test_a_passage_repeated_many_times_is_like_itself(times):
+    text = "one two three four " * times
+    own, new = multiset_hash.fingerprints([text]), multiset_hash.fingerprints([multiset_hash.edited(text, "something else")])
+    half = multiset_hash.fingerprints([multiset_hash.edited(text, "other words of another text here " * times)])
+    assert multiset_hash.likeness(own, new)[0] > 0.4 and multiset_hash.likeness(own, half)[0] > 0.4
+    more = multiset_hash.added(own[0], multiset_hash.fingerprints(["a paragraph"])[0])
+    assert (more == multiset_hash.fingerprints([text + "\na paragraph"])[0]).all()
+    assert (multiset_hash.removed(more, multiset_hash.fingerprints(["a paragraph"])[0]) == own[0]).all()
+
+
+def test_many_empty_texts_are_cut_for_numbering(spark):
+    """A third of all rows is empty: next to no bytes, but rows that one task must not number alone."""
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN '' ELSE concat(repeat('some text ', 40), id) END AS text")
+    placed = sharding.assign(docs)
+    rows = placed.toArrow().to_pandas()
+    for _, own in rows.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    marked = sharding.measured(docs)
+    large = marked.groupBy("grp").count().where("count * 2048 >= 60000").collect()
+    assert [r["count"] for r in large] == [20_000]
+    sizes = rows.groupby("shard")["size"].sum()
+    assert sizes.max() - sizes.min() < 0.02 * sizes.max()
