@@ -40,7 +40,7 @@ def edge_folder(tmp_path_factory):
                   "toxic": pd.array([0, 0, 1, None, 1], dtype="Int64")}).to_parquet(folder / "labels.parquet")
     pq.write_table(pa.table({
         "vec_id": pa.array([v[0] for v in VECTORS], pa.int64()), "label": pa.array([v[1] for v in VECTORS], pa.int32()),
-        "embedding": pa.array([v[2] for v in VECTORS], pa.list_(pa.float32())), "body": list(range(len(VECTORS))), "place": "p"}), folder / "embeddings.parquet")
+        "embedding": pa.array([v[2] for v in VECTORS], pa.list_(pa.float32())), "body": list(range(len(VECTORS))), "place": ["p"] * len(VECTORS)}), folder / "embeddings.parquet")
     return str(folder)
 
 

@@ -2,6 +2,7 @@
 
 import random
 import string
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -204,11 +205,29 @@ def test_longest_of_overlapping_runs():
     assert secrets_scan.longest([(0, 20), (0, 41), (21, 41), (30, 60), (60, 80), (100, 120)]) == [(0, 41), (60, 80), (100, 120)]
 
 
-def test_rejections_follow_the_share():
-    assert secrets_scan.rejection_bins({0: 100}) > 100
-    least = secrets_scan.rejection_bins({0: 50, 5: 50, 200: 100})
-    assert 26 <= least <= 200
-    assert secrets_scan.rejection_bins({}) == secrets_scan.BIN * secrets_scan.LOWEST + 1
+def test_reports_follow_the_share_of_ordinary_runs():
+    made = {200: 900, 40: 90, 10: 10}
+    assert secrets_scan.reported_bins({200: 500, 40: 20}, made) == -1         # as ordinary runs are
+    assert secrets_scan.reported_bins({200: 500, 3: 200}, made) == 3
+    assert secrets_scan.reported_bins({3: 1}, made) == 3
+    assert secrets_scan.reported_bins({3: 1}, {}) == secrets_scan.reported_bins({}, made) == -1
+
+
+def test_ordinary_strings_are_not_reported(spark):
+    """Names of capitalised words and a number, paths, identifiers and versions stay; tokens of 40 characters are found."""
+    pick = random.Random(8)
+    words = ("get user account name value list index table query manager factory builder handler service request response error message file path cache "
+             "session config option parser reader writer buffer stream socket client server thread pool worker event").split()
+    ordinary = ["".join(pick.choice(words).capitalize() for _ in range(pick.randint(4, 6))) + str(pick.randrange(100)) for _ in range(1400)]
+    ordinary += ["/".join(pick.choice(words) for _ in range(5)) + str(pick.randrange(10)) for _ in range(300)]
+    ordinary += [str(uuid.UUID(int=pick.getrandbits(128))) for _ in range(200)]
+    ordinary += [f"{pick.choice(words)}-{pick.choice(words)}-{pick.randrange(2000, 2030)}-{pick.randrange(1, 13):02d}-{pick.choice(words)}" for _ in range(100)]
+    tokens = ["a1" + "".join(pick.choice(string.ascii_letters + string.digits) for _ in range(38)) for _ in range(200)]
+    rows = [(k, f"the {' '.join(pick.choice(words) for _ in range(20))} {run} of it") for k, run in enumerate(ordinary + tokens)]
+    found = secrets_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()
+    reported = {r["row"]["doc_id"] for r in found if any(s["kind"] == "random" for s in r["spans"])}
+    assert sum(k < len(ordinary) for k in reported) <= 0.05 * len(ordinary)
+    assert sum(k >= len(ordinary) for k in reported) >= 0.95 * len(tokens)
 
 
 def test_multiset_hash_moves_with_paragraphs():
