@@ -16,10 +16,16 @@ from .views import AS_OF_TEXT, CRAWL_AS_OF_TEXT, SRC, TASKS, Tables, as_of, craw
 
 # crawl planning
 _TASK_COLUMNS = "scrape_id, profile_id, profile_title, source_id, source_url, keyword"
-for _name in ("j4_scrape_keywords", "p1_plan_crawl"):
-    @query(_name, w(*TASKS) + f"SELECT {_TASK_COLUMNS} FROM tasks")
-    def _(t: Tables):
-        return t.tasks()
+@query("p1_plan_crawl", w(*TASKS) + f"SELECT {_TASK_COLUMNS} FROM tasks")
+def _(t: Tables):
+    return t.tasks()
+
+
+@query("j4_scrape_keywords", w(*TASKS) + "SELECT scrape_id, unnest(CASE WHEN len(s.keywords) > 0 THEN s.keywords ELSE p.keywords END) AS keyword "
+       "FROM scrapes s JOIN profiles p USING (profile_id) JOIN crawl_sources c USING (source_id)")
+def _(t: Tables):
+    """All scrapes, expired ones too, with each keyword of their own or of their profile."""
+    return crawl.search_tasks(t.scrapes(), t.profiles(), t.crawl_sources()).select("scrape_id", "keyword")
 
 
 @query("j3_scrape_parents", w(*TASKS) + "SELECT scrape_id, p.title AS profile_title, c.url AS source_url FROM scrapes s JOIN profiles p USING (profile_id) JOIN crawl_sources c USING (source_id)")
@@ -58,10 +64,16 @@ def _(t: Tables):
 
 _QUEUE = (w(*TASKS, "results") + "SELECT r.scrape_id, r.keyword, r.url, t.profile_id, t.source_url AS referring_uri, t.source_id AS referring_source_id "
           "FROM (SELECT DISTINCT * FROM results WHERE url LIKE 'http%') r JOIN tasks t ON t.scrape_id = r.scrape_id AND t.keyword = r.keyword")
-for _name in ("k3_result_merge", "u3_result_queue"):
-    @query(_name, _QUEUE)
-    def _(t: Tables):
-        return crawl.result_queue(t.tasks(), t.results())
+@query("k3_result_merge", _QUEUE)
+def _(t: Tables):
+    return crawl.result_queue(t.tasks(), t.results())
+
+
+@query("u3_result_queue", _QUEUE)
+def _(t: Tables):
+    """Result lists that overlap make one queue."""
+    results = t.results()
+    return crawl.result_queue(t.tasks(), results.filter("length(url) % 2 = 0").unionByName(results).unionByName(results.filter("scrape_id % 2 = 1")))
 
 
 @query("a1_distinct_results", w(*TASKS, "results") + "SELECT DISTINCT scrape_id, keyword, url FROM results")

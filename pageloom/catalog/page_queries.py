@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import merge, metrics, page_dates, quarantine, scoring, selectors
-from ..operators.nodes import below, keep_subtrees, node_rows, subtree_measures, link_density, link_text_length, text_length, with_nodes
+from ..operators.nodes import below, drop_subtrees, keep_subtrees, node_rows, subtree_measures, link_density, link_text_length, text_length, with_nodes
 from ..operators.selectors import generator_of, links_of
 from ..plans import jobs
 from ..schemas import PAGE_INDEX
@@ -98,6 +98,17 @@ def _(t: Tables):
         "page_id", (F.coalesce("p1", F.lit(0)) - F.coalesce("p0", F.lit(0))).alias("n"))
 
 
+@query("c25_blocks_in_comments", "SELECT doc_id AS page_id, 3::BIGINT AS n FROM documents")
+def _(t: Tables):
+    """Of five divs three hold no block: a block tag inside a comment keeps a div a div, a note doesn't."""
+    clean = F.regexp_replace("text", "[^A-Za-z0-9]+", " ")
+    pages = dealt(t.documents, "doc_id").select(F.col("doc_id").alias("page_id"), F.concat(
+        F.lit("<html><body><div>x"), clean, F.lit("</div><div>x"), clean, F.lit("<!-- <p>old</p> --></div><div>x"), clean, F.lit("<!-- a note --></div><div>x<b>"), clean,
+        F.lit("</b></div><div>x<img>"), clean, F.lit("</div></body></html>")).alias("html"))
+    rows = scoring.measured(scoring.drop_unlikely(scoring.node_passes(pages), PASS), PASS)
+    return rows.filter("pass_no = 1 AND kind = 'e' AND tag = 'p'").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
 # articles built from documents: junk that must go around paragraphs that must stay
 def _article_pages(t: Tables):
     clean = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -195,13 +206,22 @@ def _(t: Tables):
             .select("page_id", F.lit(1).cast("bigint").alias("pass_no"), "cls"))
 
 
-for _name in ("f23_script_removal", "j9_subtree_removal"):
-    @query(_name, f"SELECT page_id, (length({_text(_BODY)}))::BIGINT AS n FROM pages")
-    def _(t: Tables):
-        from ..operators.nodes import drop_subtrees
-        rows = drop_subtrees(node_rows(t.pages), ("page_id",), F.col("tag").isin("script", "style"))
-        inside = keep_subtrees(rows, ("page_id",), F.col("tag") == "body")
-        return inside.groupBy("page_id").agg(F.sum(text_length()).alias("n"))
+@query("f23_script_removal", f"SELECT page_id, (length({_text(_BODY)}))::BIGINT AS n FROM pages")
+def _(t: Tables):
+    rows = drop_subtrees(node_rows(t.pages), ("page_id",), F.col("tag").isin("script", "style"))
+    inside = keep_subtrees(rows, ("page_id",), F.col("tag") == "body")
+    return inside.groupBy("page_id").agg(F.sum(text_length()).alias("n"))
+
+
+_NO_MENU = f"regexp_replace(regexp_replace({_BODY}, '(?s)<nav.*?</nav>', '', 'g'), '(?s)<footer.*?</footer>', '', 'g')"
+
+
+@query("j9_subtree_removal", f"SELECT page_id, length({_text(_NO_MENU)})::BIGINT AS n FROM pages")
+def _(t: Tables):
+    """Menu and footer go with all they hold."""
+    rows = drop_subtrees(node_rows(t.pages), ("page_id",), F.col("tag").isin("script", "style", "nav", "footer"))
+    inside = keep_subtrees(rows, ("page_id",), F.col("tag") == "body")
+    return inside.groupBy("page_id").agg(F.sum(text_length()).alias("n"))
 
 
 @query("f24_paragraph_floor", "SELECT doc_id AS page_id, len([x for x in string_split(text, chr(10)) if length(x) >= 25])::BIGINT AS n FROM documents")
@@ -275,14 +295,31 @@ def _norm(expr: str) -> str:
     return _unescape(expr)
 
 
-for _name in ("p4_extract_by_rules", "j16_rule_nodes", "x3_field_by_name"):
-    @query(_name, f"SELECT page_id, {_norm(_H1)} AS title, CASE WHEN regexp_matches(html, '<div class=\"ad\">') THEN trim({_norm(_AD)}) ELSE NULL END AS content, trim({_norm(_MENU)}) AS menu, trim({_norm(_FOOT)}) AS foot FROM pages")
-    def _(t: Tables):
-        from ..functions.text import decode_entities
-        out = jobs.extract_by_rules(dealt(t.pages, "page_id"), _rules(t))
-        has_ad = F.col("html").contains('<div class="ad">')
-        return out.select("page_id", decode_entities("title").alias("title"), F.when(has_ad, decode_entities("content")).alias("content"),
-                          *[decode_entities(F.try_element_at("fields", F.lit(n))).alias(n) for n in ("menu", "foot")])
+@query("p4_extract_by_rules", f"SELECT page_id, {_norm(_H1)} AS title, CASE WHEN regexp_matches(html, '<div class=\"ad\">') THEN trim({_norm(_AD)}) ELSE NULL END AS content, trim({_norm(_MENU)}) AS menu, trim({_norm(_FOOT)}) AS foot FROM pages")
+def _(t: Tables):
+    from ..functions.text import decode_entities
+    out = jobs.extract_by_rules(dealt(t.pages, "page_id"), _rules(t))
+    has_ad = F.col("html").contains('<div class="ad">')
+    return out.select("page_id", decode_entities("title").alias("title"), F.when(has_ad, decode_entities("content")).alias("content"),
+                      *[decode_entities(F.try_element_at("fields", F.lit(n))).alias(n) for n in ("menu", "foot")])
+
+
+@query("j16_rule_nodes", "SELECT page_id, 'menu' AS field, len(regexp_extract_all(html, '<a href=\"'))::BIGINT AS n FROM pages UNION ALL SELECT page_id, 'foot', 1 FROM pages "
+       "UNION ALL SELECT page_id, 'title', 1 FROM pages UNION ALL SELECT page_id, 'content', len(regexp_extract_all(html, '<div class=\"ad\">')) FROM pages")
+def _(t: Tables):
+    """How many nodes of a page each rule selects."""
+    ruled = selectors.with_rules(dealt(t.pages, "page_id"), _rules(t))
+    found = with_nodes(ruled, extra=("attrs",), rules=F.transform("rules", lambda r: r["alts"]))
+    rows = found.select("page_id", F.explode(F.arrays_zip(F.transform("rules", lambda r: r["field"]).alias("field"), F.col("found").alias("ids"))).alias("r"))
+    return rows.select("page_id", "r.field", F.size("r.ids").cast("bigint").alias("n"))
+
+
+@query("x3_field_by_name", f"SELECT page_id, 'menu' AS field, trim({_norm(_MENU)}) AS value FROM pages UNION ALL SELECT page_id, 'foot', trim({_norm(_FOOT)}) FROM pages")
+def _(t: Tables):
+    """Fields that no column has, by the names of the rules."""
+    from ..functions.text import decode_entities
+    out = jobs.extract_by_rules(dealt(t.pages, "page_id"), _rules(t)).select("page_id", F.explode("fields").alias("field", "value"))
+    return out.filter("field IN ('menu', 'foot')").select("page_id", "field", decode_entities("value").alias("value"))
 
 
 @query("x2_extractor_registry", "SELECT page_id FROM pages WHERE page_id % 3 = 0")
@@ -382,12 +419,17 @@ def _feeds(t: Tables):
         F.concat(F.lit('<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'), body, F.lit("</channel></rss>")).alias("xml"))
 
 
-for _name in ("s6_feed_comments", "k4_feed_field_map"):
-    @query(_name, "SELECT conv_id, ['wordpress', 'blogger', 'typepad'][conv_id % 3 + 1] AS generator, 'T' || turn AS title, role AS author, "
-                  "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::BIGINT AS n, CASE WHEN conv_id % 3 = 1 THEN '2010-01-02' ELSE 'Mon, 04 Jan 2010 10:00:00 +0100' END AS published FROM conversations")
-    def _(t: Tables):
-        return feeds.feed_comments(_feeds(t)).select(
-            "conv_id", "generator", "title", "author", F.length(F.regexp_replace("content", r"^\s+|\s+$", "")).cast("bigint").alias("n"), "published")
+@query("s6_feed_comments", "SELECT conv_id, ['wordpress', 'blogger', 'typepad'][conv_id % 3 + 1] AS generator, 'T' || turn AS title, role AS author, "
+       "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::BIGINT AS n, CASE WHEN conv_id % 3 = 1 THEN '2010-01-02' ELSE 'Mon, 04 Jan 2010 10:00:00 +0100' END AS published FROM conversations")
+def _(t: Tables):
+    return feeds.feed_comments(_feeds(t)).select(
+        "conv_id", "generator", "title", "author", F.length(F.regexp_replace("content", r"^\s+|\s+$", "")).cast("bigint").alias("n"), "published")
+
+
+@query("k4_feed_field_map", "SELECT conv_id, count(*) AS comments, count(DISTINCT role) AS authors FROM conversations GROUP BY conv_id")
+def _(t: Tables):
+    """Whatever program made a feed, its authors are under one name."""
+    return feeds.feed_comments(_feeds(t)).groupBy("conv_id").agg(F.count("*").alias("comments"), F.count_distinct("author").alias("authors"))
 
 
 def _rss_xml():

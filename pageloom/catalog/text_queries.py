@@ -251,11 +251,13 @@ _scalar("m2_changed_only_rating", lambda: ratings.changed(F.expr("CASE WHEN even
 _scalar("m3_margin_percent", lambda: F.round(lang.margin_percent(F.col("l_quantity"), F.col("l_discount")), 6),
         "round((l_quantity - l_discount) / ((l_quantity + l_discount) / 2.0) * 100, 6)", "lineitem", "l_orderkey")
 _SQL_TAGS = "array_to_string(list_sort(['zed', lower(p_name), lower(p_brand)]), ', ')"
-for _name in ("k1_tags_normalise", "o3_tag_sort"):
-    _scalar(_name, lambda: ratings.tags_normalise(F.concat(F.lit(" Zed ,"), F.upper("p_name"), F.lit(","), "p_brand")), _SQL_TAGS, "part", "p_partkey")
-for _name in ("a9_tag_union", "u1_tag_array_union"):
-    _scalar(_name, lambda: ratings.tag_union(F.lit("old, zed"), F.concat(F.lit(" Zed ,"), F.upper("p_name"), F.lit(","), "p_brand")),
-            "'old,zed,' || array_to_string(list_sort([lower(p_name), lower(p_brand)]), ',')", "part", "p_partkey")
+_scalar("k1_tags_normalise", lambda: ratings.tags_normalise(F.concat(F.lit(" Zed ,"), F.upper("p_name"), F.lit(","), "p_brand")), _SQL_TAGS, "part", "p_partkey")
+_scalar("o3_tag_sort", lambda: F.array_join(ratings.tag_array(F.concat("p_type", F.lit(", "), "p_brand", F.lit(" ,"), "p_type", F.lit(","), "p_name")), "|"),
+        "array_to_string(list_sort([lower(p_type), lower(p_brand), lower(p_type), lower(p_name)]), '|')", "part", "p_partkey")
+_scalar("a9_tag_union", lambda: ratings.tag_union(F.lit("old, zed"), F.concat(F.lit(" Zed ,"), F.upper("p_name"), F.lit(","), "p_brand")),
+        "'old,zed,' || array_to_string(list_sort([lower(p_name), lower(p_brand)]), ',')", "part", "p_partkey")
+_scalar("u1_tag_array_union", lambda: ratings.tag_union(F.when(F.expr("p_partkey % 3 > 0"), F.lower("p_brand")), F.when(F.expr("p_partkey % 4 > 0"), F.col("p_brand"))),
+        "CASE WHEN p_partkey % 3 > 0 THEN lower(p_brand) WHEN p_partkey % 4 > 0 THEN lower(p_brand) END", "part", "p_partkey")
 
 
 @query("k2_tokenise", r"SELECT doc_id, pos, word FROM (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM "
@@ -322,12 +324,22 @@ def _(t: Tables):
 
 _CHAIN_SQL = f"""SELECT min(page_id) AS page_id, u AS url FROM (SELECT page_id, CASE WHEN instr(substr(url, 9), '/') = 0 THEN regexp_extract(url, '^([^?#]*)', 1) || '/' ELSE regexp_extract(url, '^([^#]*)', 1) END AS u
   FROM pages WHERE regexp_matches(url, '^https?://')) WHERE regexp_matches(u, 'example[.](com|org)') AND NOT regexp_matches(u, 'pills') GROUP BY u"""
-for _name in ("f9_filter_chain", "p2_filter_urls"):
-    @query(_name, _CHAIN_SQL)
-    def _(t: Tables):
-        docs = t.pages.select("page_id", "url").unionByName(t.pages.select(
-            F.col("page_id") + 1000000000, F.concat("url", F.lit("#again"))).toDF("page_id", "url"))
-        return jobs.filter_urls(docs, "page_id", include=["example[.](com|org)"], exclude=["pills"]).select("page_id", "url")
+def _with_copies(t: Tables):
+    return t.pages.select("page_id", "url").unionByName(t.pages.select(
+        F.col("page_id") + 1000000000, F.concat("url", F.lit("#again"))).toDF("page_id", "url"))
+
+
+@query("f9_filter_chain", _CHAIN_SQL)
+def _(t: Tables):
+    """The members one by one; a chain of any members in any order is a list."""
+    members = [url_filters.scheme_filter_http, url_filters.normalize_uri, url_filters.url_exclusion_filter(["pills"]),
+               url_filters.url_inclusion_filter(["example[.](com|org)"]), url_filters.visited_url_filter(None, "page_id")]
+    return url_filters.filter_chain(_with_copies(t), members).select("page_id", "url")
+
+
+@query("p2_filter_urls", _CHAIN_SQL)
+def _(t: Tables):
+    return jobs.filter_urls(_with_copies(t), "page_id", include=["example[.](com|org)"], exclude=["pills"]).select("page_id", "url")
 
 
 _HOST_OF = "regexp_extract(u, '^[a-z]+://([^/?#]+)', 1)"
@@ -339,11 +351,9 @@ _HOST_OF = "regexp_extract(u, '^[a-z]+://([^/?#]+)', 1)"
     AND u NOT IN (SELECT u FROM v WHERE page_id % 3 = 0) GROUP BY u""")
 def _(t: Tables):
     """The whole chain: hosts to include, patterns both ways, and the URLs that are in the index."""
-    docs = t.pages.select("page_id", "url").unionByName(t.pages.select(
-        F.col("page_id") + 1000000000, F.concat("url", F.lit("#again"))).toDF("page_id", "url"))
     hosts = t.pages.select(urls.host("url").alias("host")).filter("host LIKE '%.com'")
     seen = t.pages.filter("page_id % 3 = 0").select(urls.normalize("url").alias("url"))
-    return jobs.filter_urls(docs, "page_id", include_hosts=hosts, include=["example"], exclude=["pills"], history=seen).select("page_id", "url")
+    return jobs.filter_urls(_with_copies(t), "page_id", include_hosts=hosts, include=["example"], exclude=["pills"], history=seen).select("page_id", "url")
 
 
 @query("f9_dropped_by", f"""SELECT page_id, CASE WHEN NOT regexp_matches(u, '^(?i)https?://[^ ]*$') THEN 'scheme_filter_http'

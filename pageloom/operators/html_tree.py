@@ -10,6 +10,8 @@ import re
 from bisect import bisect_left
 from html import unescape
 
+from ..functions.weights import BLOCK_PREFIX
+
 # Tag classes of the repair rules.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_ONLY = frozenset("html head title meta link script style base noscript".split())
@@ -36,6 +38,9 @@ _TOKEN = re.compile(
     re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _DIGIT = re.compile(r"\d")
+# a comment with start tags of blocks has this for its tag
+BLOCKS = "#blocks"
+_BLOCK = re.compile("<" + BLOCK_PREFIX.removeprefix("^"), re.I)
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -181,7 +186,7 @@ def parse(html: str, path_tags: frozenset[str] = frozenset(), want_raw: bool = T
                         tree.add("t", text=body, raw=body)
                 at = stop
         elif token["comment"] is not None:
-            tree.add("c", text=None, raw=token["comment"])
+            tree.add("c", tag=BLOCKS if _BLOCK.search(token["comment"]) else None, raw=token["comment"])
     tree.pop_to(0)
     return tree.rows
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import article_text_clean, escape_markup, strip_ws
 from ..functions.weights import BLOCK_PREFIX, class_weight, is_unlikely, tag_points
+from .html_tree import BLOCKS
 from .nodes import (_page_window, drop_subtrees, keep_subtrees, link_density, link_text_length,
                     node_rows, subtree_measures, text_length)
 
@@ -67,7 +68,7 @@ def measured(nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     Offsets count characters of the page text. They tell where in the page the last character
     that is not a comma stands, which gives the trailing commas of any subtree.
     """
-    block = f"kind = 'e' AND tag RLIKE '{BLOCK_PREFIX}'"
+    block = f"kind = 'e' AND tag RLIKE '{BLOCK_PREFIX}' OR kind = 'c' AND tag = '{BLOCKS}'"
     nodes = (nodes
              .withColumns({
                  "begin": F.coalesce(F.sum(text_length()).over(_before(keys)), F.lit(0)),
