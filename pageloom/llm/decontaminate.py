@@ -8,8 +8,7 @@ is 0, the pair selects the bucket of patterns that end in it, the first pair nar
 and the words are compared one by one.
 
 Nothing is shuffled but the benchmark. The benchmark travels to the tasks in slices of about
-``SLICE_BYTES`` of text each; a larger benchmark is searched slice after slice in one pass over
-the documents.
+``SLICE_BYTES`` of text each; for a larger one the documents are searched once for each slice.
 
 Defined results: a null text has no words, so it is neither a pattern nor contaminated; equal
 windows of several items count for each of them; several rows with one item_id are one item;
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .batches import batch_of, mapped, packed, slices
 
 WINDOW = 13
@@ -130,23 +130,26 @@ def _searcher(items: list[tuple[str, str | None]], window: int, first: bool, las
     return search
 
 
-def benchmark_slices(benchmark: DataFrame, limit: int = SLICE_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in slices of about ``limit`` bytes of text."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // limit) or 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"]) for r in part.toLocalIterator()]
+def benchmark_slice(rows: DataFrame, k: int, n: int) -> list[tuple[str, str | None]]:
+    """The k-th of n slices of the items (item, text)."""
+    part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+    return [(r["item"], r["text"]) for r in part.toLocalIterator()]
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW,
                  limit: int = SLICE_BYTES) -> DataFrame:
-    """row (the columns ``keep``), found: n_words, spans of words covered by occurrences (merged), items (sorted)."""
-    out, parts = packed(docs, keep), list(benchmark_slices(benchmark, limit))
-    for k, items in enumerate(parts):
-        last = k == len(parts) - 1
-        out = mapped(out, _searcher(items, window, k == 0, last), ("" if last else "text string, ") + FOUND)
+    """row (the columns ``keep``), found: n_words, spans of words covered by occurrences (merged), items (sorted).
+
+    A benchmark of more than ``limit`` bytes is searched for in slices of about so many, one after the other: what
+    is found so far is written to the shared folder, so the driver and each task hold the patterns of one slice.
+    """
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // limit) or 1
+    out = packed(docs, keep)
+    for k in range(n):
+        last = k == n - 1
+        out = mapped(out, _searcher(benchmark_slice(rows, k, n), window, k == 0, last), ("" if last else "text string, ") + FOUND)
+        out = out if last else stored(out, "searched")
     return out
 
 
