@@ -12,14 +12,14 @@ import re
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-def meets(step: dict, tag: str, classes: str | None, id_attr: str | None, attrs: dict[str, str] | None) -> bool:
+def meets(step: dict, tag: str, classes: str | None, id_attr: str | None, attrs: list[tuple[str, str]] | None) -> bool:
     if step["tag"] and tag != step["tag"] or step["id"] and id_attr != step["id"]:
         return False
     if step["classes"] and not set(step["classes"]) <= set(_BLANKS.split(classes or "")):
         return False
     if not step["attr"]:
         return True
-    value = (attrs or {}).get(step["attr"])
+    value = dict(attrs or ()).get(step["attr"])
     return value is not None and step["value"] in ("", value)
 
 

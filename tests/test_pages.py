@@ -232,7 +232,7 @@ def test_selection(selector, wanted):
     tags = ["body", "div", "p", "p", "b", "p2", "div", "p", "b", "a", "a"]
     classes = [None, None, "y  z x", "x", None, None, None, "x\ny2", None, None, None]
     ids = [None, "one"] + [None] * 9
-    attrs = [None] * 9 + [{"href": "t"}, {"name": "u"}]
+    attrs = [None] * 9 + [[("href", "t")], [("name", "u")]]
     step = lambda t: {"tag": re.match("[a-z0-9]*", t)[0], "id": "".join(re.findall("#(\\w+)", t)), "classes": re.findall("\\.(\\w+)", t),
                       "attr": "".join(re.findall("\\[(\\w+)", t)), "value": "".join(re.findall("='?(\\w+)", t))}
     found = selection.select_any([[step(t) for t in alt.split()] for alt in selector.split(",")], parents, tags, classes, ids, attrs)
@@ -264,3 +264,54 @@ def test_bad_bytes_and_doubled_rules_stop_nothing(spark):
     found = {r["page_id"]: (r["outcome"], r["extractor"]) for r in out.collect()}
     assert found[1] == found[2] == ("success", "rules") and found[4][0] == "fail"
     assert found[3][0] == "fail"      # it has no title
+
+
+def test_a_page_is_parsed_once_by_the_whole_extraction(spark, folder, monkeypatch):
+    """Rules, scoring and dates read one stored parse."""
+    from pageloom.operators import nodes
+    from pageloom.plans import jobs
+    calls, made = [], nodes._nodes_function
+    monkeypatch.setattr(nodes, "_nodes_function", lambda *a, **k: calls.append(a) or made(*a, **k))
+    rules = spark.createDataFrame([("one-example-com", "title", "h1")], "host_slug string, tag string, selector string")
+    out = jobs.fetch_and_extract(table(spark, folder, "pages"), rules, F.lit("2025-01-01").cast("timestamp_ntz"))
+    assert out.count() == table(spark, folder, "pages").count() and len(calls) == 1
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_a_page_came_with_stays(spark):
+    """A page with a title only keeps it where no extractor finds one; what rules find beside the text stays whoever gives the text."""
+    from pageloom.plans import jobs
+    text_ = "a text, of many words, and commas. " * 10
+    pages = spark.createDataFrame([
+        (1, "http://one.example.com/1", f"<body><em>ann</em><p>{text_}</p></body>", "given title", None),
+        (2, "http://two.example.com/2", f"<title>own title</title><body><p>{text_}</p></body>", "given title", " "),
+        (3, "http://two.example.com/3", "<title>t</title><body></body>", None, "given text"),
+        (4, "http://two.example.com/4", "<title>t</title><body><p>x</p></body>", "both", "are here")], "page_id long, url string, html string, title string, content string")
+    rules = spark.createDataFrame([("one-example-com", "author", "em"), ("one-example-com", "content", "#none")], "host_slug string, tag string, selector string")
+    out = jobs.fetch_and_extract(pages, rules, F.lit("2025-01-01").cast("timestamp_ntz"))
+    rows = {r["page_id"]: r for r in out.collect()}
+    assert rows[1]["title"] == "given title" and rows[1]["author"] == "ann" and rows[1]["outcome"] == "success"
+    assert rows[2]["title"] == "own title" and rows[3]["content"] == "given text" and rows[3]["title"] == "t"
+    assert (rows[4]["title"], rows[4]["content"], rows[4]["extractor"]) == ("both", "are here", "given")
+
+
+def test_a_parser_failure_has_its_reason(spark, monkeypatch):
+    """The parser breaks on pages with raw markup: they are told apart from pages without any text."""
+    from pageloom.operators import html_tree, quarantine
+    from pageloom.plans import jobs
+    pages = spark.createDataFrame([(1, "http://one.example.com/1", "<p>1</p>"), (2, "http://one.example.com/2", "")], "page_id long, url string, html string")
+    rules = spark.createDataFrame([], "host_slug string, tag string, selector string")
+    monkeypatch.setattr(html_tree, "_DIGIT", None)
+    faults = quarantine.parse_faults(jobs.parse_pages(pages, rules)).collect()
+    assert [(r["key"], r["lost"]) for r in faults] == [("1", True)] and faults[0]["reason"].startswith("not parsed: AttributeError")
+
+
+def test_stage_log(spark):
+    from pageloom.operators.metrics import StageLog
+    log = StageLog()
+    frame = spark.range(10).selectExpr("id", "id % 3 AS profile_id")
+    assert log.written(frame, "one").count() == 10
+    log.written(frame.filter("profile_id = 0"), "two")
+    rows = {(r["stage"], r["profile_id"]): r for r in log.table().collect()}
+    assert [rows[("one", k)]["rows"] for k in range(3)] == [4, 3, 3] and rows[("two", 0)]["rows"] == 4
+    assert all(r["seconds"] > 0 for r in rows.values())
