@@ -125,3 +125,81 @@ def collocations(docs, least=30, top=2000):
         found[lang].append((-score, -a, " ".join(words).encode(), f[(lang, *words[:k])], f[(lang, *words[k:])]))
     return [(lang, rank, p.decode(), -a, le, r, n[lang], -score)
             for lang, own in found.items() for rank, (score, a, p, le, r) in enumerate(sorted(own)[:top], 1)]
+
+
+_M, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _h(text):
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+
+
+def _word_runs(text, letters):
+    """Where a long line is cut within: after words (letters) whose hash of three is the least within a window on both sides."""
+    units = list(text) if letters else re.findall(r"\S+", text, re.A)
+    ends = list(range(1, len(text) + 1)) if letters else [m.end() for m in re.finditer(r"\S+\s*", text, re.A)]
+    width, least = (16, 16) if letters else (6, 32)
+    hashes = [ord(u) if letters else _h(u) for u in units]
+    if len(units) < 2 * width:
+        return []
+    rolled = []
+    for k, h in enumerate(hashes):
+        r = h * _M & _ALL
+        for back in (1, 2):
+            if k >= back:
+                r = (r * _M + hashes[k - back]) & _ALL
+        rolled.append((r ^ r >> 29) * 0xBF58476D1CE4E5B9 & _ALL)
+    out, at = [], 0
+    for k in range(width - 1, len(units) - width):
+        around = rolled[max(0, k - width):k]
+        if all(rolled[k] < x for x in around) and all(rolled[k] <= x for x in rolled[k + 1:k + width + 1]):
+            if ends[k] - at >= least and len(text) - ends[k] >= least:
+                out.append(ends[k])
+                at = ends[k]
+    return out
+
+
+def line_chunks(text):
+    """(start, end) of every chunk of lines that may be removed, said line by line."""
+    lines, at = [], 0       # text, whether a line feed (or the text's end) ends it
+    for m in re.finditer(r"\n+|[.!?]+ +|[。！？।]+ *", text):
+        lines.append([text[at:m.end()], m[0][0] == "\n"])
+        at = m.end()
+    if at < len(text):
+        lines.append([text[at:], True])
+    if not lines:
+        return []
+    lines[-1][1] = True
+    n, hashes = len(lines), [_h(x) for x, _ in lines]
+    letters = [x.count(" ") * 20 < len(x) and not x.isascii() for x, _ in lines]
+    long = [len(x) >= 100 and (len(x) >= 300 or x.count(" ") >= 49 or odd) for (x, _), odd in zip(lines, letters)]
+    paragraph, last_of = [], []     # of each line: lines in its paragraph, and its last line
+    for k in range(n):
+        first = next((j + 1 for j in range(k - 1, -1, -1) if lines[j][1]), 0)
+        last = next(j for j in range(k, n) if lines[j][1])
+        paragraph.append(last - first + 1)
+        last_of.append(last)
+    hard = [k == n - 1 or long[k] or long[k + 1] or lines[k][1] and (paragraph[k] > 1 or paragraph[k + 1] > 1) for k in range(n)]
+    lone = [k + 1 < n and (last_of[k] == k + 1 and paragraph[k] > 1) or k + 2 < n and long[k + 2] for k in range(n)]
+    if any(long):
+        was = list(hard)
+        for k in range(n):
+            if not long[k] and was[k] and (k == 0 or was[k - 1]):
+                if not lines[k][1] and long[k + 1]:
+                    hard[k], lone[k] = False, True
+                elif k and not lines[k - 1][1] and long[k - 1]:
+                    hard[k - 1], lone[k - 1] = False, True
+    out, begin, first, end = [], 0, 0, 0
+    for k, (line, _) in enumerate(lines):
+        start, end = end, end + len(line)
+        rolled = (hashes[k] + (hashes[k - 1] * _M if k else 0)) & _ALL
+        soft = (rolled ^ rolled >> 32) % 2 == 0
+        if long[k]:
+            for stop in _word_runs(line, letters[k]):
+                out.append((begin, start + stop))
+                begin = start + stop
+        if hard[k] or soft and k > first and end - begin >= 40 and not lone[k]:
+            if long[k] or k > first and end - begin >= 32:
+                out.append((begin, end))
+            begin, first = end, k + 1
+    return out

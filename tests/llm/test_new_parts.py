@@ -5,12 +5,13 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
 import by_hand
-from pageloom.llm import hard_negatives, merge_codec, multiset_hash, phrases, sharding, toxicity
+from pageloom.llm import hard_negatives, line_dedup, merge_codec, multiset_hash, phrases, sharding, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -150,3 +151,13 @@ def test_many_empty_texts_are_cut_for_numbering(spark):
     assert [r["count"] for r in large] == [20_000]
     sizes = rows.groupby("shard")["size"].sum()
     assert sizes.max() - sizes.min() < 0.02 * sizes.max()
+
+
+def test_chunks_of_lines(folder):
+    """The vectorised rules against the same said line by line."""
+    pick = random.Random(3)
+    bits = ["word ", "x. ", "W\u00f6rter! ", "\u3002", "\u65e5\u672c\u8a9e\u306e", "\n", "\n\n", "a b c d e f g " * 10, "? ", " ", "\u2026", "long" * 30 + " ", "\u65e5\u672c" * 60]
+    texts = ["".join(pick.choice(bits) for _ in range(pick.randrange(0, 60))) for _ in range(1500)]
+    texts += [t for t in pq.read_table(f"{folder}/documents.parquet")["text"].to_pylist() if t and len(t) < 20_000]
+    for text in texts:
+        assert [c[:2] for c in line_dedup.chunks_of(text)] == by_hand.line_chunks(text), text[:200]

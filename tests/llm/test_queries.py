@@ -12,7 +12,7 @@ import tokenizers
 
 import by_hand
 import corpus_pipeline
-from pageloom.llm import line_dedup, pieces
+from pageloom.llm import pieces
 from pageloom.llm.queries import QUERIES
 
 
@@ -120,7 +120,7 @@ def test_line_dedup(spark, data):
         seen = set()
         for r, d in zip(found, docs):
             kept, at = [], 0
-            for start, end, _ in line_dedup.chunks_of(d["text"]):
+            for start, end in by_hand.line_chunks(d["text"]):
                 if d["text"][start:end] in seen:
                     kept.append(d["text"][at:start])
                     at = end
