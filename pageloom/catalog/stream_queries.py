@@ -38,6 +38,30 @@ def _(t: Tables):
     return streams.run_available(streams.seen_urls(_events(t).select("user_id", "ts"), "user_id", "ts", "10 minutes").select("user_id"), "users")
 
 
+def _in_files(t: Tables, frame, files: int, *keys: str):
+    """The rows as a stream that takes a file a batch."""
+    landing = fresh_path(t.spark, "landing")
+    frame.repartition(files, *keys).write.parquet(landing)
+    return t.spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+
+
+@query("t1_hosts_over_batches", "SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/' AS host FROM pages")
+def _(t: Tables):
+    """Hosts come again in every batch; the set lies on disk and goes on in a second run."""
+    streams.state_on_disk(t.spark)
+    stream, out, state = _in_files(t, t.pages, 4, "page_id"), fresh_path(t.spark, "hosts"), fresh_path(t.spark, "hosts-state")
+    streams.run_available(streams.seen_hosts(stream), "hosts", state=state, out=out)
+    return streams.run_available(streams.seen_hosts(stream), "hosts", state=state, out=out)
+
+
+@query("t2_urls_over_batches", "SELECT user_id, count(*) AS times FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
+def _(t: Tables):
+    """Keys come again in every batch, all within the delay: each is given out once."""
+    stream = _in_files(t, t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts")), 4, "ts")
+    found = streams.run_available(streams.seen_urls(stream, "user_id", "ts", "20000 days").select("user_id"), "users")
+    return found.groupBy("user_id").agg(F.count("*").alias("times"))
+
+
 @query("t3_stream_upsert", w(*SRC) + "SELECT 'page' AS kind, url AS key FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT DISTINCT 'source', regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/' FROM pages WHERE page_id % 4 = 0 "
        "UNION ALL SELECT 'blacklist', md5(url) FROM pages WHERE page_id % 4 > 0")
 def _(t: Tables):
@@ -98,10 +122,7 @@ def _(t: Tables):
        f"WHERE {_LONG} AND length({_ARTICLE}) > 25")
 def _(t: Tables):
     """Articles of pages that land in four files, a file a batch."""
-    landing, sink = fresh_path(t.spark, "landing"), fresh_path(t.spark, "articles")
-    pages = _article_pages(t)
-    pages.repartition(4, "page_id").write.parquet(landing)
-    stream = t.spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    sink, stream = fresh_path(t.spark, "articles"), _in_files(t, _article_pages(t), 4, "page_id")
     streams.run_batches(stream, "articles", streams.extraction_step(lambda b: jobs.extract_main_text(b), sink)).awaitTermination()
     return t.spark.read.schema("page_id bigint, title string, content string, batch_id int").parquet(sink).select("page_id", "title", F.md5("content").alias("content"))
 
