@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import article_text_clean, escape_markup, strip_ws
 from ..functions.weights import BLOCK_PREFIX, class_weight, is_unlikely, tag_points
+from ..session import stored
 from .html_tree import BLOCKS
 from .nodes import (_page_window, drop_subtrees, keep_subtrees, link_density, link_text_length,
                     node_rows, subtree_measures, text_length)
@@ -40,15 +41,17 @@ def _before(keys: tuple[str, ...]) -> Window:
     return _page_window(keys).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def node_passes(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
-    """Node rows with ``pass_no`` 1, and 2 where a retry could differ.
+def _unlikely(n: Column) -> Column:
+    return (n["kind"] == "e") & is_unlikely(n["tag"], n["cls"], n["id_attr"])
+
+
+def node_passes(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html", only: int | None = None) -> DataFrame:
+    """Node rows with ``pass_no`` 1, and 2 where a retry could differ; or of one pass ``only``.
 
     Class and id are read here, once, into ``weight`` and ``unlikely``, and not carried further.
     """
-    def unlikely(n: Column) -> Column:
-        return (n["kind"] == "e") & is_unlikely(n["tag"], n["cls"], n["id_attr"])
-    passes = F.when(F.exists("nodes", unlikely), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    rows = node_rows(pages, keys, html, per_page={"passes": passes})
+    passes = F.when(F.exists("nodes", _unlikely), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = node_rows(pages, keys, html, per_page={"passes": passes if only is None else F.array(F.lit(only))})
     return (rows.withColumns({"weight": class_weight("cls", "id_attr"),
                               "unlikely": is_unlikely("tag", "cls", "id_attr")})
             .drop("cls", "id_attr")
@@ -193,13 +196,26 @@ def assembled(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
             .select(*keys, F.array_join(ordered, "").alias("plain")))
 
 
+def _text_of(nodes: DataFrame, k: tuple[str, ...], min_text: int) -> DataFrame:
+    rows = scored(measured(drop_unlikely(nodes, k), k), k, min_text)
+    return assembled(sanitized(article_rows(with_best(rows, k), k), k, min_text), k)
+
+
 def main_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html",
               min_text: int = 25, retry_length: int = 250) -> DataFrame:
-    """Article text per page as ``content``; a short one is tried again with all nodes."""
+    """Article text per page as ``content``; a short one is tried again with all nodes.
+
+    Pages that are to be parsed go through both passes at once, so that none is parsed twice. Pages that have
+    their nodes go through the first; only short ones with unlikely nodes go through the second.
+    """
     k = (*keys, "pass_no")
-    nodes = scored(measured(drop_unlikely(node_passes(pages, keys, html), k), k), k, min_text)
-    text = assembled(sanitized(article_rows(with_best(nodes, k), k), k, min_text), k)
     enough = F.length(strip_ws("plain")) >= retry_length
+    if "nodes" in pages.columns:
+        first = stored(_text_of(node_passes(pages, keys, html, only=1), k, min_text), "pass-1")
+        again = pages.join(first.filter(~enough).select(*keys), list(keys), "left_semi").filter(F.exists("nodes", _unlikely))
+        text = first.unionByName(_text_of(node_passes(again, keys, html, only=2), k, min_text))
+    else:
+        text = _text_of(node_passes(pages, keys, html), k, min_text)
     chosen = F.coalesce(F.max(F.when((F.col("pass_no") == 1) & enough, F.col("plain"))),
                         F.max_by("plain", "pass_no"))
     return (text.groupBy(*keys).agg(chosen.alias("plain"))

@@ -315,3 +315,11 @@ def test_stage_log(spark):
     rows = {(r["stage"], r["profile_id"]): r for r in log.table().collect()}
     assert [rows[("one", k)]["rows"] for k in range(3)] == [4, 3, 3] and rows[("two", 0)]["rows"] == 4
     assert all(r["seconds"] > 0 for r in rows.values())
+
+
+def test_retry_of_short_pages_alone(mixed):
+    """Pages with their nodes give the same text as pages that are parsed on the way, though only short ones are tried again."""
+    from pageloom.operators.nodes import with_nodes
+    whole = {r.page_id: r.content for r in main_text(mixed).collect()}
+    parsed = with_nodes(mixed).select("page_id", "nodes")
+    assert {r.page_id: r.content for r in main_text(parsed).collect()} == whole
