@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bloom, language
 from ..plans import jobs
-from ..session import fresh_path, stored
+from ..session import dealt, fresh_path, stored
 from .registry import query
 from .views import Tables
 
@@ -37,7 +37,7 @@ _TOK_BITS = (", tb AS (SELECT word, " + ", ".join(
 
 def lexicon(t: Tables):
     """All words of all languages, written once."""
-    return stored(language.build_lexicon(t.documents), "lexicon")
+    return stored(language.build_lexicon(dealt(t.documents, "doc_id")), "lexicon")
 
 
 @query("a13_lexicon", f"WITH {_TOKENS} SELECT lang, word, n FROM cnt")
@@ -52,24 +52,24 @@ def _(t: Tables):
 
 @query("j13_token_lexicon", f"WITH {_HITS} SELECT doc_id, pos, string_agg(lang, ',' ORDER BY lang) AS langs FROM hits GROUP BY doc_id, pos")
 def _(t: Tables):
-    hits = language.lexicon_hits(language.tokens(t.documents), lexicon(t))
+    hits = language.lexicon_hits(language.tokens(dealt(t.documents, "doc_id")), lexicon(t))
     return hits.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.array_join("langs", ",").alias("langs"))
 
 
 @query("a7_language_hits", f"WITH {_COUNTS} SELECT doc_id, lang, hits FROM counts")
 def _(t: Tables):
-    return language.hit_counts(language.lexicon_hits(language.tokens(t.documents), lexicon(t)))
+    return language.hit_counts(language.lexicon_hits(language.tokens(dealt(t.documents, "doc_id")), lexicon(t)))
 
 
 @query("w5_top_margin", f"WITH {_COUNTS} {_BEST} SELECT doc_id, CASE WHEN margin > 6 THEN lang ELSE '' END AS detected, hits, second_hits, round(margin, 6) AS margin FROM best")
 def _(t: Tables):
-    counts = language.hit_counts(language.lexicon_hits(language.tokens(t.documents), lexicon(t)))
+    counts = language.hit_counts(language.lexicon_hits(language.tokens(dealt(t.documents, "doc_id")), lexicon(t)))
     return language.top_by_margin(counts).withColumn("margin", F.round("margin", 6))
 
 
 @query("o2_language_sort", f"WITH {_COUNTS} SELECT doc_id, string_agg(lang || ':' || hits, ' ' ORDER BY hits DESC, lang) AS ranking FROM counts GROUP BY doc_id")
 def _(t: Tables):
-    counts = language.hit_counts(language.lexicon_hits(language.tokens(t.documents), lexicon(t)))
+    counts = language.hit_counts(language.lexicon_hits(language.tokens(dealt(t.documents, "doc_id")), lexicon(t)))
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("hits")).alias("k"), "lang", "hits")))
     return counts.groupBy("doc_id").agg(ranked.alias("_r")).select("doc_id", F.array_join(
         F.transform("_r", lambda r: F.concat(r["lang"], F.lit(":"), r["hits"].cast("string"))), " ").alias("ranking"))
@@ -81,7 +81,7 @@ _DETECTED = ("SELECT d.doc_id, coalesce(CASE WHEN margin > 6 THEN b.lang ELSE ''
 
 @query("p10_detect_language", f"WITH {_COUNTS} {_BEST} {_DETECTED}")
 def _(t: Tables):
-    return jobs.detect_language(t.documents, lexicon(t))
+    return jobs.detect_language(dealt(t.documents, "doc_id"), lexicon(t))
 
 
 @query("p13_language_by_text", f"WITH {_COUNTS} {_BEST} SELECT 'http://pages.example.com/' || doc_id AS url, 'Day, Month, Hour' AS found, "
@@ -106,14 +106,14 @@ _EXIT = (", run AS (SELECT t.doc_id, t.pos, " + ", ".join(
 
 @query("w6_early_exit", f"WITH {_HITS} {_EXIT} SELECT doc_id, lang, hits, stop_at::BIGINT AS words_read FROM counts")
 def _(t: Tables):
-    seen = language.lexicon_hits(language.tokens(t.documents), lexicon(t), "left")
+    seen = language.lexicon_hits(language.tokens(dealt(t.documents, "doc_id")), lexicon(t), "left")
     out = language.early_exit_counts(seen, LANGUAGES)
     return out.withColumn("words_read", F.col("words_read").cast("bigint"))
 
 
 @query("p10_detect_language_early", f"WITH {_HITS} {_EXIT} {_BEST} {_DETECTED}")
 def _(t: Tables):
-    return jobs.detect_language(t.documents, lexicon(t), languages=LANGUAGES)
+    return jobs.detect_language(dealt(t.documents, "doc_id"), lexicon(t), languages=LANGUAGES)
 
 
 @query("a10_bloom_build", f"WITH {_BITS} SELECT lang, ((bit - 1) // 32768 + 1)::BIGINT AS bucket, count(*) AS n FROM bits GROUP BY ALL")
@@ -166,10 +166,10 @@ def _(t: Tables):
 @query("j14_token_bloom", f"WITH {_BITS} {_TOK_BITS} SELECT doc_id, pos, string_agg(lang, ',' ORDER BY lang) AS langs FROM hits GROUP BY doc_id, pos")
 def _(t: Tables):
     filters = stored(bloom.build(lexicon(t)), "bloom")
-    hits = bloom.word_hits(language.tokens(t.documents), filters)
+    hits = bloom.word_hits(language.tokens(dealt(t.documents, "doc_id")), filters)
     return hits.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.array_join("langs", ",").alias("langs"))
 
 
 @query("p10_detect_language_bloom", f"WITH {_BITS} {_TOK_BITS}, counts AS (SELECT doc_id, lang, count(*) AS hits FROM hits GROUP BY doc_id, lang) {_BEST} {_DETECTED}")
 def _(t: Tables):
-    return jobs.detect_language(t.documents, filters=stored(bloom.build(lexicon(t)), "bloom"))
+    return jobs.detect_language(dealt(t.documents, "doc_id"), filters=stored(bloom.build(lexicon(t)), "bloom"))

@@ -7,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stored
+from .language import heavy_words
+
 # Fixed value: bits per filter.
 WIDTH = 2_000_000
 
@@ -103,9 +106,13 @@ def word_hits(toks: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair,
               width: int = WIDTH, how: str = "inner") -> DataFrame:
     """Tokens with the languages whose filter holds them; ``left`` keeps all tokens.
 
-    Each token is probed where it is read: what is shuffled later is what the caller counts, not words.
+    Each token is looked up where it is read: what is shuffled later is what the caller counts, not words. Hashing
+    is the dear part, so the words that a sample shows to be frequent, a bounded number, are hashed once.
     """
-    return known_words(toks, filters, hasher, width, how)
+    heavy = stored(known_words(heavy_words(toks), filters, hasher, width, "left").select("word", "langs"), "heavy")
+    near = toks.join(F.broadcast(heavy), "word")
+    far = known_words(toks.join(F.broadcast(heavy.select("word")), "word", "left_anti"), filters, hasher, width, how)
+    return (near.filter("langs IS NOT NULL") if how == "inner" else near).unionByName(far)
 
 
 def save(filters: DataFrame, path: str) -> None:
