@@ -6,6 +6,7 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.catalog import registry
 from pageloom.catalog.views import Tables, as_of
 from pageloom.functions import ratings, text, urls
 from pageloom.operators import bloom, index, keyed_table, language, url_filters
@@ -237,3 +238,17 @@ def test_frequent_words_are_not_shuffled(spark, monkeypatch):
     assert rows(language.hit_counts(hits).groupBy("hits").count()) == ["Row(count=20000, hits=7)"]
     left = language.lexicon_hits(toks, lexicon.filter("word <> 'the'"), "left")
     assert left.filter("langs IS NULL").count() == 60_000
+
+@pytest.fixture
+def table_folders(spark, folder, tmp_path):
+    """The pages as a table that is a folder of three files."""
+    spark.read.parquet(f"{folder}/pages.parquet").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+def test_the_loop_reads_a_table_of_several_files(spark, folder, table_folders):
+    for where in (folder, table_folders):
+        found = registry.QUERIES["t4_repeat_loop"](spark, where)
+        assert rows(found) == rows(spark.read.parquet(f"{folder}/pages.parquet").select("page_id"))
+    hosts = registry.QUERIES["t1_seen_hosts"]
+    assert rows(hosts(spark, table_folders)) == rows(hosts(spark, folder))
