@@ -115,7 +115,7 @@ def _(t: Tables):
 def _(t: Tables):
     sink = fresh_path(t.spark, "articles")
     streams.run_batches(_pages(t), "articles", streams.extraction_step(lambda b: jobs.extract_main_text(b), sink)).awaitTermination()
-    return t.spark.read.parquet(sink).select("page_id", "title", "content")
+    return t.spark.read.schema("page_id bigint, title string, content string, batch_id int").parquet(sink).select("page_id", "title", "content")
 
 
 @query("t7_stream_articles", f"SELECT doc_id AS page_id, 'Doc ' || doc_id AS title, md5(CASE WHEN {_LONG} THEN {_ARTICLE} ELSE '' END) AS content FROM documents "

@@ -252,3 +252,8 @@ def test_the_loop_reads_a_table_of_several_files(spark, folder, table_folders):
         assert rows(found) == rows(spark.read.parquet(f"{folder}/pages.parquet").select("page_id"))
     hosts = registry.QUERIES["t1_seen_hosts"]
     assert rows(hosts(spark, table_folders)) == rows(hosts(spark, folder))
+
+
+def test_extraction_streams_a_table_of_several_files(spark, folder, table_folders):
+    found = registry.QUERIES["t7_stream_extraction"]
+    assert rows(found(spark, table_folders)) == rows(found(spark, folder)) != []
