@@ -91,7 +91,8 @@ def known_words(words: DataFrame, filters: DataFrame, hasher: Hasher = sha1_pair
         # bytes of a bitmap lie in order, the bits inside a byte from the low end
         shift = F.expr(f"CAST((3 - ((_bits[{i}] - 1) % 32) DIV 8) * 8 + (_bits[{i}] - 1) % 8 AS INT)")
         side = probes.select(F.col("slot").alias("_slot"), F.col("words").alias("_words"))
-        out = (out.withColumn("_slot", F.expr(f"(_bits[{i}] - 1) DIV {PROBE_BITS}"))
+        # never null: the join would else test every token for a null slot where it is read, and hash it for that
+        out = (out.withColumn("_slot", F.coalesce(F.expr(f"(_bits[{i}] - 1) DIV {PROBE_BITS}"), F.lit(-1)))
                .join(F.broadcast(side) if width <= WIDEST else side, "_slot", how).withColumn("_shift", shift)
                .withColumn(f"_found{i}", F.transform(
                    F.filter("_words", lambda w: F.getbit(w["bits"], F.col("_shift")) == 1), lambda w: w["lang"]))

@@ -257,3 +257,10 @@ def test_the_loop_reads_a_table_of_several_files(spark, folder, table_folders):
 def test_extraction_streams_a_table_of_several_files(spark, folder, table_folders):
     found = registry.QUERIES["t7_stream_extraction"]
     assert rows(found(spark, table_folders)) == rows(found(spark, folder)) != []
+
+
+def test_frequent_words_are_not_hashed_where_they_are_read(spark):
+    docs = spark.createDataFrame([(i, "ein wort") for i in range(50)], "doc_id bigint, text string")
+    hits = bloom.word_hits(language.tokens(docs), bloom.build(language.build_lexicon(docs.selectExpr("'de' AS lang", "text"))))
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "sha1" in x]
