@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -21,6 +22,9 @@ from . import html_tree, selection
 cloudpickle.register_pickle_by_value(html_tree)
 cloudpickle.register_pickle_by_value(selection)
 
+# Fixed value: bytes of html that are parsed at once, as their nodes are Python objects until they are an Arrow array.
+SLICE_BYTES = 500_000
+
 _ARROW = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(),
           pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int32()),
           pa.map_(pa.string(), pa.string())]
@@ -33,7 +37,17 @@ def _nodes_function(wanted: frozenset[str], path_tags: frozenset[str], selecting
     """
     names, types, parse = NODE.fieldNames(), _ARROW, html_tree.parse_or_reason
     seen = [names.index(c) for c in ("parent_id", "tag", "cls", "id_attr", "attrs")]
-    kind, any_of = names.index("kind"), selection.select_any
+    kind, any_of, limit = names.index("kind"), selection.select_any, SLICE_BYTES
+
+    def slices(pages: pa.Array) -> Iterator[tuple[int, int]]:
+        """Start and length of slices of about ``limit`` bytes; a longer page is a slice of its own, and no page an empty one."""
+        start = total = 0
+        for i, size in enumerate(pc.binary_length(pages).fill_null(0).to_pylist()):
+            if total and total + size > limit:
+                yield start, i - start
+                start, total = i, 0
+            total += size
+        yield start, len(pages) - start
 
     def convert(pages: pa.Array, rules: pa.Array | None) -> pa.Array:
         offsets, columns, chosen, reasons = [0], [[] for _ in names], [], []
@@ -60,15 +74,28 @@ def _nodes_function(wanted: frozenset[str], path_tags: frozenset[str], selecting
         @F.arrow_udf(parsed)
         def to_nodes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             for pages, rules in batches:
-                yield convert(pages, rules)
+                for part in slices(pages):
+                    yield convert(pages.slice(*part), rules.slice(*part))
     else:
         @F.arrow_udf(parsed)
         def to_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for pages in batches:
-                yield convert(pages, None)
+                for part in slices(pages):
+                    yield convert(pages.slice(*part), None)
     return to_nodes
 
 
+# Fixed value: pages of one task, where nodes are rows. Every window over them sorts the task's nodes, so its memory goes by this.
+PAGES_PER_TASK = 1000
+
+
+def page_tasks(pages: DataFrame) -> int | None:
+    """Tasks for the nodes of so many pages, which are counted; none is stated for a stream."""
+    if pages.isStreaming:
+        return None
+    return max(pages.sparkSession.sparkContext.defaultParallelism, -(-pages.count() // PAGES_PER_TASK))
+
+
 CORE = ("node_id", "parent_id", "grand_id", "end_id", "kind", "tag", "cls", "id_attr", "in_link", "text")
 
 
@@ -97,8 +124,8 @@ def parsed_once(pages: DataFrame, html: str = "html", rules: str = "rules", path
 
 
 def node_rows(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html",
-              extra: tuple[str, ...] = (), per_page: dict[str, Column] | None = None) -> DataFrame:
-    """One row per node, hash-partitioned by the page key.
+              extra: tuple[str, ...] = (), per_page: dict[str, Column] | None = None, tasks: int | None = None) -> DataFrame:
+    """One row per node, hash-partitioned by the page key into ``tasks``, else as many as the number of pages asks for.
 
     Pages with a ``nodes`` array are not parsed again. ``per_page`` holds columns computed from a page's ``nodes`` array and repeated on its rows.
 
@@ -109,8 +136,10 @@ def node_rows(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str
     fields = [n for n in NODE.fieldNames() if n in CORE + tuple(extra)]
     # explode_outer: with explode, Catalyst adds a filter that parses every page once more
     parsed = pages if "nodes" in pages.columns else with_nodes(pages.select(*keys, html), html, extra)
+    # a stated number, as adaptive execution goes by the size of the arrays, which are far smaller than their rows
+    tasks = tasks or page_tasks(pages)
     return (parsed.select(*keys, "nodes")
-            .repartition(*keys)
+            .repartition(*([tasks] if tasks else []), *keys)
             .withColumns(per_page)
             .select(*keys, *per_page, F.explode_outer("nodes").alias("n"))
             .filter("n is not null")

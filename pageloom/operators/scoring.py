@@ -14,7 +14,7 @@ from ..functions.weights import BLOCK_PREFIX, class_weight, is_unlikely, tag_poi
 from ..session import stored
 from .html_tree import BLOCKS
 from .nodes import (_page_window, drop_subtrees, keep_subtrees, link_density, link_text_length,
-                    node_rows, subtree_measures, text_length)
+                    node_rows, page_tasks, subtree_measures, text_length)
 
 # Subtrees that never hold text of the article.
 NO_TEXT_TAGS = ("script", "style", "like")
@@ -45,13 +45,14 @@ def _unlikely(n: Column) -> Column:
     return (n["kind"] == "e") & is_unlikely(n["tag"], n["cls"], n["id_attr"])
 
 
-def node_passes(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html", only: int | None = None) -> DataFrame:
+def node_passes(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html", only: int | None = None,
+                tasks: int | None = None) -> DataFrame:
     """Node rows with ``pass_no`` 1, and 2 where a retry could differ; or of one pass ``only``.
 
     Class and id are read here, once, into ``weight`` and ``unlikely``, and not carried further.
     """
     passes = F.when(F.exists("nodes", _unlikely), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    rows = node_rows(pages, keys, html, per_page={"passes": passes if only is None else F.array(F.lit(only))})
+    rows = node_rows(pages, keys, html, per_page={"passes": passes if only is None else F.array(F.lit(only))}, tasks=tasks)
     return (rows.withColumns({"weight": class_weight("cls", "id_attr"),
                               "unlikely": is_unlikely("tag", "cls", "id_attr")})
             .drop("cls", "id_attr")
@@ -211,9 +212,10 @@ def main_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str
     k = (*keys, "pass_no")
     enough = F.length(strip_ws("plain")) >= retry_length
     if "nodes" in pages.columns:
-        first = stored(_text_of(node_passes(pages, keys, html, only=1), k, min_text), "pass-1")
+        tasks = page_tasks(pages)
+        first = stored(_text_of(node_passes(pages, keys, html, only=1, tasks=tasks), k, min_text), "pass-1")
         again = pages.join(first.filter(~enough).select(*keys), list(keys), "left_semi").filter(F.exists("nodes", _unlikely))
-        text = first.unionByName(_text_of(node_passes(again, keys, html, only=2), k, min_text))
+        text = first.unionByName(_text_of(node_passes(again, keys, html, only=2, tasks=tasks), k, min_text))
     else:
         text = _text_of(node_passes(pages, keys, html), k, min_text)
     chosen = F.coalesce(F.max(F.when((F.col("pass_no") == 1) & enough, F.col("plain"))),
