@@ -5,13 +5,14 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from article_by_hand import article
 from pageloom.catalog import registry
 from pageloom.functions import dates
-from pageloom.operators import page_dates, selectors
+from pageloom.operators import nodes, page_dates, selectors
 from pageloom.operators.html_tree import parse
 from pageloom.operators.nodes import node_rows, with_nodes
 from pageloom.operators.scoring import main_text
@@ -337,3 +338,21 @@ def test_each_comment_of_a_feed_has_its_fields(spark, folder):
     found = registry.QUERIES["k4_feed_field_map"](spark, folder).collect()
     assert len(found) == len(talk) and all(r.author == talk[r.conv_id, r.title].role for r in found)
     assert all(r.comments == sum(c == r.conv_id for c, _ in talk) for r in found)
+
+
+def test_pages_are_parsed_in_bounded_slices(spark, monkeypatch):
+    seen, real = [], nodes.html_tree.parse_or_reason
+    monkeypatch.setattr(nodes, "SLICE_BYTES", 100)
+    monkeypatch.setattr(nodes.html_tree, "parse_or_reason", lambda html, *rest: seen.append(html) or real(html, *rest))
+    pages = pa.array(["<p>" + "a" * 60, None, "<p>" + "b" * 500, "", "<p>c"])
+    parts = []
+    for part in nodes._nodes_function(frozenset(nodes.CORE), frozenset()).func(iter([pages, pages.slice(0, 0)])):
+        parts.append((len(part), len(seen)))
+    assert parts == [(2, 2), (1, 3), (2, 5), (0, 5)]    # what is parsed so far, as each slice is handed on
+
+
+def test_a_task_has_a_bounded_number_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(nodes, "PAGES_PER_TASK", 10)
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('<p>', id) AS html")
+    assert node_rows(pages).rdd.getNumPartitions() == 40
+    assert nodes.page_tasks(pages.limit(3)) == spark.sparkContext.defaultParallelism
