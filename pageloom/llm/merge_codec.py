@@ -1,7 +1,7 @@
 """Encoding and decoding by byte-pair merges with word ends, by an index of pair occurrences.
 
-A text is cut at special tokens and white space; each distinct chunk of a task is normalised, split
-and encoded once. The new chunks of a slice are encoded together: every adjacent pair that has a rule
+A text is cut at special tokens and white space; each distinct chunk of a task is normalised and split
+once, each distinct word encoded once. The new words of a slice are encoded together: every adjacent pair that has a rule
 is filed under the rule's rank with all its places, the ranks are taken in ascending order, and each
 merge files the two pairs it makes. As every rule outranks those that make its parts (checked when the
 file is read), this is what taking the lowest pair of each word, leftmost first, gives.
@@ -34,6 +34,7 @@ NAME = "word_bpe_49k.json"
 # white space as Unicode has it; a fixed value
 SPACES = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 PART = 1 << 17
+LINE = 256      # chunks that are split in one call
 
 
 def byte_letters() -> list[str]:
@@ -89,7 +90,16 @@ def load(path: str | None = None) -> Rules:
                  json.dumps(said | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
 
 
-def merge(rules: Rules, known: dict[int, int], symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sides(rules: Rules) -> tuple[dict[int, dict[int, int]], dict[int, dict[int, int]]]:
+    """Ranks of the pairs, by their left id and then the right one, and the other way round."""
+    left, right = {}, {}
+    for rank, key in enumerate(rules.parts):
+        a, b = key >> 20, key & 0xFFFFF
+        left.setdefault(a, {})[b] = right.setdefault(b, {})[a] = rank
+    return left, right
+
+
+def merge(rules: Rules, known: tuple[dict, dict], symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Apply all rules to words that lie one after the other and end at ``ends``: the ids, and the place where each begins."""
     n = len(symbols)
     after = np.arange(1, n + 1, dtype=np.int32)
@@ -111,7 +121,7 @@ def merge(rules: Rules, known: dict[int, int], symbols: np.ndarray, ends: np.nda
     heap = active.tolist()
     # lists are faster, arrays smaller: for a giant word
     sym, nxt, prv = (x.tolist() if n <= 32 * PART else array("i", x.astype(np.int32).tobytes()) for x in (symbols, after, before))
-    lookup = known.get
+    none: dict[int, int] = {}
     while heap:
         r = heapq.heappop(heap)
         places = given.pop(r, None)
@@ -121,6 +131,7 @@ def merge(rules: Rules, known: dict[int, int], symbols: np.ndarray, ends: np.nda
             places.sort()
         key, new = rules.parts[r], rules.made[r]
         a, b = key >> 20, key & 0xFFFFF
+        before_next, after_last = known[0].get(new, none).get, known[1].get(new, none).get
         for i in places:
             j = nxt[i]
             if sym[i] != a or j < 0 or sym[j] != b:
@@ -129,7 +140,7 @@ def merge(rules: Rules, known: dict[int, int], symbols: np.ndarray, ends: np.nda
             sym[i], sym[j], nxt[i] = new, -1, k
             if k >= 0:
                 prv[k] = i
-                q = lookup(new << 20 | sym[k])
+                q = before_next(sym[k])
                 if q is not None:
                     if q in later:
                         later[q].append(i)
@@ -139,7 +150,7 @@ def merge(rules: Rules, known: dict[int, int], symbols: np.ndarray, ends: np.nda
                             heapq.heappush(heap, q)
             h = prv[i]
             if h >= 0:
-                q = lookup(sym[h] << 20 | new)
+                q = after_last(sym[h])
                 if q is not None:
                     if q in later:
                         later[q].append(h)
@@ -157,12 +168,13 @@ class Codec:
 
     def __init__(self, rules: Rules):
         self.rules = rules
-        self.known = dict(zip(rules.pairs.tolist(), rules.ranks.tolist()))
+        self.known = sides(rules)
         self.file = Tokenizer.from_str(rules.file)
         # the splitter's pattern over lower-case ASCII; a fixed value
-        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+        self.split = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^a-z0-9\n]+")
         self.specials = re.compile("|".join(map(re.escape, sorted(rules.special, key=len, reverse=True))) or r"(?!)")
-        self.bytes_of = {c: b for b, c in enumerate(byte_letters())}
+        self.bytes_of = str.maketrans({c: chr(b) for b, c in enumerate(byte_letters())})
+        self.met = Store()      # words, as chunks that differ share most of them
         self.spelled = pa.array(rules.tokens, pa.string())
 
     def chunks(self, texts: pa.Array) -> pa.ListArray:
@@ -175,36 +187,56 @@ class Codec:
             texts = pc.replace_with_mask(texts, has, pa.array(apart, pa.large_string()))
         return pc.split_pattern_regex(texts, SPACES)
 
-    def words(self, chunk: str) -> list[bytes]:
-        """The words of one chunk, as bytes."""
-        if chunk.isascii():
-            return [w.encode() for w in self.split.findall(chunk.lower())]
-        parts = self.file.pre_tokenizer.pre_tokenize_str(self.file.normalizer.normalize_str(chunk))
-        return [bytes(self.bytes_of[c] for c in w) for w, _ in parts]
+    def words(self, chunks: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The words of all chunks, as bytes, and the chunk of each."""
+        plain = [k for k, chunk in enumerate(chunks) if chunk.isascii() and chunk not in self.rules.special]
+        # one search for all plain chunks; a line feed is in no chunk and stands alone
+        found = self.split.findall("\n".join([chunks[k] for k in plain]).lower().encode())
+        ends = np.fromiter((w == b"\n" for w in found), bool, len(found))
+        owners = np.array(plain, dtype=np.int64)[np.cumsum(ends)[~ends]] if plain else np.zeros(0, np.int64)
+        words = [w for w in found if w != b"\n"]
+        other = [k for k, chunk in enumerate(chunks) if not chunk.isascii() and chunk not in self.rules.special]
+        for start in range(0, len(other), LINE):
+            # the library's own rules, over many chunks with blanks between them, which no rule crosses and no word holds
+            some = other[start:start + LINE]
+            normal = [self.file.normalizer.normalize_str(chunks[k]) for k in some]
+            parts = self.file.pre_tokenizer.pre_tokenize_str(" ".join(normal))
+            begins = np.cumsum([0] + [len(n) + 1 for n in normal[:-1]])
+            places = np.fromiter((at for _, (at, _) in parts), np.int64, len(parts))
+            words += [w.translate(self.bytes_of).encode("latin-1") for w, _ in parts]
+            owners = np.concatenate((owners, np.array(some, dtype=np.int64)[np.searchsorted(begins, places, side="right") - 1]))
+        return words, owners
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, one after the other, and how many each has."""
+        words, owners = self.words(chunks)
+        distinct = list(dict.fromkeys(words))
+        place = dict(zip(distinct, self.met.look_up(distinct, self.merged).tolist()))
+        rows = np.fromiter((place[w] for w in words), np.int64, len(words))
+        order = np.argsort(owners, kind="stable")
+        ids, sizes = self.met.gather(rows[order])
+        owner = np.repeat(owners[order], sizes)
+        if special := {k: self.rules.special[c] for k, c in enumerate(chunks) if c in self.rules.special}:
+            owner = np.concatenate((owner, np.fromiter(special, np.int64)))
+            order = np.argsort(owner, kind="stable")
+            ids = np.concatenate((ids, np.fromiter(special.values(), np.int32)))[order]
+        return ids.astype(np.int32), np.bincount(owner, minlength=len(chunks))
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has."""
         ids, sizes, start = [], [], 0
-        while start < len(chunks):      # some chunks at a time, so that the index stays small
+        while start < len(words):       # some words at a time, so that the index stays small
             stop, size = start, 0
-            while stop < len(chunks) and (not size or size + len(chunks[stop]) <= PART):
-                size += len(chunks[stop])
+            while stop < len(words) and (not size or size + len(words[stop]) <= PART):
+                size += len(words[stop])
                 stop += 1
-            own, counts = self._encode(chunks[start:stop])
+            own, counts = self._merged(words[start:stop])
             ids.append(own)
             sizes.append(counts)
             start = stop
         return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
-    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words, owners, special = [], [], {}
-        for k, chunk in enumerate(chunks):
-            if chunk in self.rules.special:
-                special[k] = self.rules.special[chunk]
-                continue
-            for word in self.words(chunk):
-                words.append(word)
-                owners.append(k)
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         spelled = np.frombuffer(b"".join(words), dtype=np.uint8)
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
         symbols = self.rules.first[spelled]
@@ -212,12 +244,7 @@ class Codec:
         # words are cut where no token could join the two bytes; what is left of a giant word is merged by itself
         alone = np.flatnonzero(~self.rules.joined[spelled[:-1].astype(np.int32) << 8 | spelled[1:]]) + 1
         ids, begins = merge(self.rules, self.known, symbols, np.union1d(ends, alone))
-        owner = np.asarray(owners, dtype=np.int64)[np.searchsorted(ends, begins, side="right")] if len(ids) else np.zeros(0, np.int64)
-        if special:
-            owner = np.concatenate((owner, np.fromiter(special, np.int64)))
-            order = np.argsort(owner, kind="stable")
-            ids = np.concatenate((ids, np.fromiter(special.values(), np.int32)))[order]
-        return ids.astype(np.int32), np.bincount(owner, minlength=len(chunks))
+        return ids, np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(words))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Tokens as they are spelled, a blank between two."""
@@ -228,7 +255,7 @@ class Codec:
 
 def _coder(rules: Rules, back: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, store = Codec(rules), Store()
+        codec, store = Codec(rules), Store(600_000)
         for batch in slices(batches):
             lists = codec.chunks(batch.column("text"))
             coded = lists.flatten().dictionary_encode()

@@ -161,3 +161,16 @@ def test_chunks_of_lines(folder):
     texts += [t for t in pq.read_table(f"{folder}/documents.parquet")["text"].to_pylist() if t and len(t) < 20_000]
     for text in texts:
         assert [c[:2] for c in line_dedup.chunks_of(text)] == by_hand.line_chunks(text), text[:200]
+
+
+def test_merge_codec_merges_a_word_once(codec, monkeypatch):
+    """Chunks that differ share words; each word is merged once, and results are those of one chunk at a time."""
+    seen, real = [], merge_codec.merge
+    monkeypatch.setattr(merge_codec, "merge", lambda rules, known, symbols, ends: seen.append(len(symbols)) or real(rules, known, symbols, ends))
+    chunks = ["wording", "wording,", "Wording.", "(wording)", "l'été", "été,", "ß́x", "́x", "it's", "a1b2", "", "été"]
+    ids, sizes = codec.encode(chunks)
+    letters = {w: len(w.encode()) for w in ("wording", ",", ".", "(", ")", "l", "'", "été", "ß́x", "́", "x", "it", "'s", "a", "1", "b", "2")}
+    assert sum(seen) <= sum(letters.values()) + 4
+    alone = [merge_codec.Codec(codec.rules).encode([c]) for c in chunks]
+    assert sizes.tolist() == [int(n.sum()) for _, n in alone]
+    assert ids.tolist() == [i for found, _ in alone for i in found.tolist()]
