@@ -264,3 +264,20 @@ def test_frequent_words_are_not_hashed_where_they_are_read(spark):
     hits = bloom.word_hits(language.tokens(docs), bloom.build(language.build_lexicon(docs.selectExpr("'de' AS lang", "text"))))
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Filter" in x and "sha1" in x]
+
+
+def places(df):
+    """The number of tasks that have rows."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_queue_has_tasks_by_its_rows(spark, monkeypatch):
+    """More results are more tasks, not larger ones; repeats and unknown keywords are dropped as ever."""
+    from pageloom import session
+    from pageloom.operators import crawl
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 20)
+    tasks = spark.range(100).selectExpr("id AS scrape_id", "'k' AS keyword", "id % 3 AS profile_id", "'t' AS profile_title", "id % 5 AS source_id", "'http://s/' AS source_url")
+    results = spark.range(800).selectExpr("id % 100 AS scrape_id", "IF(id % 400 < 300, 'k', 'x') AS keyword", "concat('http://a/', id % 400) AS url")
+    queue = crawl.result_queue(tasks, results)
+    assert sorted(r[0] for r in queue.select("url").collect()) == sorted(f"http://a/{i}" for i in range(300))
+    assert places(queue) > 20
