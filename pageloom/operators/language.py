@@ -89,20 +89,21 @@ def early_exit_counts(seen: DataFrame, languages: list[str], key: str = "doc_id"
     fourth word reading stops if at least two languages were seen and the first leads clearly.
     The window is one text wide.
     """
-    w = (Window.partitionBy(key).orderBy("pos")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = (seen.select(key, "pos", "langs")
-            .withColumns({f"_n{i}": F.sum(F.when(F.array_contains("langs", lang), 1).otherwise(0)).over(w)
-                          for i, lang in enumerate(languages)}))
-    counts = F.array(*[F.struct(F.col(f"_n{i}").alias("hits"), F.lit(lang).alias("lang"))
-                       for i, lang in enumerate(languages)])
-    ranked = F.sort_array(counts, asc=False)
-    first, second = ranked[0]["hits"], ranked[1]["hits"]
+    order = Window.partitionBy(key).orderBy("pos")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flags = seen.select(key, "pos", *[F.coalesce(F.array_contains("langs", lang), F.lit(False)).cast("tinyint").alias(f"_f{i}")
+                                      for i, lang in enumerate(languages)])
+    n = [F.col(f"_n{i}") for i in range(len(languages))]
+    run = flags.select(key, "pos", *[F.sum(f"_f{i}").over(w).alias(f"_n{i}") for i in range(len(languages))],
+                       F.lead("pos").over(order).isNull().alias("_last"))
+    zero = F.lit(0).cast("bigint")
+    first = F.greatest(zero, zero, *n)
+    second = F.greatest(zero, zero, *[F.least(a, b) for i, a in enumerate(n) for b in n[i + 1:]])
     stop = ((F.col("pos") % EXIT_EVERY == 0) & (second > 0) & (first > EXIT_LEAST)
             & ((first > second * 2) | (first - second > EXIT_GAP)))
-    at_stop = F.min_by(F.when(stop, counts), F.when(stop, F.col("pos")))
-    return (seen.groupBy(key)
-            .agg(F.coalesce(at_stop, F.max_by(counts, "pos")).alias("_c"),
-                 F.coalesce(F.min(F.when(stop, F.col("pos"))), F.max("pos")).alias("words_read"))
+    # of each text the places where reading may stop, and its end; the first of them counts
+    ends = run.withColumn("_stop", stop).filter("_stop OR _last")
+    counts = F.array(*[F.struct(c.alias("hits"), F.lit(lang).alias("lang")) for c, lang in zip(n, languages)])
+    return (ends.groupBy(key).agg(F.min_by(counts, "pos").alias("_c"), F.min("pos").alias("words_read"))
             .select(key, "words_read", F.inline("_c"))
             .filter("hits > 0").select(key, "lang", F.col("hits").cast("bigint"), "words_read"))

@@ -281,3 +281,15 @@ def test_queue_has_tasks_by_its_rows(spark, monkeypatch):
     queue = crawl.result_queue(tasks, results)
     assert sorted(r[0] for r in queue.select("url").collect()) == sorted(f"http://a/{i}" for i in range(300))
     assert places(queue) > 20
+
+
+def test_early_exit_folds_ends_alone(spark):
+    """Reading stops at the first fourth word with a clear lead, else at the end; other words aren't folded, and none is ranked by a sort."""
+    from pageloom.operators import language
+    seen = spark.createDataFrame(
+        [(1, p, ["en"] if p != 2 else ["fr"]) for p in range(1, 21)] + [(2, p, ["fr"]) for p in range(1, 7)] + [(3, 1, None), (3, 2, ["de", "en"])] + [(4, 1, None)],
+        "doc_id long, pos int, langs array<string>")
+    out = language.early_exit_counts(seen, ["en", "fr", "de"])
+    assert sorted(map(tuple, out.collect())) == [(1, "en", 7, 8), (1, "fr", 1, 8), (2, "fr", 6, 6), (3, "de", 1, 2), (3, "en", 1, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array" not in plan and "Filter" in plan[plan.index("min_by"):plan.index("Window")]
