@@ -28,7 +28,7 @@ class StageLog:
     def written(self, df: DataFrame, stage: str) -> DataFrame:
         """Write a stage once to the shared folder; the time is that of writing it."""
         start = time.monotonic()
-        out = stored(df, stage)
+        out = stored(df, stage, compression="zstd")
         self.stages.append((stage, time.monotonic() - start, out))
         return out
 

@@ -293,3 +293,12 @@ def test_early_exit_folds_ends_alone(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "en", 7, 8), (1, "fr", 1, 8), (2, "fr", 6, 6), (3, "de", 1, 2), (3, "en", 1, 2)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "sort_array" not in plan and "Filter" in plan[plan.index("min_by"):plan.index("Window")]
+
+
+def test_stages_are_written_small(spark):
+    """Files of a run's stages hold texts, so they are written with zstd."""
+    import pyarrow.parquet as pq
+    from pageloom.operators import metrics
+    out = metrics.StageLog().written(spark.range(5).withColumn("html", F.lit("x")), "stage")
+    kinds = {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(1).compression for f in out.inputFiles()}
+    assert kinds == {"ZSTD"} and out.count() == 5
