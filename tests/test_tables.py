@@ -299,6 +299,6 @@ def test_stages_are_written_small(spark):
     """Files of a run's stages hold texts, so they are written with zstd."""
     import pyarrow.parquet as pq
     from pageloom.operators import metrics
-    out = metrics.StageLog().written(spark.range(5).withColumn("html", F.lit("x")), "stage")
+    out = metrics.StageLog().written(spark.range(5).coalesce(1).withColumn("html", F.lit("x")), "stage")
     kinds = {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(1).compression for f in out.inputFiles()}
     assert kinds == {"ZSTD"} and out.count() == 5
