@@ -45,15 +45,39 @@ def compile_rules(site_rules: DataFrame) -> DataFrame:
             .groupBy("host_slug").agg(F.sort_array(F.collect_list("rule")).alias("rules")))
 
 
+# A rule table of at most so many rules and characters is sent to all tasks; beyond, the pages of a host are dealt in so many parts.
+FEW_RULES = 10_000
+FEW_CHARACTERS = 1_000_000
+HOST_PARTS = 32
+
+
+def few_rules(site_rules: DataFrame) -> bool:
+    """Is the rule table, which is counted, small enough for every task? Not known of a stream."""
+    if site_rules.isStreaming:
+        return False
+    size = F.sum(F.length(F.concat_ws("", "host_slug", "tag", "selector")))
+    counted = site_rules.agg(F.count("*").alias("rules"), F.coalesce(size, F.lit(0)).alias("characters")).first()
+    return counted["rules"] <= FEW_RULES and counted["characters"] <= FEW_CHARACTERS
+
+
 def with_rules(pages: DataFrame, site_rules: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``rules`` of the host, or else of the site's ``www`` host; null if there are none."""
-    rules = compile_rules(site_rules)
+    """Add ``rules`` of the host, or else of the site's ``www`` host; null if there are none.
+
+    Pages are never gathered by host, as one host may have most of them: they stay where they are if the rules are
+    few, and else go by host and part, each rule to all parts of its host.
+    """
+    rules, part = compile_rules(site_rules), []
+    if few_rules(site_rules):
+        rules = F.broadcast(rules)
+    elif not site_rules.isStreaming:
+        rules, part = rules.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1)))), ["_part"]
     own = rules.withColumnsRenamed({"host_slug": "_slug", "rules": "_own"})
     www = rules.withColumnsRenamed({"host_slug": "_www", "rules": "_main"})
-    return (pages.withColumns({"_slug": urls.host_slug(url), "_www": urls.host_slug_www(url)})
-            .join(own, "_slug", "left").join(www, "_www", "left")
+    return (pages.withColumns({"_slug": urls.host_slug(url), "_www": urls.host_slug_www(url)}
+                              | {p: F.pmod(F.xxhash64(url), F.lit(HOST_PARTS)).cast("int") for p in part})
+            .join(own, ["_slug", *part], "left").join(www, ["_www", *part], "left")
             .withColumn("rules", F.coalesce("_own", "_main"))
-            .drop("_slug", "_www", "_own", "_main"))
+            .drop("_slug", "_www", "_own", "_main", *part))
 
 
 def attributes_of(pages: DataFrame, selector: str, name: str, html: str = "html") -> DataFrame:

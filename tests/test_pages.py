@@ -360,6 +360,26 @@ def test_a_task_has_a_bounded_number_of_pages(spark, monkeypatch):
     assert nodes.page_tasks(pages.limit(3)) == spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_pages_are_not_gathered_by_host(spark, monkeypatch, few):
+    """Nearly all pages are of one host; with few rules and with many they go on in several tasks, each with its rules."""
+    monkeypatch.setattr(selectors, "FEW_RULES", few)
+    urls = [f"http://big.example.com/{i}" for i in range(400)] + ["http://sub.other.com/", "http://none.com/", None, "::"]
+    pages = spark.createDataFrame([(i % 390, u) for i, u in enumerate(urls)], "page_id bigint, url string").repartition(8, "page_id", "url")
+    rules = spark.createDataFrame([("big-example-com", "title", "h1"), ("big-example-com", "content", "p"), ("www-other-com", "title", "h2"), (None, "title", "h3")],
+                                  "host_slug string, tag string, selector string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = selectors.with_rules(pages, rules)
+        rows = out.select("page_id", "url", F.coalesce(F.size("rules"), F.lit(0)).alias("n"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert out.columns == ["page_id", "url", "rules"]
+    wanted = {u: 2 if u and "big" in u else 1 if u and "other" in u else 0 for u in urls}
+    assert sorted((r.page_id, str(r.url), r.n) for r in rows) == sorted((i % 390, str(u), wanted[u]) for i, u in enumerate(urls))
+    assert len({r.task for r in rows if r.n == 2}) > 4
+
+
 def test_whole_bodies_are_read_for_open_pages_alone(spark, monkeypatch):
     """The default extractor doesn't read a page that scoring has settled."""
     plain = jobs.body_text
