@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import article_text_clean, escape_markup, strip_ws
 from ..functions.weights import BLOCK_PREFIX, class_weight, is_unlikely, tag_points
-from ..session import stored
+from ..session import stored, stored_by
 from .html_tree import BLOCKS
 from .nodes import (_page_window, drop_subtrees, keep_subtrees, link_density, link_text_length,
                     node_rows, page_tasks, subtree_measures, text_length)
@@ -203,22 +203,26 @@ def _text_of(nodes: DataFrame, k: tuple[str, ...], min_text: int) -> DataFrame:
 
 
 def main_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html",
-              min_text: int = 25, retry_length: int = 250) -> DataFrame:
+              min_text: int = 25, retry_length: int = 250, parts: int | None = None, scratch: list[DataFrame] | None = None) -> DataFrame:
     """Article text per page as ``content``; a short one is tried again with all nodes.
 
     Pages that are to be parsed go through both passes at once, so that none is parsed twice. Pages that have
-    their nodes go through the first; only short ones with unlikely nodes go through the second.
+    their nodes go through the first; only short ones with unlikely nodes go through the second. Pages that lie in
+    ``parts`` buckets of the first key stay there. ``scratch`` gets what is written on the way.
     """
     k = (*keys, "pass_no")
     enough = F.length(strip_ws("plain")) >= retry_length
     if "nodes" in pages.columns:
-        tasks = page_tasks(pages)
-        first = stored(_text_of(node_passes(pages, keys, html, only=1, tasks=tasks), k, min_text), "pass-1")
+        tasks = parts or page_tasks(pages)
+        first = _text_of(node_passes(pages, keys, html, only=1, tasks=tasks), k, min_text)
+        first = stored_by(first, "pass-1", keys[0], parts) if parts else stored(first, "pass-1")
+        if scratch is not None:
+            scratch.append(first)
         again = pages.join(first.filter(~enough).select(*keys), list(keys), "left_semi").filter(F.exists("nodes", _unlikely))
-        text = first.unionByName(_text_of(node_passes(again, keys, html, only=2, tasks=tasks), k, min_text))
+        second = _text_of(node_passes(again, keys, html, only=2, tasks=tasks), k, min_text).select(*keys, F.col("plain").alias("_again"))
+        text = first.join(second, list(keys), "left").withColumn("plain", F.coalesce("_again", "plain"))
     else:
         text = _text_of(node_passes(pages, keys, html), k, min_text)
-    chosen = F.coalesce(F.max(F.when((F.col("pass_no") == 1) & enough, F.col("plain"))),
-                        F.max_by("plain", "pass_no"))
-    return (text.groupBy(*keys).agg(chosen.alias("plain"))
-            .select(*keys, article_text_clean(escape_markup("plain")).alias("content")))
+        chosen = F.coalesce(F.max(F.when((F.col("pass_no") == 1) & enough, F.col("plain"))), F.max_by("plain", "pass_no"))
+        text = text.groupBy(*keys).agg(chosen.alias("plain"))
+    return text.select(*keys, article_text_clean(escape_markup("plain")).alias("content"))

@@ -402,3 +402,53 @@ def test_ends_are_trimmed_as_by_the_pattern(spark):
     odd = texts.filter(~(text.strip_ws("t").eqNullSafe(F.regexp_replace("t", r"^\s+|\s+$", ""))
                          & text.strip_ct_nl("t").eqNullSafe(F.translate("t", "\t\r\n", ""))))
     assert odd.count() == 0
+
+
+def _small_run(spark):
+    """Pages of which rules, scoring and the default each read some; a page that is there twice, one without text, one without an id."""
+    words = LONG * 4
+    bodies = {1: f"<div class='story'>{words}</div>", 2: f"<div class='article'><p>{words}</p></div>", 3: f"<form>{LONG}</form>", 4: "", 5: f"<div class='menu'><p>{words}</p></div>"}
+    rows = [(i, f"http://h{i % 3}.example.com/{i}", f"<html lang='en'><head><title>Doc {i}</title></head><body>{bodies[i % 5 + 1]}</body></html>") for i in range(40)]
+    pages = spark.createDataFrame([*rows, rows[7], rows[10], (None, "http://h1.example.com/none", rows[1][2])], "page_id bigint, url string, html string")
+    rules = spark.createDataFrame([("h0-example-com", "content", "div.story"), ("h0-example-com", "title", "head title")], "host_slug string, tag string, selector string")
+    return pages, rules
+
+
+def test_pages_in_buckets_are_joined_where_they_lie(spark):
+    """With the pages in buckets nothing is exchanged, and all rows are those of pages that lie anyhow."""
+    from pageloom.session import stored_by
+    pages, rules = _small_run(spark)
+    as_of = F.lit("2025-01-01").cast("timestamp_ntz")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jobs.fetch_and_extract(stored_by(pages, "given", "page_id", 9), rules, as_of, parts=9, scratch=(made := []))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" in plan and len(made) == 2
+        found = sorted(map(str, out.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == sorted(map(str, jobs.fetch_and_extract(pages, rules, as_of).collect())) and len(found) > 40
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("pageloom_")]
+
+
+def test_a_run_keeps_the_files_alone_that_are_read_again(spark, monkeypatch, tmp_path):
+    from pageloom import session
+    from pageloom.operators.metrics import StageLog
+    from pageloom.schemas import PAGE_INDEX
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    pages, rules = _small_run(spark)
+    ids = spark.range(40).selectExpr("id AS scrape_id", "id % 2 AS profile_id", "concat('http://h', id % 3, '.example.com/') AS host")
+    scrapes = ids.select("scrape_id", "profile_id", F.array(F.lit("k")).alias("keywords"), F.lit(None).cast("timestamp_ntz").alias("expires_at"), F.lit(1).cast("bigint").alias("source_id"))
+    results = ids.select("scrape_id", F.lit("k").alias("keyword"), F.concat("host", "scrape_id").alias("url"))
+    profiles = spark.createDataFrame([(0, "a", ["k"], []), (1, "b", ["k"], [])], "profile_id bigint, title string, keywords array<string>, languages array<string>")
+    sources = spark.createDataFrame([(1, "http://h0.example.com/", None, None)], "source_id bigint, url string, lang string, category_id bigint")
+    log, kept = StageLog(), spark.conf.get(session.FREE_SHUFFLES)
+    tables = jobs.full_run(scrapes, profiles, {"sources": sources, "pages": spark.createDataFrame([], PAGE_INDEX)}, results, pages, rules,
+                           F.lit("2025-01-01").cast("timestamp_ntz"), days=100000, log=log)
+    left = {x.name.rpartition("-")[0] for x in (tmp_path / "pageloom").iterdir()}
+    assert left == {"tasks", "docs", "fresh", "sources", "failed", "counted"}
+    counts = {(r.stage, r.profile_id): r.rows for r in log.table().collect()}
+    assert [counts["bodies", p] for p in (0, 1)] == [21, 21] and counts["tasks", 0] == 20 and counts["docs", 0] > 12
+    assert tables["pages"].filter("title IS NULL").count() == 0     # it can be read
+    assert {r.profile_id for r in tables["blacklist"].collect()} == {0, 1} and tables["sources"].count() == 3
+    assert spark.conf.get(session.FREE_SHUFFLES) == kept
